@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, quality
+from docloom.llm import bpe, licenses, quality, secrets
 from docloom.session import ship_package
 
 
@@ -24,7 +24,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality_rules)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.scan(docs))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality_rules, op7_secret_scan, op10_license_scan)}
 
 #: DuckDB text for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
