@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, licenses, quality, secrets
+from docloom.llm import bpe, licenses, mixture, quality, secrets
 from docloom.session import ship_package
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,7 +37,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_quality_rules, op7_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op7_secret_scan, op10_license_scan)}
 
 #: DuckDB text for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
