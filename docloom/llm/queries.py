@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, hnsw, licenses, mixture, neardup, pii, quality, secrets
+from docloom.llm import bpe, hnsw, licenses, mixture, neardup, pii, quality, repeats, secrets
 from docloom.session import ship_package
 
 
@@ -41,6 +41,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(docs, secrets.scan(docs))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op7_secret_scan, op9_personal_data, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan)}
 
 #: DuckDB text for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
