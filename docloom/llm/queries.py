@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, hnsw, licenses, mixture, neardup, pii, quality, repeats, secrets
+from docloom.llm import bpe, hnsw, licenses, lm, mixture, neardup, pii, quality, repeats, secrets
 from docloom.session import ship_package
 
 
@@ -36,6 +36,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.findings(docs, secrets.scan(docs))
@@ -53,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op6_lm_score, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan)}
 
 #: DuckDB text for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
