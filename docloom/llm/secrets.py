@@ -16,6 +16,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,10 +138,8 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
 
 def redacted(docs: DataFrame, found: DataFrame, key: str = "doc_id", mark: str = "[secret]") -> DataFrame:
     """docs with every span of `found` (key, spans; one row per key) replaced by the mark; n_chars follows the text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
-    def hide(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    def hide(texts, lists):
         def one(text, said):
             if not text or not said:
                 return text
