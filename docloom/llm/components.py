@@ -6,6 +6,7 @@ never one task's memory. Each round is written to the shared folder; the driver
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return roots.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the least point of each component of these links: one for every other point."""
+    if not len(a):
+        return a, b
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new[root] == root).all():
+            break
+        root = new[root]
+    far = np.flatnonzero(root != np.arange(len(names)))
+    return names[far], names[root[far]]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._spark import written
-from docloom.llm.components import components
+from docloom.llm.components import components, spanning
 
 SHARD = 8192
 QUERIES = 4096
@@ -233,34 +233,13 @@ def _ask(cosine: float, recall: float):
                 other = own[left] != theirs[right]
                 left, right = left[other], right[other]
                 count = np.bincount(left, weights=weight[right], minlength=len(own)).astype(np.int64)
-                a, b = _spanning(own[left], theirs[right])
+                a, b = spanning(own[left], theirs[right])
                 none = np.full(len(own), -1, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, a])), pa.array(np.concatenate([none, b])), pa.array(np.concatenate([count, np.zeros(len(a), np.int64)]))], ["point", "other", "n"])
 
     return run
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links to the least point of each component of these links: one for every other point."""
-    if not len(a):
-        return a, b
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(at) // 2], at[len(at) // 2 :]
-    root = np.arange(len(names))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (new != new[new]).any():
-            new = new[new]
-        if (new[root] == root).all():
-            break
-        root = new[root]
-    far = np.flatnonzero(root != np.arange(len(names)))
-    return names[far], names[root[far]]
-
-
 def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors."""
     x = F.transform("embedding", lambda v: v.cast("double"))

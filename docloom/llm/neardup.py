@@ -7,9 +7,10 @@ principle such signatures have a chunk with at most floor(DISTANCE / CHUNKS) = 1
 each way of leaving one position out, so the pair meets under an equal key. Links are confirmed on whole sets.
 
 Copies are one node (equal sets, by size and 128 bits of hash). Groups under a key are not expanded into pairs: a first
-round confirms each node against the nearest of its groups' hubs; further rounds take up only pairs that the links so
-far leave in different components, the nearest first, then all of them. So no link between different texts that could
-change a component is left out. Larger groups are compared in blocks of bounded size.
+round confirms each node against the nearest of its groups' hubs. Then every pair within DISTANCE that the links so far
+leave in different components is confirmed, each in the group in which it meets first and inside the task that holds
+the group's sets; only links that join something leave it. So no link between different texts that could change a
+component is left out. Larger groups are compared in blocks of bounded size.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are copies; rows that share a doc_id but not a text
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm._bytes import Hasher, Texts, grams, mix, pieces, texts_of
 from docloom.llm._spark import written
-from docloom.llm.components import components
+from docloom.llm.components import components, spanning
 
 POSITIONS = 128
 DISTANCE = 47
@@ -183,78 +184,142 @@ def _near(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(most: int | None):
-    """Pairs within DISTANCE under the lists: each member with its list's hub (most 0), or members of different
-    components, for every member the `most` nearest of each other component (all if None)."""
-
-    def across(sig: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left, right, gap = [], [], []
-        for k in range(0, len(sig), 64):
-            distance = (sig[k : k + 64, None, :] != sig[None, :, :]).sum(2, dtype=np.int16)
-            i, j = np.nonzero((distance <= DISTANCE) & (comp[k : k + 64, None] != comp[None, :]))
-            left.append(i + k)
-            right.append(j)
-            gap.append(distance[i, j])
-        left, right, gap = np.concatenate(left), np.concatenate(right), np.concatenate(gap)
-        if most is not None and len(left):
-            order = np.lexsort((right, gap, comp[right], left))
-            left, right, gap = left[order], right[order], gap[order]
-            fresh = np.concatenate([[True], (left[1:] != left[:-1]) | (comp[right[1:]] != comp[right[:-1]])])
-            place = np.arange(len(left)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            left, right, gap = left[place < most], right[place < most], gap[place < most]
-        return left, right, gap
-
-    def pairs(mark: np.ndarray, node: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        begin = np.concatenate([[0], np.flatnonzero(mark[1:] != mark[:-1]) + 1])
-        size = np.diff(np.append(begin, len(mark)))
-        if most == 0:
-            right = np.arange(len(mark))
-            left = np.repeat(begin, size)
-            left, right = left[left != right], right[left != right]
-            gap = _near(sig, left, right)
-        else:
-            some = [], [], []
-            low = np.minimum.reduceat(comp, begin)
-            for k in np.flatnonzero(np.maximum.reduceat(comp, begin) != low).tolist():
-                lo, hi = begin[k], begin[k] + size[k]
-                for out, x in zip(some, across(sig[lo:hi], comp[lo:hi])):
-                    out.append(x + (lo if out is not some[2] else 0))
-            left, right, gap = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in some)
-        good = gap <= DISTANCE
-        a, b = node[left[good]], node[right[good]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(gap[good].astype(np.int64))], ["a", "b", "gap"])
+def _collisions(differ: np.ndarray) -> np.ndarray:
+    """The first slot (chunk and position left out, as the number of the position) at which rows of a mismatch table
+    have an equal key; POSITIONS if at none."""
+    errors = np.add.reduceat(differ, _BOUNDS[:-1], axis=1, dtype=np.int16)
+    meets = errors <= 1
+    chunk = meets.argmax(1)
+    out = np.full(len(differ), POSITIONS)
+    for c in np.unique(chunk[meets.any(1)]).tolist():
+        mine = np.flatnonzero((chunk == c) & meets[:, c])
+        out[mine] = _BOUNDS[c] + differ[mine, _BOUNDS[c] : _BOUNDS[c + 1]].argmax(1)
+    return out
+
+
+def _pending(sig: np.ndarray, comp: np.ndarray, slot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list within DISTANCE, of different components, that meet at this slot first."""
+    left, right = [], []
+    for k in range(0, len(sig), 64):
+        differ = sig[k : k + 64, None, :] != sig[None, k:, :]
+        near = differ.sum(2, dtype=np.int16) <= DISTANCE
+        near &= comp[k : k + 64, None] != comp[None, k:]
+        i, j = np.nonzero(np.triu(near, 1))
+        mine = _collisions(differ[i, j]) == slot
+        left.append(i[mine] + k)
+        right.append(j[mine] + k)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _by_list(solve):
+    """mapInArrow over rows sorted by mark, of which solve takes the whole lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-
-        def flush(parts: list[pa.RecordBatch], last: bool):
-            table = pa.Table.from_batches(parts).combine_chunks()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 2_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
             mark = table.column(0).to_numpy()
             earlier = np.flatnonzero(mark != mark[-1])  # the last list may go on
-            stop = len(mark) if last else int(earlier[-1]) + 1 if len(earlier) else 0
-            rest = table.slice(stop).to_batches()
-            if not stop:
-                return None, rest
-            done = table.slice(0, stop)
-            sig = np.frombuffer(b"".join(done.column(3).to_pylist()), np.uint8).reshape(-1, POSITIONS)
-            return pairs(mark[:stop], done.column(1).to_numpy(), done.column(2).to_numpy(), sig), rest
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows >= 20_000:
-                out, held = flush(held, False)
-                rows = sum(x.num_rows for x in held)
-                if out is not None:
-                    yield out
+            if len(earlier):
+                stop = int(earlier[-1]) + 1
+                yield solve(table.slice(0, stop))
+                held = table.slice(stop).to_batches()
+                rows = table.num_rows - stop
         if held:
-            yield flush(held, True)[0]
+            yield solve(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _lists_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes, nodes, components and signatures of a table's lists."""
+    mark = table.column("mark").to_numpy()
+    begin = np.concatenate([[0], np.flatnonzero(mark[1:] != mark[:-1]) + 1])
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    return begin, np.diff(np.append(begin, len(mark))), table.column("node").to_numpy(), table.column("comp").to_numpy(), sig
+
+
+def _hubs(table: pa.Table) -> pa.RecordBatch:
+    """Each member with its list's least node, if within DISTANCE."""
+    begin, size, node, _, sig = _lists_of(table)
+    right = np.arange(len(node))
+    left = np.repeat(begin, size)
+    left, right = left[left != right], right[left != right]
+    gap = _near(sig, left, right)
+    good = gap <= DISTANCE
+    return pa.RecordBatch.from_arrays([pa.array(node[right[good]]), pa.array(node[left[good]]), pa.array(gap[good])], ["a", "b", "gap"])
+
+
+def _open_nodes(table: pa.Table) -> pa.RecordBatch:
+    """Members that have a pending pair in a list, and the slot at which all of the list meet."""
+    begin, size, node, comp, sig = _lists_of(table)
+    mark = table.column("mark").to_numpy()
+    marks, nodes, slots = [], [], []
+    mixed = np.flatnonzero(np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin))
+    for lo, n in zip(begin[mixed].tolist(), size[mixed].tolist()):
+        own = sig[lo : lo + n]
+        slot = int(_collisions((own != own[0]).any(0)[None, :])[0])
+        left, right = _pending(own, comp[lo : lo + n], slot)
+        some = np.unique(np.concatenate([left, right]))
+        if len(some):
+            marks.append(np.full(len(some), mark[lo]))
+            nodes.append(node[lo + some])
+            slots.append(np.full(len(some), slot))
+    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (marks, nodes, slots)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["mark", "node", "slot"])
+
+
+def _shared(h: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, from bit rows over slices of the shingles in use."""
+    names, at = np.unique(h, return_inverse=True)
+    times = np.bincount(at)
+    kept = times[at] > 1  # a shingle of one set is in no intersection
+    at, owner = (np.cumsum(times > 1) - 1)[at[kept]], owner[kept]
+    out = np.zeros(len(left), np.int64)
+    width = 1 << 14
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for lo in range(0, int((times > 1).sum()), width):
+        a, b = np.searchsorted(at, [lo, lo + width])
+        bits = np.zeros((n, width), bool)
+        bits[owner[a:b], at[a:b] - lo] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for k in range(0, len(left), 8192):
+            out[k : k + 8192] += np.bitwise_count(packed[left[k : k + 8192]] & packed[right[k : k + 8192]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _settle(size: int, percent: int):
+    """Confirmed links of the pending pairs of each list, one for each node that they join to another."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        begin, count, node, comp, sig = _lists_of(table)
+        slot, text = table.column("slot").to_numpy(), table.column("text")
+        ones, twos = [], []
+        for lo, n in zip(begin.tolist(), count.tolist()):
+            left, right = _pending(sig[lo : lo + n], comp[lo : lo + n], int(slot[lo]))
+            if not len(left):
+                continue
+            h, owner = shingles(texts_of(text.slice(lo, n).combine_chunks()), size)
+            sizes = np.bincount(owner, minlength=n)
+            both = _shared(h, owner, n, left, right)
+            good = (100 * both >= percent * (sizes[left] + sizes[right] - both)) & (both > 0)
+            a, b = spanning(node[lo + left[good]], node[lo + right[good]])
+            ones.append(a)
+            twos.append(b)
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b"])
+
+    return _by_list(solve)
+
+
 def _confirm(size: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,26 +379,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 80, block:
         one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
 
-    def candidates(comp: DataFrame | None, most: int | None) -> DataFrame:
-        if comp is None:
-            rows = with_sig.select("mark", "node", F.col("node").alias("comp"), "sig")
-        else:
-            rows = with_sig.join(comp.withColumnRenamed("component", "comp"), "node", "left").select("mark", "node", F.coalesce("comp", "node").alias("comp"), "sig")
-        ordered = rows.repartition("mark").sortWithinPartitions("mark", "node")
-        return ordered.mapInArrow(_candidates(most), "a long, b long, gap long")
+    def listed(frame: DataFrame) -> DataFrame:
+        return frame.repartition("mark").sortWithinPartitions("mark", "node")
 
-    hubs = candidates(None, 0).groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    alone = with_sig.select("mark", "node", F.col("node").alias("comp"), "sig")
+    hubs = listed(alone).mapInArrow(_by_list(_hubs), "a long, b long, gap long").groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = written(confirmed(hubs), "links")
-    tried = written(hubs, "tried")
-    for most in (2, None):
-        comp = written(components(links), "components")
-        more = written(candidates(comp, most).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.head(1):
-            break
-        links = written(links.union(confirmed(more)), "links")
-        tried = tried.union(more)
-    else:
-        comp = components(links)
+    comp = written(components(links), "components").select(F.col("node").alias("n"), F.col("component").alias("comp"))
+    placed = with_sig.join(comp, with_sig["node"] == comp["n"], "left").select("mark", "node", F.coalesce("comp", "node").alias("comp"), "sig")
+    left_open = written(listed(placed).mapInArrow(_by_list(_open_nodes), "mark long, node long, slot long"), "open")
+    again = left_open.join(comp, left_open["node"] == comp["n"], "left").join(nodes, "node").join(texts, "node")
+    again = again.select("mark", "node", F.coalesce("comp", "node").alias("comp"), "sig", "slot", "text")
+    more = listed(again).mapInArrow(_settle(size, percent), "a long, b long")
+    comp = components(links.union(more))
     whole = copies.join(comp, "node", "left").select("n_shingles", "one", "two", F.coalesce("component", "node").alias("component_id"))
     out = signed.join(whole, ["n_shingles", "one", "two"], "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id").cast("long")))
