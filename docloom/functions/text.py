@@ -18,13 +18,12 @@ def rstrip(c: Column) -> Column:
 
 
 def trim_to_word(c: Column, most: int, look_back: int = 50) -> Column:
-    """At most `most` characters; cut at the last white space if one stands in the last `look_back` of them."""
+    """At most `most` characters; cut at the last blank, newline or tab if one stands in the last `look_back` of them."""
     cut = F.substring(c, 1, most)
-    tail = F.substring(cut, max(1, most - look_back + 1), look_back)
-    kept = F.regexp_extract(tail, f"(?s)^(.*){SPACE}", 1)
-    at_word = rstrip(F.concat(F.substring(cut, 1, max(0, most - look_back)), kept))
-    has = tail.rlike(SPACE)
-    return F.when(F.length(c) <= most, c).when(has, at_word).otherwise(rstrip(cut))
+    keep = max(0, most - look_back)
+    tail = F.substring(cut, keep + 1, look_back)
+    head = rstrip(F.concat(F.substring(cut, 1, keep), F.regexp_extract(tail, r"(?s)^(.*)[ \n\t]", 1)))
+    return F.when(F.length(c) <= most, c).when(tail.rlike(r"[ \n\t]"), head).otherwise(rstrip(cut))
 
 
 def semilist(items: Column) -> Column:
@@ -101,8 +100,8 @@ def confidence(c: Column) -> Column:
 
 
 def gershayim(c: Column) -> Column:
-    """A double quote between Hebrew letters becomes the Hebrew sign."""
-    return F.regexp_replace(c, "(?<=[֐-׿])\"(?=[֐-׿])", "״")
+    """A double quote next to a Hebrew letter becomes the Hebrew sign."""
+    return F.regexp_replace(c, "(?<=[\u0590-\u05ff])\"|\"(?=[\u0590-\u05ff])", "\u05f4")
 
 
 def ellipsis(c: Column, most: int) -> Column:
@@ -118,16 +117,19 @@ def json_map(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
-def garbled(c: Column) -> Column:
+#: First bytes of binary formats.
+SIGNATURES = (b"%PDF-", b"\x89PNG\r\n\x1a\n", b"GIF87a", b"GIF89a", b"\xff\xd8\xff", b"PK\x03\x04", b"BM")
+
+
+def garbled(raw: Column, text: Column) -> Column:
     """Binary or broken text: a known signature, a NUL, over 1 % replacement or over 5 % control characters."""
-    signs = ("%PDF-", "PK\x03\x04", "\x89PNG", "GIF8", "\x7fELF", "Rar!", "\xd0\xcf\x11\xe0")
     starts = F.lit(False)
-    for s in signs:
-        starts = starts | c.startswith(s)
-    n = F.greatest(F.length(c), F.lit(1))
-    odd = F.length(F.regexp_replace(c, "[^�]", ""))
-    control = F.length(F.regexp_replace(c, r"[^\x01-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
-    return starts | c.contains("\x00") | (odd / n > 0.01) | (control / n > 0.05)
+    for s in SIGNATURES:
+        starts = starts | F.startswith(raw, F.lit(s))
+    n = F.greatest(F.length(text), F.lit(1))
+    odd = F.length(F.regexp_replace(text, "[^\ufffd]", ""))
+    control = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+    return F.coalesce(F.octet_length(raw) > 0, F.lit(False)) & (starts | F.contains(raw, F.lit(b"\x00")) | (odd / n > 0.01) | (control / n > 0.05))
 
 
 def srt_time(seconds: Column) -> Column:
@@ -146,15 +148,19 @@ def srt_words(c: Column) -> Column:
 
 #: Extension and media type.
 MEDIA = {
-    ".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".pdf": "application/pdf",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".epub": "application/epub+zip",
-    ".html": "text/html", ".htm": "text/html", ".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv",
-    ".json": "application/json", ".xml": "application/xml", ".yaml": "application/yaml", ".yml": "application/yaml",
-    ".log": "text/plain", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".tif": "image/tiff",
-    ".tiff": "image/tiff", ".gif": "image/gif", ".bmp": "image/bmp", ".webp": "image/webp", ".mp3": "audio/mpeg",
-    ".wav": "audio/wav", ".m4a": "audio/mp4", ".flac": "audio/flac", ".ogg": "audio/ogg", ".opus": "audio/opus",
-    ".mp4": "video/mp4", ".mkv": "video/x-matroska", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".webm": "video/webm",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".bmp": "image/bmp",
+    ".tif": "image/tiff", ".tiff": "image/tiff", ".webp": "image/webp", ".heic": "image/heic", ".heif": "image/heif",
+    ".html": "text/html", ".htm": "text/html", ".epub": "application/epub+zip", ".txt": "text/plain",
+    ".md": "text/markdown", ".markdown": "text/markdown", ".csv": "text/csv", ".log": "text/plain",
+    ".json": "application/json", ".xml": "application/xml", ".yaml": "application/x-yaml", ".yml": "application/x-yaml",
+    ".amr": "audio/amr", ".mp3": "audio/mpeg", ".m4a": "audio/mp4", ".wav": "audio/wav", ".ogg": "audio/ogg",
+    ".opus": "audio/opus", ".flac": "audio/flac", ".aac": "audio/aac", ".mp4": "video/mp4", ".mkv": "video/x-matroska",
+    ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".webm": "video/webm", ".wmv": "video/x-ms-wmv",
+    ".flv": "video/x-flv", ".m4v": "video/mp4",
 }
 IMAGES = tuple(k for k, v in MEDIA.items() if v.startswith("image/"))
 AUDIO = tuple(k for k, v in MEDIA.items() if v.startswith("audio/"))
@@ -166,10 +172,15 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.element_at(table, suffix_of(path)), F.lit("application/octet-stream"))
 
 
+#: First characters of embedded metadata packets.
+PACKETS = ("<?xpacket", "<x:xmpmeta", "<rdf:RDF")
+
+
 def metadata_clean(m: Column, most: int = 200) -> Column:
-    """Values without NULs, trimmed, clipped with an ellipsis; empties and packet markup dropped."""
-    plain = F.transform_values(m, lambda k, v: strip(F.replace(v, F.lit("\x00"), F.lit(""))))
-    kept = F.map_filter(plain, lambda k, v: v.isNotNull() & (v != "") & ~v.startswith("<?xpacket"))
+    """Trimmed values, clipped with an ellipsis; empty ones, packets and those with a NUL dropped."""
+    plain = F.transform_values(m, lambda k, v: strip(v))
+    packet = lambda v: v.startswith(PACKETS[0]) | v.startswith(PACKETS[1]) | v.startswith(PACKETS[2])
+    kept = F.map_filter(plain, lambda k, v: v.isNotNull() & (v != "") & ~v.contains("\x00") & ~packet(v))
     return F.transform_values(kept, lambda k, v: F.when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…"))).otherwise(v))
 
 

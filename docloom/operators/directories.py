@@ -10,7 +10,10 @@ from docloom.functions import text as T
 from docloom.operators.queue import ancestors
 
 #: Directory names that are never entered.
-OPAQUE_NAMES = (".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_modules", ".idea", ".vscode", ".cache", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache", "site-packages", ".terraform", ".gradle", "vendor")
+OPAQUE_NAMES = (
+    ".venv", "venv", "node_modules", ".git", ".hg", ".svn", "__pycache__", "build", "dist", "target", ".gradle", ".next", ".tox",
+    ".mypy_cache", ".pytest_cache", ".idea", ".vs", ".vscode", ".cache", ".ruff_cache",
+)
 MODE_TAGS = {"collection": "col", "bundle": "bun", "opaque": "opq", "unknown": "unk"}
 
 

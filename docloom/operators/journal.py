@@ -58,19 +58,21 @@ def _field(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}")
 
 
-def toasts(events: DataFrame) -> DataFrame:
-    """id, title and body of events that people are told of: failures, errors and finished runs with something ready."""
+def toasts(events: DataFrame, app: str = "Documents") -> DataFrame:
+    """id, title and body of events that people are told of: finished runs with something ready, else failures, and
+    errors; starts and ends of scans are silent."""
     ready, failed = F.coalesce(_field("ready_count").cast("int"), F.lit(0)), F.coalesce(_field("failed").cast("int"), F.lit(0))
-    ended = F.col("kind") == "digest_finished"
-    items = lambda n: F.concat(n.cast("string"), F.when(n == 1, " document").otherwise(" documents"))
-    title = F.when(F.col("kind") == "error", "Error").when(ended & (failed > 0), "Finished with failures").when(ended & (ready > 0), "Ready to file")
-    body = F.when(F.col("kind") == "error", F.coalesce(_field("file"), F.lit(""))).when(ended & (failed > 0), F.concat(items(failed), F.lit(" failed"))).when(ended & (ready > 0), F.concat(items(ready), F.lit(" ready")))
+    ended, error = F.col("kind") == "digest_finished", F.col("kind") == "error"
+    name = F.coalesce(_field("file"), F.lit("?"))
+    count = F.concat(ready.cast("string"), F.when(ready == 1, " file").otherwise(" files"), F.lit(" ready for triage"))
+    title = F.when(ended & (ready > 0), app).when((ended & (failed > 0)) | error, "Error")
+    body = F.when(ended & (ready > 0), count).when(ended & (failed > 0), F.concat(F.lit("failed to digest "), name)).when(error, F.concat_ws(": ", name, F.coalesce(_field("error"), F.lit("?"))))
     return events.select("id", title.alias("title"), body.alias("body")).filter("title is not null")
 
 
 def run_state(events: DataFrame) -> DataFrame:
     """What runs after the last event: a label, or null if the last start has ended."""
-    label = F.when(F.col("kind") == "digest_started", F.concat(F.lit("Digesting "), F.coalesce(_field("file"), F.lit("")))).when(F.col("kind") == "scan_started", "Scanning")
+    label = F.when(F.col("kind") == "digest_started", F.when(_field("scope") == "tree", F.coalesce(F.concat(F.lit("Digesting "), _field("count"), F.lit(" files…")), F.lit("Digesting…"))).otherwise(F.concat(F.lit("Digesting "), F.coalesce(_field("file"), F.lit("…"))))).when(F.col("kind") == "scan_started", "Scanning…")
     states = events.filter(F.col("kind").isin("digest_started", "digest_finished", "scan_started", "scan_finished")).select("id", label.alias("label"))
     return states.agg(F.max("id").alias("id"), F.max_by("label", "id").alias("label"))
 

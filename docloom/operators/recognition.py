@@ -17,14 +17,13 @@ def capped_pages(pages: DataFrame, least: int = 3, most: int = 5, per_page: int
     return cut.withColumn("before", before).filter((F.col("k") <= most) & ~((F.col("k") > least) & (F.col("before") >= enough))).select("doc_id", "page", "text")
 
 
-def rendered(pages: DataFrame) -> DataFrame:
-    """A document's sections under banners with place and total, and a line that tells which of its pages are shown."""
-    total = Window.partitionBy("doc_id")
-    banner = F.concat(F.lit("[page "), (F.col("page") + 1).cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit("]\n"), F.col("page_text"))
-    rows = pages.withColumn("n", F.count("*").over(total)).withColumn("part", banner)
+def rendered(shown: DataFrame, totals: DataFrame) -> DataFrame:
+    """A document's shown pages under banners with place and total (doc_id, n_pages), and a line if some are left out."""
+    banner = F.concat(F.lit("--- Page "), (F.col("page") + 1).cast("string"), F.lit(" of "), F.col("n_pages").cast("string"), F.lit(" ---\n"), F.col("text"))
+    rows = shown.join(totals, "doc_id").withColumn("part", banner)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page", "part"))), lambda x: x["part"])
-    shown = F.concat(F.lit("showing pages "), (F.min("page") + 1).cast("string"), F.lit("-"), (F.max("page") + 1).cast("string"))
-    return rows.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("body"), shown.alias("marker"))
+    marker = F.concat(F.lit("--- (showing pages "), (F.min("page") + 1).cast("string"), F.lit("-"), (F.max("page") + 1).cast("string"), F.lit(" of "), F.max("n_pages").cast("string"), F.lit(") ---"))
+    return rows.groupBy("doc_id").agg(F.concat_ws("\n\n", F.array_join(parts, "\n\n"), F.when(F.count("*") < F.max("n_pages"), marker)).alias("body"))
 
 
 def ocr_decision(pages: DataFrame, doc_least: int = 100, page_least: int = 50, ratio: float = 0.3) -> DataFrame:
@@ -97,7 +96,7 @@ def to_document(answers: DataFrame) -> DataFrame:
     """Parsed answers as document fields."""
     a = lambda n: F.col(f"answer.{n}")
     full = F.concat_ws("/", F.coalesce(F.nullif(a("category"), F.lit("")), F.lit("Unknown")), F.nullif(a("subcategory"), F.lit("")))
-    review = F.coalesce(a("review") == "true", F.lit(False)) | (F.coalesce(a("summary"), F.lit("")) == "")
+    review = F.coalesce(a("review") != "false", F.lit(True)) | (F.coalesce(a("summary"), F.lit("")) == "")
     sender = F.when(F.coalesce(a("correspondent"), F.lit("")).startswith("["), F.array_join(F.from_json(a("correspondent"), "array<string>"), ", ")).otherwise(a("correspondent"))
     return answers.select(
         "doc_id", "tier", F.coalesce(a("title"), F.lit("")).alias("title"), F.coalesce(a("summary"), F.lit("")).alias("summary"), T.semilist(F.coalesce(a("tags"), F.array().cast("array<string>"))).alias("tags"),

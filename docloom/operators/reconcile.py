@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 
-SUPPORTED = (".pdf", ".txt", ".html", ".png", ".mp3", ".mkv")
+SUPPORTED = tuple(T.MEDIA)
 ENGINE, LANGS = "tesseract 5.5.0", "heb+eng"
 ASR_ENGINE, ASR_LANGS = "engine 1.1 model=b", "he,en"
 BUCKETS = ("new_files", "changed_files", "partial_metadata", "stale_metadata", "ocr_review", "asr_review")
@@ -90,11 +90,12 @@ def asr_drift(asr: DataFrame, engine: str = ASR_ENGINE, langs: str = ASR_LANGS)
 def worklist(files: DataFrame, docs: DataFrame, ocr: DataFrame, asr: DataFrame) -> DataFrame:
     """rel, bucket and reason of every candidate, a file perhaps in several buckets. A changed file is only changed."""
     both = files.select("rel", "mtime", F.col("hash").alias("file_hash")).join(docs, F.col("rel") == docs["path"])
-    new = files.join(docs, files["rel"] == docs["path"], "left_anti").select("rel", F.lit("new_files").alias("bucket"), F.lit("no row").alias("reason"))
+    new = files.join(docs, files["rel"] == docs["path"], "left_anti").select("rel", F.lit("new_files").alias("bucket"), F.lit("no_record").alias("reason"))
     same = both.filter("file_hash = hash")
-    changed = both.filter("file_hash <> hash").select("rel", F.lit("changed_files").alias("bucket"), F.lit("content").alias("reason"))
+    changed = both.filter("file_hash <> hash").select("rel", F.lit("changed_files").alias("bucket"), F.lit("content_changed").alias("reason"))
     lack = F.array_compact(F.array(
-        F.when(F.col("category").isin("", "Unknown"), "category"), F.when(F.col("summary") == "", "summary"), F.when(F.col("tags") == "", "tags"),
+        F.when(F.coalesce("category", F.lit("")).isin("", "Unknown"), "category"),
+        F.when((F.coalesce("summary", F.lit("")) == "") & (F.coalesce("title", F.lit("")) == ""), "summary"), F.when(F.coalesce("tags", F.lit("")) == "", "tags"),
     ))
     partial = same.filter(F.size(lack) > 0).select("rel", F.lit("partial_metadata").alias("bucket"), F.array_join(lack, ",").alias("reason"))
     is_stale, days = stale(F.col("mtime"), F.col("modified"))

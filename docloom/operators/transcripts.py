@@ -47,24 +47,29 @@ def merged_channels(segments: DataFrame) -> DataFrame:
 
 
 def chosen_subtitle(streams: DataFrame, languages: tuple[str, ...] = ("he", "en")) -> DataFrame:
-    """One text stream of each file: of a wanted language if there is one, not forced nor for the hard of hearing if
+    """One text stream of each file: of a wanted or no stated language if there is one, not forced nor for the hard of hearing if
     there is one, then most frames, then the lowest index."""
     wanted = [x for c in languages for x in (c, CODES.get(c, c))]
     texts = streams.filter((F.col("codec_type") == "subtitle") & ~F.col("codec_name").isin(*IMAGE_SUBTITLES))
-    best = Window.partitionBy("file_id").orderBy(F.desc(F.lower("language").isin(*wanted)), F.desc(~F.col("forced") & ~F.col("hearing_impaired")), F.desc("frames"), "idx")
+    best = Window.partitionBy("file_id").orderBy(F.desc(F.coalesce(F.lower("language"), F.lit("")).isin("", *wanted)), F.desc(~F.col("forced") & ~F.col("hearing_impaired")), F.desc("frames"), "idx")
     return texts.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("file_id", "idx", "language", "frames")
 
 
 def opus_preset(rate: Column, channels: Column) -> Column:
-    """Application, bit rate by band and channels; an unknown rate is wide band, unknown channels one."""
-    narrow, stereo = F.coalesce(rate, F.lit(16000)) <= 8000, F.coalesce(channels, F.lit(1)) >= 2
-    return F.when(narrow & stereo, "voip:48k").when(narrow, "voip:24k").when(stereo, "audio:64k").otherwise("audio:32k")
+    """Application and bit rate: speech under 16 kHz, else audio; an unknown rate (0 or null) is not narrow."""
+    narrow, stereo = (F.coalesce(rate, F.lit(0)) > 0) & (F.coalesce(rate, F.lit(0)) < 16000), F.coalesce(channels, F.lit(1)) >= 2
+    return F.when(narrow & stereo, "voip:48k").when(narrow, "voip:24k").when(stereo, "audio:96k").otherwise("audio:64k")
+
+
+#: Tag names of music.
+MUSIC_TAGS = ("genre", "tcon", "artist", "tpe1", "tpe2", "album", "talb", "tracknumber", "trck")
 
 
 def recording_type(tags: Column, path: Column, channels: Column, voice_ratio: Column, patterns: list[tuple[str, str]]) -> Column:
     """Music by its tags, else the first path pattern that fits, else a call by its channels, else no speech, else
     unknown; committed says whether the rule decides alone."""
-    of = lambda kind, sure: F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("committed"))
-    music = F.arrays_overlap(F.map_keys(tags), F.array(*(F.lit(t) for t in ("album", "artist", "genre", "track"))))
-    by_path = [F.when(path.rlike(pattern), of(kind, True)) for pattern, kind in patterns]
-    return F.coalesce(F.when(music, of("music", True)), *by_path, F.when(channels >= 2, of("call", False)), F.when(voice_ratio < 0.2, of("non_speech", False)), of("unknown", False))
+    of = lambda kind, source, sure: F.struct(F.lit(kind).alias("type"), F.lit(source).alias("source"), F.lit(sure).alias("committed"))
+    names = F.transform(F.map_keys(tags), lambda k: F.regexp_replace(F.lower(k), "^audio_", ""))
+    music = F.arrays_overlap(names, F.array(*(F.lit(t) for t in MUSIC_TAGS)))
+    by_path = [F.when(path.rlike(pattern), of(kind, "path_pattern", False)) for pattern, kind in patterns]
+    return F.coalesce(F.when(music, of("music", "mutagen", True)), *by_path, F.when(channels >= 2, of("phone_call", "channel", True)), F.when(voice_ratio < 0.2, of("non_speech", "vad", True)), of("unknown", "default", False))

@@ -199,9 +199,9 @@ def scan_merged_values(i):
 _DRIFT_O = "done IS NOT NULL AND engine_ver IS NOT NULL AND (engine_ver <> 'tesseract 5.5.0' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['eng','heb'])"
 _DRIFT_A = "done IS NOT NULL AND engine <> 'subtitle' AND (engine_ver <> 'engine 1.1 model=b' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['en','he'])"
 _WORK = f"""WITH bo AS (SELECT f.rel, f.mtime, f.hash AS fh, d.* FROM fx_fs f JOIN fx_docs d ON d.path = f.rel), sa AS (SELECT * FROM bo WHERE fh = hash),
-w AS (SELECT rel, 'new_files' AS bucket, 'no row' AS reason, 1 AS k FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)
-UNION ALL SELECT rel, 'changed_files', 'content', 2 FROM bo WHERE fh <> hash
-UNION ALL SELECT rel, 'partial_metadata', concat_ws(',', CASE WHEN category IN ('', 'Unknown') THEN 'category' END, CASE WHEN summary = '' THEN 'summary' END, CASE WHEN tags = '' THEN 'tags' END), 3 FROM sa WHERE category IN ('', 'Unknown') OR summary = '' OR tags = ''
+w AS (SELECT rel, 'new_files' AS bucket, 'no_record' AS reason, 1 AS k FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)
+UNION ALL SELECT rel, 'changed_files', 'content_changed', 2 FROM bo WHERE fh <> hash
+UNION ALL SELECT rel, 'partial_metadata', concat_ws(',', CASE WHEN category IN ('', 'Unknown') THEN 'category' END, CASE WHEN summary = '' AND coalesce(title, '') = '' THEN 'summary' END, CASE WHEN tags = '' THEN 'tags' END), 3 FROM sa WHERE category IN ('', 'Unknown') OR (summary = '' AND coalesce(title, '') = '') OR tags = ''
 UNION ALL SELECT rel, 'stale_metadata', CAST(CAST(floor(epoch(mtime::TIMESTAMP - modified::TIMESTAMP) / 86400) AS BIGINT) AS VARCHAR) || ' days', 4 FROM sa WHERE mtime::TIMESTAMP > modified::TIMESTAMP
 UNION ALL SELECT rel, 'ocr_review', 'engine or languages', 5 FROM sa WHERE id IN (SELECT doc_id FROM fx_ocr WHERE {_DRIFT_O})
 UNION ALL SELECT rel, 'asr_review', 'engine or languages', 6 FROM sa WHERE id IN (SELECT doc_id FROM fx_asr WHERE {_DRIFT_A}))
