@@ -70,11 +70,11 @@ def repaired_text(column):
     """Answers with the quotes inside their known text fields escaped: a pandas UDF, for rows that fail the strict tier."""
     import re
 
-    fields = re.compile(r'("(?:title|summary|category|correspondent|reason)"\s*:\s*")(.*?)("\s*(?:,\s*"[a-z_]+"\s*:|\}\s*$))', re.S)
+    fields = re.compile(r'("(?:title|summary|category|correspondent|reason)"\s*:\s*")(.*?)(?="\s*(?:,\s*"[a-z_]+"\s*:|\}\s*$))', re.S)
 
     @F.pandas_udf("string")
     def fix(s):
-        return s.map(lambda t: fields.sub(lambda m: m[1] + re.sub(r'(?<!\\)"', r'\\"', m[2]) + m[3], t) if t is not None else None)
+        return s.map(lambda t: fields.sub(lambda m: m[1] + re.sub(r'(?<!\\)"', r'\\"', m[2]), t) if t is not None else None)
 
     return fix(column)
 
