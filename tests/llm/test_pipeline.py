@@ -1,0 +1,26 @@
+"""The pipeline's stages, each on what its predecessor kept."""
+
+import hashlib
+
+from docloom.llm import neardup, secrets
+
+
+def test_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf).cache()
+        kept.append(out)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == names
+        docs = out
+    good, single, clean, mixed, encoded = kept
+    assert 0 < single.count() <= good.count()
+    assert neardup.near_duplicates(single).filter("not kept").count() == 0
+    assert secrets.findings(clean, secrets.scan(clean)).filter("n_hex > 0 or n_access > 0").count() == 0
+    assert encoded.count() == mixed.count()
+    texts = sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in mixed.select("text").collect())
+    assert sorted(r["decoded_sha256"] for r in encoded.collect()) == texts
