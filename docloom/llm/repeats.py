@@ -6,7 +6,8 @@ and equal windows anywhere pick the same gram at the same place. So
 
 1. runs that equal another run byte for byte are repeated as a whole (by 64-bit hashes of gram and run);
 2. runs that are alone but share their gram with others may share some windows with them: their bytes, with one copy of
-   each other run of that gram, go into suffix arrays, where windows that are equal stand side by side;
+   each other run of that gram, go into suffix arrays over 8-byte symbols in step with the gram, where windows with
+   equal symbols stand side by side and are compared byte for byte (by 64-bit hashes);
 3. the marked windows of a document are united and cut out.
 
 A task sends one row for equal runs of its own, so a string in a great many documents costs a row per task, not one
@@ -34,7 +35,9 @@ from docloom.llm.neardup import _bitmap
 
 LENGTH = 200
 GRAM = 64
-BATCH = 1 << 16
+BATCH = 1 << 18
+#: Bytes of a suffix array's symbol.
+PACK = 8
 FILTER_BITS = 1 << 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,34 +116,58 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def equal_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each part, marks of its windows of `length` bytes that stand in another place of the parts too."""
-    joined, begin = [], []
-    for p in parts:
-        begin.append(len(joined))
-        joined += [b + 2 for b in p]
-        joined.append(1)
-    joined.append(0)
-    order = np.array(suffix_array(joined))
-    room = np.zeros(len(joined), bool)
-    for b, p in zip(begin, parts):
-        room[b : b + max(0, len(p) - length + 1)] = True
+def equal_windows(parts: list[bytes], leads: list[int], length: int, pack: int = PACK) -> list[np.ndarray]:
+    """For each part, marks of its windows of `length` bytes that stand at the same place about their grams elsewhere.
+
+    Parts are cut into symbols of `pack` bytes that fall in step with the gram (at `leads`), so that equal windows hold
+    equal symbols. The suffix array over symbols brings together windows with equal whole symbols; within such a class
+    the windows' own bytes, with the few at either end, decide.
+    """
+    words, begin, wide = [], [], []
+    for p, lead in zip(parts, leads):
+        skip = lead % pack
+        n = (len(p) - skip) // pack
+        begin.append(0 if not words else begin[-1] + wide[-1] + 1)
+        wide.append(n)
+        words.append(np.frombuffer(p, np.uint8, n * pack, skip).reshape(n, pack))
+    total = begin[-1] + wide[-1] + 2
+    flat = np.zeros((total, pack), np.uint8)
+    gap = np.ones(total, bool)
+    for b, w in zip(begin, words):
+        flat[b : b + len(w)] = w
+        gap[b : b + len(w)] = False
+    value = np.zeros((total, 8), np.uint8)
+    value[:, :pack] = flat
+    symbol = np.unique(value.view(np.uint64).ravel(), return_inverse=True)[1] + 2
+    symbol[gap] = 1
+    symbol[-1] = 0
+    order = np.array(suffix_array(symbol.tolist()))
+    inner = (length - pack + 1) // pack
+    room = np.zeros(total, bool)
+    for b, n in zip(begin, wide):
+        room[b : b + max(0, n - inner + 1)] = True
     order = order[room[order]]
-    data = np.array(joined, np.int32).astype(np.uint8)
-    h = Hasher(data)(order, order + length)
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = h[1:] == h[:-1]
-    marked = np.zeros(len(joined), bool)
-    marked[order[same[1:] | same[:-1]]] = True
-    return [marked[b : b + max(0, len(p) - length + 1)] for b, p in zip(begin, parts)]
+    h = Hasher(flat.ravel())(order * pack, (order + inner) * pack)
+    kind = np.zeros(total, np.int64)
+    kind[order] = np.cumsum(np.concatenate([[1], h[1:] != h[:-1]])) if len(order) else 0
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([max(0, len(p) - length + 1) for p in parts])
+    at = np.cumsum([0, *map(len, parts)])[:-1]
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    skip = np.repeat([lead % pack for lead in leads], sizes)
+    first = np.repeat(begin, sizes) + (within - skip + pack - 1) // pack
+    start = np.repeat(at, sizes) + within
+    key = mix(Hasher(data)(start, start + length) + kind[first].astype(np.uint64) * _ODD)
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    return np.split(times[inverse] > 1, np.cumsum(sizes)[:-1])
 
 
 def runs(t: Texts, hasher: Hasher, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Maximal stretches of windows that pick one gram: gram hash, run hash, document, first and last window."""
+    """Maximal stretches of windows that pick one gram: gram hash, run hash, document, first and last window, and the gram's place after the first."""
     none = np.zeros(0, np.int64)
     long = np.flatnonzero(t.ends - t.starts >= length)
     if not len(long):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
     width = length - gram + 1
     n = len(t.data) - gram + 1
     at = np.arange(n)
@@ -169,10 +196,10 @@ def runs(t: Texts, hasher: Hasher, length: int = LENGTH, gram: int = GRAM) -> tu
     last = stop[np.searchsorted(stop, first, "right")] - 1
     doc = t.doc_of(first)
     last = np.minimum(last, t.ends[doc] - length)
-    return h[pick[first]], hasher(first, last + length), doc, first - t.starts[doc], last - t.starts[doc]
+    return h[pick[first]], hasher(first, last + length), doc, first - t.starts[doc], last - t.starts[doc], pick[first] - first
 
 
-_FOUND = "kind int, gram long, row long, first int, last int"
+_FOUND = "kind int, gram long, row long, first int, last int, lead int"
 
 
 def _send(length: int, gram: int):
@@ -181,9 +208,9 @@ def _send(length: int, gram: int):
         count = 0
 
         def flush() -> pa.RecordBatch:
-            g, e, row, first, last = (np.concatenate(x) for x in zip(*held))
+            g, e, row, first, last, lead = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((e, g))
-            g, e, row, first, last = g[order], e[order], row[order], first[order], last[order]
+            g, e, row, first, last, lead = (x[order] for x in (g, e, row, first, last, lead))
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1])
             many = ~new | ~np.append(new[1:], True)
@@ -192,12 +219,12 @@ def _send(length: int, gram: int):
             extra = np.flatnonzero(new & many)
             both = np.concatenate([np.arange(len(g)), extra])
             kind = np.concatenate([kind, np.full(len(extra), 2)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[both].view(np.int64)) for x in (g, e)), pa.array(row[both]), pa.array(first[both].astype(np.int32)), pa.array(last[both].astype(np.int32))], ["kind", "gram", "run", "row", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[both].view(np.int64)) for x in (g, e)), pa.array(row[both]), *(pa.array(x[both].astype(np.int32)) for x in (first, last, lead))], ["kind", "gram", "run", "row", "first", "last", "lead"])
 
         for part, t in pieces(batches, "text"):
-            g, e, doc, first, last = runs(t, Hasher(t.data), length, gram)
+            g, e, doc, first, last, lead = runs(t, Hasher(t.data), length, gram)
             if len(g):
-                held.append([g, e, part.column(0).to_numpy()[doc], first, last])
+                held.append([g, e, part.column(0).to_numpy()[doc], first, last, lead])
                 count += len(g)
             if count > 600_000:
                 yield flush()
@@ -214,7 +241,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        kind, g, e, row, first, last = (table.column(k).to_numpy() for k in range(6))
+        kind, g, e, row, first, last, lead = (table.column(k).to_numpy() for k in range(7))
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1])
         begin = np.flatnonzero(new)
@@ -228,13 +255,13 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = begin[shared]
         pick = np.concatenate([sure, ask])
         kinds = np.concatenate([np.full(len(sure), 2), repeated[shared].astype(int)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(g[pick]), pa.array(row[pick]), pa.array(first[pick]), pa.array(last[pick])], ["kind", "gram", "row", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(g[pick]), pa.array(row[pick]), *(pa.array(x[pick]) for x in (first, last, lead))], ["kind", "gram", "row", "first", "last", "lead"])
 
     for batch in batches:
         if batch.num_rows:
             done = batch.filter(pc.equal(batch.column(0), 2))
             if done.num_rows:
-                yield done.select([0, 1, 3, 4, 5])
+                yield done.select([0, 1, 3, 4, 5, 6])
             live = batch.filter(pc.less(batch.column(0), 2))
             if live.num_rows:
                 rest.append(live)
@@ -258,7 +285,7 @@ def _cut(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                out: dict[str, list] = {k: [] for k in ("gram", "kind", "row", "first", "bytes")}
+                out: dict[str, list] = {k: [] for k in ("gram", "kind", "row", "first", "lead", "bytes")}
                 for x in batch.slice(lo, 256).to_pylist():
                     raw = x["text"].encode()
                     for w in x["wanted"]:
@@ -266,8 +293,9 @@ def _cut(length: int):
                         out["kind"].append(w["kind"])
                         out["row"].append(x["row"])
                         out["first"].append(w["first"])
+                        out["lead"].append(w["lead"])
                         out["bytes"].append(raw[w["first"] : w["last"] + length])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("gram", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("gram", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("first", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())]))
 
     return run
 
@@ -277,7 +305,7 @@ def _arrays(length: int, most: int):
 
     def solve(group: list[list[tuple]]) -> Iterator[tuple[int, int, int]]:
         flat = [x for g in group for x in g]
-        for (kind, row, first, _), marks in zip(flat, equal_windows([x[3] for x in flat], length)):
+        for (kind, row, first, _, _), marks in zip(flat, equal_windows([x[4] for x in flat], [x[3] for x in flat], length)):
             if kind == 0 and marks.any():
                 at = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
                 for a, b in at.reshape(-1, 2).tolist():
@@ -286,11 +314,11 @@ def _arrays(length: int, most: int):
     def split(own: list[tuple]) -> Iterator[list[tuple]]:
         parts, part, size = [], [], 0
         for x in own:
-            if part and size + len(x[3]) > most // 2:
+            if part and size + len(x[4]) > most // 2:
                 parts.append(part)
                 part, size = [], 0
             part.append(x)
-            size += len(x[3])
+            size += len(x[4])
         parts.append(part)
         if len(parts) == 1:
             yield parts[0]
@@ -312,13 +340,13 @@ def _arrays(length: int, most: int):
             nonlocal waiting, size
             for part in split(own) if len(own) > 1 else ():
                 waiting.append(part)
-                size += sum(len(x[3]) for x in part)
+                size += sum(len(x[4]) for x in part)
                 if size >= most:
                     yield out(list(solve(waiting)))
                     waiting, size = [], 0
 
         for batch in batches:
-            for x in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for x in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if x[0] != gram:
                     yield from close()
                     gram, own = x[0], []
@@ -361,7 +389,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (start:end byte ranges) of every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
-    sent = keyed.select("row", "text").mapInArrow(_send(length, gram), "kind int, gram long, run long, row long, first int, last int")
+    sent = keyed.select("row", "text").mapInArrow(_send(length, gram), "kind int, gram long, run long, row long, first int, last int, lead int")
     settled = written(sent.repartition("gram").sortWithinPartitions("gram", "run").mapInArrow(_settle, _FOUND), "settled")
 
     def part(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -379,9 +407,9 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
         marked = keyed.withColumn("__maybe", maybe(F.pmod(F.xxhash64("row"), F.lit(bits))))
         return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
 
-    asked = settled.filter("kind < 2").groupBy("row").agg(F.collect_list(F.struct("gram", "kind", "first", "last")).alias("wanted"))
+    asked = settled.filter("kind < 2").groupBy("row").agg(F.collect_list(F.struct("gram", "kind", "first", "last", "lead")).alias("wanted"))
     some, _ = part(settled.filter("kind < 2"))
-    snippets = some.select("row", "text").join(asked, "row").mapInArrow(_cut(length), "gram long, kind int, row long, first int, bytes binary")
+    snippets = some.select("row", "text").join(asked, "row").mapInArrow(_cut(length), "gram long, kind int, row long, first int, lead int, bytes binary")
     more = written(snippets.repartition("gram").sortWithinPartitions("gram", "row", "first").mapInArrow(_arrays(length, batch), "row long, first int, last int"), "windows")
 
     marks = settled.filter("kind = 2").select("row", "first", "last").union(more)
