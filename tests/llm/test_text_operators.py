@@ -137,7 +137,7 @@ def test_secrets_and_ledger(docs, none):
     ledger = secrets.scan(docs)
     got = by_id(secrets.findings(docs, ledger))
     assert len(secrets.findings(docs, ledger).collect()) == len(texts())
-    assert got[10]["spans"] == "assign:4:41,hex:13:41,access:43:63"
+    assert got[10]["spans"] == "assign:4:41,hex:13:41,access:43:64"
     assert (got[10]["n_assign"], got[10]["n_access"], got[10]["n_hex"], got[0]["spans"]) == (1, 1, 1, "")
     assert secrets.unseen(docs, ledger).count() == 0
     newer = secrets.RULES[:2] + (secrets.Rule("hex", 2, "[0-9a-f]{28,}"),)
