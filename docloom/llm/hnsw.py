@@ -14,6 +14,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterable, Iterator
 
@@ -210,6 +211,24 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BE
     return left[good], right[good], beam
 
 
+def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors as bytes with their checksum; null where a row can have no link."""
+    for batch in batches:
+        widths, units, keys = [], [], []
+        for ident, label, vector in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            unit = None
+            if ident is not None and label is not None and vector and None not in vector:
+                x = np.array(vector, np.float64)
+                largest = np.abs(x).max()
+                if np.isfinite(largest) and largest > 0:  # scaled first, so that no square overflows or vanishes
+                    x = x / largest
+                    unit = (x / np.sqrt(x @ x) + 0.0).tobytes()
+            widths.append(len(vector) if unit is not None else None)
+            units.append(unit)
+            keys.append(hashlib.sha256(unit).hexdigest() if unit is not None else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(widths, pa.int32()), pa.array(units, pa.binary()), pa.array(keys, pa.string()), batch.column(3)], ["vec_id", "label", "width", "unit", "key", "__id"])
+
+
 def _build(table: pa.Table) -> pa.Table:
     """One shard: its vectors packed, with their graph."""
     points = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(table.num_rows, -1)
@@ -242,18 +261,12 @@ def _ask(cosine: float, recall: float):
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    # divided by the largest component first, so that no square overflows or vanishes
-    largest = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    scaled = F.transform(x, lambda v: v / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)) & (largest > 0)
-    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec_id").alias("__id"), F.col("label").cast("string").alias("label"), F.when(sound & F.col("vec_id").isNotNull(), F.transform(scaled, lambda v: v / length)).alias("unit")).withColumn("key", F.sha2(F.col("unit").cast("string"), 256)), "vectors")
+    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("vec_id").alias("__id"))
+    shape = f"vec_id long, label string, width int, unit binary, key string, __id {vectors.schema['vec_id'].dataType.simpleString()}"
+    rows = written(kept.mapInArrow(_units, shape), "vectors")
     points = rows.filter("unit is not null").groupBy("label", "key").agg(F.min("vec_id").alias("point"), F.count("*").alias("weight"))
-    pack = F.pandas_udf(lambda s: s.map(lambda v: np.asarray(v, np.float64).tobytes()), "binary")
     once = rows.join(points, ["label", "key"]).filter("vec_id = point").dropDuplicates(["label", "key"])
-    flat = once.select("label", F.size("unit").alias("width"), "point", "weight", pack("unit").alias("unit"))
+    flat = once.select("label", "width", "point", "weight", "unit")
     flat = written(flat, "points")
     sizes = flat.groupBy("label", "width").agg(F.count("*").alias("n"))
     parts = lambda most: F.pmod(F.xxhash64("point"), F.ceil(F.col("n") / most))
