@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, hnsw, licenses, lm, mixture, neardup, pii, quality, repeats, secrets
+from docloom.llm.oracles import ORACLE_SQL
 from docloom.session import ship_package
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -58,6 +61,3 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op6_lm_score, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan)}
-
-#: DuckDB text for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
