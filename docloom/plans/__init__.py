@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from docloom.plans import core, more
+from docloom.plans import core, more, policy
 from docloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "more"]
+__all__ = ["ORACLES", "QUERIES", "core", "more", "policy"]
