@@ -73,10 +73,10 @@ def _offsets(rows: DataFrame, n: int) -> DataFrame:
     before = lambda *by, order: F.sum("s").over(Window.partitionBy(*by).orderBy(order)) - F.col("s")
     top = coarse.select("sid", "__one", before("sid", order="__one").alias("a"))
     low = fine.select("sid", "__one", "__two", before("sid", "__one", order="__two").alias("b"))
-    base = low.join(top, ["sid", "__one"]).select("sid", "__one", "__two", (F.col("a") + F.col("b")).alias("__base"))
+    base = low.join(top.hint("merge"), ["sid", "__one"]).select("sid", "__one", "__two", (F.col("a") + F.col("b")).alias("__base"))
     own = Window.partitionBy("sid", "__one", "__two").orderBy("__h", "doc_id", "__row")
     running = split.withColumn("__own", F.sum("__size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
-    return running.join(base, ["sid", "__one", "__two"]).withColumn("__at", F.col("__base") + F.col("__own"))
+    return running.join(base.hint("merge"), ["sid", "__one", "__two"]).withColumn("__at", F.col("__base") + F.col("__own"))
 
 
 def block_pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -134,9 +134,9 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int =
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of docs."""
     rows, aims, pieces, dealt = plan(docs, **settings)
-    used = pieces.join(dealt.groupBy("sid", "block").agg(F.count("*").alias("times")), ["sid", "block"])
+    used = pieces.join(dealt.groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge"), ["sid", "block"])
     taken = used.groupBy("__row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = rows.join(aims, "__key").join(taken, "__row", "left")
+    out = rows.join(aims, "__key").join(taken.hint("merge"), "__row", "left")
     return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -149,11 +149,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     columns = docs.columns
     held = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias(tag))
     rows, _, pieces, dealt = plan(held, keep=("text", tag), **settings)
-    used = pieces.join(dealt.select("sid", "block", "epoch"), ["sid", "block"])
+    used = pieces.join(dealt.select("sid", "block", "epoch").hint("merge"), ["sid", "block"])
     spans = used.groupBy("__row", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("spans"))
     words = F.regexp_extract_all("text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     text = F.rtrim(F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("__words", (s["word"] + 1).cast("int"), s["words"].cast("int")))), ""))
-    joined = rows.join(spans, "__row").withColumn("__words", words).withColumn("__text", text)
+    joined = rows.join(spans.hint("merge"), "__row").withColumn("__words", words).withColumn("__text", text)
     out = []
     for c in columns:
         value = F.col(tag)[c]
