@@ -219,7 +219,9 @@ def _send(length: int, gram: int):
             extra = np.flatnonzero(new & many)
             both = np.concatenate([np.arange(len(g)), extra])
             kind = np.concatenate([kind, np.full(len(extra), 2)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[both].view(np.int64)) for x in (g, e)), pa.array(row[both]), *(pa.array(x[both].astype(np.int32)) for x in (first, last, lead))], ["kind", "gram", "run", "row", "first", "last", "lead"])
+            # settled windows travel by a key of their own, so that a gram of very many of them is no hot key
+            key = np.where(kind == 2, mix(row[both].view(np.uint64) + first[both].astype(np.uint64) * _ODD), g[both])
+            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x.view(np.int64)) for x in (key, e[both])), pa.array(row[both]), *(pa.array(x[both].astype(np.int32)) for x in (first, last, lead))], ["kind", "gram", "run", "row", "first", "last", "lead"])
 
         for part, t in pieces(batches, "text"):
             g, e, doc, first, last, lead = runs(t, Hasher(t.data), length, gram)
