@@ -2,8 +2,8 @@
 
 import io
 import zipfile
+from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,7 +160,7 @@ def test_journal_stream_resumes_where_it_stopped(spark, tmp_path):
     from docloom.store import EVENTS
 
     def put(first, n):
-        rows = [(k, pd.Timestamp("2024-01-01"), "error", '{"file": "f"}') for k in range(first, first + n)]
+        rows = [(k, datetime(2024, 1, 1), "error", '{"file": "f"}') for k in range(first, first + n)]
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
 
     seen = []
@@ -180,14 +180,14 @@ def test_journal_stream_resumes_where_it_stopped(spark, tmp_path):
 
 
 def test_debounce_windows_are_not_prolonged(spark):
-    at = pd.Timestamp("2024-01-01")
-    events = spark.createDataFrame([(k, "error", at + pd.Timedelta(seconds=s)) for k, s in enumerate([0, 3, 4.9, 5, 11])], "id long, kind string, ts timestamp_ntz")
+    at = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(k, "error", at + timedelta(seconds=s)) for k, s in enumerate([0, 3, 4.9, 5, 11])], "id long, kind string, ts timestamp_ntz")
     assert sorted((r["n"], r["last_id"]) for r in journal.debounced(events).collect()) == [(1, 3), (1, 4), (3, 2)]
 
 
 def test_snapshot_changes(spark):
     shape = "path string, length long, modificationTime timestamp"
-    at = pd.Timestamp("2024-01-01")
+    at = datetime(2024, 1, 1)
     old = spark.createDataFrame([("a", 1, at), ("b", 1, at), ("c", 1, at)], shape)
     new = spark.createDataFrame([("b", 2, at), ("c", 1, at), ("d", 1, at)], shape)
     assert {r["path"]: r["change"] for r in streams.changes(old, new).collect()} == {"a": "deleted", "b": "modified", "d": "created"}
