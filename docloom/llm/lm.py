@@ -1,14 +1,14 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 Texts become runs of local token numbers once (chunks, written to the shared folder); everything later works on those.
-Chunks send their counts of words and word pairs by hash segment. Each segment's reducer sums them, answers every chunk
-with the exact counts of its words, and fills its part of the filter: an n-gram of count c is entered for the levels
-1..1+floor(log2 c), so that probing level after level until one misses reads the quantised count back.
+Chunks send their counts of words and word pairs by hash segment. Each segment's reducer sums them and fills its part of
+the filter: an n-gram of count c is entered for the levels 1..1+floor(log2 c), so that probing level after level until
+one misses reads the quantised count back. It answers every chunk with the exact counts of its words and with the levels
+that the filter gives for its words and pairs, those of held-out texts too.
 
-The filter has `FILTER_BITS` bits whatever the corpus, which bounds the broadcast. Where a segment's n-grams would
-overfill it, the pairs (then the words) of the lowest counts stay out of it and are scored by backing off, the usual
-count cut-off of a model of fixed size; hashing deals n-grams evenly, so segments agree on the cut-off. Exact counts,
-and with them the base score, know no bound: they are joined, never broadcast.
+A segment's part has `ENTRY_BITS` bits for each level of each n-gram counted in it, so the filter grows with the corpus
+and no n-gram stays out of it. It is probed where it was filled, segment by segment; nothing of it is broadcast or sent
+to the driver, and segments are added as the corpus grows.
 
 A token's probability is `MIX` * c(v w) / c(v) + (1 - MIX) * (c(w) + 0.1) / (N + 0.1 (V + 1)), c quantised, the end of
 the text standing before its first word too.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from docloom.llm._bytes import Hasher, mix, pieces
 from docloom.llm._spark import written
 
-FILTER_BITS = 1 << 28
+#: Bits of the filter for each level of each n-gram: an unseen one is taken for seen with a chance of 0.24 %.
+ENTRY_BITS = 16
 SEGMENT_BITS = 6
 PROBES = 4
 MIX = 0.6
@@ -104,8 +105,9 @@ def _trained(blob: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _send(cut_bits: int):
-    """A chunk's words and trained pairs, by segment, with their local counts; pairs as 32-bit steps from the first,
-    which holds since segments of 2**cut_bits leave a pair's key 40 - cut_bits bits or are parted further."""
+    """A chunk's words and pairs, by segment, with their local counts in training (0 if held out only); pairs as 32-bit
+    steps from the first, which holds since segments of 2**cut_bits leave a pair's key 40 - cut_bits bits or are parted
+    further. `at` orders a chunk's rows of one kind: the segment, or the first pair."""
     part_bits = max(cut_bits, _PAIR_BITS - 32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,20 +116,21 @@ def _send(cut_bits: int):
                 blob = _load(raw.as_py())
                 train = _trained(blob)
                 uniq, n = blob["uniq"], np.bincount(blob["local"][train], minlength=len(blob["uniq"])).astype(np.uint32)
-                pairs, m = np.unique(_pairs(blob)[train], return_counts=True)
+                pairs, which = np.unique(_pairs(blob), return_inverse=True)
+                m = np.bincount(which[train], minlength=len(pairs))
                 rows: list[tuple] = []
                 bounds = np.searchsorted(uniq >> np.uint64(64 - cut_bits), np.arange((1 << cut_bits) + 1))
                 for s in range(1 << cut_bits):
                     a, b = bounds[s], bounds[s + 1]
-                    rows.append((s, chunk, 1, uniq[a:b].tobytes(), n[a:b].tobytes()))
+                    rows.append((s, chunk, 1, s, uniq[a:b].tobytes(), n[a:b].tobytes()))
                 cuts = np.searchsorted(pairs >> np.uint64(_PAIR_BITS - part_bits), np.arange((1 << part_bits) + 1))
                 for s in range(1 << part_bits):
                     a, b = cuts[s], cuts[s + 1]
                     if b > a:
                         step = np.diff(pairs[a:b], prepend=pairs[a]).astype(np.uint32)
-                        rows.append((s >> (part_bits - cut_bits), int(pairs[a]), 2, step.tobytes(), m[a:b].astype(np.uint32).tobytes()))
-                seg, who, kind, keys, counts = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(who, pa.int64()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["seg", "who", "kind", "keys", "counts"])
+                        rows.append((s >> (part_bits - cut_bits), chunk, 2, int(pairs[a]), step.tobytes(), m[a:b].astype(np.uint32).tobytes()))
+                seg, who, kind, at, keys, counts = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(who, pa.int64()), pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["seg", "who", "kind", "at", "keys", "counts"])
 
     return run
 
@@ -152,28 +155,27 @@ def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
 
 
+def size_of(*grams: tuple[np.ndarray, np.ndarray]) -> int:
+    """Bits of a segment's filter, from the levels of what it has to hold."""
+    entries = sum(int(levels(counts[counts > 0]).sum()) for _, counts in grams)
+    return max(64, entries * ENTRY_BITS)
+
+
 def fill(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
-    """One segment's bits. Words go in first; what no longer fits at half full is left out from the lowest count up."""
-    room = int(bits * np.log(2) / PROBES)
+    """One segment's bits, with every level of every n-gram counted."""
     out = np.zeros(bits, bool)
     for keys, counts in (words, pairs):
         seen = counts > 0
-        keys, q = keys[seen], levels(counts[seen]) if seen.any() else np.zeros(0, np.int64)
-        load = np.bincount(q, weights=q) if len(q) else np.zeros(1)
-        above = np.cumsum(load[::-1])[::-1]
-        fits = np.flatnonzero(above <= room)
-        least = int(fits[0]) if len(fits) else len(above)
-        keys, q = keys[q >= least], q[q >= least]
-        room -= int(q.sum())
+        keys, q = keys[seen], levels(counts[seen])
         for level in range(1, int(q.max(initial=0)) + 1):
-            some = keys[q >= level]
+            keys, q = keys[q >= level], q[q >= level]
             for p in range(PROBES):
-                out[_bit(some, level, p, bits).astype(np.int64)] = True
+                out[_bit(keys, level, p, bits).astype(np.int64)] = True
     return out
 
 
 class Filter:
-    """The whole filter; counts are read back by probing level after level."""
+    """A filter of 2**cut_bits segments; counts are read back by probing level after level."""
 
     def __init__(self, packed: np.ndarray, bits: int, cut_bits: int):
         self.packed, self.bits, self.cut_bits = packed, bits, cut_bits
@@ -190,60 +192,58 @@ class Filter:
             at += 1
         return out
 
-    def words(self, keys: np.ndarray) -> np.ndarray:
-        return level_count(self.level(keys, keys >> np.uint64(64 - self.cut_bits)))
-
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        return level_count(self.level(keys | np.uint64(1 << 63), keys >> np.uint64(_PAIR_BITS - self.cut_bits)))
-
-
-def _reduce(bits: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by segment: answers to the chunks (kind 1), and the segment's bits, N and V (kind 0)."""
-        rows: list[tuple] = []
-        seg = None
-
-        def close() -> pa.RecordBatch:
-            asked = [(who, np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for who, kind, k, c in rows if kind == 1]
-            keys, counts = _sum(np.concatenate([a[1] for a in asked]), np.concatenate([a[2] for a in asked]))
-            said = [(who, np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)) for who, kind, k, c in rows if kind == 2]
-            two = [np.uint64(who) + np.cumsum(k.astype(np.uint64)) for who, k, _ in said]
-            pairs = _sum(np.concatenate(two), np.concatenate([a[2] for a in said])) if said else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            body = np.packbits(fill((keys, counts), (pairs[0] | np.uint64(1 << 63), pairs[1]), bits)).tobytes()
-            out = [(0, seg, seg, body, int(counts.sum()), int((counts > 0).sum()))]
-            out += [(1, who, seg, counts[np.searchsorted(keys, k)].tobytes(), 0, 0) for who, k, _ in asked]
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], ["kind", "chunk", "seg", "body", "n", "v"])
-
-        for batch in batches:
-            for s, who, kind, k, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if s != seg and rows:
-                    yield close()
-                    rows = []
-                seg = s
-                rows.append((who, kind, k, c))
-        if rows:
-            yield close()
-
-    return run
-
 
-def _score(shipped, bits: int, cut_bits: int, total: int, distinct: int):
+def _reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment: the segment's N and V (kind 0), and answers to the chunks' words (kind 1: exact counts,
+    and levels) and pairs (kind 2: levels)."""
+    rows: list[tuple] = []
+    seg = None
+
+    def close() -> pa.RecordBatch:
+        asked = [(who, at, np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for who, kind, at, k, c in rows if kind == 1]
+        keys, counts = _sum(np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked]))
+        said = [(who, at, np.uint64(at) + np.cumsum(np.frombuffer(k, np.uint32).astype(np.uint64)), np.frombuffer(c, np.uint32)) for who, kind, at, k, c in rows if kind == 2]
+        two, times = _sum(np.concatenate([a[2] for a in said]), np.concatenate([a[3] for a in said])) if said else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        marked = two | np.uint64(1 << 63)
+        bits = size_of((keys, counts), (marked, times))
+        model = Filter(np.packbits(fill((keys, counts), (marked, times), bits)), bits, 0)
+        alone, joint = (model.level(k, np.zeros(len(k), np.uint64)).astype(np.uint8) for k in (keys, marked))
+        out = [(0, seg, seg, b"", b"", int(counts.sum()), int((counts > 0).sum()))]
+        for who, at, k, _ in asked:
+            place = np.searchsorted(keys, k)
+            out.append((1, who, at, counts[place].tobytes(), alone[place].tobytes(), 0, 0))
+        out += [(2, who, at, b"", joint[np.searchsorted(two, k)].tobytes(), 0, 0) for who, at, k, _ in said]
+        cols = list(zip(*out))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["kind", "chunk", "at", "body", "levels", "n", "v"])
+
+    for batch in batches:
+        for s, who, kind, at, k, c in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if s != seg and rows:
+                yield close()
+                rows = []
+            seg = s
+            rows.append((who, kind, at, k, c))
+    if rows:
+        yield close()
+
+
+def _score(total: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _SCORED.empty_table()
         blob = _load(left.column("blob")[0].as_py())
-        order = np.argsort(right.column("seg").to_numpy())
-        bodies = right.column("body").to_pylist()
-        counts = np.concatenate([np.frombuffer(bodies[k], np.int64) for k in order])
-        model = Filter(shipped.value, bits, cut_bits)
+        kind = right.column("kind").to_numpy()
+        order = np.lexsort((right.column("at").to_numpy(), kind))
+        bodies, said = right.column("body").to_pylist(), right.column("levels").to_pylist()
+        counts = np.concatenate([np.frombuffer(bodies[k], np.int64) for k in order if kind[k] == 1])
+        read = [level_count(np.concatenate([np.frombuffer(said[k], np.uint8) for k in order if kind[k] == x]).astype(np.int64)) for x in (1, 2)]
         local, lengths = blob["local"], blob["lengths"]
         below = total + 0.1 * (distinct + 1)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         base = np.log10((counts + 0.1) / below)[local]
-        alone = model.words(blob["uniq"])
-        keys, inverse = np.unique(_pairs(blob), return_inverse=True)
-        joint = model.pairs(keys)[inverse]
+        alone = read[0]
+        joint = read[1][np.unique(_pairs(blob), return_inverse=True)[1]]
         before = np.empty(len(local))
         end = np.searchsorted(blob["uniq"], END)
         before[1:], before[:1] = alone[local[:-1]], alone[end]
@@ -267,22 +267,16 @@ def _score(shipped, bits: int, cut_bits: int, total: int, distinct: int):
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score(docs: DataFrame, *, filter_bits: int = FILTER_BITS, chunk_text: int = CHUNK_TEXT) -> DataFrame:
+def score(docs: DataFrame, *, chunk_text: int = CHUNK_TEXT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     chunks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text").mapInArrow(_tokenize(chunk_text), "chunk long, blob binary"), "chunks")
     # about 16 chunks' counts to a segment, so that a reducer's memory does not grow with the corpus
     cut_bits = min(24, max(SEGMENT_BITS, (chunks.count() >> 4).bit_length()))
-    bits = filter_bits >> cut_bits
-    sent = chunks.mapInArrow(_send(cut_bits), "seg int, who long, kind int, keys binary, counts binary")
+    sent = chunks.mapInArrow(_send(cut_bits), "seg int, who long, kind int, at long, keys binary, counts binary")
     dealt = sent.repartition(1 << cut_bits, "seg").sortWithinPartitions("seg", "kind", "who")
-    solved = written(dealt.mapInArrow(_reduce(bits), "kind int, chunk long, seg int, body binary, n long, v long"), "counts")
-    parts = solved.filter("kind = 0").select("seg", "body", "n", "v").collect()  # the filter: filter_bits bits at most
-    packed = np.zeros(filter_bits // 8, np.uint8)
-    for r in parts:
-        packed[r["seg"] * bits // 8 : (r["seg"] + 1) * bits // 8] = np.frombuffer(r["body"], np.uint8)
-    total, distinct = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
-    shipped = docs.sparkSession.sparkContext.broadcast(packed)
-    answers = solved.filter("kind = 1").select("chunk", "seg", "body")
+    solved = written(dealt.mapInArrow(_reduce, "kind int, chunk long, at long, body binary, levels binary, n long, v long"), "counts")
+    total, distinct = (x or 0 for x in solved.filter("kind = 0").agg(F.sum("n"), F.sum("v")).first())
+    answers = solved.filter("kind > 0").select("chunk", "kind", "at", "body", "levels")
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shipped, bits, cut_bits, total, distinct), kinds)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(total, distinct), kinds)

@@ -207,6 +207,42 @@ def test_lm_filter_reads_counts_back():
     assert (model.level(keys + np.uint64(1 << 63), np.zeros(len(keys), np.uint64)) > 0).mean() < 0.1
 
 
+def test_lm_filter_keeps_every_gram():
+    keys = lm.mix(np.arange(30_000, dtype=np.uint64))
+    counts = np.where(np.arange(30_000) % 10, 1, 9)
+    bits = 1 << 16  # far overfull: the rare ones stay in all the same
+    model = lm.Filter(np.packbits(lm.fill((keys[:0], counts[:0]), (keys, counts), bits)), bits, 0)
+    assert (model.level(keys, np.zeros(len(keys), np.uint64)) >= lm.levels(counts)).all()
+    bits = lm.size_of((keys[:0], counts[:0]), (keys, counts))
+    model = lm.Filter(np.packbits(lm.fill((keys[:0], counts[:0]), (keys, counts), bits)), bits, 0)
+    assert (model.level(keys, np.zeros(len(keys), np.uint64)) == lm.levels(counts)).mean() > 0.99
+    assert (model.level(lm.mix(keys + np.uint64(1 << 40)), np.zeros(len(keys), np.uint64)) > 0).mean() < 0.01
+
+
+def test_lm_score_counts_rare_pairs(docs):
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, *_ in texts()}
+    tokens = [(d, WORD.findall((t or "").translate(LOWER)) + [None]) for d, t, *_ in texts()]
+    one, two = collections.Counter(), collections.Counter()
+    for d, ws in tokens:
+        if not held[d]:
+            one.update(ws)
+            two.update(zip([None, *ws], ws))
+    total, kinds = sum(one.values()), len(one)
+
+    def read(n):
+        return float(lm.level_count(lm.levels(np.array([n])))[0]) if n else 0.0
+
+    off = []
+    for r in lm.score(docs, chunk_text=5000).collect():
+        ws = dict(tokens)[r["doc_id"]]
+        want = 0.0
+        for v, w in zip([None, *ws], ws):
+            follows = min(1.0, read(two[v, w]) / max(read(one[v]), 1.0))
+            want += math.log10(lm.MIX * follows + (1 - lm.MIX) * (read(one[w]) + 0.1) / (total + 0.1 * (kinds + 1)))
+        off.append(abs(r["score"] - want) / len(ws))
+    assert np.median(off) < 1e-9 and max(off) < 0.5
+
+
 def test_suffix_array():
     import random
 
