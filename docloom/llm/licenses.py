@@ -1,7 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates, in DataFrame functions alone.
 
-A block is a line; its words and a template's words are sets. A template is found where the block holds at least
-`share` of its words. Words are ordered by how many documents hold them, rarest first. A block that reaches the
+A block is a line, or a window over the words of the whole text, whatever line breaks they have: for a template of L
+words, windows of 2 L words begin every L / 2 words, so that any run of 1.5 L words lies whole in one. A block's words
+and a template's words are sets. A template is found where the block holds at least `share` of its words. Words are ordered by how many documents hold them, rarest first. A block that reaches the
 threshold t = ceil(share * size) shares a word with the template's first size - t + 1 words (prefix filter), has t words
 or more (length filter), and has enough words left after the first shared one (positional filter). What passes all
 three is verified by the whole intersection, so every block over the threshold is found. The templates are a fixed list
@@ -58,12 +59,13 @@ def licenses(docs: DataFrame, keep: list[str] | None = None, *, templates=TEMPLA
     keep = keep or ["doc_id"]
     count = word_order(docs, templates)
     rank = {w: k for k, w in enumerate(sorted(count, key=lambda w: (count[w], w)))}
-    entries, openers = [], set()
+    entries, lengths, openers = [], [], set()
     for label, sentence in templates:
         words = sorted(set(sentence.split()), key=rank.__getitem__)
         least = math.ceil(share * len(words) - 1e-9)
         prefix = words[: len(words) - least + 1]
         openers.update(prefix)
+        lengths.append((len(sentence.split()), prefix))
         entries.append(F.struct(F.lit(label).alias("label"), _literal(words).alias("words"), _literal(prefix).alias("prefix"), F.lit(least).alias("least"), F.lit(len(words)).alias("size")))
     ordered = _literal(sorted(rank, key=rank.__getitem__))
     held = [f"__k{i}" for i in range(len(keep))]
@@ -90,19 +92,37 @@ def licenses(docs: DataFrame, keep: list[str] | None = None, *, templates=TEMPLA
         some = F.filter(lines, lambda x: F.arrays_overlap(x, _literal(sorted(openers))))
         return F.transform(some, lambda x: F.struct(F.array_intersect(ordered, x).alias("known"), F.size(x).alias("size")))
 
-    def hits(block: Column) -> Column:
-        def passes(t: Column) -> Column:
-            shared = F.array_intersect(t["prefix"], block["known"])  # in the global order
-            at = F.array_position(block["known"], F.get(shared, F.lit(0))) - 1
-            own = F.array_position(t["words"], F.get(shared, F.lit(0))) - 1
-            return (F.size(shared) > 0) & (block["size"] >= t["least"]) & (F.least(F.size(block["known"]) - at, t["size"] - own) >= t["least"])
-
-        return F.transform(F.filter(F.array(*entries), passes), lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(F.array_intersect(t["words"], block["known"])).alias("shared"), t["size"].alias("size")))
-
-    maybe = F.lit(False)
-    for word in sorted(openers):
-        maybe = maybe | F.contains(line, F.lit(f" {word} "))
-    pairs = F.when(maybe, F.flatten(F.transform(blocks(F.col("__raw")), hits)))
+    def windows(length: int, prefix: list[str]) -> Column:
+        """Blocks like those of lines: the windows for a template of so many words that hold a word of its prefix."""
+        own = F.split("__words", " ")
+        starts = F.sequence(F.lit(1), F.size(own), F.lit(max(1, length // 2)))
+        parts = F.transform(starts, lambda k: F.slice(own, k, 2 * length))
+        some = F.filter(parts, lambda x: F.arrays_overlap(x, _literal(prefix)))
+        return F.transform(some, lambda x: F.struct(F.array_intersect(ordered, x).alias("known"), F.size(F.array_distinct(x)).alias("size")))
+
+    def hits(among: list[Column]):
+        def of(block: Column) -> Column:
+            def passes(t: Column) -> Column:
+                shared = F.array_intersect(t["prefix"], block["known"])  # in the global order
+                at = F.array_position(block["known"], F.get(shared, F.lit(0))) - 1
+                own = F.array_position(t["words"], F.get(shared, F.lit(0))) - 1
+                return (F.size(shared) > 0) & (block["size"] >= t["least"]) & (F.least(F.size(block["known"]) - at, t["size"] - own) >= t["least"])
+
+            return F.transform(F.filter(F.array(*among), passes), lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(F.array_intersect(t["words"], block["known"])).alias("shared"), t["size"].alias("size")))
+
+        return of
+
+    def holds(some) -> Column:
+        out = F.lit(False)
+        for word in sorted(some):
+            out = out | F.contains(line, F.lit(f" {word} "))
+        return out
+
+    nothing = F.array().cast("array<struct<label:string,least:int,shared:int,size:int>>")
+    pairs = [F.when(holds(openers), F.flatten(F.transform(blocks(F.col("__raw")), hits(entries))))]
+    for entry, (length, prefix) in zip(entries, lengths):
+        pairs.append(F.when(holds(prefix), F.flatten(F.transform(windows(length, prefix), hits([entry])))))
+    pairs = F.concat(*(F.coalesce(p, nothing) for p in pairs))
     found = padded.withColumn("__found", F.filter(pairs, lambda x: x["shared"] >= x["least"])).withColumn("__base", base)
     own = F.coalesce(F.transform("__found", lambda x: x["label"]), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("__found", lambda x: x["shared"] / x["size"])), F.lit(0.0))

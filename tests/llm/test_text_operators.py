@@ -308,6 +308,20 @@ def test_licenses(docs, none):
     assert licenses.licenses(none).count() == 0
 
 
+def test_licenses_over_lines(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "gpl": " * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    }
+    before = "\n".join(f"some{k} other words of{k} a text" for k in range(30))
+    rows = [(k, f"{before}\n{'x ' * k}\n{notice}\n{before}") for k, notice in enumerate(notices.values())]
+    apart = notices["mit"].replace("\n", "\n" + before + "\n")  # its halves lie far from each other
+    frame = spark.createDataFrame([*rows, (9, apart)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.licenses(frame).collect()}
+    assert got == {**dict(enumerate(notices)), 9: ""}
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(5)
     points = r.normal(size=(400, 16))
