@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, mixture, neardup, quality, secrets
-from docloom.llm._spark import scratch_dir
+from docloom.llm._spark import scratch_dir, written
 from docloom.session import ship_package
 
 
@@ -25,14 +25,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate component; repeated rows of it once."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document of smallest doc_id of each near-duplicate component; repeated rows of it once.
+
+    Rows are compared under numbers of their own, so that different texts of one doc_id are different documents and rows
+    without doc_id take part, after those that have one. Texts without words link with nothing: rows of them stay, those
+    of one doc_id and text once."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    alike = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    alike = alike.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
+    bare = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
+    named = alike.join(rows.select("__row", "doc_id", bare.alias("__bare")), "__row")
+    alone = F.col("__group").isNull()
+    own = F.when(alone, F.col("doc_id")), F.when(alone, F.col("__bare")), F.when(alone & F.col("doc_id").isNull(), F.col("__row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row").alias("row")))
+    kept = named.groupBy("__group", *(c.alias(f"__own{k}") for k, c in enumerate(own))).agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by a mark."""
-    return secrets.redacted(docs, secrets.findings(docs, secrets.scan(docs)))
+    """Documents with every secret replaced by a mark; spans meet texts by the texts' checksums, whatever the doc_id."""
+    named = docs.withColumn("__sum", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = secrets.findings(named, secrets.scan(docs), keep=["__sum"])
+    return secrets.redacted(named, found, key="__sum").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
