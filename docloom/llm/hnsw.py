@@ -2,7 +2,8 @@
 
 Vectors with one label are cut into shards of at most `SHARD`; each shard gets a graph, kept as one row. Every vector
 queries every shard of its label, in blocks. A query's beam is widened while its whole result lies over the threshold,
-and for all queries of a block until an audit of `AUDIT` evenly spaced ones against brute force reaches `RECALL`. What
+and for all queries of a block until an audit of `AUDIT` evenly spaced ones against brute force reaches `RECALL`; a block
+whose audit fails at the widest beam is compared with the whole shard. What
 the beams find is verified by cosine in double precision. Equal vectors with one label are one point with a weight, so
 many copies cost one query; links are counted and united where they are found, never listed.
 
@@ -203,7 +204,12 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BE
         place = np.searchsorted(looked, left)
         mine = (place < len(looked)) & (looked[np.minimum(place, len(looked) - 1)] == left)
         found[place[mine], right[mine]] = True
-        if beam >= n or (found & truth).sum() >= recall * truth.sum():
+        if (found & truth).sum() >= recall * truth.sum():
+            break
+        if beam >= n:  # the graph does not reach them: every query is compared with every point
+            near = [np.nonzero(q[k : k + 256] @ graph.points.T >= cosine - margin) for k in range(0, rows, 256)]
+            left = np.concatenate([r + 256 * k for k, (r, _) in enumerate(near)])
+            right = np.concatenate([c for _, c in near])
             break
         beam *= 2
     exact = np.concatenate([np.einsum("ij,ij->i", q[left[k : k + 65536]], graph.points[right[k : k + 65536]]) for k in range(0, len(left), 65536)] or [np.zeros(0)])

@@ -341,3 +341,13 @@ def test_embeddings(spark):
     assert all(x["n_links"] <= links[x["vec_id"]] for x in got)
     assert sum(x["component_id"] == want[x["vec_id"]] for x in got) >= len(got) - 2
     assert hnsw.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_failed_audit_ends_in_brute_force():
+    r = np.random.default_rng(6)
+    points = np.repeat(r.normal(size=(150, 16)), 2, axis=0) + 0.01 * r.normal(size=(300, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph = hnsw.Graph(points)
+    graph.layers = [(members, np.full_like(table, -1)) for members, table in graph.layers]  # nothing is reached
+    left, right, _ = hnsw.links_of(graph, points)
+    assert set(zip(left.tolist(), right.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(points @ points.T >= hnsw.COSINE))))
