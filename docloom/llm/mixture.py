@@ -1,22 +1,27 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 Each source's words are packed into blocks of `block` words, documents in a pseudorandom order. Targets share a total
-by weight, none over `most` times its source. Output slots are dealt to shards by drawing, for every shard, how many
-slots each source gets: multinomial counts, conditioned on the totals meeting the targets (the urn holds exactly a
-source's slots, and a keyed permutation of the urn deals it out). The k-th slot of a source maps through the source's
-pseudorandom index permutation, another one each epoch, to a block; slots and blocks are joined by that index.
-
-No group is a task of its own: the order within a source is found from sums over about 256 rows, in two levels, and a
-source's slots are made in ranges. Only the table of sources (one row each) passes through one task.
+by weight, none over `most` times its source. Output shards hold `shard` slots each (the last one the rest). For every
+shard a multinomial draw says how many of its slots each source gets: the whole part of a source's share is certain, and
+the slots that the whole parts leave over are drawn one by one with the fractions as chances (residual multinomial
+draws), so a source's total strays from its target by a few slots, not by the square root of their number. A source's
+slots are numbered through the shards; number k stands for the place k mod blocks of epoch k div blocks, which a keyed
+permutation of the source's indices, another one each epoch, maps to a block; slots and blocks are joined by that index.
+Numbers from `most` times the blocks on have no block: their slots stay empty, so that no document passes its limit.
+
+No group is a task of its own: the order within a source is found from sums over about 256 rows, in two levels; shards
+are drawn independently, and their slots are numbered from sums over `NEAR` shards, in two levels too. Only the table of
+sources (one row each) passes through one task, and each shard's draws read it whole.
 
 Defined results: a null text has no words, an empty one neither; a null source is a source of its own, last in order;
 repeated rows are documents each, and equal ones may swap their taken words; an empty table gives no rows; further
-columns of the input are ignored but for `mixed_documents`, which returns them.
+columns of the input, whatever their names, are ignored but for `mixed_documents`, which returns them.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +36,20 @@ BLOCK = 64
 SHARD = 4096
 SEED = 17
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Fixed primes above any block count in use; a prime over n has no divisor in common with n.
-_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+#: Words and the white space after them, as many as a block has: possessive, so that nothing is tried twice.
+_PACKED = r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,%d}+"
+#: Shards whose slots are numbered together, and slots made by one task.
+NEAR = 64
+TASK = 1 << 18
+_ROUNDS = 4
 
 
-def _row_sizes(docs: DataFrame) -> DataFrame:
-    """row, source_key (code point order, null last), h and size of every row of docs, written once."""
+def _row_sizes(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
+    """doc_id, the kept columns, __key (code point order, null last), __size and __h of every row of docs."""
     key = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    return docs.select("*", key.alias("__key"), size.alias("__size"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("__h"))
+    h = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    return docs.select("doc_id", *(c.alias(name) for name, c in keep.items()), key.alias("__key"), size.alias("__size"), h.alias("__h"), F.monotonically_increasing_id().alias("__row"))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -80,51 +90,91 @@ def _offsets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def block_pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each part of a document within a block: row, sid, block, word (its first within the document), words."""
+    """A row for each part of a document within a block: row, sid, block, word (its first within the document), words, lead
+    (the room that the document's first block had for it)."""
     first, last = F.floor(F.col("__at") / block), F.floor((F.col("__at") + F.col("__size") - 1) / block)
     parts = placed.filter("__size > 0").select("__row", "sid", "__at", "__size", F.explode(F.sequence(first, last)).alias("block"))
+    lead = block - F.pmod("__at", F.lit(block))
     begin = F.greatest(F.col("block") * block, F.col("__at"))
     end = F.least((F.col("block") + 1) * block, F.col("__at") + F.col("__size"))
-    return parts.select("__row", "sid", "block", (begin - F.col("__at")).alias("word"), (end - begin).alias("words"))
+    return parts.select("__row", "sid", "block", (begin - F.col("__at")).alias("word"), (end - begin).alias("words"), lead.alias("lead"))
 
 
-def _index(k: Column, blocks: Column, sid: Column, epoch: Column, seed: int) -> Column:
-    """A permutation of [0, blocks): k -> (p * k + c) mod blocks, p prime and c both picked by source and epoch."""
-    h = F.xxhash64(F.lit(seed), sid, epoch)
-    prime = F.get(F.array(*(F.lit(p) for p in _PRIMES)), F.pmod(h, F.lit(len(_PRIMES))).cast("int"))
-    return F.pmod(k * F.pmod(prime, blocks) + F.pmod(F.shiftright(h, 8), blocks), blocks)
+def index(k: Column, blocks: Column, key: list[Column]) -> Column:
+    """A permutation of [0, blocks), keyed by `key`: rounds that shift one half of the number by a hash of the other, over
+    the least rectangle of sides about sqrt(blocks); what leaves [0, blocks) walks on until it is back. About one number in
+    sqrt(blocks) leaves, and its walk has at most about sqrt(blocks) steps."""
+    high = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
+    low = F.call_function("div", blocks + high - 1, high)
 
+    def turn(x: Column) -> Column:
+        halves = F.struct(F.call_function("div", x, low).alias("l"), F.pmod(x, low).alias("r"))
+        for n in range(_ROUNDS):
+            shift = lambda v, side: F.pmod(F.xxhash64(F.lit(n), *key, v), side)
+            step = (lambda p: F.struct(F.pmod(p["l"] + shift(p["r"], high), high).alias("l"), p["r"].alias("r"))) if n % 2 == 0 else (lambda p: F.struct(p["l"].alias("l"), F.pmod(p["r"] + shift(p["l"], low), low).alias("r")))
+            # a list of one, so that each half is worked out once
+            halves = F.get(F.transform(F.array(halves), step), F.lit(0))
+        return F.get(F.transform(F.array(halves), lambda p: p["l"] * low + p["r"]), F.lit(0))
 
-def slots(aims: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """Every output slot: shard, slot (its place in the urn's order), sid, epoch, block."""
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1).cast("long"), high * low - blocks + 1), x, lambda y, _: F.when(y < blocks, y).otherwise(turn(y)))
+    return F.get(F.transform(F.array(turn(k)), lambda x: F.when(x < blocks, x).otherwise(walk(x))), F.lit(0))
+
+
+def slot_table(aims: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """sid, blocks and aim (the slots that the target asks for) of every source that has words."""
     blocks = F.ceil(F.col("source_size") / block)
-    wanted = F.least(most * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))
-    urn = aims.filter("source_size > 0").select("sid", blocks.alias("blocks"), wanted.alias("wanted")).filter("wanted > 0")
-    urn = urn.withColumn("low", F.sum("wanted").over(Window.orderBy("sid")) - F.col("wanted")).withColumn("all", F.sum("wanted").over(Window.partitionBy(F.lit(0))))
-    side = F.ceil(F.sqrt(F.col("all").cast("double"))).cast("long")
-    step = 1 << 13
-    ranges = urn.select("*", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1) / step))).alias("part"))
-    dealt = ranges.repartition(F.col("sid"), F.col("part"))
-    each = dealt.select("sid", "blocks", "low", "side", F.explode(F.sequence(F.col("part") * step, F.least((F.col("part") + 1) * step, F.col("wanted")) - 1)).alias("k"))
-    # the urn's permutation: v = side * l + r, three keyed rounds that shift one half by a hash of the other
-    mixed = each.withColumns({"l": F.floor((F.col("low") + F.col("k")) / F.col("side")), "r": F.pmod(F.col("low") + F.col("k"), F.col("side"))})
-    for turn in range(4):
-        half, other = ("l", "r") if turn % 2 == 0 else ("r", "l")
-        mixed = mixed.withColumn(half, F.pmod(F.col(half) + F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.col(other)), F.col("side")), F.col("side")))
-    place = F.col("l") * F.col("side") + F.col("r")
-    epoch = F.floor(F.col("k") / F.col("blocks"))
-    return mixed.select(F.floor(place / shard).alias("shard"), place.alias("slot"), "sid", epoch.alias("epoch"), _index(F.pmod("k", "blocks"), F.col("blocks"), F.col("sid"), epoch, seed).alias("block"))
-
-
-def shard_counts(dealt: DataFrame) -> DataFrame:
-    """The counts drawn for each shard: shard, sid, slots."""
-    return dealt.groupBy("shard", "sid").agg(F.count("*").alias("slots"))
-
-
-def plan(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, keep: tuple[str, ...] = ()):
-    """(rows, targets, pieces, slots) of a mix. rows has docs' doc_id and `keep` columns and is written once, so that row
-    numbers stay what they are."""
-    rows = written(_row_sizes(docs).select("doc_id", *keep, "__key", "__size", "__h", F.monotonically_increasing_id().alias("__row")), "mix-rows")
+    aim = F.least((most * blocks).cast("double"), F.col("target") * blocks / F.col("source_size"))
+    return aims.filter("source_size > 0 and target > 0").select("sid", blocks.alias("blocks"), aim.alias("aim"))
+
+
+def _listed(table: DataFrame) -> DataFrame:
+    """One row: the sources in order, and the sum of their aims in that order, so that reruns agree to the last bit."""
+    one = table.agg(F.sort_array(F.collect_list(F.struct("sid", "blocks", "aim"))).alias("sources"))
+    return one.withColumn("all", F.aggregate("sources", F.lit(0.0), lambda a, s: a + s["aim"]))
+
+
+def shard_counts(table: DataFrame, slots: int, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """The counts drawn for each shard: shard, sid, blocks, n."""
+    shards = table.sparkSession.range(0, -(-slots // shard), 1, max(1, slots // (TASK * 16))).withColumnRenamed("id", "shard")
+    size = F.least(F.lit(shard).cast("long"), F.lit(slots) - F.col("shard") * shard)
+    # one row, its list as long as the sources are many, joined to all shards
+    each = shards.join(F.broadcast(_listed(table))).withColumn("size", size)
+    share = lambda s: F.col("size") * s["aim"] / F.col("all")
+    sure = F.transform("sources", lambda s: F.struct(s["sid"].alias("sid"), s["blocks"].alias("blocks"), F.floor(share(s)).alias("n"), (share(s) - F.floor(share(s))).alias("part")))
+    each = each.select("shard", "size", sure.alias("sources"))
+    rest = F.col("size") - F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    parts = F.aggregate("sources", F.array().cast("array<double>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + s["part"]))
+    each = each.select("shard", "sources", rest.alias("rest"), parts.alias("upto"))
+    uniform = lambda j: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("shard"), j), 11) / F.lit(float(1 << 53))
+    drawn = F.when(F.col("rest") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("rest")), lambda j: F.least(F.size("upto") - 1, F.size(F.filter("upto", lambda u: u <= uniform(j) * F.element_at("upto", -1)))))).otherwise(F.array().cast("array<int>"))
+    each = each.select("shard", "sources", drawn.alias("drawn"))
+    counts = F.transform("sources", lambda s, k: F.struct(s["sid"].alias("sid"), s["blocks"].alias("blocks"), (s["n"] + F.size(F.filter("drawn", lambda d: d == k))).alias("n")))
+    return each.select("shard", F.inline(counts)).filter("n > 0")
+
+
+def slots(aims: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, most: int = MOST) -> DataFrame:
+    """Every output slot: shard, slot (its place among the shard's slots of this source), sid, epoch, block."""
+    table = slot_table(aims, block, most)
+    total = round(_listed(table).first()["all"])
+    counts = shard_counts(table, total, shard, seed).withColumn("near", F.floor(F.col("shard") / NEAR))
+    above = counts.groupBy("sid", "near").agg(F.sum("n").alias("s"))
+    above = above.select("sid", "near", (F.sum("s").over(Window.partitionBy("sid").orderBy("near")) - F.col("s")).alias("before"))
+    own = F.sum("n").over(Window.partitionBy("sid", "near").orderBy("shard")) - F.col("n")
+    numbered = counts.withColumn("own", own).join(above.hint("merge"), ["sid", "near"])
+    first = F.col("before") + F.col("own")
+    dealt = numbered.select("shard", "sid", "blocks", "n", first.alias("first")).repartition(max(8, -(-total // TASK)), "shard", "sid")
+    each = dealt.select("shard", "sid", "blocks", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    each = each.withColumn("k", F.col("first") + F.col("slot")).filter(F.col("k") < most * F.col("blocks"))
+    epoch = F.call_function("div", F.col("k"), F.col("blocks"))
+    placed = each.select("shard", "slot", "sid", "blocks", epoch.alias("epoch"), F.pmod("k", "blocks").alias("place"))
+    block_of = index(F.col("place"), F.col("blocks"), [F.lit(seed), F.col("sid"), F.col("epoch")])
+    return placed.select("shard", "slot", "sid", "epoch", block_of.alias("block"))
+
+
+def plan(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, keep: dict[str, Column] | None = None):
+    """(rows, targets, pieces, slots) of a mix. rows has docs' doc_id and the columns of `keep` and is written once, so
+    that row numbers stay what they are."""
+    rows = written(_row_sizes(docs, keep or {}), "mix-rows")
     aims = written(targets(rows, weights, share, most), "mix-targets")
     sized = rows.join(aims.select("__key", "sid"), "__key").select("doc_id", "sid", "__size", "__h", "__row")
     pieces = block_pieces(_offsets(sized, rows.count()), block)
@@ -140,26 +190,41 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
+def mixed_shards(docs: DataFrame, **settings) -> DataFrame:
+    """What each output shard holds: shard, slot, source_size, epoch, block, doc_id, word (the first one taken of the
+    document) and words; a block that spans documents has a row for each."""
+    rows, aims, pieces, dealt = plan(docs, **settings)
+    used = dealt.join(pieces.hint("merge"), ["sid", "block"]).join(aims.select("sid", "source_size"), "sid")
+    return used.join(rows.select("__row", "doc_id").hint("merge"), "__row").select("shard", "slot", "source_size", "epoch", "block", "doc_id", "word", "words")
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """docs' columns again, a row for each document and epoch that the mix takes words of, its text those words with
-    the white space after them; documents of which nothing is taken, or that have no words, have no row."""
-    import uuid
+    the white space after them; documents of which nothing is taken, or that have no words, have no row.
 
+    A document's text is cut once into what its blocks hold: what its first block has of it, then a block's words each."""
+    block = settings.get("block", BLOCK)
     tag = f"__c{uuid.uuid4().hex[:8]}_"
     columns = docs.columns
-    held = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias(tag))
-    rows, _, pieces, dealt = plan(held, keep=("text", tag), **settings)
+    others = [c for c in columns if c != "text"]
+    held = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias(tag))
+    rows, _, pieces, dealt = plan(held, keep={"text": F.col("text"), tag: F.col(tag)}, **settings)
     used = pieces.join(dealt.select("sid", "block", "epoch").hint("merge"), ["sid", "block"])
-    spans = used.groupBy("__row", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("spans"))
-    words = F.regexp_extract_all("text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.rtrim(F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("__words", (s["word"] + 1).cast("int"), s["words"].cast("int")))), ""))
-    joined = rows.join(spans.hint("merge"), "__row").withColumn("__words", words).withColumn("__text", text)
+    # the words before the first whole block tell all: the n-th piece begins at word lead + (n - 1) * block
+    place = F.when(F.col("word") == 0, 0).otherwise(F.ceil(F.col("word") / block)).cast("int")
+    lead = F.col("lead")
+    spans = used.select("__row", "epoch", place.alias("n"), "lead").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("epoch", "n"))).alias("spans"), F.first("lead").alias("lead"))
+    joined = rows.join(spans.hint("merge"), "__row").select("text", tag, "spans", "lead")
+    head = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,"), lead.cast("string"), F.lit("}+")))
+    cut = joined.withColumn("__head", head)
+    rest = F.regexp_extract_all(F.substr("text", F.length("__head") + 1), F.lit(_PACKED % block), F.lit(0))
+    cut = cut.select(tag, "spans", F.concat(F.array(F.regexp_replace("__head", r"^[\x20\x09-\x0D]+", "")), rest).alias("pieces"))
+    epochs = F.array_distinct(F.transform("spans", lambda s: s["epoch"]))
+    each = cut.select(tag, "spans", "pieces", F.explode(epochs).alias("epoch"))
+    text = F.rtrim(F.array_join(F.transform(F.filter("spans", lambda s: s["epoch"] == F.col("epoch")), lambda s: F.get("pieces", s["n"])), ""), F.lit("\t\n\x0b\x0c\r "))
+    each = each.select(tag, text.alias("__text"))
     out = []
     for c in columns:
-        value = F.col(tag)[c]
-        if c == "text":
-            value = F.col("__text")
-        elif c == "n_chars":
-            value = F.length("__text").cast(docs.schema[c].dataType)
+        value = F.col("__text") if c == "text" else F.length("__text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(tag)[c]
         out.append(value.alias(c))
-    return joined.select(*out)
+    return each.select(*out)
