@@ -3,6 +3,12 @@
 Each stage takes what its predecessor wrote, with the columns of documents, and acts on its own operator's decisions:
 rejected documents go, one document of each near-duplicate group stays, secrets give way to a mark, the mix takes words
 of some documents twice and of others not at all, and the last stage encodes what is left.
+
+Defined results, for every stage: an empty table gives no rows; further columns, whatever their names, are returned as
+they are by all stages but the last, which returns doc_id and source beside the ids. A null or empty text, and one of
+white space, fails the quality rules; the later stages alone keep such rows (near-duplicates: once for each doc_id and
+text), have nothing to hide in them, take no words of them, and encode them as no tokens. Repeated rows are documents
+each, of which the near-duplicate stage keeps one; rows without doc_id or sharing one are documents of their own.
 """
 
 from __future__ import annotations
@@ -43,10 +49,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by a mark; spans meet texts by the texts' checksums, whatever the doc_id."""
-    named = docs.withColumn("__sum", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = secrets.findings(named, secrets.scan(docs), keep=["__sum"])
-    return secrets.redacted(named, found, key="__sum").select(*docs.columns)
+    """Documents with every secret replaced by a mark; spans meet texts by the texts' addresses, whatever the doc_id."""
+    ledger = secrets.advance(docs, f"{scratch_dir(spark)}/docloom-ledger-{uuid.uuid4().hex}")
+    return secrets.redacted(docs, secrets.findings(docs, ledger)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a folder of this machine's if
+    the session runs on this machine alone (tests), else an error, since executors would write to disks of their own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")

@@ -16,13 +16,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +39,14 @@ _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 @cache
 def _kinds() -> np.ndarray:
-    """Letter, number, white space or other, by code point."""
+    """Letter, number, white space or other, by code point, as tiktoken's own matcher has them: asked through a vocabulary
+    of single bytes, which keeps what a class matches and drops the rest. Other libraries have other Unicode versions."""
     table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major in "LN":
-            table[c] = _LETTER if major == "L" else _NUMBER
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+    for kind, name in ((_LETTER, "L"), (_NUMBER, "N")):
+        asked = tiktoken.Encoding(f"class {name}", pat_str=rf"\p{{{name}}}", mergeable_ranks=single, special_tokens={})
+        table[list(map(ord, asked.decode(asked.encode_ordinary(every))))] = kind
     table[_SPACES] = _SPACE
     return table
 
@@ -303,21 +305,27 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def _codec(shipped, pattern: str) -> Codec:
+def digest(ranks: dict[bytes, int], pattern: str) -> str:
+    """Of every token, its rank, and the pattern."""
+    said = hashlib.sha256(pattern.encode())
+    for token, rank in ranks.items():
+        said.update(b"%d:%d:" % (rank, len(token)) + token)
+    return said.hexdigest()
+
+
+def _codec(shipped, key: str, pattern: str) -> Codec:
     """One codec for a worker's life, whatever number of tasks it runs."""
-    ranks = shipped.value
-    key = (len(ranks), pattern + hashlib.sha256(repr(next(reversed(ranks.items()), None)).encode()).hexdigest())
     if key not in _codecs:
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(shipped.value, pattern)
     return _codecs[key]
 
 
-def _mapper(shipped, pattern: str, keep: list[str], with_ids: bool):
+def _mapper(shipped, key: str, pattern: str, keep: list[str], with_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped, pattern)
+        codec = _codec(shipped, key, pattern)
         for part, t in pieces(batches, "__text"):
             at, names, bound, decoded = codec.run(t)
             counts, shas, plain, all_ids = [], [], [], []
@@ -345,7 +353,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
     read = docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)), F.col("text").alias("__text"))
     kinds = ", ".join(f"{h} {read.schema[h].dataType.simpleString()}" for h in held)
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    out = read.mapInArrow(_mapper(shipped, pattern, held, with_ids), f"{kinds}, {made}")
+    out = read.mapInArrow(_mapper(shipped, digest(ranks, pattern), pattern, held, with_ids), f"{kinds}, {made}")
     return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *(c.split()[0] for c in made.split(", ")))
 
 

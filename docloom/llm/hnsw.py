@@ -2,8 +2,9 @@
 
 Vectors with one label are cut into shards of at most `SHARD`; each shard gets a graph, kept as one row. Every vector
 queries every shard of its label, in blocks. A query's beam is widened while its whole result lies over the threshold,
-and for all queries of a block until an audit of `AUDIT` evenly spaced ones against brute force reaches `RECALL`; a block
-whose audit fails at the widest beam is compared with the whole shard. What
+and for all queries of a block until audits against brute force reach `RECALL`: of the nearest points of `AUDIT` evenly
+spaced queries, and of the links of `AUDIT` queries that have some. A block whose audits fail at the widest beam is
+compared with the whole shard. What
 the beams find is verified by cosine in double precision. Equal vectors with one label are one point with a weight, so
 many copies cost one query; links are counted and united where they are found, never listed.
 
@@ -34,6 +35,7 @@ BEAM = 48
 BUILD_BEAM = 64
 AUDIT = 64
 RECALL = 0.99
+NEAREST = 10
 COSINE = 0.98
 _GROW = 256
 
@@ -175,12 +177,25 @@ def search(x: np.ndarray, table: np.ndarray, q: np.ndarray, beam: int, start: np
     return np.where(np.isfinite(close), ids, -1), close
 
 
-def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, point) pairs with a cosine of at least `cosine` in double precision, and the beam that the audit accepted."""
+def recall_of(found: np.ndarray, truth: np.ndarray) -> float:
+    """Share of the true pairs that are found; 1 where there is none."""
+    return float((found & truth).sum() / truth.sum()) if truth.any() else 1.0
+
+
+def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, tuple[int, float]]:
+    """(query, point) pairs with a cosine of at least `cosine` in double precision; the beam accepted and its recall.
+
+    A beam is audited twice against brute force: by the `NEAREST` nearest points of `audit` evenly spaced queries, which
+    have such whether or not they have links, and by the links of `audit` queries that have any. The lower recall counts."""
     n, rows = len(graph.points), len(q)
     margin = 1e-4  # single precision searches, double precision decides
-    looked = np.unique(np.linspace(0, rows - 1, min(audit, rows)).astype(int))
-    truth = (q[looked] @ graph.points.T) >= cosine
+    spaced = lambda x: x[np.unique(np.linspace(0, len(x) - 1, min(audit, len(x))).astype(int))] if len(x) else x
+    looked = spaced(np.arange(rows))
+    scores = q[looked] @ graph.points.T
+    nearest = min(NEAREST, n)
+    close_enough = np.partition(scores, n - nearest, axis=1)[:, n - nearest, None] - 1e-6  # ties count as found
+    truth = np.zeros(scores.shape, bool)
+    np.put_along_axis(truth, np.argpartition(-scores, nearest - 1, axis=1)[:, :nearest], True, 1)
 
     def gather(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
@@ -198,23 +213,43 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BE
             which, width = np.concatenate(again), min(n, width * 4)
         return np.concatenate(left), np.concatenate(right)
 
+    def near_recall(width: int) -> float:
+        ids, _ = graph.query(q[looked], width)
+        got = np.zeros(scores.shape, bool)
+        r, c = np.nonzero(ids >= 0)
+        got[r, ids[r, c]] = True
+        reached = (got & (scores >= close_enough)).sum(1)
+        return float(np.minimum(reached, nearest).sum() / (nearest * len(looked)))
+
+    def link_recall(left: np.ndarray, right: np.ndarray) -> float:
+        some = spaced(np.unique(left))
+        if not len(some):
+            return 1.0
+        linked = (q[some] @ graph.points.T) >= cosine
+        place = np.minimum(np.searchsorted(some, left), len(some) - 1)
+        mine = some[place] == left
+        got = np.zeros(linked.shape, bool)
+        got[place[mine], right[mine]] = True
+        return recall_of(got, linked)
+
     while True:
-        left, right = gather(np.arange(rows), min(beam, n))
-        found = np.zeros(truth.shape, bool)
-        place = np.searchsorted(looked, left)
-        mine = (place < len(looked)) & (looked[np.minimum(place, len(looked) - 1)] == left)
-        found[place[mine], right[mine]] = True
-        if (found & truth).sum() >= recall * truth.sum():
+        width = min(max(beam, nearest), n)
+        measured = near_recall(width)
+        if measured >= recall:
+            left, right = gather(np.arange(rows), width)
+            measured = min(measured, link_recall(left, right))
+        if measured >= recall:
             break
         if beam >= n:  # the graph does not reach them: every query is compared with every point
             near = [np.nonzero(q[k : k + 256] @ graph.points.T >= cosine - margin) for k in range(0, rows, 256)]
             left = np.concatenate([r + 256 * k for k, (r, _) in enumerate(near)])
             right = np.concatenate([c for _, c in near])
+            measured = 1.0
             break
         beam *= 2
     exact = np.concatenate([np.einsum("ij,ij->i", q[left[k : k + 65536]], graph.points[right[k : k + 65536]]) for k in range(0, len(left), 65536)] or [np.zeros(0)])
     good = exact >= cosine
-    return left[good], right[good], beam
+    return left[good], right[good], (min(beam, n), measured)
 
 
 def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,19 +289,21 @@ def _ask(cosine: float, recall: float):
                 own = np.frombuffer(row["ids"], np.int64)
                 q = np.frombuffer(row["units"], np.float64).reshape(len(own), -1)
                 theirs, weight = np.frombuffer(row["their_ids"], np.int64), np.frombuffer(row["weights"], np.int64)
-                left, right, _ = links_of(Graph.load(row["graph"]), q, cosine, recall=recall)
+                left, right, (_, measured) = links_of(Graph.load(row["graph"]), q, cosine, recall=recall)
                 other = own[left] != theirs[right]
                 left, right = left[other], right[other]
                 count = np.bincount(left, weights=weight[right], minlength=len(own)).astype(np.int64)
                 a, b = spanning(own[left], theirs[right])
                 none = np.full(len(own), -1, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, a])), pa.array(np.concatenate([none, b])), pa.array(np.concatenate([count, np.zeros(len(a), np.int64)]))], ["point", "other", "n"])
+                columns = [np.concatenate([own, a]), np.concatenate([none, b]), np.concatenate([count, np.zeros(len(a), np.int64)]), np.full(len(own) + len(a), measured)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["point", "other", "n", "recall"])
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES, recall: float = RECALL) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vectors."""
+    """vec_id, n_links, component_id, kept and audit_recall (the least recall measured among the shards that the vector
+    queried; null for vectors that have no query) of every row of vectors."""
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("vec_id").alias("__id"))
     shape = f"vec_id long, label string, width int, unit binary, key string, __id {vectors.schema['vec_id'].dataType.simpleString()}"
     rows = written(kept.mapInArrow(_units, shape), "vectors")
@@ -280,11 +317,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, shard: int =
     graphs = written(dealt.select("label", "width", "point", "weight", "unit", "shard").groupBy("label", "width", "shard").applyInArrow(_build, "label string, width int, shard long, ids binary, weights binary, graph binary"), "graphs")
     blocks = dealt.select("label", "width", "point", "unit", "block").groupBy("label", "width", "block").applyInArrow(_block, "label string, width int, ids binary, units binary")
     tasks = blocks.join(graphs.select("label", "width", F.col("ids").alias("their_ids"), "weights", "graph", "shard").hint("merge"), ["label", "width"])
-    asked = written(tasks.repartition(F.xxhash64("ids"), "shard").select("ids", "units", "their_ids", "weights", "graph").mapInArrow(_ask(cosine, recall), "point long, other long, n long"), "answers")
-    counts = asked.filter("other = -1").groupBy("point").agg(F.sum("n").alias("n"))
+    asked = written(tasks.repartition(F.xxhash64("ids"), "shard").select("ids", "units", "their_ids", "weights", "graph").mapInArrow(_ask(cosine, recall), "point long, other long, n long, recall double"), "answers")
+    counts = asked.filter("other = -1").groupBy("point").agg(F.sum("n").alias("n"), F.min("recall").alias("audit_recall"))
     comp = components(asked.filter("other <> -1").select(F.col("point").alias("a"), F.col("other").alias("b")))
     per_point = points.join(counts, "point", "left").join(comp.withColumnRenamed("node", "point"), "point", "left")
-    per_point = per_point.select("label", "key", "point", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("component_id"))
+    per_point = per_point.select("label", "key", "point", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("component_id"), "audit_recall")
     out = rows.join(per_point, ["label", "key"], "left")
     mine = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return out.select(F.col("__id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(mine == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("__id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(mine == F.col("vec_id"), F.lit(False)).alias("kept"), "audit_recall")

@@ -11,7 +11,9 @@ and no n-gram stays out of it. It is probed where it was filled, segment by segm
 to the driver, and segments are added as the corpus grows.
 
 A token's probability is `MIX` * c(v w) / c(v) + (1 - MIX) * (c(w) + 0.1) / (N + 0.1 (V + 1)), c quantised, the end of
-the text standing before its first word too.
+the text standing before its first word too; a pair's count is at most its words', so after a word that is not seen only
+the second part counts. The quantisation is at most a factor of 1.42 off a count, so the probabilities of all words after
+one sum to 1 within about that factor, not exactly.
 
 Defined results: a null or empty text is its end token alone; rows with a null doc_id count as held out (checksum of an
 empty string); repeated rows train and are scored each; an empty table gives no rows; other columns are not read.
@@ -37,7 +39,7 @@ ENTRY_BITS = 16
 SEGMENT_BITS = 6
 PROBES = 4
 MIX = 0.6
-CHUNK_TEXT = 6 << 20
+CHUNK_TEXT = 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR_BITS = 40
@@ -122,7 +124,8 @@ def _send(cut_bits: int):
                 bounds = np.searchsorted(uniq >> np.uint64(64 - cut_bits), np.arange((1 << cut_bits) + 1))
                 for s in range(1 << cut_bits):
                     a, b = bounds[s], bounds[s + 1]
-                    rows.append((s, chunk, 1, s, uniq[a:b].tobytes(), n[a:b].tobytes()))
+                    if b > a:  # so there are never more rows than n-grams
+                        rows.append((s, chunk, 1, s, uniq[a:b].tobytes(), n[a:b].tobytes()))
                 cuts = np.searchsorted(pairs >> np.uint64(_PAIR_BITS - part_bits), np.arange((1 << part_bits) + 1))
                 for s in range(1 << part_bits):
                     a, b = cuts[s], cuts[s + 1]
@@ -247,7 +250,8 @@ def _score(total: int, distinct: int):
         before = np.empty(len(local))
         end = np.searchsorted(blob["uniq"], END)
         before[1:], before[:1] = alone[local[:-1]], alone[end]
-        follows = np.minimum(1.0, joint / np.maximum(before, 1.0))
+        # a pair is not seen more often than either of its words, and not at all after a word that is not seen
+        follows = np.minimum(np.minimum(joint, alone[local]), before) / np.maximum(before, 1.0)
         p = MIX * follows + (1 - MIX) * (alone[local] + 0.1) / below
         n = len(lengths)
         made = {

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, hnsw, licenses, lm, mixture, neardup, pii, quality, repeats, secrets
+from docloom.llm._spark import scratch_dir
 from docloom.llm.oracles import ORACLE_SQL
 from docloom.session import ship_package
 
@@ -36,7 +39,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings")).drop("audit_recall")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return secrets.findings(docs, secrets.scan(docs))
+    return secrets.findings(docs, secrets.advance(docs, f"{scratch_dir(spark)}/docloom-ledger-{uuid.uuid4().hex}"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 A text version is a blob, addressed by the SHA-256 of its UTF-8 bytes. The ledger holds a row for each blob and rule
 version that was ever scanned, with the spans found. A scan takes the distinct blobs, leaves out the pairs that the
-ledger has, runs the other rules once per blob, and joins the findings back to every row that has the blob.
+ledger has, runs the other rules once per blob, and joins the findings back to every row that has the blob. `advance`
+keeps the ledger as a table in a folder: each call scans what the folder lacks and adds it, whatever versions of texts
+the rows come from, so that a history's blobs are scanned once each and a new rule version alone is run on all of them.
+A call that dies leaves nothing behind or whole files; pairs that two calls both scanned are told once.
 
 Defined results: a null text is the empty blob; repeated rows and copies share one scan and each get its findings; a
 very long text is one blob and is scanned whole; an empty table gives no rows; clashing column names of the input do
@@ -13,12 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER = "blob string, rule string, spans string"
@@ -99,8 +103,23 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return unseen(docs, ledger, rules).mapInArrow(_scan(rules), LEDGER)
 
 
+def ledger_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder, None before its first scan."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def advance(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger in the folder lacks for docs, add it there, and read the whole ledger."""
+    spark = docs.sparkSession
+    scan(docs, ledger_at(spark, path), rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns of every row (default doc_id) with n_<kind> for the base kinds, base_sha256 and spans."""
+    """The `keep` columns of every row (default doc_id) with n_<kind> for the base kinds, base_sha256, spans and blob."""
     keep = keep or ["doc_id"]
     order = {r.key: k for k, r in enumerate(rules)}
     kinds = [r.kind for r in rules]
@@ -133,11 +152,13 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     held = [f"__k{i}" for i in range(len(keep))]
     rows = _with_blob(docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)), "text")).drop("text")
     joined = rows.join(per_blob, "__blob", "left")
-    return joined.select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *(F.coalesce(c, v).alias(c) for c, v in empty.items()))
+    return joined.select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *(F.coalesce(c, v).alias(c) for c, v in empty.items()), F.col("__blob").alias("blob"))
 
 
-def redacted(docs: DataFrame, found: DataFrame, key: str = "doc_id", mark: str = "[secret]") -> DataFrame:
-    """docs with every span of `found` (key, spans; one row per key) replaced by the mark; n_chars follows the text."""
+def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """docs with every span of `found` (blob and spans, as `findings` gives them) replaced by the mark; n_chars follows
+    the text. Spans meet texts by the blobs' addresses, whatever the rows are called: rows that share an id and rows
+    without one are redacted by their own texts' spans."""
     @F.pandas_udf("string")
     def hide(texts, lists):
         def one(text, said):
@@ -155,10 +176,11 @@ def redacted(docs: DataFrame, found: DataFrame, key: str = "doc_id", mark: str =
 
         return pd.Series([one(t, s) for t, s in zip(texts, lists)], dtype=object)
 
-    have = found.filter("spans <> ''").groupBy(key).agg(F.max("spans").alias("__spans"))
-    marked = docs.join(have, key, "left")
-    text = F.when(F.col("__spans").isNotNull(), hide("text", "__spans")).otherwise(F.col("text"))
-    out = marked.withColumn("text", text)
+    tag = f"__s{uuid.uuid4().hex[:8]}"
+    have = found.filter("spans <> ''").groupBy("blob").agg(F.first("spans").alias(tag)).withColumnRenamed("blob", f"{tag}b")
+    marked = docs.withColumn(f"{tag}k", F.sha2(F.coalesce("text", F.lit("")), 256)).join(have, F.col(f"{tag}k") == F.col(f"{tag}b"), "left")
+    hit = F.col(tag).isNotNull()
+    out = marked.withColumn("text", F.when(hit, hide("text", tag)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
