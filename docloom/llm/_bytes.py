@@ -99,7 +99,7 @@ class Texts:
 
 def texts_of(column: pa.Array) -> Texts:
     """A null text counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and len(body) else np.zeros(0, np.uint8)

@@ -1,17 +1,20 @@
 """Removal of long repeated byte strings, with suffix arrays by linear grouping.
 
 Suffix order is what makes equal strings neighbours; the work is to bring only strings that may repeat into one array.
-Every window of `LENGTH` bytes picks its least hashed `GRAM`-byte gram; windows of one document with one pick form a run,
-and equal windows anywhere pick the same gram at the same place. So
+Every window of `LENGTH` bytes picks its least hashed `GRAM`-byte gram; windows of one text with one pick form a run, and
+equal windows anywhere pick the same gram at the same place. So
 
-1. runs that equal another run byte for byte are repeated as a whole (by 64-bit hashes of gram and run);
-2. runs that are alone but share their gram with others may share some windows with them: their bytes, with one copy of
-   each other run of that gram, go into suffix arrays over 8-byte symbols in step with the gram, where windows with
-   equal symbols stand side by side and are compared byte for byte (by 64-bit hashes);
-3. the marked windows of a document are united and cut out.
+1. runs whose gram occurs in one run alone hold no repeated window and are dropped;
+2. of equal runs (one class, by gram and 128 bits of hash) one representative goes on, twice if there are two or more;
+3. the representatives of a gram enter one suffix array, over symbols of `PACK` bytes in step with the gram. Windows are
+   repeated where neighbours in the array have a common prefix that covers the window: whole symbols by the neighbours'
+   longest common prefix, the bytes at either end by comparison;
+4. a class's windows that the array marks are marked in each of its runs, united by text and cut out.
 
-A task sends one row for equal runs of its own, so a string in a great many documents costs a row per task, not one
-per document. Batches of an array hold `BATCH` bytes or one gram's runs; a larger gram is cut into pairs of parts.
+A task sends one row for equal runs of its own, so a string in a great many documents costs a row per task, not one per
+document. A gram with more than `HOT` classes is no group: its representatives are parted again by longer grams
+(`GRAMS`), up to whole windows, where a group is one class. So an array's size has a bound, and a gram of very many runs
+is work for many tasks, in proportion to its bytes.
 
 Defined results: a null or empty text has no bytes; texts under LENGTH bytes lose nothing; repeated rows are documents
 of their own, so their strings repeat; overlaps within a document count; an empty table gives no rows; other columns
@@ -24,22 +27,25 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._bytes import Hasher, Texts, mix, pieces, texts_of
+from docloom.llm._bytes import Hasher, Texts, pieces
 from docloom.llm._spark import written
 from docloom.llm.neardup import _bitmap
 
 LENGTH = 200
-GRAM = 64
+#: Bytes of the gram that a window is grouped by, and of those that part grams with more than HOT classes.
+GRAMS = (64, 128, 176, 200)
+HOT = 1024
 BATCH = 1 << 18
 #: Bytes of a suffix array's symbol.
-PACK = 8
+PACK = 16
 FILTER_BITS = 1 << 26
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A second naming of the bytes, for the other half of a class's 128 bits.
+_TWIN = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -116,54 +122,75 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
+def common_symbols(symbol: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Longest common prefix, in symbols and up to `most`, of each suffix in the array's order with the one before it."""
+    out = np.zeros(len(order), np.int64)
+    going = np.arange(1, len(order))
+    for k in range(most):
+        a, b = order[going] + k, order[going - 1] + k
+        inside = (a < len(symbol)) & (b < len(symbol))
+        going, a, b = going[inside], a[inside], b[inside]
+        going = going[symbol[a] == symbol[b]]
+        if not len(going):
+            break
+        out[going] = k + 1
+    return out
+
+
 def equal_windows(parts: list[bytes], leads: list[int], length: int, pack: int = PACK) -> list[np.ndarray]:
     """For each part, marks of its windows of `length` bytes that stand at the same place about their grams elsewhere.
 
     Parts are cut into symbols of `pack` bytes that fall in step with the gram (at `leads`), so that equal windows hold
-    equal symbols. The suffix array over symbols brings together windows with equal whole symbols; within such a class
-    the windows' own bytes, with the few at either end, decide.
+    equal symbols. In the suffix array over symbols, suffixes whose neighbours share as many symbols as a window has whole
+    ones form a class; in a class, windows are equal where the bytes that they have before and after those symbols are.
     """
+    pack = min(pack, max(1, length // 2))
     words, begin, wide = [], [], []
     for p, lead in zip(parts, leads):
         skip = lead % pack
-        n = (len(p) - skip) // pack
+        n = max(0, len(p) - skip) // pack
         begin.append(0 if not words else begin[-1] + wide[-1] + 1)
         wide.append(n)
-        words.append(np.frombuffer(p, np.uint8, n * pack, skip).reshape(n, pack))
+        words.append(np.frombuffer(p, np.uint8, n * pack, skip if n else 0).reshape(n, pack))
     total = begin[-1] + wide[-1] + 2
-    flat = np.zeros((total, pack), np.uint8)
     gap = np.ones(total, bool)
-    for b, w in zip(begin, words):
-        flat[b : b + len(w)] = w
-        gap[b : b + len(w)] = False
-    value = np.zeros((total, 8), np.uint8)
-    value[:, :pack] = flat
-    symbol = np.unique(value.view(np.uint64).ravel(), return_inverse=True)[1] + 2
-    symbol[gap] = 1
+    for b, n in zip(begin, wide):
+        gap[b : b + n] = False
+    symbol = np.ones(total, np.int64)  # 1 parts the parts, 0 ends them all
+    every = np.ascontiguousarray(np.concatenate(words))
+    if len(every):
+        symbol[~gap] = np.unique(every.view(np.dtype((np.void, pack))).ravel(), return_inverse=True)[1].ravel() + 2
     symbol[-1] = 0
     order = np.array(suffix_array(symbol.tolist()))
     inner = (length - pack + 1) // pack
-    room = np.zeros(total, bool)
-    for b, n in zip(begin, wide):
-        room[b : b + max(0, n - inner + 1)] = True
-    order = order[room[order]]
-    h = Hasher(flat.ravel())(order * pack, (order + inner) * pack)
+    shared = common_symbols(symbol, order, inner)
     kind = np.zeros(total, np.int64)
-    kind[order] = np.cumsum(np.concatenate([[1], h[1:] != h[:-1]])) if len(order) else 0
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    kind[order] = np.cumsum(shared < inner)
     sizes = np.array([max(0, len(p) - length + 1) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
     at = np.cumsum([0, *map(len, parts)])[:-1]
     within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     skip = np.repeat([lead % pack for lead in leads], sizes)
-    first = np.repeat(begin, sizes) + (within - skip + pack - 1) // pack
     start = np.repeat(at, sizes) + within
-    key = mix(Hasher(data)(start, start + length) + kind[first].astype(np.uint64) * _ODD)
-    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-    return np.split(times[inverse] > 1, np.cumsum(sizes)[:-1])
-
-
-def runs(t: Texts, hasher: Hasher, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Maximal stretches of windows that pick one gram: gram hash, run hash, document, first and last window, and the gram's place after the first."""
+    ahead = (skip - within) % pack  # bytes before the first whole symbol
+    first = np.repeat(begin, sizes) + (within + ahead - skip) // pack
+    edge = length - inner * pack
+    ends = np.empty((len(start), edge), np.uint8)  # the bytes around the whole symbols, in order
+    for k in range(edge):
+        ends[:, k] = data[start + np.where(k < ahead, k, k + inner * pack)]
+    named = np.zeros((len(start), 12 + edge), np.uint8)
+    named[:, :8] = kind[first].astype(">i8").view(np.uint8).reshape(-1, 8)
+    named[:, 8:12] = ahead.astype(">i4").view(np.uint8).reshape(-1, 4)
+    named[:, 12:] = ends
+    if not len(named):
+        return [np.zeros(0, bool) for _ in parts]
+    _, inverse, times = np.unique(named.view(np.dtype((np.void, named.shape[1]))).ravel(), return_inverse=True, return_counts=True)
+    return np.split(times[inverse.ravel()] > 1, np.cumsum(sizes)[:-1])
+
+
+def runs(t: Texts, hasher: Hasher, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
+    """Maximal stretches of windows that pick one gram: gram hash, run hash, document, first and last window, and the
+    gram's place after the first."""
     none = np.zeros(0, np.int64)
     long = np.flatnonzero(t.ends - t.starts >= length)
     if not len(long):
@@ -199,36 +226,40 @@ def runs(t: Texts, hasher: Hasher, length: int = LENGTH, gram: int = GRAM) -> tu
     return h[pick[first]], hasher(first, last + length), doc, first - t.starts[doc], last - t.starts[doc], pick[first] - first
 
 
-_FOUND = "kind int, gram long, row long, first int, last int, lead int"
+_SENT = "gram long, run long, twin long, row long, base int, first int, last int, lead int, n int, who array<struct<row:long,base:int,first:int>>"
+_SETTLED = "kind int, hot boolean, gram long, crow long, cbase int, cfirst int, last int, lead int, who array<struct<row:long,base:int,first:int>>"
+_WHO = pa.struct([("row", pa.int64()), ("base", pa.int32()), ("first", pa.int32())])
 
 
 def _send(length: int, gram: int):
+    """Runs of texts (row, base, n times each): a row for each class of equal runs, with its members here."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            g, e, row, first, last, lead = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((e, g))
-            g, e, row, first, last, lead = (x[order] for x in (g, e, row, first, last, lead))
+            g, e, f, row, base, n, first, last, lead = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((f, e, g))
+            g, e, f, row, base, n, first, last, lead = (x[order] for x in (g, e, f, row, base, n, first, last, lead))
             new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1])
-            many = ~new | ~np.append(new[1:], True)
-            # kind 0: alone here; 1: has an equal run here, sent for all; 2: its windows are settled
-            kind = np.where(new, many.astype(np.int32), 2)
-            extra = np.flatnonzero(new & many)
-            both = np.concatenate([np.arange(len(g)), extra])
-            kind = np.concatenate([kind, np.full(len(extra), 2)]).astype(np.int32)
-            # settled windows travel by a key of their own, so that a gram of very many of them is no hot key
-            key = np.where(kind == 2, mix(row[both].view(np.uint64) + first[both].astype(np.uint64) * _ODD), g[both])
-            return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x.view(np.int64)) for x in (key, e[both])), pa.array(row[both]), *(pa.array(x[both].astype(np.int32)) for x in (first, last, lead))], ["kind", "gram", "run", "row", "first", "last", "lead"])
+            new[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1]) | (f[1:] != f[:-1])
+            begin = np.flatnonzero(new)
+            members = pa.StructArray.from_arrays([pa.array(row), pa.array(base), pa.array(first)], fields=list(_WHO))
+            who = pa.ListArray.from_arrays(pa.array(np.append(begin, len(g)).astype(np.int32)), members)
+            columns = [g.view(np.int64), e.view(np.int64), f.view(np.int64), row, base, first, last, lead]
+            times = np.minimum(np.add.reduceat(n, begin), 2).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[begin]) for x in columns), pa.array(times), who], ["gram", "run", "twin", "row", "base", "first", "last", "lead", "n", "who"])
 
         for part, t in pieces(batches, "text"):
-            g, e, doc, first, last, lead = runs(t, Hasher(t.data), length, gram)
+            hasher = Hasher(t.data)
+            g, e, doc, first, last, lead = runs(t, hasher, length, gram)
             if len(g):
-                held.append([g, e, part.column(0).to_numpy()[doc], first, last, lead])
+                twin = Hasher(_TWIN[t.data])(t.starts[doc] + first, t.starts[doc] + last + length)
+                row, base, n = (part.column(k).to_numpy()[doc] for k in range(3))
+                held.append([g, e, twin, row, base.astype(np.int32), n, first.astype(np.int32), last.astype(np.int32), lead.astype(np.int32)])
                 count += len(g)
-            if count > 600_000:
+            if count > 300_000:
                 yield flush()
                 held, count = [], 0
         if held:
@@ -237,124 +268,110 @@ def _send(length: int, gram: int):
     return run
 
 
-def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by gram and run. Kind 2: repeated windows. Kind 0 and 1: bytes wanted, 1 for a run that is known to repeat."""
-    rest: list[pa.RecordBatch] = []
-    held = 0
-
-    def work(table: pa.Table) -> pa.RecordBatch:
-        kind, g, e, row, first, last, lead = (table.column(k).to_numpy() for k in range(7))
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1])
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(g)))
-        repeated = (size > 1) | (np.maximum.reduceat(kind, begin) > 0)
-        of = np.cumsum(new) - 1
-        own = g[begin]
-        group = np.concatenate([[True], own[1:] != own[:-1]])
-        shared = np.diff(np.append(np.flatnonzero(group), len(begin)))[np.cumsum(group) - 1] > 1
-        sure = np.flatnonzero(repeated[of] & (kind == 0))
-        ask = begin[shared]
-        pick = np.concatenate([sure, ask])
-        kinds = np.concatenate([np.full(len(sure), 2), repeated[shared].astype(int)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(g[pick]), pa.array(row[pick]), *(pa.array(x[pick]) for x in (first, last, lead))], ["kind", "gram", "row", "first", "last", "lead"])
-
-    for batch in batches:
-        if batch.num_rows:
-            done = batch.filter(pc.equal(batch.column(0), 2))
-            if done.num_rows:
-                yield done.select([0, 1, 3, 4, 5, 6])
-            live = batch.filter(pc.less(batch.column(0), 2))
-            if live.num_rows:
-                rest.append(live)
-                held += live.num_rows
-        if held > 300_000:
-            table = pa.Table.from_batches(rest).combine_chunks()
-            g = table.column(1).to_numpy()
-            earlier = np.flatnonzero(g != g[-1])  # the last gram may go on
-            if len(earlier):
-                stop = int(earlier[-1]) + 1
-                yield work(table.slice(0, stop))
+def _settle(most: int):
+    """Rows sorted by gram and class; those of grams with two runs or more come back with their class's representative
+    (crow, cbase, cfirst). kind is -1 but on a class's first row: 0 for a class of one run, 1 for two or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        held = 0
+        going: int | None = None  # a hot gram of which a part is told already
+
+        def work(table: pa.Table, hot_gram: int | None) -> pa.RecordBatch:
+            g, e, f, row, base, first, last, lead, n = (table.column(k).to_numpy() for k in range(9))
+            gram_begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1]) | (f[1:] != f[:-1])
+            begin = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            times = np.add.reduceat(n, begin)
+            gram_of = np.repeat(np.arange(len(gram_begin)), np.diff(np.append(gram_begin, len(g))))
+            runs_of, classes_of = np.add.reduceat(n, gram_begin), np.add.reduceat(new.astype(np.int64), gram_begin)
+            part = (g == hot_gram) if hot_gram is not None else np.zeros(len(g), bool)
+            hot = part | (classes_of > most)[gram_of]
+            kept = np.flatnonzero(part | (runs_of > 1)[gram_of])
+            kind = np.where(new, np.minimum(times[of] - 1, 1), -1).astype(np.int32)
+            rep = begin[of]
+            columns = [kind, hot, g, row[rep], base[rep], first[rep], last, lead]
+            who = table.column("who").combine_chunks()
+            return pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in columns), who.take(pa.array(kept))], ["kind", "hot", "gram", "crow", "cbase", "cfirst", "last", "lead", "who"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rest.append(batch)
+                held += batch.num_rows
+            if held > 100_000:
+                table = pa.Table.from_batches(rest).combine_chunks()
+                g, e, f = (table.column(k).to_numpy() for k in range(3))
+                same = g == g[-1]
+                earlier = np.flatnonzero(~same)  # the last gram may go on
+                if len(earlier):
+                    stop = int(earlier[-1]) + 1
+                    yield work(table.slice(0, stop), going)
+                    going = None
+                else:  # one gram alone: told but for its last class, which may go on
+                    other = np.flatnonzero((e != e[-1]) | (f != f[-1]))
+                    stop = int(other[-1]) + 1 if len(other) else 0
+                    if stop:
+                        going = int(g[-1])
+                        yield work(table.slice(0, stop), going)
                 rest = table.slice(stop).to_batches()
-                held = len(g) - stop
-    if rest:
-        yield work(pa.Table.from_batches(rest).combine_chunks())
+                held = table.num_rows - stop
+        if rest:
+            yield work(pa.Table.from_batches(rest).combine_chunks(), going)
+
+    return run
 
 
 def _cut(length: int):
-    """Bytes of the wanted runs of each document."""
+    """Bytes of the wanted runs of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("gram", pa.int64()), ("kind", pa.int32()), ("hot", pa.bool_()), ("row", pa.int64()), ("base", pa.int32()), ("first", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out: dict[str, list] = {k: [] for k in ("gram", "kind", "row", "first", "lead", "bytes")}
-                for x in batch.slice(lo, 256).to_pylist():
-                    raw = x["text"].encode()
+            for lo in range(0, batch.num_rows, 64):
+                out: dict[str, list] = {k: [] for k, _ in kinds}
+                for x in batch.slice(lo, 64).to_pylist():
+                    raw = x["text"]
                     for w in x["wanted"]:
-                        out["gram"].append(w["gram"])
-                        out["kind"].append(w["kind"])
+                        for k in ("gram", "kind", "hot", "first", "lead"):
+                            out[k].append(w[k])
                         out["row"].append(x["row"])
-                        out["first"].append(w["first"])
-                        out["lead"].append(w["lead"])
+                        out["base"].append(x["base"])
                         out["bytes"].append(raw[w["first"] : w["last"] + length])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("gram", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("first", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema(kinds))
 
     return run
 
 
 def _arrays(length: int, most: int):
-    """Suffix arrays over the runs of each gram: repeated windows as (row, first, last)."""
-
-    def solve(group: list[list[tuple]]) -> Iterator[tuple[int, int, int]]:
-        flat = [x for g in group for x in g]
-        for (kind, row, first, _, _), marks in zip(flat, equal_windows([x[4] for x in flat], [x[3] for x in flat], length)):
-            if kind == 0 and marks.any():
+    """Suffix arrays over the classes of each gram, of about `most` bytes or one gram's: repeated windows of a class."""
+
+    def solve(group: list[tuple]) -> pa.RecordBatch:
+        # a class of two runs or more stands in the array twice
+        twice = [x for x in group if x[0]]
+        every = group + twice
+        out: list[tuple] = []
+        for (_, row, base, first, _, _), marks in zip(group, equal_windows([x[5] for x in every], [x[4] for x in every], length)):
+            if marks.any():
                 at = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
-                for a, b in at.reshape(-1, 2).tolist():
-                    yield row, first + a, first + b - 1
-
-    def split(own: list[tuple]) -> list[list[tuple]]:
-        parts, part, size = [], [], 0
-        for x in own:
-            if part and size + len(x[4]) > most // 2:
-                parts.append(part)
-                part, size = [], 0
-            part.append(x)
-            size += len(x[4])
-        return [*parts, part]
+                out += [(row, base, first, a, b - 1) for a, b in at.reshape(-1, 2).tolist()]
+        cols = list(zip(*out)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], ["crow", "cbase", "cfirst", "a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[tuple]] = []
-        size = 0
-        own: list[tuple] = []
-        gram = None
-
-        def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["row", "first", "last"])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting, size
-            parts = split(own) if len(own) > 1 else []
-            for i in range(len(parts)):  # a run stands once in an array, so pairs of parts have arrays of their own
-                for j in range(i + 1, len(parts)):
-                    yield out(list(solve([parts[i] + parts[j]])))
-            if len(parts) == 1:
-                waiting.append(own)
-                size += sum(len(x[4]) for x in own)
-            if size >= most:
-                yield out(list(solve(waiting)))
-                waiting, size = [], 0
-
+        waiting: list[tuple] = []
+        size, gram = 0, None
         for batch in batches:
-            for x in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if x[0] != gram:
-                    yield from close()
-                    gram, own = x[0], []
-                own.append(x[1:])
-        yield from close()
+            for x in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if x[0] != gram and size >= most:
+                    yield solve(waiting)
+                    waiting, size = [], 0
+                gram = x[0]
+                waiting.append(x[1:])
+                size += len(x[6]) * (1 + x[1])
         if waiting:
-            yield out(list(solve(waiting)))
+            yield solve(waiting)
 
     return run
 
@@ -386,36 +403,56 @@ def _finish(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
+def _maybe(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that may be among the nodes, and the others, by a bitmap of fixed size."""
+    bits = FILTER_BITS
+    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes, bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(place):
+        at = place.to_numpy()
+        return pd.Series(((shipped.value[at // 64] >> (at % 64)) & 1).astype(bool))
+
+    marked = docs.withColumn("__maybe", maybe(F.pmod(F.xxhash64("row"), F.lit(bits))))
+    return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
+
+
+def repeated_windows(texts: DataFrame, length: int, grams: tuple[int, ...], hot: int, batch: int) -> DataFrame:
+    """row, base, first and last of the stretches of windows of texts (row, base, n, text as bytes) that repeat."""
+    last_level = len(grams) == 1
+    sent = texts.select("row", "base", "n", "text").mapInArrow(_send(length, grams[0]), _SENT)
+    most = (1 << 62) if last_level else hot
+    settled = written(sent.repartition("gram").sortWithinPartitions("gram", "run", "twin").mapInArrow(_settle(most), _SETTLED), "settled")
+    reps = settled.filter("kind >= 0").select(F.col("crow").alias("row"), F.col("cbase").alias("base"), F.struct("gram", "kind", "hot", F.col("cfirst").alias("first"), "last", "lead").alias("want"))
+    asked = reps.groupBy("row", "base").agg(F.collect_list("want").alias("wanted"))
+    some, _ = _maybe(texts.select("row", "base", "text"), reps.select(F.col("row").alias("node")))
+    shape = "gram long, kind int, hot boolean, row long, base int, first int, lead int, bytes binary"
+    snippets = some.join(asked, ["row", "base"]).select("row", "base", "text", "wanted").mapInArrow(_cut(length), shape)
+    any_hot = not last_level and bool(settled.filter("hot").head(1))
+    if any_hot:
+        snippets = written(snippets, "snippets")
+    cold = snippets.filter("not hot").select("gram", "kind", "row", "base", "first", "lead", "bytes")
+    marks = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_arrays(length, batch), "crow long, cbase int, cfirst int, a int, b int")
+    if any_hot:
+        again = snippets.filter("hot").select("row", F.col("first").alias("base"), F.col("base").alias("under"), (F.col("kind") + 1).alias("n"), F.col("bytes").alias("text"))
+        # a class is named by its representative's place; at the next level its bytes are a text of that name
+        again = again.withColumn("row", F.xxhash64("row", "under"))
+        names = snippets.filter("hot").select(F.xxhash64("row", "base").alias("row"), F.col("first").alias("base"), F.col("row").alias("crow"), F.col("base").alias("cbase"))
+        deeper = repeated_windows(again, length, grams[1:], hot, batch).join(names, ["row", "base"])
+        marks = marks.union(deeper.select("crow", "cbase", F.col("base").alias("cfirst"), F.col("first").alias("a"), F.col("last").alias("b")))
+    found = settled.select("crow", "cbase", "cfirst", "who").join(written(marks, "marks").hint("merge"), ["crow", "cbase", "cfirst"])
+    each = found.select("a", "b", F.explode("who").alias("w"))
+    return each.select(F.col("w.row").alias("row"), F.col("w.base").alias("base"), (F.col("w.first") + F.col("a")).alias("first"), (F.col("w.first") + F.col("b")).alias("last"))
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (start:end byte ranges) of every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.xxhash64("doc_id", text).alias("row"), "doc_id", text.alias("text"))
-    sent = keyed.select("row", "text").mapInArrow(_send(length, gram), "kind int, gram long, run long, row long, first int, last int, lead int")
-    settled = written(sent.repartition("gram").sortWithinPartitions("gram", "run").mapInArrow(_settle, _FOUND), "settled")
-
-    def part(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Documents that may be among the nodes, and the others, by a bitmap of fixed size."""
-        bits = FILTER_BITS
-        shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes.select(F.col("row").alias("node")), bits))
-
-        @F.pandas_udf("boolean")
-        def maybe(place):
-            at = place.to_numpy()
-            import pandas as pd
-
-            return pd.Series(((shipped.value[at // 64] >> (at % 64)) & 1).astype(bool))
-
-        marked = keyed.withColumn("__maybe", maybe(F.pmod(F.xxhash64("row"), F.lit(bits))))
-        return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
-
-    asked = settled.filter("kind < 2").groupBy("row").agg(F.collect_list(F.struct("gram", "kind", "first", "last", "lead")).alias("wanted"))
-    some, _ = part(settled.filter("kind < 2"))
-    snippets = some.select("row", "text").join(asked, "row").mapInArrow(_cut(length), "gram long, kind int, row long, first int, lead int, bytes binary")
-    more = written(snippets.repartition("gram").sortWithinPartitions("gram", "row", "first").mapInArrow(_arrays(length, batch), "row long, first int, last int"), "windows")
-
-    marks = settled.filter("kind = 2").select("row", "first", "last").union(more)
+    texts = keyed.select("row", F.lit(0).alias("base"), F.lit(1).alias("n"), F.col("text").cast("binary").alias("text"))
+    marks = written(repeated_windows(texts, length, grams, hot, batch).select("row", "first", "last"), "windows")
     found = marks.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    hit, clean = part(marks)
+    hit, clean = _maybe(keyed, marks.select(F.col("row").alias("node")))
     shape = "doc_id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string".format(docs.schema["doc_id"].dataType.simpleString())
     none = F.array().cast("array<struct<first:int,last:int>>")
     cut = hit.join(found, "row", "left").select("doc_id", "text", "found").mapInArrow(_finish(length), shape)
