@@ -72,26 +72,70 @@ def moved(path: Column, source: str, target: str) -> Column:
 
 
 def slug(c: Column, most: int = 120) -> Column:
-    """Characters that file names cannot hold become blanks, runs of white space one; cut to `most`."""
-    return strip(F.substring(strip(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', " "), f"{SPACE}+", " ")), 1, most))
+    """Characters that file names cannot hold become blanks, runs of white space one; trimmed, then cut to `most`."""
+    return F.substring(strip(F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|]', " "), f"{SPACE}+", " ")), 1, most)
 
 
 def smart_name(date: Column, sender: Column, topic: Column, summary: Column, suffix: Column) -> Column:
-    """`date - sender - topic.ext`; the topic falls back to the summary's first six words, then to untitled."""
-    words = F.array_join(F.slice(F.filter(F.split(F.coalesce(summary, F.lit("")), f"{SPACE}+"), lambda x: x != ""), 1, 6), " ")
-    subject = F.coalesce(F.nullif(slug(F.coalesce(topic, F.lit(""))), F.lit("")), F.nullif(slug(words), F.lit("")), F.lit("untitled"))
-    parts = F.array_compact(F.array(F.nullif(slug(F.coalesce(date, F.lit(""))), F.lit("")), F.nullif(slug(F.coalesce(sender, F.lit(""))), F.lit("")), subject))
-    return F.concat(F.array_join(parts, " - "), suffix)
+    """`date - sender - topic.ext`, empty parts left out, untitled if none is left. A missing topic is the summary's first
+    six words, or untitled if there is no summary either."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    words = F.array_join(F.slice(F.filter(F.split(summary, f"{SPACE}+"), lambda x: x != ""), 1, 6), " ")
+    subject = F.coalesce(full(topic), F.when(full(summary).isNotNull(), words), F.lit("untitled"))
+    parts = F.filter(F.array(*(slug(F.coalesce(c, F.lit(""))) for c in (date, sender, subject))), lambda x: x != "")
+    base = F.when(F.size(parts) > 0, F.array_join(parts, " - ")).otherwise("untitled")
+    return F.concat(base, F.lit("."), F.regexp_replace(suffix, r"^\.+", ""))
 
 
 def parties(c: Column) -> Column:
-    """Names parted by comma, semicolon, slash between blanks or ampersand between blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;]|\s/\s|\s&\s"), strip), lambda x: x != "")
+    """Names parted by comma, semicolon, slash, ` and ` or ` & `; what holds nothing else is one name."""
+    names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;/]| and | & "), strip), lambda x: x != "")
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(names) == 0, F.array(strip(c))).otherwise(names)
+
+
+def like_below(path: str) -> str:
+    """A LIKE pattern, escaped by a backslash, for what lies below a path."""
+    return path.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "/%"
+
+
+def iso_seconds(epoch: Column) -> Column:
+    """Seconds since 1970 as an ISO time in UTC, to the second."""
+    return F.date_format(F.timestamp_seconds(F.floor(epoch)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def iso_now(clock: Column | None = None, micro: bool = False) -> Column:
+    """The time (a clock's, for tests) as an ISO time in UTC."""
+    return F.date_format(clock if clock is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss" + (".SSSSSS" if micro else "") + "'Z'")
+
+
+def minutes_seconds(seconds: Column) -> Column:
+    """`3m 07s`."""
+    whole = F.floor(seconds).cast("long")
+    return F.format_string("%dm %02ds", F.floor(whole / 60), F.pmod(whole, F.lit(60)))
+
+
+def relative(path: Column, root: str) -> Column:
+    """The path below root, or as it is outside."""
+    plain = normal_path(path)
+    return F.when(plain == root, ".").when(plain.startswith(root + "/"), F.substring(plain, len(root) + 2, 1 << 30)).otherwise(plain)
+
+
+def lenient_list(c: Column) -> Column:
+    """A list written as a semicolon list, a JSON array or one value."""
+    raw = strip(F.coalesce(c, F.lit("")))
+    return F.when(raw == "", F.array().cast("array<string>")).when(raw.startswith("["), F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))).when(raw.contains(";"), F.filter(F.transform(F.split(raw, ";"), strip), lambda x: x != "")).otherwise(F.array(raw))
+
+
+def holds(semilist_column: Column, item: str) -> Column:
+    """Whether a semicolon list has the item."""
+    return F.array_contains(from_semilist(semilist_column), item)
 
 
 def spoken(c: Column) -> Column:
-    """Language list; an unknown one is none."""
-    return F.filter(languages(c), lambda x: F.lower(x) != "unknown")
+    """Language list; none if it is missing or says unknown; what holds separators alone is one name."""
+    names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,+;]"), strip), lambda x: x != "")
+    none = (F.coalesce(c, F.lit("")) == "") | (F.lower(c) == "unknown")
+    return F.when(none, F.array().cast("array<string>")).when(F.size(names) == 0, F.array(strip(c))).otherwise(names)
 
 
 def confidence(c: Column) -> Column:
@@ -172,17 +216,41 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.element_at(table, suffix_of(path)), F.lit("application/octet-stream"))
 
 
-#: First characters of embedded metadata packets.
+#: First characters of embedded metadata packets, and keys that are never kept.
 PACKETS = ("<?xpacket", "<x:xmpmeta", "<rdf:RDF")
+SKIPPED = ("icc_profile", "exif", "photoshop", "XML:com.adobe.xmp", "dpi", "jfif", "jfif_version", "jfif_density", "jfif_unit")
+
+
+def clean_text(v: Column, most: int = 200) -> Column:
+    """A trimmed value, clipped with an ellipsis; null if it is empty, a packet or holds a NUL."""
+    plain = strip(v)
+    packet = plain.startswith(PACKETS[0]) | plain.startswith(PACKETS[1]) | plain.startswith(PACKETS[2])
+    return F.when((plain != "") & ~plain.contains("\x00") & ~packet, F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain))
 
 
 def metadata_clean(m: Column, most: int = 200) -> Column:
-    """Trimmed values, clipped with an ellipsis; empty ones, packets and those with a NUL dropped."""
-    plain = F.transform_values(m, lambda k, v: strip(v))
-    packet = lambda v: v.startswith(PACKETS[0]) | v.startswith(PACKETS[1]) | v.startswith(PACKETS[2])
-    kept = F.map_filter(plain, lambda k, v: v.isNotNull() & (v != "") & ~v.contains("\x00") & ~packet(v))
-    return F.transform_values(kept, lambda k, v: F.when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…"))).otherwise(v))
+    """A map of strings without the values that clean_text drops."""
+    return F.map_filter(F.transform_values(m, lambda k, v: clean_text(v, most)), lambda k, v: v.isNotNull())
+
+
+def metadata_collect(m: Column, prefix: str, skip: tuple[str, ...] = SKIPPED) -> Column:
+    return F.transform_keys(F.map_filter(metadata_clean(m), lambda k, v: ~k.isin(*skip) if skip else F.lit(True)), lambda k, v: F.concat(F.lit(prefix), k))
+
+
+def metadata_values(raw: Column, most: int = 200, items: int = 20) -> Column:
+    """A JSON object of embedded metadata as key to cleaned value, the values as JSON: strings as clean_text has them, numbers
+    and booleans as they are, lists cleaned item by item and cut to `items` with an ellipsis, objects and nulls dropped."""
+    text = lambda v: F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>")[0]
+    as_json = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+    def scalar(v: Column) -> Column:
+        return F.when(v.startswith('"'), F.when(clean_text(text(v), most).isNotNull(), as_json(clean_text(text(v), most)))).when((v != "null") & ~v.startswith("{") & ~v.startswith("["), v)
 
+    def listed(v: Column) -> Column:
+        parts = F.transform(F.try_variant_get(F.try_parse_json(v), "$", "array<variant>"), lambda x: F.to_json(x))
+        kept = F.filter(F.transform(parts, scalar), lambda x: x.isNotNull())
+        short = F.when(F.size(kept) > items, F.concat(F.slice(kept, 1, items), F.array(F.lit('"…"')))).otherwise(kept)
+        return F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(short, ","), F.lit("]")))
 
-def metadata_collect(m: Column, prefix: str, skip: tuple[str, ...] = ()) -> Column:
-    return F.transform_keys(F.map_filter(metadata_clean(m), lambda k, v: ~F.lower(k).isin(*skip) if skip else F.lit(True)), lambda k, v: F.concat(F.lit(prefix), k))
+    pairs = F.transform_values(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"), lambda k, v: F.to_json(v))
+    return F.map_filter(F.transform_values(pairs, lambda k, v: F.when(v.startswith("["), listed(v)).otherwise(scalar(v))), lambda k, v: v.isNotNull())

@@ -32,27 +32,51 @@ def opaque_ancestors(docs: DataFrame, dirs: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.max_by("dir", "depth").alias("nearest"), F.min_by("dir", "depth").alias("topmost"))
 
 
+#: Fixed patterns of names that a template makes.
+TEMPLATED = (r"\d{4}-\d{2}-\d{2}", r"\d{8}_\d{6}", r"(?i)IMG_\d+", r"(?i)DSC[N]?_?\d+", r"\[(?:[^\]]+)\]_\d+_\d{4}")
+
+
+def _parent(rel: str = "rel") -> Column:
+    return F.when(F.col(rel).contains("/"), F.regexp_replace(rel, "/[^/]*$", "")).otherwise("")
+
+
+def _kind(rel: str = "rel") -> Column:
+    return F.coalesce(F.nullif(T.suffix_of(F.col(rel)), F.lit("")), F.lit("<noext>"))
+
+
+def tree(files: DataFrame) -> DataFrame:
+    """Every directory above the files."""
+    return files.filter(F.col("rel").contains("/")).select(F.explode(ancestors(F.col("rel"))).alias("rel")).distinct()
+
+
 def summary(files: DataFrame) -> DataFrame:
-    """Per directory: files, megabytes to two places, distinct suffixes."""
-    parent = F.regexp_replace("rel", "/[^/]*$", "")
-    return files.groupBy(parent.alias("dir")).agg(F.count("*").cast("long").alias("n_files"), F.round(F.sum("size") / 1048576, 2).alias("mb"), F.count_distinct(T.suffix_of(F.col("rel"))).cast("long").alias("n_suffixes"))
+    """Per directory: files, sub-directories, megabytes to two places, distinct suffixes, and whether the sampled names look
+    templated. Directories without files of their own count too."""
+    own = files.groupBy(_parent().alias("dir")).agg(F.count("*").cast("long").alias("n_files"), F.round(F.sum("size") / 1048576, 2).alias("mb"), F.count_distinct(_kind()).cast("long").alias("n_suffixes"))
+    below = tree(files).groupBy(_parent().alias("dir")).agg(F.count("*").cast("long").alias("n_dirs"))
+    looks = F.lit(False)
+    for p in TEMPLATED:
+        looks = looks | F.col("name").rlike(p)
+    made = sample_names(files).groupBy("dir").agg(F.bool_or(looks).alias("templated"))
+    nothing = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return own.join(below, "dir", "full_outer").join(made, "dir", "left").select("dir", nothing("n_files", 0), nothing("n_dirs", 0), nothing("mb", 0.0), nothing("n_suffixes", 0), nothing("templated", False))
 
 
 def histogram(files: DataFrame) -> DataFrame:
     """Files by directory and suffix with their place, the most frequent first, ties by suffix."""
-    parent, suffix = F.regexp_replace("rel", "/[^/]*$", "").alias("dir"), T.suffix_of(F.col("rel")).alias("suffix")
-    each = files.groupBy(parent, suffix).agg(F.count("*").cast("long").alias("n"))
+    each = files.groupBy(_parent().alias("dir"), _kind().alias("suffix")).agg(F.count("*").cast("long").alias("n"))
     return each.withColumn("place", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "suffix")).cast("long"))
 
 
-def sample_names(files: DataFrame, most: int = 12) -> DataFrame:
-    """Names of a directory spread over its suffixes: most // suffixes of each (one at least), in name order, `most` in all."""
-    parent, suffix = F.regexp_replace("rel", "/[^/]*$", "").alias("dir"), T.suffix_of(F.col("rel")).alias("suffix")
-    named = files.select(parent, suffix, T.name_of(F.col("rel")).alias("name"))
-    kinds = named.groupBy("dir").agg(F.count_distinct("suffix").alias("kinds"))
-    placed = named.withColumn("k", F.row_number().over(Window.partitionBy("dir", "suffix").orderBy("name"))).join(kinds, "dir")
-    chosen = placed.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("kinds"))))
-    return chosen.withColumn("all", F.row_number().over(Window.partitionBy("dir").orderBy("suffix", "name"))).filter(F.col("all") <= most).select("dir", "suffix", "name")
+def sample_names(files: DataFrame, most: int = 10) -> DataFrame:
+    """Names of a directory spread over its suffixes: most // suffixes of each (one at least), in name order, suffixes in the
+    order of their first names, `most` in all."""
+    named = files.select(_parent().alias("dir"), _kind().alias("suffix"), T.name_of(F.col("rel")).alias("name"))
+    kinds = named.groupBy("dir", "suffix").agg(F.min("name").alias("lead"))
+    counted = kinds.groupBy("dir").agg(F.count("*").alias("kinds"))
+    placed = named.withColumn("k", F.row_number().over(Window.partitionBy("dir", "suffix").orderBy("name"))).filter(F.col("k") <= most)
+    chosen = placed.join(counted, "dir").join(kinds, ["dir", "suffix"]).filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("kinds"))))
+    return chosen.withColumn("all", F.row_number().over(Window.partitionBy("dir").orderBy("lead", "name"))).filter(F.col("all") <= most).select("dir", "suffix", "name")
 
 
 def prefixed(dirs: DataFrame, top: str) -> DataFrame:
@@ -82,9 +106,25 @@ def listing(files: DataFrame, docs: DataFrame, dirs: DataFrame, top: str) -> Dat
 
 
 def fingerprint(files: DataFrame, most: int = 256) -> DataFrame:
-    """SHA-256 of a directory's first `most` entries, breadth first by lower-case name, as compact JSON."""
-    parent, depth = F.regexp_extract("rel", "^([^/]*)/", 1), F.size(F.split("rel", "/"))
-    order = Window.partitionBy("top").orderBy("depth", F.lower("rel"))
-    rows = files.filter(F.col("rel").contains("/")).select(parent.alias("top"), "rel", F.col("size").cast("long").alias("size"), depth.alias("depth")).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("rn", "rel", "size"))), lambda x: F.struct(x["rel"].alias("rel"), x["size"].alias("size")))
-    return rows.groupBy("top").agg(F.sha2(F.to_json(entries), 256).alias("fingerprint"), F.count("*").cast("long").alias("n"))
+    """dir, fingerprint and n: SHA-256 of each directory's first `most` entries, as compact JSON pairs of relative path and
+    size, null for a directory. Entries come breadth first, each directory's by lower-case name; directories that are never
+    entered are told, not entered.
+
+    Of one parent's entries only the first `most` can count, and of an ancestor's levels only those before which fewer
+    stand; both cuts come before the ranking."""
+    every = files.select("rel", F.col("size").cast("long").alias("size"), F.lit(False).alias("is_dir")).unionByName(tree(files).select("rel", F.lit(None).cast("long").alias("size"), F.lit(True).alias("is_dir")))
+    own = Window.partitionBy("parent").orderBy(F.lower(T.name_of(F.col("rel"))), "rel")
+    near = every.withColumn("parent", _parent()).withColumn("k", F.row_number().over(own)).filter(F.col("k") <= most)
+    each = near.filter("parent <> ''").select("rel", "size", "is_dir", F.explode(ancestors(F.col("rel"))).alias("dir"))
+    inner = F.substring("rel", F.length("dir") + 2, F.length("rel"))
+    each = each.select("dir", inner.alias("inner"), "size", "is_dir").withColumn("parts", F.split("inner", "/"))
+    closed = F.exists(F.slice("parts", F.lit(1), F.size("parts") - 1), lambda x: x.isin(*OPAQUE_NAMES))
+    each = each.filter(~closed).withColumn("depth", F.size("parts"))
+    levels = each.groupBy("dir", "depth").agg(F.count("*").alias("c"))
+    above = levels.select("dir", "depth", (F.sum("c").over(Window.partitionBy("dir").orderBy("depth")) - F.col("c")).alias("above")).filter(F.col("above") < most)
+    order = Window.partitionBy("dir").orderBy("depth", F.transform("parts", lambda x: F.lower(x)), "inner")
+    first = each.join(above, ["dir", "depth"]).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+    quoted = F.regexp_extract(F.to_json(F.array("inner")), r"(?s)^\[(.*)\]$", 1)
+    pair = F.concat(F.lit("["), quoted, F.lit(","), F.coalesce(F.col("size").cast("string"), F.lit("null")), F.lit("]"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("rn", pair.alias("pair")))), lambda x: x["pair"])
+    return first.groupBy("dir").agg(F.sha2(F.concat(F.lit("["), F.array_join(told, ","), F.lit("]")), 256).alias("fingerprint"), F.count("*").cast("long").alias("n"))

@@ -120,6 +120,8 @@ def purged_orphans(docs: DataFrame, files: DataFrame, dirs: DataFrame, inbox: st
 
 
 def _add(table: str, **columns: tuple[str, object]):
+    """Columns that the table lacks, with their defaults."""
+
     def step(db: dict[str, DataFrame]) -> dict[str, DataFrame]:
         frame = db[table]
         for name, (kind, value) in columns.items():
@@ -131,20 +133,54 @@ def _add(table: str, **columns: tuple[str, object]):
 
 
 def _rename(old: str, new: str):
+    """The table under its new name, unless there is one of that name."""
+
+    def step(db: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {**{k: v for k, v in db.items() if k != old}, new: db[old]} if old in db and new not in db else db
+
+    return step
+
+
+def _create(table: str, shape: str):
+    """An empty table, unless there is one."""
+
+    def step(db: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return db if table in db else {**db, table: next(iter(db.values())).sparkSession.createDataFrame([], shape)}
+
+    return step
+
+
+def _clear(table: str, column: str):
+    def step(db: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        if column not in db[table].columns:
+            return db
+        return {**db, table: db[table].withColumn(column, F.lit(None).cast(db[table].schema[column].dataType))}
+
+    return step
+
+
+def _shape(table: str, shape: str):
+    """The table rebuilt with these columns in this order; those that it lacks are null."""
+
     def step(db: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return {**{k: v for k, v in db.items() if k != old}, new: db[old]} if old in db else db
+        empty = db[table].sparkSession.createDataFrame([], shape)
+        return {**db, table: empty.unionByName(db[table].select(*(c for c in db[table].columns if c in empty.columns)), allowMissingColumns=True)}
 
     return step
 
 
-#: Steps from each schema version to the next known one.
+_TRIAGE = "doc_id long, enqueued_at string, reason string"
+_DIRS = "path string, mode string, source string, fingerprint string, listing_id string, summary string, decided_at string, confidence double"
+_ASR = "doc_id long, decision string, done string, engine string, engine_ver string, model string, langs string, detected_lang string, duration_ms long, audio_seconds double"
+_PROPOSALS = "id long, subject string, kind string, value string, source string, rationale string, created_at string, status string"
+#: Steps from each schema version to the next known one; a table that is there stays.
 MIGRATIONS = {
-    1: (3, [_rename("triage_queue", "triage")]),
-    3: (4, [_add("docs", dup=("string", "unique"))]),
-    4: (5, [_add("asr", channels=("long", None), recording_type=("string", None))]),
-    5: (6, [_add("dirs", confidence=("double", None))]),
-    6: (7, [_add("docs", notes=("string", ""))]),
-    7: (8, [_add("docs", extra=("string", "{}"))]),
+    1: (3, [_add("docs", dup=("string", "unique")), _rename("triage_queue", "triage"), _create("triage", _TRIAGE)]),
+    3: (4, [_create("dirs", _DIRS)]),
+    4: (5, [_clear("dirs", "fingerprint")]),
+    5: (6, [_create("asr", _ASR)]),
+    6: (7, [_add("asr", diarized=("long", 0), channels=("long", None), speakers=("string", ""), srt_path=("string", None), json_path=("string", None), lang_prob=("double", None), recording_type=("string", "unknown"))]),
+    7: (8, [_create("proposals", _PROPOSALS), _shape("dirs", _DIRS)]),
 }
 CURRENT = 8
 

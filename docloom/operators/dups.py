@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def hashes_to_recompute(docs: DataFrame) -> DataFrame:
@@ -13,18 +12,21 @@ def hashes_to_recompute(docs: DataFrame) -> DataFrame:
 
 
 def recomputed(docs: DataFrame) -> DataFrame:
-    """A lone row is unique; in a group unique becomes dup and keep stays."""
-    n = F.count("*").over(Window.partitionBy("hash"))
-    return docs.withColumn("dup", F.when(n == 1, "unique").when(F.col("dup") == "unique", "dup").otherwise(F.col("dup")))
+    """A lone row is unique; in a group unique becomes dup and keep stays. Counts are summed before they are dealt by hash,
+    and joined back, so that a hash of very many rows is not sorted in one task."""
+    many = docs.groupBy("hash").agg(F.count("*").alias("__n")).filter("__n > 1").withColumnRenamed("hash", "__hash")
+    joined = docs.join(many, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("__n").isNotNull(), "left")
+    state = F.when(F.col("__n").isNull(), "unique").when(F.col("dup") == "unique", "dup").otherwise(F.col("dup"))
+    return joined.withColumn("dup", state).select(*docs.columns)
 
 
 def siblings(docs: DataFrame) -> DataFrame:
-    """doc_id, and the paths of its dup and keep siblings, of rows that have one."""
-    state = recomputed(docs)
-    a, b = (state.select(F.col("id").alias(f"{x}_id"), F.col("hash"), F.col("path").alias(f"{x}_path"), F.col("dup").alias(f"{x}_dup")) for x in "ab")
-    pairs = a.join(b, "hash").filter("a_id <> b_id")
-    join = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("b_dup") == kind, F.col("b_path")))), ";")
-    return pairs.groupBy(F.col("a_id").alias("doc_id")).agg(join("dup").alias("dup_paths"), join("keep").alias("keep_paths"))
+    """doc_id, and the paths of its dup and keep siblings, of rows that have one: a list for each hash, less the row itself."""
+    state = recomputed(docs).select("id", "hash", "path", "dup")
+    group = state.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("path", "id", "dup"))).alias("__all")).filter(F.size("__all") > 1)
+    joined = state.join(group, "hash")
+    join = lambda kind: F.array_join(F.transform(F.filter("__all", lambda x: (x["dup"] == kind) & (x["id"] != F.col("id"))), lambda x: x["path"]), ";")
+    return joined.select(F.col("id").alias("doc_id"), join("dup").alias("dup_paths"), join("keep").alias("keep_paths"))
 
 
 def set_state(docs: DataFrame, doc_id: int, state: str, inbox: str = "Inbox") -> DataFrame:

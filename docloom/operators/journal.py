@@ -47,10 +47,15 @@ def since(events: DataFrame, after: int, limit: int = 500) -> DataFrame:
 
 
 def appended(events: DataFrame, kind: str, payload: DataFrame) -> DataFrame:
-    """events with one row for each row of payload, its columns as compact JSON, numbered on."""
+    """events with one row for each row of payload, its columns as compact JSON, numbered on.
+
+    Numbers come from counts over ranges of the payloads' hashes, so that no task sees all rows."""
     top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = payload.select(F.to_json(F.struct("*")).alias("payload")).crossJoin(F.broadcast(top))
-    numbered = rows.select((F.col("top") + F.row_number().over(Window.orderBy("payload"))).alias("id"), F.lit(kind).alias("kind"), F.current_timestamp().cast("timestamp_ntz").alias("ts"), "payload")
+    rows = payload.select(F.to_json(F.struct("*")).alias("payload")).withColumn("__cell", F.pmod(F.xxhash64("payload"), F.lit(4096)))
+    sizes = rows.groupBy("__cell").agg(F.count("*").alias("__c"))
+    before = sizes.select("__cell", (F.sum("__c").over(Window.orderBy("__cell")) - F.col("__c")).alias("__before"))  # 4,096 rows at most
+    placed = rows.withColumn("__own", F.row_number().over(Window.partitionBy("__cell").orderBy("payload"))).join(F.broadcast(before), "__cell").crossJoin(F.broadcast(top))
+    numbered = placed.select((F.col("top") + F.col("__before") + F.col("__own")).alias("id"), F.lit(kind).alias("kind"), F.current_timestamp().cast("timestamp_ntz").alias("ts"), "payload")
     return events.unionByName(numbered)
 
 
@@ -58,15 +63,28 @@ def _field(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}")
 
 
+def spelled(payload: Column) -> Column:
+    """A flat JSON object as the notifier spells it: single quotes, None, True and False."""
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(payload, r":\s*null\b", ": None"), r":\s*true\b", ": True"), r":\s*false\b", ": False")
+    return F.translate(words, '"', "'")
+
+
 def toasts(events: DataFrame, app: str = "Documents") -> DataFrame:
-    """id, title and body of events that people are told of: finished runs with something ready, else failures, and
-    errors; starts and ends of scans are silent."""
-    ready, failed = F.coalesce(_field("ready_count").cast("int"), F.lit(0)), F.coalesce(_field("failed").cast("int"), F.lit(0))
-    ended, error = F.col("kind") == "digest_finished", F.col("kind") == "error"
-    name = F.coalesce(_field("file"), F.lit("?"))
+    """id, title and body of events that people are told of: finished runs with something ready, else failures, errors,
+    the older `processed` events, and any other kind with its payload; starts and ends of scans are silent."""
+    ready, failed = F.coalesce(_field("ready_count").try_cast("int"), F.lit(0)), F.coalesce(_field("failed").try_cast("int"), F.lit(0))
+    kind = F.col("kind")
+    ended = kind == "digest_finished"
+    said = lambda n: F.coalesce(_field(n), F.lit("?"))
     count = F.concat(ready.cast("string"), F.when(ready == 1, " file").otherwise(" files"), F.lit(" ready for triage"))
-    title = F.when(ended & (ready > 0), app).when((ended & (failed > 0)) | error, "Error")
-    body = F.when(ended & (ready > 0), count).when(ended & (failed > 0), F.concat(F.lit("failed to digest "), name)).when(error, F.concat_ws(": ", name, F.coalesce(_field("error"), F.lit("?"))))
+    silent = kind.isin("scan_finished", "digest_started", "scan_started") | (ended & (ready <= 0) & (failed <= 0))
+    title = F.when(silent, None).when((ended & (ready <= 0)) | (kind == "error"), "Error").otherwise(app)
+    filed = F.concat(said("file"), F.lit(" → "), said("category"), F.coalesce(F.concat(F.lit(" ("), F.nullif(_field("target"), F.lit("")), F.lit(")")), F.lit("")))
+    name = F.coalesce(F.nullif(_field("file"), F.lit("")), F.lit("?"))
+    body = (
+        F.when(ended & (ready > 0), count).when(ended, F.concat(F.lit("failed to digest "), name)).when(kind == "error", F.concat(said("file"), F.lit(": "), said("error")))
+        .when(kind == "processed", filed).otherwise(F.concat(kind, F.lit(": "), spelled(F.col("payload"))))
+    )
     return events.select("id", title.alias("title"), body.alias("body")).filter("title is not null")
 
 
@@ -78,20 +96,43 @@ def run_state(events: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """Notifications: the first event opens a window of fixed length, its end sends one with the count and the last."""
+    """Notifications: the first event opens a window of fixed length, its end sends one with the count and the last event.
+
+    There is one window at a time for events of all kinds. A window cannot outlast a pause of its own length, so events
+    are parted at such pauses, and each stretch is worked through alone. Pauses are found within hours, and at the hours'
+    ends from one row an hour."""
     import pandas as pd
 
+    hour = F.date_trunc("hour", "ts")
+    order = Window.partitionBy("__hour").orderBy("ts", "id")
+    rows = events.select("id", "ts", hour.alias("__hour")).filter("ts is not null")
+    ends = rows.groupBy("__hour").agg(F.max("ts").alias("__end"))
+    earlier = ends.select("__hour", F.lag("__end").over(Window.orderBy("__hour")).alias("__earlier"))
+    gap = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) >= int(seconds * 1_000_000)
+    marked = rows.join(earlier, "__hour").withColumn("__last", F.coalesce(F.lag("ts").over(order), F.col("__earlier")))
+    opens = marked.withColumn("__open", F.when(F.col("__last").isNull() | gap(F.col("__last"), F.col("ts")), F.col("ts")))
+    tops = opens.groupBy("__hour").agg(F.max("__open").alias("__top"))
+    carried = tops.select("__hour", F.max("__top").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    stretch = F.coalesce(F.max("__open").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("__carried"))
+    parted = opens.join(carried, "__hour").withColumn("stretch", stretch).select("stretch", "id", "ts")
+
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, opened, count, last = [], None, 0, None
+        told, opened, count, last = [], None, 0, None
         for at, what in frame.sort_values(["ts", "id"])[["ts", "id"]].itertuples(index=False):
             if opened is not None and (at - opened).total_seconds() >= seconds:
-                rows.append((opened, count, last))
+                told.append((opened, count, last))
                 opened = None
             if opened is None:
                 opened, count = at, 0
             count, last = count + 1, what
         if opened is not None:
-            rows.append((opened, count, last))
-        return pd.DataFrame(rows, columns=["opened", "n", "last_id"])
+            told.append((opened, count, last))
+        return pd.DataFrame(told, columns=["opened", "n", "last_id"])
+
+    return parted.groupBy("stretch").applyInPandas(fold, "opened timestamp_ntz, n long, last_id long")
+
 
-    return events.select("id", "kind", "ts").groupBy("kind").applyInPandas(lambda key, f: fold(f).assign(kind=key[0]), "opened timestamp_ntz, n long, last_id long, kind string")
+def notice(n: Column, title: Column, body: Column, app: str = "Documents") -> Column:
+    """What a window sends: a lone notification as it is, else the count and the last one's title."""
+    many = F.struct(F.lit(app).alias("title"), F.concat(F.lit("Processed "), n.cast("string"), F.lit(" files; latest: "), title).alias("body"))
+    return F.when(n > 1, many).otherwise(F.struct(title.alias("title"), body.alias("body")))

@@ -12,12 +12,16 @@ from docloom.operators.directories import opaque_ancestors
 
 
 def digest_gate(plan: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """id, path and code of planned documents: missing, sidecar, opaque, changed (size or time moved on), or null to go on."""
+    """id, path and code of planned documents: why one is not digested, or null to go on. Size and time are compared
+    where the plan states them."""
     now = files.select(F.col("rel").alias("path"), F.col("size").alias("now_size"), F.col("mtime").alias("now_time"), F.lit(True).alias("there"))
     hidden = opaque_ancestors(plan, dirs).select("id", F.lit(True).alias("hidden"))
     joined = plan.join(now, "path", "left").join(hidden, "id", "left")
-    changed = ~(F.col("now_size").eqNullSafe(F.col("size")) & F.col("now_time").eqNullSafe(F.col("modified")))
-    code = F.when(F.col("there").isNull(), "missing").when(T.suffix_of(F.col("path")) == ".srt", "sidecar").when(F.col("hidden"), "opaque").when(changed, "changed")
+    other = lambda now, then: F.col(then).isNotNull() & ~F.col(now).eqNullSafe(F.col(then))
+    code = (
+        F.when(F.col("there").isNull(), "missing_or_not_file").when(T.suffix_of(F.col("path")) == ".srt", "sidecar_skipped").when(F.col("hidden"), "blocked_opaque_subtree")
+        .when(other("now_size", "size"), "size_changed").when(other("now_time", "modified"), "mtime_changed")
+    )
     return joined.select("id", "path", code.alias("code"))
 
 
@@ -101,8 +105,8 @@ def skips_speech(kind: Column, transcribe_music: bool = False) -> Column:
     return (kind == "non_speech") | ((kind == "music") & F.lit(not transcribe_music))
 
 
-def speech_outcome(subtitle: Column, ran: Column, failed: Column, available: Column) -> Column:
-    return F.when(subtitle, "subtitle").when(ran, "ran").when(failed, "failed").when(~available, "unavailable").otherwise("none")
+def speech_outcome(subtitle: Column, ran: Column, failed: Column, available: Column, success: str = "asr_full") -> Column:
+    return F.when(subtitle, "asr_subtitle").when(ran, success).when(failed, "asr_failed").when(~available, "asr_unavailable").otherwise("no_asr")
 
 
 def stream_facts(tags: Column) -> Column:
@@ -117,15 +121,25 @@ def container_facts(probe_json: Column) -> Column:
     return F.map_filter(facts, lambda k, v: v.isNotNull() & (v != ""))
 
 
-#: Name spaces of embedded metadata.
-NAMESPACES = {"http://purl.org/dc/elements/1.1/": "dc", "http://ns.adobe.com/xap/1.0/": "xmp", "http://ns.adobe.com/pdf/1.3/": "pdf", "http://ns.adobe.com/xap/1.0/mm/": "xmpMM"}
+#: Name spaces of embedded metadata and their prefixes. A tool's own one is passed in.
+NAMESPACES = {
+    "http://purl.org/dc/elements/1.1/": "dc",
+    "http://ns.adobe.com/xap/1.0/": "xmp",
+    "http://ns.adobe.com/xap/1.0/mm/": "xmpMM",
+    "http://ns.adobe.com/xap/1.0/rights/": "xmpRights",
+    "http://ns.adobe.com/pdf/1.3/": "pdf",
+    "http://ns.adobe.com/pdfx/1.3/": "pdfx",
+    "http://ns.adobe.com/photoshop/1.0/": "photoshop",
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf",
+}
 
 
-def short_name(clark: Column) -> Column:
-    """`{namespace}local` as `prefix:local`; an unknown name space gives the local name."""
-    table = F.create_map(*(F.lit(x) for p in NAMESPACES.items() for x in p))
-    space, local = F.regexp_extract(clark, r"^\{([^}]*)\}", 1), F.regexp_replace(clark, r"^\{[^}]*\}", "")
-    return F.concat_ws(":", F.element_at(table, space), local)
+def short_name(clark: Column, own: dict[str, str] | None = None) -> Column:
+    """`{namespace}local` as `prefix:local`, `xmp_local` if the name space is unknown; other names as they are."""
+    table = F.create_map(*(F.lit(x) for p in (NAMESPACES | (own or {})).items() for x in p))
+    space, local = F.regexp_extract(clark, r"(?s)^\{([^}]*)\}", 1), F.regexp_replace(clark, r"(?s)^\{[^}]*\}", "")
+    known = F.element_at(table, space)
+    return F.when(~clark.rlike(r"(?s)^\{[^}]*\}"), clark).otherwise(F.coalesce(F.concat(known, F.lit(":"), local), F.concat(F.lit("xmp_"), local)))
 
 
 def first_wins(a: Column, b: Column) -> Column:
@@ -134,11 +148,13 @@ def first_wins(a: Column, b: Column) -> Column:
 
 
 def speaker_template(template: str, owner: str, path: Column, pattern: str, groups: tuple[str, ...]) -> Column:
-    """A template with {owner} and the named groups of a path pattern put in; empty ones leave nothing."""
+    """A template with {owner} and the named groups of a path pattern put in. A group that is empty, or that the pattern
+    has not, leaves its braces; an empty result is null."""
     out = F.lit(template.replace("{owner}", owner))
     for k, name in enumerate(groups, 1):
-        out = F.replace(out, F.lit("{" + name + "}"), F.regexp_extract(path, pattern, k))
-    return T.strip(out)
+        value = F.regexp_extract(path, pattern, k)
+        out = F.when(value != "", F.replace(out, F.lit("{" + name + "}"), value)).otherwise(out)
+    return F.nullif(out, F.lit(""))
 
 
 def tray_status(running: Column, items: Column, last: Column) -> Column:
@@ -146,8 +162,11 @@ def tray_status(running: Column, items: Column, last: Column) -> Column:
     return F.coalesce(running, F.when(items > 0, F.concat(items.cast("string"), F.lit(" waiting"))), last, F.lit("Idle"))
 
 
-def result_line(name: Column, ok: Column, category: Column, error: Column) -> Column:
-    return F.when(ok, F.concat_ws(" ", F.lit("ok"), name, F.concat(F.lit("-> "), category))).otherwise(F.concat_ws(" ", F.lit("failed"), name, F.concat(F.lit("("), error, F.lit(")"))))
+def result_line(name: Column, ocr: Column, asr: Column, tier: Column, category: Column, target: Column, ms: Column, error: Column) -> Column:
+    """The status line of one digest; speech is left out where there was none, errors where there are none."""
+    speech = F.when(asr != "no_asr", F.concat(F.lit("asr="), asr))
+    failed = F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("error="), error))
+    return F.concat_ws(" | ", name, F.concat(F.lit("ocr="), ocr), speech, F.concat(F.lit("tier="), tier), F.concat(F.lit("category="), category), F.concat(F.lit("target="), target), F.concat(ms.cast("string"), F.lit("ms")), failed)
 
 
 def additive_speakers(asr_speakers: Column, proposed: Column) -> Column:

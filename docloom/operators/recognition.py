@@ -28,78 +28,127 @@ def rendered(shown: DataFrame, totals: DataFrame) -> DataFrame:
 
 def ocr_decision(pages: DataFrame, doc_least: int = 100, page_least: int = 50, ratio: float = 0.3) -> DataFrame:
     """no_ocr, ocr_pages or ocr_full with its reason, from the characters of each page's text layer."""
-    chars = F.length(T.strip(F.col("page_text")))
+    # the ends are cut first by plain trimming, so that the pattern has little left to try
+    chars = F.length(T.strip(F.trim(F.coalesce("page_text", F.lit("")), F.lit(" \t\n\r"))))
     each = pages.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"), F.count_if(chars < page_least).alias("sparse"))
     bound = F.greatest(F.lit(1), F.floor(F.col("n") * ratio))
     decision = F.when(F.col("chars") < doc_least, "ocr_full/no_text_layer").when(F.col("sparse") == 0, "no_ocr").when(F.col("sparse") <= bound, "ocr_pages").otherwise("ocr_full/majority_sparse")
     return each.select("doc_id", F.col("n").cast("long").alias("n_pages"), F.col("chars").cast("long").alias("chars"), F.col("sparse").cast("long").alias("sparse"), decision.alias("decision"))
 
 
+def ocr_actions(decisions: DataFrame, pages: DataFrame, encrypted: DataFrame, page_least: int = 50) -> DataFrame:
+    """doc_id, action, reason and pages (to read, from 0; null for all or none) as a recognition run takes them: documents
+    of `encrypted` (doc_id) are skipped whatever their pages."""
+    sparse = pages.filter(F.length(T.strip(F.coalesce("page_text", F.lit("")))) < page_least).groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("sparse_pages"))
+    known = decisions.select("doc_id", "decision").join(encrypted.select("doc_id", F.lit(True).alias("locked")).distinct(), "doc_id", "full_outer").join(sparse, "doc_id", "left")
+    action = F.when(F.col("locked"), "skip_encrypted").otherwise(F.split("decision", "/")[0])
+    few = action == "ocr_pages"
+    reason = F.when(F.col("locked"), "pdf_encrypted").when(few, "sparse_pages").otherwise(F.get(F.split("decision", "/"), F.lit(1)))
+    return known.select("doc_id", action.alias("action"), reason.alias("reason"), F.when(few, F.col("sparse_pages")).alias("pages"))
+
+
 def page_ranges(pages: DataFrame) -> DataFrame:
     """Neighbouring pages as inclusive one-based ranges."""
     island = F.col("page") - F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
     return pages.select("doc_id", "page").distinct().withColumn("island", island).groupBy("doc_id", "island").agg((F.min("page") + 1).cast("long").alias("first"), (F.max("page") + 1).cast("long").alias("last")).drop("island")
 
 
-def outcome(pages_done: Column, failed: Column, available: Column) -> Column:
-    return F.when(pages_done > 0, "pages").when(failed, "failed").when(~available, "unavailable").otherwise("none")
+def outcome(pages_done: Column, failed: Column, available: Column, success: str = "ocr_pages") -> Column:
+    return F.when(pages_done > 0, success).when(failed, "ocr_failed").when(~available, "ocr_unavailable").otherwise("no_ocr")
+
+
+def merged_text(layer: Column, seen: Column, most: int = 6000) -> Column:
+    """A document's text layer and what recognition read, as one body cut to a word."""
+    both = F.when(F.coalesce(layer, F.lit("")) != "", T.strip(F.concat(layer, F.lit("\n\n"), F.coalesce(seen, F.lit(""))))).otherwise(F.coalesce(seen, F.lit("")))
+    return T.trim_to_word(both, most)
 
 
 _ANSWER = "struct<title:string,summary:string,tags:array<string>,category:string,subcategory:string,correspondent:string,date:string,amount:string,currency:string,language:string,confidence:string,review:string,reason:string>"
-_TEXT_FIELDS = ("title", "summary", "category", "correspondent", "language", "confidence", "currency", "reason")
 
 
 def strict(raw: Column) -> Column:
-    """The answer as it stands, null unless it is a JSON object."""
-    return F.when(F.try_parse_json(raw).isNotNull() & T.strip(raw).startswith("{"), F.from_json(raw, _ANSWER))
+    """The answer as it stands, null unless the whole of it is one JSON object."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")  # a list has no room for a tail
+    whole = T.strip(raw).startswith("{") & T.strip(raw).endswith("}") & (F.size(listed) == 1)
+    return F.when(whole & F.try_parse_json(raw).isNotNull(), F.from_json(raw, _ANSWER))
+
+
+#: Fixed patterns of fields in a broken answer.
+_LONG = ("title", "summary", "reason")
+_SHORT = ("category", "subcategory", "correspondent", "language", "confidence")
+_TAGS = r'"tags"\s*:\s*\[([^\]]*)\]'
+_DATE = r'"date"\s*:\s*"(\d{4}-\d{2}-\d{2})"'
+_AMOUNT = r'"amount"\s*:\s*([0-9]+(?:\.[0-9]+)?)'
+_CURRENCY = r'"currency"\s*:\s*"([A-Z]{3})"'
+_REVIEW = r'"review"\s*:\s*(true|false)'
+
+
+def _patterns() -> dict[str, str]:
+    long = {n: f'"{n}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"' for n in _LONG}
+    return long | {n: f'"{n}"\\s*:\\s*"([^"]+)"' for n in _SHORT} | {"date": _DATE, "amount": _AMOUNT, "currency": _CURRENCY, "review": _REVIEW}
 
 
 def recovered(raw: Column) -> Column:
-    """What patterns find in a broken answer."""
-    field = lambda n: F.nullif(F.regexp_extract(raw, f'"{n}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1), F.lit(""))
-    tags = F.transform(F.regexp_extract_all(F.regexp_extract(raw, r'"tags"\s*:\s*\[([^\]]*)\]', 1), F.lit(r'"([^"]*)"'), F.lit(1)), lambda x: x)
-    return F.struct(
-        field("title").alias("title"), field("summary").alias("summary"), tags.alias("tags"), field("category").alias("category"), F.lit(None).cast("string").alias("subcategory"),
-        field("correspondent").alias("correspondent"), F.nullif(F.regexp_extract(raw, r'"date"\s*:\s*"(\d{4}-\d{2}-\d{2})"', 1), F.lit("")).alias("date"),
-        F.nullif(F.regexp_extract(raw, r'"amount"\s*:\s*(-?\d+(?:\.\d+)?)', 1), F.lit("")).alias("amount"), field("currency").alias("currency"), field("language").alias("language"),
-        field("confidence").alias("confidence"), F.nullif(F.regexp_extract(raw, r'"review"\s*:\s*(true|false)', 1), F.lit("")).alias("review"), field("reason").alias("reason"),
-    )
+    """What patterns find in a broken answer, each field on its own."""
+    got = {n: F.nullif(F.regexp_extract(raw, p, 1), F.lit("")).alias(n) for n, p in _patterns().items()}
+    tags = F.regexp_extract_all(F.regexp_extract(raw, _TAGS, 1), F.lit(r'"([^"]+)"'), F.lit(1)).alias("tags")
+    order = ("title", "summary", "tags", "category", "subcategory", "correspondent", "date", "amount", "currency", "language", "confidence", "review", "reason")
+    return F.struct(*(tags if n == "tags" else got[n] for n in order))
+
+
+def recovers(raw: Column) -> Column:
+    """Whether any of the patterns finds its field, be it empty."""
+    out = raw.rlike(_TAGS)
+    for p in _patterns().values():
+        out = out | raw.rlike(p)
+    return out
 
 
 def repaired_text(column):
     """Answers with the quotes inside their known text fields escaped: a pandas UDF, for rows that fail the strict tier."""
     import re
 
-    fields = re.compile(r'("(?:title|summary|category|correspondent|reason)"\s*:\s*")(.*?)(?="\s*(?:,\s*"[a-z_]+"\s*:|\}\s*$))', re.S)
+    fields = re.compile(r'"(title|summary|reason|correspondent|subcategory)"\s*:\s*"(.*?)"(?=\s*[,}])', re.S)
 
     @F.pandas_udf("string")
     def fix(s):
-        return s.map(lambda t: fields.sub(lambda m: m[1] + re.sub(r'(?<!\\)"', r'\\"', m[2]), t) if t is not None else None)
+        return s.map(lambda t: fields.sub(lambda m: f'"{m[1]}":"' + m[2].replace('"', '\\"') + '"', t) if t is not None else None)
 
     return fix(column)
 
 
-def parsed(answers: DataFrame) -> DataFrame:
-    """doc_id, tier and the answer: strict, then repaired, then recovered by patterns, then a placeholder. Only rows
-    that fail a tier go on to the next."""
+def parsed(answers: DataFrame, retries: DataFrame | None = None) -> DataFrame:
+    """doc_id, tier and the answer: strict, then repaired, then the same of a second answer if there is one (retries:
+    doc_id and raw, asked with a reminder), then by patterns from the second and from the first, then a placeholder. Only
+    rows that fail a tier go on to the next."""
     one = answers.withColumn("answer", strict(F.col("raw")))
     good = one.filter("answer is not null").select("doc_id", F.lit("strict").alias("tier"), "answer")
     two = one.filter("answer is null").withColumn("fixed", repaired_text(F.col("raw"))).withColumn("answer", strict(F.col("fixed")))
     mended = two.filter("answer is not null").select("doc_id", F.lit("repair").alias("tier"), "answer")
-    three = two.filter("answer is null").select("doc_id", recovered(F.col("raw")).alias("answer"))
-    some = F.coalesce(F.col("answer.title"), F.col("answer.summary"), F.col("answer.category"))
-    rest = three.select("doc_id", F.when(some.isNotNull(), "pattern").otherwise("placeholder").alias("tier"), "answer")
-    return good.unionByName(mended).unionByName(rest)
+    three, again = two.filter("answer is null").select("doc_id", "raw"), None
+    if retries is not None:
+        second = three.join(retries.select("doc_id", F.col("raw").alias("second")), "doc_id", "left")
+        tried = second.withColumn("answer", F.coalesce(strict(F.col("second")), strict(repaired_text(F.col("second")))))
+        again = tried.filter("answer is not null").select("doc_id", F.lit("retry").alias("tier"), "answer")
+        rest = tried.filter("answer is null")
+        raw = F.when(F.coalesce(recovers(F.col("second")), F.lit(False)), F.col("second")).otherwise(F.col("raw"))
+        three = rest.select("doc_id", raw.alias("raw"))
+    some = F.coalesce(recovers(F.col("raw")), F.lit(False))
+    last = three.select("doc_id", F.when(some, "pattern").otherwise("placeholder").alias("tier"), recovered(F.col("raw")).alias("answer"))
+    out = good.unionByName(mended).unionByName(last)
+    return out.unionByName(again) if again is not None else out
 
 
 def to_document(answers: DataFrame) -> DataFrame:
     """Parsed answers as document fields."""
     a = lambda n: F.col(f"answer.{n}")
-    full = F.concat_ws("/", F.coalesce(F.nullif(a("category"), F.lit("")), F.lit("Unknown")), F.nullif(a("subcategory"), F.lit("")))
+    full = F.concat_ws("/", F.coalesce(F.nullif(T.strip(a("category")), F.lit("")), F.lit("Unknown")), F.nullif(T.strip(a("subcategory")), F.lit("")))
+    amount = a("amount").try_cast("double")
+    kept = F.map_filter(F.create_map(F.lit("amount"), amount.cast("string"), F.lit("currency"), F.nullif(a("currency"), F.lit("")), F.lit("reason"), F.nullif(a("reason"), F.lit(""))), lambda k, v: v.isNotNull())
     review = F.coalesce(a("review") != "false", F.lit(True)) | (F.coalesce(a("summary"), F.lit("")) == "")
     sender = F.when(F.coalesce(a("correspondent"), F.lit("")).startswith("["), F.array_join(F.from_json(a("correspondent"), "array<string>"), ", ")).otherwise(a("correspondent"))
     return answers.select(
         "doc_id", "tier", F.coalesce(a("title"), F.lit("")).alias("title"), F.coalesce(a("summary"), F.lit("")).alias("summary"), T.semilist(F.coalesce(a("tags"), F.array().cast("array<string>"))).alias("tags"),
-        full.alias("category"), T.semilist(T.parties(sender)).alias("parties"), a("date").alias("date"), a("amount").try_cast("double").alias("amount"), a("currency").alias("currency"),
-        T.semilist(T.spoken(a("language"))).alias("langs"), T.confidence(a("confidence")).alias("confidence"), review.alias("review"),
+        full.alias("category"), T.semilist(T.parties(sender)).alias("parties"), a("date").alias("date"), amount.alias("amount"), a("currency").alias("currency"),
+        T.semilist(T.spoken(a("language"))).alias("langs"), T.confidence(a("confidence")).alias("confidence"), review.alias("review"), kept.alias("extra"),
     )

@@ -21,90 +21,162 @@ def set_join(files: DataFrame, docs: DataFrame) -> DataFrame:
     return on.select(F.coalesce("rel", "path").alias("rel"), side.alias("side"))
 
 
-def _ranked(frame: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return frame.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-
-
-def matched(missing: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """The k-th missing row of a key goes to the key's k-th free file; groups are disjoint, so this is the greedy match."""
-    a, b = _ranked(missing, keys, "old_path"), _ranked(found, keys, "new_path")
-    return a.join(b, [*keys, "rn"]).select("id", "old_path", "new_path", *keys)
-
-
-def renames(files: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pass 1 by size and hash, pass 2 by hash among what is left, orphans). A file that has a row of its own may
-    take a missing one too, as a merge."""
-    missing = docs.join(files, docs["path"] == files["rel"], "left_anti").select("id", F.col("path").alias("old_path"), "size", "hash")
-    free = files.select(F.col("rel").alias("new_path"), "size", "hash")
-    one = matched(missing, free, ["size", "hash"])
-    rest, left = missing.join(one, "id", "left_anti"), free.join(one, "new_path", "left_anti")
-    two = matched(rest.drop("size"), left.drop("size"), ["hash"])
-    orphans = rest.join(two, "id", "left_anti").select("id", F.col("old_path").alias("path"))
-    known = docs.select(F.col("path").alias("new_path"), F.lit(True).alias("known"))
-    label = lambda df: df.join(known, "new_path", "left").select("id", "old_path", "new_path", F.when(F.col("known"), "merge").otherwise("rename").alias("kind"))
+def rows_match(row_size: Column, row_time: Column, size: Column, mtime: Column) -> Column:
+    """Whether a row still describes its file, by size and time."""
+    return row_size.eqNullSafe(size) & row_time.eqNullSafe(mtime)
+
+
+def known_hashes(files: DataFrame, docs: DataFrame, rehash: bool = False) -> DataFrame:
+    """rel, size, mtime, hash as a scan knows it, fresh and known (has a row). A file whose row still describes it is not
+    read again: its hash is the row's, and not fresh; `rehash` reads all."""
+    rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("row_hash"), F.lit(True).alias("known"))
+    same = F.coalesce(F.col("known"), F.lit(False)) & rows_match(F.col("row_size"), F.col("modified"), F.col("size"), F.col("mtime")) & F.lit(not rehash)
+    joined = files.join(rows, "rel", "left")
+    return joined.select("rel", "size", "mtime", F.when(same, F.col("row_hash")).otherwise(F.col("hash")).alias("hash"), (~same).alias("fresh"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def _places(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """frame with __rn, each row's place by `name` among the rows of its side and keys: sums over ranges of names first, so
+    that a hash of very many files (empty ones) is no task of its own."""
+    cell = frame.withColumn("__part", F.substring(name, 1, 24))  # ranges of names, in their order
+    sums = cell.groupBy("side", *keys, "__part").agg(F.count("*").alias("__c"))
+    above = sums.withColumn("__before", F.sum("__c").over(Window.partitionBy("side", *keys).orderBy("__part")) - F.col("__c")).drop("__c")
+    own = cell.withColumn("__own", F.row_number().over(Window.partitionBy("side", *keys, "__part").orderBy(name)))
+    return own.join(above, ["side", *keys, "__part"]).withColumn("__rn", F.col("__before") + F.col("__own")).drop("__part", "__before", "__own")
+
+
+def _paired(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides ('missing', 'free') with the match: the k-th missing row of a key goes to its k-th free file;
+    groups are disjoint, so this is the greedy match."""
+    ranked = _places(both.filter(" and ".join(f"{k} is not null" for k in keys)), keys, "name")
+    won = ranked.groupBy(*keys, "__rn").agg(F.max(F.when(F.col("side") == "missing", F.col("id"))).alias("id"), F.max(F.when(F.col("side") == "missing", F.col("name"))).alias("old_path"), F.max(F.when(F.col("side") == "free", F.col("name"))).alias("new_path"), F.max(F.when(F.col("side") == "free", F.col("known"))).alias("known"))
+    return won.filter("id is not null and new_path is not null").select("id", "old_path", "new_path", F.when(F.col("known"), "merge").otherwise("rename").alias("kind"), *keys)
+
+
+def renames(files: DataFrame, docs: DataFrame, rehash: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pass 1 by size and hash, pass 2 by hash among what is left, orphans). A file that has a row of its own may take a
+    missing one too, as a merge. Pass 2 takes only files whose hash a scan works out anew: those without a row and those
+    that their row no longer describes."""
+    gone = docs.join(files, docs["path"] == files["rel"], "left_anti").select(F.lit("missing").alias("side"), "id", F.col("path").alias("name"), "size", "hash", F.lit(True).alias("fresh"), F.lit(False).alias("known"))
+    there = known_hashes(files, docs, rehash).select(F.lit("free").alias("side"), F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.col("rel").alias("name"), "size", "hash", "fresh", "known")
+    # only hashes that stand on both sides can match
+    shared = gone.select("hash").distinct()
+    both = gone.unionByName(there.join(shared, "hash", "left_semi"))
+    one = _paired(both, ["size", "hash"])
+    taken = one.select(F.lit("missing").alias("side"), F.col("old_path").alias("name")).unionByName(one.select(F.lit("free").alias("side"), F.col("new_path").alias("name")))
+    left = both.filter("fresh").join(taken, ["side", "name"], "left_anti")
+    two = _paired(left, ["hash"])
+    found = one.select("id").unionByName(two.select("id"))
+    orphans = gone.join(found, "id", "left_anti").select("id", F.col("name").alias("path"))
+    label = lambda df: df.select("id", "old_path", "new_path", "kind")
     return label(one), label(two), orphans
 
 
 def richness(row: str = "") -> Column:
-    """State rank, confidence rank, filled fields, digest time: the greater row wins a merge."""
+    """State rank, confidence rank, filled fields (title, summary, each tag), digest time: the greater row wins a merge."""
     c = lambda n: F.col(row + n)
     state = F.when(c("dup") == "keep", 2).when(c("dup") == "dup", 1).otherwise(0)
     sure = F.when(c("confidence") == "confirmed", 3).when(c("confidence") == "high", 2).when(c("confidence") == "medium", 1).otherwise(0)
-    filled = sum((F.when(F.coalesce(c(n), F.lit("")) != "", 1).otherwise(0) for n in ("parties", "tags", "date", "title", "summary")), F.lit(0))
+    filled = sum((F.when(F.coalesce(c(n), F.lit("")) != "", 1).otherwise(0) for n in ("title", "summary")), F.size(T.from_semilist(c("tags"))))
     return F.struct(state.alias("state"), sure.alias("sure"), filled.alias("filled"), F.coalesce(c("digested"), F.lit("")).alias("digested"))
 
 
+def meeting(files: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that meet on a target, their place in it (1 wins) and all of their columns."""
+    one, two, _ = renames(files, docs)
+    plan = one.unionByName(two).filter("kind = 'merge'").select("id", F.col("new_path").alias("target"))
+    rows = plan.unionByName(docs.join(plan.select("target").distinct(), docs["path"] == F.col("target")).select("id", "target"))
+    return rows.join(docs, "id").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(richness().desc(), "path")))
+
+
 def merged(files: DataFrame, docs: DataFrame) -> DataFrame:
     """For each merge: the winner, and its values with the loser's where it has none; lists are united."""
-    one, two, _ = renames(files, docs)
-    plan = one.unionByName(two).filter("kind = 'merge'").select(F.col("id").alias("a_id"), F.col("new_path").alias("target"))
-    # every row that meets on a target: the target's own and the missing ones
-    rows = plan.select(F.col("a_id").alias("id"), "target").unionByName(docs.join(plan.select("target").distinct(), docs["path"] == F.col("target")).select("id", "target"))
-    best = rows.join(docs, "id").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(richness().desc(), "path")))
-    order = lambda c: F.get(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("place", F.coalesce(c, F.lit("")).alias("v")))), lambda x: x["v"] != ""), lambda x: x["v"]), F.lit(0))
+    best = meeting(files, docs)
+    order = lambda c: F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("place")))
     united = lambda c: T.semilist(F.flatten(F.collect_list(T.from_semilist(F.col(c)))))
     return best.groupBy("target").agg(
-        F.min_by("id", "place").alias("winner"), F.count("*").cast("long").alias("n_rows"), order("title").alias("title"), order("summary").alias("summary"),
-        order("date").alias("date"), united("tags").alias("tags"), united("parties").alias("parties"), united("langs").alias("langs"),
+        F.min_by("id", "place").alias("winner"), F.count("*").cast("long").alias("n_rows"), *(order(c).alias(c) for c in ("category", "date", "title", "summary", "notes", "extra")),
+        *(united(c).alias(c) for c in ("tags", "parties", "langs")),
     )
 
 
+def in_scope(frame: DataFrame, prefix: str, path: str = "path") -> DataFrame:
+    """Rows at or below a prefix; all for an empty one."""
+    bare = prefix.rstrip("/")
+    return frame.filter((F.col(path) == bare) | F.col(path).startswith(bare + "/")) if bare else frame
+
+
+def scope_prefix(subpath: str | None, known: set[str] | None = None) -> str:
+    """The prefix of a scan's subtree: empty for all. A path that is absolute, leaves the root, or is not among the known
+    directories is an error."""
+    if not subpath:
+        return ""
+    import posixpath
+
+    if subpath.startswith("/") or (len(subpath) > 1 and subpath[1] == ":"):
+        raise ValueError(f"a subtree is named relative to the root: {subpath}")
+    plain = posixpath.normpath(subpath.replace("\\", "/"))
+    if plain == ".." or plain.startswith("../"):
+        raise ValueError(f"outside the root: {subpath}")
+    if known is not None and plain not in known:
+        raise FileNotFoundError(subpath)
+    return "" if plain == "." else plain + "/"
+
+
 def stale(files_mtime: Column, modified: Column) -> tuple[Column, Column]:
     """Whether the file is newer than the row says, and by how many whole days; unparsable times are not stale."""
     a, b = F.try_to_timestamp(files_mtime, F.lit("yyyy-MM-dd'T'HH:mm:ssX")), F.try_to_timestamp(modified, F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
     return F.coalesce(a > b, F.lit(False)), F.floor((F.unix_timestamp(a) - F.unix_timestamp(b)) / 86400)
 
 
+def _drifted(frame: DataFrame, engine: str, langs: str) -> Column:
+    """Done, with an engine or languages on record, and one of the two is not the current one; nulls count as empty."""
+    was, said = F.coalesce("engine_ver", F.lit("")), F.coalesce("langs", F.lit(""))
+    return (F.coalesce("done", F.lit("")) != "") & ((was != "") | (said != "")) & ((was != engine) | (T.languages(said) != T.languages(F.lit(langs))))
+
+
 def ocr_drift(ocr: DataFrame, engine: str = ENGINE, langs: str = LANGS) -> DataFrame:
     """Recognised rows whose engine or language set is not the current one."""
-    now = T.languages(F.lit(langs))
-    return ocr.filter(F.col("done").isNotNull() & F.col("engine_ver").isNotNull() & ((F.col("engine_ver") != engine) | (T.languages(F.col("langs")) != now)))
+    return ocr.filter(_drifted(ocr, engine, langs))
 
 
 def asr_drift(asr: DataFrame, engine: str = ASR_ENGINE, langs: str = ASR_LANGS) -> DataFrame:
     """The same for speech; what came from subtitles never drifts."""
-    now = T.languages(F.lit(langs))
-    return asr.filter(F.col("done").isNotNull() & (F.col("engine") != "subtitle") & ((F.col("engine_ver") != engine) | (T.languages(F.col("langs")) != now)))
-
-
-def worklist(files: DataFrame, docs: DataFrame, ocr: DataFrame, asr: DataFrame) -> DataFrame:
-    """rel, bucket and reason of every candidate, a file perhaps in several buckets. A changed file is only changed."""
-    both = files.select("rel", "mtime", F.col("hash").alias("file_hash")).join(docs, F.col("rel") == docs["path"])
-    new = files.join(docs, files["rel"] == docs["path"], "left_anti").select("rel", F.lit("new_files").alias("bucket"), F.lit("no_record").alias("reason"))
-    same = both.filter("file_hash = hash")
-    changed = both.filter("file_hash <> hash").select("rel", F.lit("changed_files").alias("bucket"), F.lit("content_changed").alias("reason"))
-    lack = F.array_compact(F.array(
-        F.when(F.coalesce("category", F.lit("")).isin("", "Unknown"), "category"),
-        F.when((F.coalesce("summary", F.lit("")) == "") & (F.coalesce("title", F.lit("")) == ""), "summary"), F.when(F.coalesce("tags", F.lit("")) == "", "tags"),
-    ))
-    partial = same.filter(F.size(lack) > 0).select("rel", F.lit("partial_metadata").alias("bucket"), F.array_join(lack, ",").alias("reason"))
+    return asr.filter((F.coalesce("engine", F.lit("")) != "subtitle") & _drifted(asr, engine, langs))
+
+
+def missing_fields() -> Column:
+    """Names of what a partial row lacks."""
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.array_compact(F.array(F.when(F.coalesce("category", F.lit("")).isin("", "Unknown"), "category"), F.when(none("summary") & none("title"), "summary"), F.when(none("tags"), "tags")))
+
+
+def worklist(files: DataFrame, docs: DataFrame, ocr: DataFrame, asr: DataFrame, *, force: bool = False, rehash: bool = False) -> DataFrame:
+    """rel, doc_id, file_hash, bucket, reason and details of every candidate, a file perhaps in several buckets.
+
+    A file that its row still describes (size and time) is not read: its hash is the row's. A file read anew whose hash is
+    another one is changed, and only that; `force` makes every file with a row changed. One join brings a file all it
+    needs; its buckets are built as a list and exploded."""
+    rows = docs.select(F.col("id").alias("doc_id"), F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("row_hash"), "category", "summary", "title", "tags")
+    mark = lambda drift, p: drift.select("doc_id", F.coalesce("engine_ver", F.lit("")).alias(f"{p}_engine"), F.coalesce("langs", F.lit("")).alias(f"{p}_langs"))
+    each = files.select("rel", "size", "mtime", "hash").join(rows, "rel", "left").join(mark(ocr_drift(ocr), "ocr"), "doc_id", "left").join(mark(asr_drift(asr), "asr"), "doc_id", "left")
+    known = F.col("doc_id").isNotNull()
+    fresh = ~known | F.lit(rehash) | ~rows_match(F.col("row_size"), F.col("modified"), F.col("size"), F.col("mtime"))
+    changed = known & fresh & ~F.col("hash").eqNullSafe(F.col("row_hash"))
+    details = lambda *pairs: F.map_filter(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v.cast("string")))), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    of = lambda bucket, reason, *pairs: F.struct(F.lit(bucket).alias("bucket"), F.lit(reason).alias("reason"), details(*pairs).alias("details"))
+    lack = missing_fields()
     is_stale, days = stale(F.col("mtime"), F.col("modified"))
-    old = same.filter(is_stale).select("rel", F.lit("stale_metadata").alias("bucket"), F.concat(days.cast("string"), F.lit(" days")).alias("reason"))
-    review = lambda drift, bucket: same.join(drift.select("doc_id"), same["id"] == F.col("doc_id"), "left_semi").select("rel", F.lit(bucket).alias("bucket"), F.lit("engine or languages").alias("reason"))
-    out = new
-    for part in (changed, partial, old, review(ocr_drift(ocr), "ocr_review"), review(asr_drift(asr), "asr_review")):
-        out = out.unionByName(part)
-    return out
+    drift = lambda p, engine, langs: (("previous_engine", F.col(f"{p}_engine")), ("previous_languages", F.col(f"{p}_langs")), ("current_engine", F.lit(engine)), ("current_languages", F.lit(langs)))
+    same = F.array_compact(F.array(
+        F.when(F.size(lack) > 0, of("partial_metadata", "partial_metadata", ("missing_fields", F.array_join(lack, ",")))),
+        F.when(is_stale, of("stale_metadata", "stale_metadata", ("metadata_modified", F.col("modified")), ("file_modified", F.col("mtime")), ("delta_days", days))),
+        F.when(F.col("ocr_engine").isNotNull(), of("ocr_review", "ocr_drift", *drift("ocr", ENGINE, LANGS))),
+        F.when(F.col("asr_engine").isNotNull(), of("asr_review", "asr_drift", *drift("asr", ASR_ENGINE, ASR_LANGS))),
+    ))
+    found = F.when(~known, F.array(of("new_files", "no_record"))).when(F.lit(force), F.array(of("changed_files", "force"))).when(changed, F.array(of("changed_files", "content_changed"))).otherwise(same)
+    file_hash = F.when(fresh, F.col("hash")).otherwise(F.col("row_hash"))
+    return each.select("rel", "doc_id", file_hash.alias("file_hash"), F.explode(found).alias("x")).select("rel", "doc_id", "file_hash", "x.bucket", "x.reason", "x.details")
 
 
 def first_bucket(candidates: DataFrame) -> DataFrame:
@@ -135,5 +207,5 @@ def inventory(files: DataFrame, docs: DataFrame) -> DataFrame:
 def trusted_hash(files: DataFrame, docs: DataFrame) -> DataFrame:
     """The stored hash where size and time agree, else the file's own."""
     rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("stored"))
-    agree = F.col("row_size").eqNullSafe(F.col("size")) & F.col("modified").eqNullSafe(F.col("mtime")) & F.col("stored").isNotNull()
+    agree = rows_match(F.col("row_size"), F.col("modified"), F.col("size"), F.col("mtime")) & F.col("stored").isNotNull()
     return files.join(rows, "rel", "left").select("rel", F.when(agree, F.col("stored")).otherwise(F.col("hash")).alias("hash"), F.coalesce(agree, F.lit(False)).alias("trusted"))

@@ -19,25 +19,41 @@ def spoken(segments: DataFrame) -> DataFrame:
 
 def speakers(segments: DataFrame) -> DataFrame:
     """Distinct speakers of each document in order of first appearance."""
-    firsts = segments.filter("speaker is not null").groupBy("doc_id", "speaker").agg(F.min("turn").alias("at"))
+    firsts = segments.filter("speaker is not null and speaker <> ''").groupBy("doc_id", "speaker").agg(F.min("turn").alias("at"))
     return firsts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "speaker"))), lambda x: x["speaker"]), ",").alias("speakers"), F.count("*").cast("long").alias("n_speakers"))
 
 
 def runs(segments: DataFrame) -> DataFrame:
-    """Neighbouring segments of one speaker as one, where a document has two speakers or more."""
-    many = speakers(spoken(segments)).filter("n_speakers >= 2").select("doc_id")
+    """Neighbouring segments of one speaker as one, `[speaker]` before its text, where a document has two speakers or more."""
+    many = speakers(segments).filter("n_speakers >= 2").select("doc_id")
     order = Window.partitionBy("doc_id").orderBy("turn")
     rows = spoken(segments).join(many, "doc_id", "left_semi").withColumn("new", F.when(F.lag("speaker").over(order).eqNullSafe(F.col("speaker")), 0).otherwise(1))
     numbered = rows.withColumn("run", F.sum("new").over(order))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", T.strip(F.col("text")).alias("text")))), lambda x: x["text"])
-    return numbered.groupBy("doc_id", "run").agg(F.first("speaker").alias("speaker"), F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.array_join(texts, " ").alias("text"))
+    return numbered.groupBy("doc_id", "run").agg(F.first("speaker").alias("speaker"), F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), labelled(F.first("speaker"), F.array_join(texts, " ")).alias("text"))
+
+
+def labelled(speaker: Column, text: Column) -> Column:
+    """`[speaker] text`, the text alone where no speaker is named."""
+    return F.when(F.coalesce(speaker, F.lit("")) != "", F.concat(F.lit("["), speaker, F.lit("] "), text)).otherwise(text)
+
+
+def full_texts(segments: DataFrame) -> DataFrame:
+    """doc_id and the transcript as a model reads it: a line for each run of a speaker where there are two or more, else
+    all texts in one line."""
+    plain = F.transform(F.array_sort(F.collect_list(F.struct("turn", T.strip(F.col("text")).alias("text")))), lambda x: x["text"])
+    alone = spoken(segments).groupBy("doc_id").agg(F.array_join(plain, " ").alias("plain"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"])
+    many = runs(segments).groupBy("doc_id").agg(F.array_join(told, "\n").alias("told"))
+    return alone.join(many, "doc_id", "left").select("doc_id", F.coalesce("told", "plain").alias("text"))
 
 
 def cues(segments: DataFrame) -> DataFrame:
-    """Numbered subtitle cues with their time lines; empty ones skipped."""
+    """Numbered subtitle cues with their time lines, speakers named, lines of right-to-left script marked; empty ones
+    skipped."""
     order = Window.partitionBy("doc_id").orderBy("seg_start", "turn")
     span = F.concat(T.srt_time(F.col("seg_start")), F.lit(" --> "), T.srt_time(F.col("seg_end")))
-    return spoken(segments).select("doc_id", F.row_number().over(order).cast("long").alias("cue"), span.alias("times"), T.strip(F.col("text")).alias("text"))
+    return spoken(segments).select("doc_id", F.row_number().over(order).cast("long").alias("cue"), span.alias("times"), F.array_join(F.transform(F.split(labelled(F.col("speaker"), T.strip(F.col("text"))), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), bidi), "\n").alias("text"))
 
 
 def merged_channels(segments: DataFrame) -> DataFrame:
@@ -73,3 +89,14 @@ def recording_type(tags: Column, path: Column, channels: Column, voice_ratio: Co
     music = F.arrays_overlap(names, F.array(*(F.lit(t) for t in MUSIC_TAGS)))
     by_path = [F.when(path.rlike(pattern), of(kind, "path_pattern", False)) for pattern, kind in patterns]
     return F.coalesce(F.when(music, of("music", "mutagen", True)), *by_path, F.when(channels >= 2, of("phone_call", "channel", True)), F.when(voice_ratio < 0.2, of("non_speech", "vad", True)), of("unknown", "default", False))
+
+
+#: Right-to-left letters, and the longest runs of Latin text within such a line.
+RIGHT_TO_LEFT = "[\u0590-\u05ff\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb1d-\ufdff\ufe70-\ufeff]"
+LATIN_RUN = r"""([A-Za-z](?:[A-Za-z0-9_ .,;:!?'"()\[\]\-+/]*[A-Za-z0-9_])?)"""
+
+
+def bidi(line: Column) -> Column:
+    """A line with right-to-left letters embedded as such, its Latin runs as left-to-right."""
+    inner = F.regexp_replace(line, LATIN_RUN, "\u202a$1\u202c")
+    return F.when(line.rlike(RIGHT_TO_LEFT), F.concat(F.lit("\u202b"), inner, F.lit("\u202c"))).otherwise(line)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import directories, documents, dups, queue, reconcile
+from docloom.operators import directories, documents, dups, lifecycle, queue, reconcile
 from docloom.plans.registry import query
 
 L = "BIGINT"
@@ -153,10 +153,12 @@ def scan_set_join(i):
 
 
 _MATCH = """WITH mi AS (SELECT id, path AS old_path, size, hash FROM fx_docs d WHERE NOT EXISTS (SELECT 1 FROM fx_fs f WHERE f.rel = d.path)),
+kn AS (SELECT f.rel, f.size, CASE WHEN d.path IS NOT NULL AND f.size IS NOT DISTINCT FROM d.size AND f.mtime IS NOT DISTINCT FROM d.modified THEN d.hash ELSE f.hash END AS hash,
+  NOT (d.path IS NOT NULL AND f.size IS NOT DISTINCT FROM d.size AND f.mtime IS NOT DISTINCT FROM d.modified) AS fresh FROM fx_fs f LEFT JOIN fx_docs d ON d.path = f.rel),
 p1 AS (SELECT a.id, a.old_path, b.rel AS new_path FROM (SELECT *, row_number() OVER (PARTITION BY size, hash ORDER BY old_path) AS rn FROM mi) a
-  JOIN (SELECT rel, size, hash, row_number() OVER (PARTITION BY size, hash ORDER BY rel) AS rn FROM fx_fs) b ON a.size = b.size AND a.hash = b.hash AND a.rn = b.rn),
+  JOIN (SELECT rel, size, hash, row_number() OVER (PARTITION BY size, hash ORDER BY rel) AS rn FROM kn) b ON a.size = b.size AND a.hash = b.hash AND a.rn = b.rn),
 p2 AS (SELECT a.id, a.old_path, b.rel AS new_path FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY old_path) AS rn FROM mi WHERE id NOT IN (SELECT id FROM p1)) a
-  JOIN (SELECT rel, hash, row_number() OVER (PARTITION BY hash ORDER BY rel) AS rn FROM fx_fs WHERE rel NOT IN (SELECT new_path FROM p1)) b ON a.hash = b.hash AND a.rn = b.rn)
+  JOIN (SELECT rel, hash, row_number() OVER (PARTITION BY hash ORDER BY rel) AS rn FROM kn WHERE fresh AND rel NOT IN (SELECT new_path FROM p1)) b ON a.hash = b.hash AND a.rn = b.rn)
 """
 _KIND = "CASE WHEN new_path IN (SELECT path FROM fx_docs) THEN 'merge' ELSE 'rename' END AS kind"
 
@@ -176,7 +178,7 @@ def scan_orphans(i):
     return reconcile.renames(i.fx_fs, i.fx_docs)[2]
 
 
-_RICH = "CASE dup WHEN 'keep' THEN 2 WHEN 'dup' THEN 1 ELSE 0 END DESC, CASE confidence WHEN 'confirmed' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, (coalesce(parties, '') <> '')::INT + (coalesce(tags, '') <> '')::INT + (coalesce(date, '') <> '')::INT + (coalesce(title, '') <> '')::INT + (coalesce(summary, '') <> '')::INT DESC, coalesce(digested, '') DESC, path"
+_RICH = "CASE dup WHEN 'keep' THEN 2 WHEN 'dup' THEN 1 ELSE 0 END DESC, CASE confidence WHEN 'confirmed' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, len(list_filter(string_split(coalesce(tags, ''), ';'), lambda x: x <> '')) + (coalesce(title, '') <> '')::INT + (coalesce(summary, '') <> '')::INT DESC, coalesce(digested, '') DESC, path"
 _MEET = _MATCH + f""", pl AS (SELECT id, new_path AS target FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) WHERE new_path IN (SELECT path FROM fx_docs)),
 ro AS (SELECT id, target FROM pl UNION ALL SELECT d.id, d.path FROM fx_docs d WHERE d.path IN (SELECT target FROM pl)),
 be AS (SELECT ro.target, d.*, row_number() OVER (PARTITION BY ro.target ORDER BY {_RICH}) AS place FROM ro JOIN fx_docs d ON d.id = ro.id)
@@ -191,20 +193,21 @@ def _united(c: str) -> str:
     return f"(SELECT CASE WHEN count(*) = 0 THEN '' ELSE ';' || string_agg(v, ';' ORDER BY v) || ';' END FROM (SELECT DISTINCT unnest(string_split(x, ';')) AS v) WHERE v <> '')"
 
 
-@query(_MEET + f"SELECT target, winner, n_rows, title, summary, date, {_united('t').replace('x,', 'tags,')} AS tags, {_united('p').replace('x,', 'parties,')} AS parties, {_united('l').replace('x,', 'langs,')} AS langs FROM (SELECT target, min(id) FILTER (place = 1) AS winner, CAST(count(*) AS BIGINT) AS n_rows, {_first_full('title')}, {_first_full('summary')}, {_first_full('date')}, string_agg(tags, ';') AS tags, string_agg(parties, ';') AS parties, string_agg(langs, ';') AS langs FROM be GROUP BY target)", "fx_docs", "fx_fs")
+@query(_MEET + f"SELECT target, winner, n_rows, category, date, title, summary, notes, extra, {_united('t').replace('x,', 'tags,')} AS tags, {_united('p').replace('x,', 'parties,')} AS parties, {_united('l').replace('x,', 'langs,')} AS langs FROM (SELECT target, min(id) FILTER (place = 1) AS winner, CAST(count(*) AS BIGINT) AS n_rows, {', '.join(map(_first_full, ('category', 'date', 'title', 'summary', 'notes', 'extra')))}, string_agg(tags, ';') AS tags, string_agg(parties, ';') AS parties, string_agg(langs, ';') AS langs FROM be GROUP BY target)", "fx_docs", "fx_fs")
 def scan_merged_values(i):
     return reconcile.merged(i.fx_fs, i.fx_docs)
 
 
-_DRIFT_O = "done IS NOT NULL AND engine_ver IS NOT NULL AND (engine_ver <> 'tesseract 5.5.0' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['eng','heb'])"
-_DRIFT_A = "done IS NOT NULL AND engine <> 'subtitle' AND (engine_ver <> 'engine 1.1 model=b' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['en','he'])"
-_WORK = f"""WITH bo AS (SELECT f.rel, f.mtime, f.hash AS fh, d.* FROM fx_fs f JOIN fx_docs d ON d.path = f.rel), sa AS (SELECT * FROM bo WHERE fh = hash),
-w AS (SELECT rel, 'new_files' AS bucket, 'no_record' AS reason, 1 AS k FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)
-UNION ALL SELECT rel, 'changed_files', 'content_changed', 2 FROM bo WHERE fh <> hash
-UNION ALL SELECT rel, 'partial_metadata', concat_ws(',', CASE WHEN category IN ('', 'Unknown') THEN 'category' END, CASE WHEN summary = '' AND coalesce(title, '') = '' THEN 'summary' END, CASE WHEN tags = '' THEN 'tags' END), 3 FROM sa WHERE category IN ('', 'Unknown') OR (summary = '' AND coalesce(title, '') = '') OR tags = ''
-UNION ALL SELECT rel, 'stale_metadata', CAST(CAST(floor(epoch(mtime::TIMESTAMP - modified::TIMESTAMP) / 86400) AS BIGINT) AS VARCHAR) || ' days', 4 FROM sa WHERE mtime::TIMESTAMP > modified::TIMESTAMP
-UNION ALL SELECT rel, 'ocr_review', 'engine or languages', 5 FROM sa WHERE id IN (SELECT doc_id FROM fx_ocr WHERE {_DRIFT_O})
-UNION ALL SELECT rel, 'asr_review', 'engine or languages', 6 FROM sa WHERE id IN (SELECT doc_id FROM fx_asr WHERE {_DRIFT_A}))
+_DRIFT_O = "coalesce(done, '') <> '' AND (coalesce(engine_ver, '') <> '' OR coalesce(langs, '') <> '') AND (coalesce(engine_ver, '') <> 'tesseract 5.5.0' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['eng','heb'])"
+_DRIFT_A = "coalesce(done, '') <> '' AND coalesce(engine, '') <> 'subtitle' AND (coalesce(engine_ver, '') <> '' OR coalesce(langs, '') <> '') AND (coalesce(engine_ver, '') <> 'engine 1.1 model=b' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['en','he'])"
+_WORK = f"""WITH bo AS (SELECT f.rel, f.mtime, f.hash AS fh, NOT (f.size IS NOT DISTINCT FROM d.size AND f.mtime IS NOT DISTINCT FROM d.modified) AS fresh, d.* FROM fx_fs f JOIN fx_docs d ON d.path = f.rel),
+sa AS (SELECT * FROM bo WHERE NOT (fresh AND fh IS DISTINCT FROM hash)),
+w AS (SELECT rel, 'new_files' AS bucket, 'no_record' AS reason, 1 AS k, hash AS file_hash, '' AS details FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)
+UNION ALL SELECT rel, 'changed_files', 'content_changed', 2, fh, '' FROM bo WHERE fresh AND fh IS DISTINCT FROM hash
+UNION ALL SELECT rel, 'partial_metadata', 'partial_metadata', 3, hash, 'missing_fields=' || concat_ws(',', CASE WHEN coalesce(category, '') IN ('', 'Unknown') THEN 'category' END, CASE WHEN coalesce(summary, '') = '' AND coalesce(title, '') = '' THEN 'summary' END, CASE WHEN coalesce(tags, '') = '' THEN 'tags' END) FROM sa WHERE coalesce(category, '') IN ('', 'Unknown') OR (coalesce(summary, '') = '' AND coalesce(title, '') = '') OR coalesce(tags, '') = ''
+UNION ALL SELECT rel, 'stale_metadata', 'stale_metadata', 4, hash, 'delta_days=' || CAST(CAST(floor(epoch(mtime::TIMESTAMP - modified::TIMESTAMP) / 86400) AS BIGINT) AS VARCHAR) || ';file_modified=' || mtime || ';metadata_modified=' || modified FROM sa WHERE mtime::TIMESTAMP > modified::TIMESTAMP
+UNION ALL SELECT rel, 'ocr_review', 'ocr_drift', 5, sa.hash, 'current_engine=tesseract 5.5.0;current_languages=heb+eng;previous_engine=' || coalesce(o.engine_ver, '') || ';previous_languages=' || coalesce(o.langs, '') FROM sa JOIN (SELECT * FROM fx_ocr WHERE {_DRIFT_O}) o ON o.doc_id = sa.id
+UNION ALL SELECT rel, 'asr_review', 'asr_drift', 6, sa.hash, 'current_engine=engine 1.1 model=b;current_languages=he,en;previous_engine=' || coalesce(a.engine_ver, '') || ';previous_languages=' || coalesce(a.langs, '') FROM sa JOIN (SELECT * FROM fx_asr WHERE {_DRIFT_A}) a ON a.doc_id = sa.id)
 """
 _WV = ("fx_docs", "fx_fs", "fx_ocr", "fx_asr")
 
@@ -213,14 +216,46 @@ def _work(i):
     return reconcile.worklist(i.fx_fs, i.fx_docs, i.fx_ocr, i.fx_asr)
 
 
-@query(_WORK + "SELECT rel, bucket, reason FROM w", *_WV)
+def _told(details):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(details)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+@query(_WORK + "SELECT rel, bucket, reason, file_hash, details FROM w", *_WV)
 def scan_worklist(i):
-    return _work(i)
+    return _work(i).select("rel", "bucket", "reason", "file_hash", _told(F.col("details")).alias("details"))
+
+
+@query("SELECT f.rel, CASE WHEN d.path IS NULL THEN 'no_record' ELSE 'force' END AS reason FROM fx_fs f LEFT JOIN fx_docs d ON d.path = f.rel", *_WV)
+def scan_forced(i):
+    return reconcile.worklist(i.fx_fs, i.fx_docs, i.fx_ocr, i.fx_asr, force=True).select("rel", "reason")
+
+
+@query("SELECT f.rel, d.path IS NULL OR f.size IS DISTINCT FROM d.size OR f.mtime IS DISTINCT FROM d.modified AS fresh FROM fx_fs f LEFT JOIN fx_docs d ON d.path = f.rel", "fx_docs", "fx_fs")
+def scan_selective_rehash(i):
+    return reconcile.known_hashes(i.fx_fs, i.fx_docs).select("rel", "fresh")
+
+
+@query("SELECT id, path FROM fx_docs WHERE path = 'Inbox/src1' OR starts_with(path, 'Inbox/src1/')", "fx_docs")
+def scan_scope(i):
+    return reconcile.in_scope(i.fx_docs, reconcile.scope_prefix("Inbox/./src1")).select("id", "path")
+
+
+@query(_MEET + "SELECT target, id AS winner FROM be WHERE place = 1", "fx_docs", "fx_fs")
+def scan_merge_winner(i):
+    return reconcile.meeting(i.fx_fs, i.fx_docs).filter("place = 1").select("target", F.col("id").alias("winner"))
+
+
+_VIEW_OF = "CASE bucket WHEN 'new_files' THEN 'files_needing_metadata' WHEN 'partial_metadata' THEN 'files_with_partial_metadata' WHEN 'stale_metadata' THEN 'files_with_stale_metadata' WHEN 'ocr_review' THEN 'ocr_review_candidates' WHEN 'asr_review' THEN 'asr_review_candidates' ELSE bucket END"
+
+
+@query(_WORK + f"SELECT view, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_VIEW_OF} AS view FROM w UNION ALL SELECT 'files_needing_ocr' FROM w WHERE k = 1 AND regexp_matches(lower(rel), '\\.(jpe?g|png|gif|bmp|tiff?|webp|hei[cf])$') UNION ALL SELECT 'files_needing_asr' FROM w WHERE k = 1 AND regexp_matches(lower(rel), '\\.(amr|mp3|m4a|wav|ogg|opus|flac|aac|mp4|mkv|mov|avi|webm|wmv|flv|m4v)$')) GROUP BY view", *_WV)
+def scan_report(i):
+    return lifecycle.report(_work(i))
 
 
 @query(_WORK + "SELECT rel, bucket, reason FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY k) AS rn FROM w) WHERE rn = 1", *_WV)
 def scan_candidates(i):
-    return reconcile.first_bucket(_work(i))
+    return reconcile.first_bucket(_work(i)).select("rel", "bucket", "reason")
 
 
 @query(_WORK + "SELECT bucket, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY bucket", *_WV)
@@ -228,14 +263,14 @@ def scan_bucket_counts(i):
     return _work(i).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query(_WORK + "SELECT rel, reason FROM w WHERE k = 3", *_WV)
+@query(_WORK + "SELECT rel, details FROM w WHERE k = 3", *_WV)
 def scan_partial(i):
-    return _work(i).filter("bucket = 'partial_metadata'").select("rel", "reason")
+    return _work(i).filter("bucket = 'partial_metadata'").select("rel", _told(F.col("details")).alias("details"))
 
 
-@query(_WORK + "SELECT rel, reason FROM w WHERE k = 4", *_WV)
+@query(_WORK + "SELECT rel, details FROM w WHERE k = 4", *_WV)
 def scan_stale(i):
-    return _work(i).filter("bucket = 'stale_metadata'").select("rel", "reason")
+    return _work(i).filter("bucket = 'stale_metadata'").select("rel", _told(F.col("details")).alias("details"))
 
 
 @query(f"SELECT * FROM fx_ocr WHERE {_DRIFT_O}", "fx_ocr")
@@ -278,10 +313,12 @@ def dirs_opaque_ancestor(i):
     return directories.opaque_ancestors(i.fx_docs, i.fx_dirs)
 
 
-_FILES = rf"(SELECT regexp_replace(rel, '/[^/]*$', '') AS dir, {_SUFFIX} AS suffix, regexp_extract(rel, '[^/]*$') AS name, size FROM fx_fs)"
+_FILES = rf"(SELECT regexp_replace(rel, '/[^/]*$', '') AS dir, coalesce(nullif({_SUFFIX}, ''), '<noext>') AS suffix, regexp_extract(rel, '[^/]*$') AS name, size FROM fx_fs)"
+_TREE = "(SELECT DISTINCT array_to_string(parts[1:k], '/') AS rel FROM (SELECT string_split(rel, '/') AS parts, unnest(range(1, CAST(len(string_split(rel, '/')) AS BIGINT))) AS k FROM fx_fs))"
+_SAMPLE = f"f AS {_FILES}, ki AS (SELECT dir, suffix, min(name) AS lead FROM f GROUP BY ALL), p AS (SELECT f.*, lead, row_number() OVER (PARTITION BY f.dir, f.suffix ORDER BY name) AS k, (SELECT count(*) FROM ki g WHERE g.dir = f.dir) AS kinds FROM f JOIN ki ON ki.dir = f.dir AND ki.suffix = f.suffix), c AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY lead, name) AS a FROM p WHERE k <= greatest(1, 10 // kinds)), sn AS (SELECT dir, suffix, name FROM c WHERE a <= 10)"
 
 
-@query(f"SELECT dir, CAST(count(*) AS BIGINT) AS n_files, round(sum(size) / 1048576, 2) AS mb, CAST(count(DISTINCT suffix) AS BIGINT) AS n_suffixes FROM {_FILES} GROUP BY dir", "fx_fs")
+@query(f"WITH {_SAMPLE}, own AS (SELECT dir, count(*) AS n, round(sum(size) / 1048576, 2) AS mb, count(DISTINCT suffix) AS s FROM f GROUP BY dir), sd AS (SELECT CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '' END AS dir, count(*) AS n FROM {_TREE} GROUP BY 1), te AS (SELECT dir, bool_or(regexp_matches(name, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{8}}_\\d{{6}}|(?i:IMG_\\d+)|(?i:DSC[N]?_?\\d+)|\\[[^\\]]+\\]_\\d+_\\d{{4}}')) AS t FROM sn GROUP BY dir) SELECT coalesce(own.dir, sd.dir) AS dir, CAST(coalesce(own.n, 0) AS BIGINT) AS n_files, CAST(coalesce(sd.n, 0) AS BIGINT) AS n_dirs, coalesce(mb, 0.0) AS mb, CAST(coalesce(s, 0) AS BIGINT) AS n_suffixes, coalesce(t, FALSE) AS templated FROM own FULL JOIN sd ON own.dir = sd.dir LEFT JOIN te ON te.dir = coalesce(own.dir, sd.dir)", "fx_fs")
 def dirs_summary(i):
     return directories.summary(i.fx_fs)
 
@@ -291,7 +328,7 @@ def dirs_ext_histogram(i):
     return directories.histogram(i.fx_fs)
 
 
-@query(f"WITH f AS {_FILES}, p AS (SELECT dir, suffix, name, row_number() OVER (PARTITION BY dir, suffix ORDER BY name) AS k, (SELECT count(DISTINCT suffix) FROM f g WHERE g.dir = f.dir) AS kinds FROM f), c AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY suffix, name) AS a FROM p WHERE k <= greatest(1, 12 // kinds)) SELECT dir, suffix, name FROM c WHERE a <= 12", "fx_fs")
+@query(f"WITH {_SAMPLE} SELECT * FROM sn", "fx_fs")
 def dirs_sample_names(i):
     return directories.sample_names(i.fx_fs)
 
@@ -307,7 +344,11 @@ def dirs_upsert(i):
     return directories.upserted(i.fx_dirs, new)
 
 
-@query()
+_ENTRIES = f"e AS (SELECT rel, CAST(size AS BIGINT) AS size FROM fx_fs UNION ALL SELECT rel, NULL FROM {_TREE}), x AS (SELECT t.rel AS dir, substr(e.rel, length(t.rel) + 2) AS inner_path, e.size FROM {_TREE} t JOIN e ON starts_with(e.rel, t.rel || '/'))"
+
+
+@query(f"""WITH {_ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY len(string_split(inner_path, '/')), list_transform(string_split(inner_path, '/'), lambda p: lower(p)), inner_path) AS rn FROM x)
+SELECT dir, sha256('[' || string_agg('["' || inner_path || '",' || coalesce(CAST(size AS VARCHAR), 'null') || ']', ',' ORDER BY rn) || ']') AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM r WHERE rn <= 256 GROUP BY dir""", "fx_fs")
 def dirs_fingerprint(i):
     return directories.fingerprint(i.fx_fs)
 
@@ -340,7 +381,13 @@ def docs_mark_digested(i):
     return documents.marked_digested(i.fx_docs, ["Inbox/doc_000004.mp3", "Inbox/doc_000008.txt"], "2024-06-01T00:00:00.000000Z").select("id", "digested")
 
 
-@query()
+_AIM = r"""ai AS (SELECT id, path, hash, CASE WHEN coalesce(category, '') = '' THEN 'Unknown' ELSE category END || '/' || concat_ws(' - ', nullif(coalesce(date, ''), ''),
+  nullif(trim(regexp_replace(regexp_replace(coalesce((list_filter(string_split(parties, ';'), lambda x: x <> ''))[1], ''), '[\\\\/:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), ''),
+  nullif(substr(trim(regexp_replace(regexp_replace(CASE WHEN coalesce(title, '') <> '' THEN title WHEN coalesce(summary, '') <> '' THEN array_to_string(list_filter(regexp_split_to_array(summary, '\s+'), lambda x: x <> '')[1:6], ' ') ELSE 'untitled' END, '[\\\\/:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), 1, 120), ''))
+  || lower(regexp_extract(path, '\.[^./]*$')) AS target FROM fx_docs)""".replace("\\\\/", "\\\\/")
+
+
+@query(f"WITH {_AIM}, pl AS (SELECT a.*, row_number() OVER (PARTITION BY target ORDER BY a.id) AS turn, d.hash AS there FROM ai a LEFT JOIN fx_docs d ON d.path = a.target) SELECT id AS doc_id, path AS source, target, CASE WHEN path = target THEN 'noop' WHEN there = hash THEN 'same' WHEN there IS NOT NULL OR turn > 1 THEN 'collision' ELSE 'move' END AS status FROM pl", "fx_docs")
 def file_into_category(i):
     return documents.filing_plan(i.fx_docs)
 
@@ -357,7 +404,29 @@ def orphan_purge(i):
     return documents.purged_orphans(i.fx_docs, i.fx_fs, i.fx_dirs).select("id", "path")
 
 
-@query("SELECT id, path, 'unique' AS dup, '' AS notes, '{}' AS extra FROM fx_docs", "fx_docs")
+def _migrated(i):
+    old = {"docs": i.fx_docs.select("id", "path"), "triage_queue": i.fx_triage, "asr": i.fx_asr.select("doc_id", "decision"), "dirs": i.fx_dirs.withColumn("fingerprint", F.lit("old"))}
+    return documents.migrate(old, 1)
+
+
+@query("SELECT id, path, 'unique' AS dup FROM fx_docs", "fx_docs")
 def migrate_v1_to_v8(i):
-    old = {"docs": i.fx_docs.select("id", "path"), "triage_queue": i.fx_triage, "asr": i.fx_asr.select("doc_id"), "dirs": i.fx_dirs}
-    return documents.migrate(old, 1)["docs"]
+    return _migrated(i)["docs"]
+
+
+@query("SELECT doc_id, decision, CAST(0 AS BIGINT) AS diarized, CAST(NULL AS BIGINT) AS channels, '' AS speakers, CAST(NULL AS VARCHAR) AS srt_path, CAST(NULL AS VARCHAR) AS json_path, CAST(NULL AS DOUBLE) AS lang_prob, 'unknown' AS recording_type FROM fx_asr", "fx_asr")
+def migrate_speech(i):
+    return _migrated(i)["asr"]
+
+
+@query("SELECT path, mode, source, CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS listing_id, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS decided_at, CAST(NULL AS DOUBLE) AS confidence FROM fx_dirs", "fx_dirs")
+def migrate_dirs(i):
+    return _migrated(i)["dirs"]
+
+
+@query("SELECT 'triage' AS name, CAST(count(*) AS BIGINT) AS n FROM fx_triage UNION ALL SELECT 'proposals', 0", "fx_triage")
+def migrate_tables(i):
+    db = _migrated(i)
+    assert "triage_queue" not in db
+    tally = lambda name: db[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    return tally("triage").unionByName(tally("proposals"))

@@ -47,9 +47,22 @@ def events_latest_id(i):
     return i.fx_events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"))
 
 
-@query("SELECT * FROM (SELECT id, CASE WHEN kind = 'digest_finished' AND r > 0 THEN 'Documents' WHEN (kind = 'digest_finished' AND f > 0) OR kind = 'error' THEN 'Error' END AS title, CASE WHEN kind = 'digest_finished' AND r > 0 THEN r || CASE WHEN r = 1 THEN ' file' ELSE ' files' END || ' ready for triage' WHEN kind = 'digest_finished' AND f > 0 THEN 'failed to digest ' || n WHEN kind = 'error' THEN n || ': ?' END AS body FROM (SELECT id, kind, CAST(payload::JSON->>'ready_count' AS INT) AS r, CAST(payload::JSON->>'failed' AS INT) AS f, payload::JSON->>'file' AS n FROM fx_events)) WHERE title IS NOT NULL", "fx_events")
+_KINDS = """ev AS (SELECT id, CASE id % 6 WHEN 1 THEN 'processed' WHEN 2 THEN 'paused' ELSE kind END AS kind, CASE id % 6 WHEN 1 THEN '{"file": "f' || id || '.pdf", "category": "Legal"' || CASE WHEN id % 4 = 1 THEN ', "target": "Legal/x"' ELSE '' END || '}' WHEN 2 THEN '{"by": "u' || id || '", "n": ' || id || ', "why": null, "ok": true}' WHEN 3 THEN '{"file": "f' || id || '", "error": "e' || id % 5 || '"}' ELSE payload END AS payload FROM fx_events)"""
+
+
+@query(f"""WITH {_KINDS}, x AS (SELECT id, kind, payload, coalesce(TRY_CAST(payload::JSON->>'ready_count' AS INT), 0) AS r, coalesce(TRY_CAST(payload::JSON->>'failed' AS INT), 0) AS f, payload::JSON->>'file' AS n, payload::JSON->>'error' AS e, payload::JSON->>'category' AS c, payload::JSON->>'target' AS t FROM ev)
+SELECT id, CASE WHEN (kind = 'digest_finished' AND r <= 0) OR kind = 'error' THEN 'Error' ELSE 'Documents' END AS title,
+  CASE WHEN kind = 'digest_finished' AND r > 0 THEN r || CASE WHEN r = 1 THEN ' file' ELSE ' files' END || ' ready for triage' WHEN kind = 'digest_finished' THEN 'failed to digest ' || coalesce(nullif(n, ''), '?') WHEN kind = 'error' THEN coalesce(n, '?') || ': ' || coalesce(e, '?')
+  WHEN kind = 'processed' THEN coalesce(n, '?') || ' → ' || coalesce(c, '?') || coalesce(' (' || nullif(t, '') || ')', '') ELSE kind || ': ' || replace(replace(replace(payload, ': null', ': None'), ': true', ': True'), '"', chr(39)) END AS body
+FROM x WHERE kind NOT IN ('scan_finished', 'scan_started', 'digest_started') AND NOT (kind = 'digest_finished' AND r <= 0 AND f <= 0)""", "fx_events")
 def events_toasts(i):
-    return journal.toasts(i.fx_events)
+    k, n = F.col("id") % 6, F.col("id").cast("string")
+    kind = F.when(k == 1, "processed").when(k == 2, "paused").otherwise(F.col("kind"))
+    filed = F.concat(F.lit('{"file": "f'), n, F.lit('.pdf", "category": "Legal"'), F.when(F.col("id") % 4 == 1, ', "target": "Legal/x"').otherwise(""), F.lit("}"))
+    other = F.concat(F.lit('{"by": "u'), n, F.lit('", "n": '), n, F.lit(', "why": null, "ok": true}'))
+    broken = F.concat(F.lit('{"file": "f'), n, F.lit('", "error": "e'), (F.col("id") % 5).cast("string"), F.lit('"}'))
+    payload = F.when(k == 1, filed).when(k == 2, other).when(k == 3, broken).otherwise(F.col("payload"))
+    return journal.toasts(i.fx_events.withColumns({"kind": kind, "payload": payload}))
 
 
 @query("SELECT max(id) AS id, arg_max_null(CASE kind WHEN 'digest_started' THEN 'Digesting ' || (payload::JSON->>'file') WHEN 'scan_started' THEN 'Scanning…' END, id) AS label FROM fx_events WHERE kind IN ('digest_started', 'digest_finished', 'scan_started', 'scan_finished')", "fx_events")
@@ -57,11 +70,20 @@ def events_run_state(i):
     return journal.run_state(i.fx_events)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY ts, id) AS k, id, ts FROM (SELECT event_id + 1 AS id, ts FROM events)),
+w AS (SELECT k, id, ts, ts AS opened FROM e WHERE k = 1 UNION ALL SELECT e.k, e.id, e.ts, CASE WHEN e.ts - w.opened >= INTERVAL 5 SECOND THEN e.ts ELSE w.opened END FROM w JOIN e ON e.k = w.k + 1)
+SELECT min(ts) AS opened, CAST(count(*) AS BIGINT) AS n, arg_max(id, k) AS last_id FROM (SELECT *, sum(CASE WHEN opened = ts AND k = first_k THEN 1 ELSE 0 END) OVER (ORDER BY k) AS window_no FROM (SELECT *, min(k) OVER (PARTITION BY opened) AS first_k FROM w)) GROUP BY window_no""")
 def events_debounced(i):
     return journal.debounced(i.fx_events)
 
 
+@query("SELECT n, CASE WHEN n > 1 THEN 'Documents' ELSE 't' || n END AS title, CASE WHEN n > 1 THEN 'Processed ' || n || ' files; latest: t' || n ELSE 'b' || n END AS body FROM (SELECT doc_id % 4 AS n FROM documents)")
+def notices(i):
+    n = F.col("doc_id") % 4
+    made = journal.notice(n, F.concat(F.lit("t"), n.cast("string")), F.concat(F.lit("b"), n.cast("string")))
+    return i.documents.select(n.alias("n"), made.alias("x")).select("n", "x.title", "x.body")
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 _TRIM = "CASE WHEN length({c}) <= {n} THEN {c} WHEN regexp_matches(substr({c}, {n} - 49, 50), '[ \\n\\t]') THEN regexp_replace(substr({c}, 1, {n} - 50) || regexp_extract(substr({c}, {n} - 49, 50), '(?s)^(.*)[ \\n\\t]', 1), '\\s+$', '') ELSE regexp_replace(substr({c}, 1, {n}), '\\s+$', '') END"
@@ -90,10 +112,13 @@ def text_sections_rendered(i):
     return recognition.rendered(recognition.capped_pages(i.fx_pages, per_page=300, enough=800), totals)
 
 
-@query("SELECT doc_id, starts_with(t, 'BM') OR contains(t, chr(65533)) AND length(regexp_replace(t, '[^\\x{FFFD}]', '', 'g')) / length(t) > 0.01 OR length(regexp_replace(t, '[^\\x01-\\x08]', '', 'g')) / greatest(length(t), 1) > 0.05 AS garbled FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'BM' || text WHEN 2 THEN substr(text, 1, 20) || chr(65533) ELSE repeat(chr(2), 9) || substr(text, 1, 90) END AS t FROM documents)")
+_ODD = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'BM' || text WHEN 2 THEN text || repeat(chr(65533), CAST(length(text) // 40 AS BIGINT) + 1) ELSE repeat(chr(2), CAST(length(text) // 10 AS BIGINT) + 1) || text END"
+
+
+@query(f"SELECT doc_id, starts_with(t, 'BM') OR contains(t, chr(65533)) AND length(regexp_replace(t, '[^\\x{{FFFD}}]', '', 'g')) / length(t) > 0.01 OR length(regexp_replace(t, '[^\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) / greatest(length(t), 1) > 0.05 AS garbled FROM (SELECT doc_id, {_ODD} AS t FROM documents)")
 def text_garbled(i):
-    kind = F.col("doc_id") % 4
-    t = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("BM"), "text")).when(kind == 2, F.concat(F.substring("text", 1, 20), F.lit("\ufffd"))).otherwise(F.concat(F.lit("\x02" * 9), F.substring("text", 1, 90)))
+    kind, n = F.col("doc_id") % 4, F.length("text")
+    t = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("BM"), "text")).when(kind == 2, F.concat("text", F.repeat(F.lit("\ufffd"), (F.floor(n / 40) + 1).cast("int")))).otherwise(F.concat(F.repeat(F.lit("\x02"), (F.floor(n / 10) + 1).cast("int")), "text"))
     return i.documents.select("doc_id", T.garbled(F.encode(t, "UTF-8"), t).alias("garbled"))
 
 
@@ -110,7 +135,7 @@ def ocr_page_ranges(i):
     return recognition.page_ranges(i.fx_pages.filter(F.length(T.strip(F.col("page_text"))) < 50))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'pages' WHEN toxic = 1 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'unavailable' ELSE 'none' END AS outcome FROM labels")
+@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'ocr_pages' WHEN toxic = 1 THEN 'ocr_failed' WHEN doc_id % 2 = 0 THEN 'ocr_unavailable' ELSE 'no_ocr' END AS outcome FROM labels")
 def ocr_outcome(i):
     return i.labels.select("doc_id", recognition.outcome(1 - F.col("quality"), F.col("toxic") == 1, F.col("doc_id") % 2 != 0).alias("outcome"))
 
@@ -138,7 +163,7 @@ def path_normalize(i):
     return i.fx_raw_paths.select("page_id", T.normal_path(F.col("raw")).alias("path"))
 
 
-_SLUG = r"""trim(substr(trim(regexp_replace(regexp_replace({c}, '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g')), 1, 120))"""
+_SLUG = r"""substr(trim(regexp_replace(regexp_replace({c}, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')), 1, 120)"""
 
 
 @query(f"SELECT doc_id, {_SLUG.format(c='text')} AS slug FROM documents")
@@ -146,14 +171,22 @@ def slugify(i):
     return i.documents.select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT id, concat_ws(' - ', date, coalesce(nullif({_SLUG.format(c='title')}, ''), nullif({_SLUG.format(c=chr(39) + chr(39) + ' || array_to_string(list_filter(regexp_split_to_array(summary, ' + chr(39) + chr(92) + 's+' + chr(39) + '), lambda x: x <> ' + chr(39) * 2 + ')[1:6], ' + chr(39) + ' ' + chr(39) + ')')}, ''), 'untitled')) || lower(regexp_extract(path, '\\.[^./]*$')) AS name FROM fx_docs", "fx_docs")
+_TOPIC = r"CASE WHEN coalesce(title, '') <> '' THEN title WHEN coalesce(summary, '') <> '' THEN array_to_string(list_filter(regexp_split_to_array(summary, '\s+'), lambda x: x <> '')[1:6], ' ') ELSE 'untitled' END"
+_SENDER = "coalesce((list_filter(string_split(parties, ';'), lambda x: x <> ''))[1], '')"
+
+
+@query(f"SELECT id, coalesce(nullif(concat_ws(' - ', nullif({_SLUG.format(c=chr(39) * 2 + ' || coalesce(date, ' + chr(39) * 2 + ')')}, ''), nullif({_SLUG.format(c=_SENDER)}, ''), nullif({_SLUG.format(c=_TOPIC)}, '')), ''), 'untitled') || '.' || ltrim(lower(regexp_extract(path, '\\.[^./]*$')), '.') AS name FROM fx_docs", "fx_docs")
 def smart_filename(i):
-    return i.fx_docs.select("id", T.smart_name(F.col("date"), F.lit(None).cast("string"), F.col("title"), F.col("summary"), T.suffix_of(F.col("path"))).alias("name"))
+    sender = F.get(T.from_semilist(F.col("parties")), F.lit(0))
+    return i.fx_docs.select("id", T.smart_name(F.col("date"), sender, F.col("title"), F.col("summary"), T.suffix_of(F.col("path"))).alias("name"))
+
+
+_NAMES = "CASE doc_id % 7 WHEN 0 THEN lang || ', ' || source || '; x/y' WHEN 1 THEN lang || ' and ' || source WHEN 2 THEN lang || ' & ' || source WHEN 3 THEN 'Sand & Co.' WHEN 4 THEN ' ; ' WHEN 5 THEN '' ELSE source || '&' || lang || 'and' END"
 
 
-@query("SELECT doc_id, lang || '|' || source || '|x|y|z' AS parties FROM documents")
+@query(f"SELECT doc_id, CASE WHEN raw = '' THEN '' WHEN len(p) = 0 THEN trim(raw) ELSE array_to_string(p, '|') END AS parties FROM (SELECT doc_id, raw, list_filter(list_transform(regexp_split_to_array(raw, '[,;/]| and | & '), lambda x: trim(x)), lambda x: x <> '') AS p FROM (SELECT doc_id, {_NAMES} AS raw FROM documents))")
 def parties_split(i):
-    return i.documents.select("doc_id", F.array_join(T.parties(F.concat("lang", F.lit(", "), "source", F.lit("; x / y & z,"))), "|").alias("parties"))
+    return i.documents.select("doc_id", F.array_join(T.parties(F.expr(_NAMES)), "|").alias("parties"))
 
 
 @query("SELECT id, CASE lower(regexp_extract(path, '\\.[^./]*$')) WHEN '.pdf' THEN 'application/pdf' WHEN '.txt' THEN 'text/plain' WHEN '.html' THEN 'text/html' WHEN '.png' THEN 'image/png' WHEN '.mp3' THEN 'audio/mpeg' WHEN '.mkv' THEN 'video/x-matroska' ELSE 'application/octet-stream' END AS mime FROM fx_docs", "fx_docs")
@@ -191,12 +224,12 @@ def transcript_speakers(i):
     return transcripts.speakers(i.fx_segments)
 
 
-@query(f"SELECT doc_id, r AS run, first(speaker) AS speaker, min(seg_start) AS seg_start, max(seg_end) AS seg_end, string_agg({_CLEAN}, ' ' ORDER BY turn) AS text FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY turn) AS BIGINT) AS r FROM (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY doc_id ORDER BY turn) = speaker THEN 0 ELSE 1 END AS n FROM fx_segments WHERE {_SAID} AND doc_id IN (SELECT doc_id FROM fx_segments WHERE {_SAID} GROUP BY doc_id HAVING count(DISTINCT speaker) >= 2))) GROUP BY doc_id, r", "fx_segments")
+@query(f"SELECT doc_id, r AS run, first(speaker) AS speaker, min(seg_start) AS seg_start, max(seg_end) AS seg_end, CASE WHEN coalesce(first(speaker), '') <> '' THEN '[' || first(speaker) || '] ' ELSE '' END || string_agg({_CLEAN}, ' ' ORDER BY turn) AS text FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY turn) AS BIGINT) AS r FROM (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY doc_id ORDER BY turn) = speaker THEN 0 ELSE 1 END AS n FROM fx_segments WHERE {_SAID} AND doc_id IN (SELECT doc_id FROM fx_segments WHERE speaker <> '' GROUP BY doc_id HAVING count(DISTINCT speaker) >= 2))) GROUP BY doc_id, r", "fx_segments")
 def transcript_runs(i):
     return transcripts.runs(i.fx_segments)
 
 
-@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg_start, turn) AS BIGINT) AS cue, {_time('seg_start')} || ' --> ' || {_time('seg_end')} AS times, {_CLEAN} AS text FROM fx_segments WHERE {_SAID}", "fx_segments")
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg_start, turn) AS BIGINT) AS cue, {_time('seg_start')} || ' --> ' || {_time('seg_end')} AS times, '[' || speaker || '] ' || {_CLEAN} AS text FROM fx_segments WHERE {_SAID}", "fx_segments")
 def transcript_srt(i):
     return transcripts.cues(i.fx_segments)
 
@@ -249,20 +282,47 @@ def llm_strict(i):
     return i.fx_llm_raw.select("doc_id", recognition.strict(F.col("raw"))["title"].alias("title"))
 
 
-@query("""SELECT doc_id, nullif(regexp_extract(raw, '"title"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1), '') AS title, nullif(regexp_extract(raw, '"date"\\s*:\\s*"(\\d{4}-\\d{2}-\\d{2})"', 1), '') AS date, nullif(regexp_extract(raw, '"amount"\\s*:\\s*(-?\\d+(?:\\.\\d+)?)', 1), '') AS amount FROM fx_llm_raw""", "fx_llm_raw")
+_BROKEN = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN raw || ' trailing' WHEN 1 THEN '{"title": "cut ' || source || '", "amount": -4.5, "currency": "usd", "subcategory": "sub ' || lang WHEN 2 THEN '"amount": 12.50, "currency": "USD", "subcategory":"' || lang || '", "review" : false' WHEN 3 THEN 'x "tags": ["a", "' || lang || '"] y' WHEN 4 THEN 'only "date":"2024-03-0' || (1 + doc_id % 9) || '"' ELSE raw END AS raw FROM fx_llm_raw)"""
+
+
+def _broken(i):
+    k = F.col("doc_id") % 6
+    joined = i.fx_llm_raw.join(i.documents.select("doc_id", "source", "lang"), "doc_id")
+    one = F.concat(F.lit('{"title": "cut '), "source", F.lit('", "amount": -4.5, "currency": "usd", "subcategory": "sub '), "lang")
+    two = F.concat(F.lit('"amount": 12.50, "currency": "USD", "subcategory":"'), "lang", F.lit('", "review" : false'))
+    raw = F.when(k == 0, F.concat("raw", F.lit(" trailing"))).when(k == 1, one).when(k == 2, two).when(k == 3, F.concat(F.lit('x "tags": ["a", "'), "lang", F.lit('"] y'))).when(k == 4, F.concat(F.lit('only "date":"2024-03-0'), (1 + F.col("doc_id") % 9).cast("string"), F.lit('"'))).otherwise(F.col("raw"))
+    return joined.select("doc_id", raw.alias("raw"))
+
+
+def _field(name: str, inner: str) -> str:
+    return f"nullif(regexp_extract(raw, '\"{name}\"\\s*:\\s*{inner}', 1), '') AS {name}"
+
+
+_LONG, _SHORT = '"((?:[^"\\\\]|\\\\.)*)"', '"([^"]+)"'
+_FOUND = ", ".join([*(_field(n, _LONG) for n in ("title", "summary", "reason")), *(_field(n, _SHORT) for n in ("category", "subcategory", "correspondent", "language", "confidence")), _field("date", '"(\\d{4}-\\d{2}-\\d{2})"'), _field("amount", '([0-9]+(?:\\.[0-9]+)?)'), _field("currency", '"([A-Z]{3})"'), _field("review", "(true|false)")])
+
+
+@query(f"""SELECT doc_id, {_FOUND}, array_to_string(regexp_extract_all(regexp_extract(raw, '"tags"\\s*:\\s*\\[([^\\]]*)\\]', 1), '"([^"]+)"', 1), ',') AS tags FROM {_BROKEN.replace("FROM fx_llm_raw", "FROM fx_llm_raw JOIN documents USING (doc_id)")}""", "fx_llm_raw")
 def llm_regex_recover(i):
-    found = recognition.recovered(F.col("raw"))
-    return i.fx_llm_raw.select("doc_id", found["title"].alias("title"), found["date"].alias("date"), found["amount"].alias("amount"))
+    return _broken(i).select("doc_id", recognition.recovered(F.col("raw")).alias("x")).select("doc_id", "x.*").withColumn("tags", F.array_join("tags", ","))
 
 
-@query()
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN CASE doc_id % 4 WHEN 1 THEN 'repair' WHEN 2 THEN 'placeholder' ELSE 'strict' END WHEN doc_id % 6 = 0 AND doc_id % 4 = 2 THEN 'placeholder' ELSE 'pattern' END AS tier FROM documents""")
 def llm_cascade(i):
-    return recognition.parsed(i.fx_llm_raw).select("doc_id", "tier", F.to_json("answer").alias("answer"))
+    return recognition.parsed(_broken(i)).select("doc_id", "tier")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN CASE doc_id % 4 WHEN 1 THEN 'repair' ELSE 'strict' END WHEN doc_id % 3 = 0 THEN 'retry' WHEN doc_id % 3 = 1 THEN 'pattern' ELSE 'placeholder' END AS tier, CASE WHEN doc_id % 4 <> 2 THEN CASE doc_id % 4 WHEN 0 THEN 'Doc ' || doc_id WHEN 1 THEN 'Note' ELSE 'P' END WHEN doc_id % 3 < 2 THEN 'again ' || doc_id END AS title FROM documents")
+def llm_retry(i):
+    k = F.col("doc_id") % 3
+    said = F.concat(F.lit('{"title":"again '), F.col("doc_id").cast("string"), F.lit('"'))
+    retries = i.documents.select("doc_id", F.when(k == 0, F.concat(said, F.lit("}"))).when(k == 1, said).otherwise("nothing").alias("raw"))
+    return recognition.parsed(i.fx_llm_raw, retries).select("doc_id", "tier", F.col("answer.title").alias("title"))
 
 
-@query("SELECT d.doc_id, CASE d.doc_id % 4 WHEN 0 THEN 'Legal' WHEN 1 THEN 'Personal' ELSE 'Unknown' END AS category, CASE d.doc_id % 4 WHEN 0 THEN ';A;B;C;' WHEN 3 THEN ';X;Y;' ELSE '' END AS parties, CASE WHEN d.doc_id % 4 = 0 THEN 12.5 END AS amount, CASE d.doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, d.doc_id % 4 <> 0 AS review FROM documents d")
+@query("SELECT d.doc_id, CASE d.doc_id % 4 WHEN 0 THEN 'Legal' WHEN 1 THEN 'Personal' ELSE 'Unknown' END AS category, CASE d.doc_id % 4 WHEN 0 THEN ';A;B;C;' WHEN 3 THEN ';X;Y;' ELSE '' END AS parties, CASE WHEN d.doc_id % 4 = 0 THEN 'amount=12.5;currency=USD' ELSE '' END AS extra, CASE WHEN d.doc_id % 4 = 0 THEN 12.5 END AS amount, CASE d.doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, d.doc_id % 4 <> 0 AS review FROM documents d")
 def llm_to_doc(i):
-    return recognition.to_document(recognition.parsed(i.fx_llm_raw)).select("doc_id", "category", "parties", "amount", "confidence", "review")
+    return recognition.to_document(recognition.parsed(i.fx_llm_raw)).withColumn("extra", F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")).select("doc_id", "category", "parties", "amount", "confidence", "review", "extra")
 
 
 # --- search -----------------------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from docloom.plans.registry import query
 _HIDDEN = "EXISTS (SELECT 1 FROM fx_dirs x WHERE x.mode = 'opaque' AND starts_with(d.path, x.path || '/'))"
 
 
-@query(f"SELECT d.id, d.path, CASE WHEN f.rel IS NULL THEN 'missing' WHEN {_HIDDEN} THEN 'opaque' WHEN f.size IS DISTINCT FROM d.size OR f.mtime IS DISTINCT FROM d.modified THEN 'changed' END AS code FROM fx_docs d LEFT JOIN fx_fs f ON f.rel = d.path", "fx_docs", "fx_fs", "fx_dirs")
+@query(f"SELECT d.id, d.path, CASE WHEN f.rel IS NULL THEN 'missing_or_not_file' WHEN {_HIDDEN} THEN 'blocked_opaque_subtree' WHEN f.size IS DISTINCT FROM d.size THEN 'size_changed' WHEN d.modified IS NOT NULL AND f.mtime IS DISTINCT FROM d.modified THEN 'mtime_changed' END AS code FROM fx_docs d LEFT JOIN fx_fs f ON f.rel = d.path", "fx_docs", "fx_fs", "fx_dirs")
 def digest_gate(i):
     return policy.digest_gate(i.fx_docs, i.fx_fs, i.fx_dirs)
 
@@ -51,18 +51,22 @@ def language_gate(i):
     return i.documents.select("doc_id", policy.language_gate(F.col("lang"), (F.col("doc_id") % 10) / 10).alias("language"), policy.single_language(langs).alias("hint"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'subtitle' WHEN 1 THEN 'ran' WHEN 2 THEN 'failed' WHEN 3 THEN 'unavailable' ELSE 'none' END AS outcome, doc_id % 5 IN (1, 2) AS skipped FROM documents")
+_SPOKEN = "SELECT doc_id, lang = 'en' AS sub, n_chars % 3 = 0 AS ran, n_chars % 5 = 0 AS failed, source LIKE '%1%' AS there, CASE doc_id % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'non_speech' WHEN 2 THEN 'phone_call' ELSE 'unknown' END AS kind FROM documents"
+
+
+@query(f"SELECT doc_id, CASE WHEN sub THEN 'asr_subtitle' WHEN ran THEN 'asr_full' WHEN failed THEN 'asr_failed' WHEN NOT there THEN 'asr_unavailable' ELSE 'no_asr' END AS outcome, kind IN ('music', 'non_speech') AS skipped FROM ({_SPOKEN})")
 def speech_policy(i):
-    k = F.col("doc_id") % 5
-    kind = F.when(k == 1, "music").when(k == 2, "non_speech").otherwise("phone_call")
-    return i.documents.select("doc_id", policy.speech_outcome(k == 0, k == 1, k == 2, k != 3).alias("outcome"), policy.skips_speech(kind).alias("skipped"))
+    made = i.documents.selectExpr("doc_id", "lang = 'en' AS sub", "n_chars % 3 = 0 AS ran", "n_chars % 5 = 0 AS failed", "source LIKE '%1%' AS there", "CASE doc_id % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'non_speech' WHEN 2 THEN 'phone_call' ELSE 'unknown' END AS kind")
+    return made.select("doc_id", policy.speech_outcome(F.col("sub"), F.col("ran"), F.col("failed"), F.col("there")).alias("outcome"), policy.skips_speech(F.col("kind")).alias("skipped"))
+
+
+_SPACES = [*policy.NAMESPACES, "urn:x", ""]
+_CLARK = "CASE WHEN doc_id % 11 = 10 THEN source ELSE '{' || (" + "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SPACES)) + " END) || '}' || source || lang END"
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'dc:title' WHEN 1 THEN 'pdf:Producer' ELSE 'other' END AS name FROM documents")
+@query(f"SELECT doc_id, CASE WHEN NOT starts_with(c, '{{') THEN c ELSE coalesce((" + "CASE regexp_extract(c, '^\\{([^}]*)\\}', 1) " + " ".join(f"WHEN '{s}' THEN '{p}:'" for s, p in policy.NAMESPACES.items()) + f" END), 'xmp_') || regexp_replace(c, '^\\{{[^}}]*\\}}', '') END AS name FROM (SELECT doc_id, {_CLARK} AS c FROM documents)")
 def xmp_names(i):
-    k = F.col("doc_id") % 3
-    clark = F.when(k == 0, "{http://purl.org/dc/elements/1.1/}title").when(k == 1, "{http://ns.adobe.com/pdf/1.3/}Producer").otherwise("{urn:x}other")
-    return i.documents.select("doc_id", policy.short_name(clark).alias("name"))
+    return i.documents.select("doc_id", policy.short_name(F.expr(_CLARK)).alias("name"))
 
 
 @query("SELECT doc_id, 'a=' || lang || ';b=' || source || ';c=1' AS merged FROM documents")
@@ -72,10 +76,12 @@ def metadata_merge(i):
     return i.documents.select("doc_id", F.array_join(entries, ";").alias("merged"))
 
 
-@query("SELECT id, 'Me and ' || split_part(path, '/', 2) AS speakers FROM fx_docs WHERE starts_with(path, 'Financial/')", "fx_docs")
+_WHO = "regexp_extract(path, '^Financial/([^/]+)/', 1)"
+
+
+@query(f"SELECT id, 'Me and ' || CASE WHEN {_WHO} <> '' THEN {_WHO} ELSE '{{who}}' END || ' of {{firm}}' AS speakers FROM fx_docs", "fx_docs")
 def speaker_names(i):
-    docs = i.fx_docs.filter(F.col("path").startswith("Financial/"))
-    return docs.select("id", policy.speaker_template("{owner} and {who}", "Me", F.col("path"), "^Financial/([^/]+)/", ("who",)).alias("speakers"))
+    return i.fx_docs.select("id", policy.speaker_template("{owner} and {who} of {firm}", "Me", F.col("path"), "^Financial/([^/]+)/", ("who",)).alias("speakers"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Scanning' WHEN doc_id % 4 = 1 THEN '3 waiting' WHEN doc_id % 4 = 2 THEN 'last' ELSE 'Idle' END AS status FROM documents")
@@ -84,9 +90,13 @@ def tray_status(i):
     return i.documents.select("doc_id", policy.tray_status(F.when(k == 0, "Scanning"), F.when(k == 1, 3).otherwise(0), F.when(k == 2, "last")).alias("status"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ok ' || source || ' -> ' || lang ELSE 'failed ' || source || ' (encrypted)' END AS line FROM documents")
+_DONE = "CASE n_chars % 3 WHEN 0 THEN 'no_ocr' ELSE 'ocr_pages' END AS ocr, CASE n_chars % 4 WHEN 0 THEN 'asr_full' ELSE 'no_asr' END AS asr, CASE WHEN n_chars % 5 = 0 THEN 'encrypted: ' || source ELSE '' END AS error"
+
+
+@query(f"SELECT doc_id, source || ' | ocr=' || ocr || CASE WHEN asr <> 'no_asr' THEN ' | asr=' || asr ELSE '' END || ' | tier=strict | category=' || lang || ' | target=db | ' || n_chars || 'ms' || CASE WHEN error <> '' THEN ' | error=' || error ELSE '' END AS line FROM (SELECT *, {_DONE} FROM documents)")
 def result_lines(i):
-    return i.documents.select("doc_id", policy.result_line(F.col("source"), F.col("doc_id") % 2 == 0, F.col("lang"), F.lit("encrypted")).alias("line"))
+    made = i.documents.selectExpr("*", *_DONE.split(", CASE")[:1], *(f"CASE{x}" for x in _DONE.split(", CASE")[1:]))
+    return made.select("doc_id", policy.result_line(F.col("source"), F.col("ocr"), F.col("asr"), F.lit("strict"), F.col("lang"), F.lit("db"), F.col("n_chars"), F.col("error")).alias("line"))
 
 
 @query("SELECT doc_id, turn, CASE speaker WHEN 'CHANNEL_0' THEN 'Owner' ELSE speaker END AS speaker FROM fx_segments", "fx_segments")
@@ -102,7 +112,7 @@ def sidecar_paths(i):
     return i.fx_docs.select("id", sidecar(F.col("path")).alias("sidecar"))
 
 
-@query("SELECT doc_id, string_agg(cue || chr(10) || times || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS srt FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_start, turn) AS cue, (SELECT format('{:02d}:{:02d}:{:02d},{:03d}', m // 3600000, m // 60000 % 60, m // 1000 % 60, m % 1000) FROM (SELECT CAST(round_even(seg_start * 1000, 0) AS BIGINT) AS m)) || ' --> ' || (SELECT format('{:02d}:{:02d}:{:02d},{:03d}', m // 3600000, m // 60000 % 60, m // 1000 % 60, m % 1000) FROM (SELECT CAST(round_even(seg_end * 1000, 0) AS BIGINT) AS m)) AS times, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM fx_segments WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0) GROUP BY doc_id", "fx_segments")
+@query("SELECT doc_id, string_agg(cue || chr(10) || times || chr(10) || '[' || speaker || '] ' || text || chr(10), chr(10) ORDER BY cue) AS srt FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_start, turn) AS cue, (SELECT format('{:02d}:{:02d}:{:02d},{:03d}', m // 3600000, m // 60000 % 60, m // 1000 % 60, m % 1000) FROM (SELECT CAST(round_even(seg_start * 1000, 0) AS BIGINT) AS m)) || ' --> ' || (SELECT format('{:02d}:{:02d}:{:02d},{:03d}', m // 3600000, m // 60000 % 60, m // 1000 % 60, m % 1000) FROM (SELECT CAST(round_even(seg_end * 1000, 0) AS BIGINT) AS m)) AS times, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, speaker FROM fx_segments WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0) GROUP BY doc_id", "fx_segments")
 def subtitle_files(i):
     from docloom.sources.transcript_files import subtitles
 

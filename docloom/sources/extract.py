@@ -7,6 +7,7 @@ an error code in the row; nothing is raised out of a task.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -26,6 +27,10 @@ class ExtractError(Exception):
     """Bytes that are not what their type says."""
 
 
+class EncryptedError(ExtractError):
+    """Bytes that a password locks."""
+
+
 def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
@@ -172,8 +177,15 @@ def read_epub(raw: bytes) -> Extracted:
     return parts, meta
 
 
+def read_pdf(raw: bytes) -> Extracted:
+    from docloom.sources.pdf import read
+
+    return read(raw)
+
+
 #: Extractors by media type; others can be registered (recognition and speech engines come in this way).
 REGISTRY: dict[str, Callable[[bytes], Extracted]] = {
+    "application/pdf": read_pdf,
     "text/html": read_html,
     T.MEDIA[".docx"]: read_docx,
     T.MEDIA[".xlsx"]: read_xlsx,
@@ -204,6 +216,8 @@ def extract_one(mime: str, raw: bytes, registry: dict[str, Callable[[bytes], Ext
         if kind in registry:
             try:
                 return *registry[kind](raw), None
+            except EncryptedError as e:
+                return [], {}, f"encrypted: {e}"
             except ExtractError as e:
                 error = f"extract_failed: {e}"
             except Exception as e:  # an extractor's own failure is the row's, not the task's
@@ -224,6 +238,13 @@ def extracted(files: DataFrame, registry: dict[str, Callable[[bytes], Extracted]
     return files.select("path", T.media_type(F.col("path")).alias("mime"), "content").mapInPandas(run, f"path string, {SHAPE}")
 
 
+def html_meta(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The key column, name and content of every meta tag that names its content."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    value = lambda n: F.regexp_extract("tag", rf'(?is)\s(?:{n})\s*=\s*"([^"]*)"', 1)
+    return pages.select(key, F.explode(tags).alias("tag")).select(key, value("name|property|http-equiv").alias("name"), value("content").alias("content")).filter("name <> '' and content <> ''")
+
+
 def html_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, title, lang, text and number of meta fields of each page."""
 
@@ -236,10 +257,19 @@ def html_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, root: str, dirs: DataFrame | None = None) -> DataFrame:
-    """Files below root but dot files and those in opaque directories; content is read only where it is selected."""
+    """Files below root but dot files and those in opaque directories, by name or by mode in `dirs`; content is read only
+    where it is selected. Sort by lower-case path where the order matters."""
     from docloom.operators.directories import OPAQUE_NAMES
+    from docloom.operators.queue import ancestors
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parents = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     closed = F.exists(parents, lambda p: F.lower(p).isin(*OPAQUE_NAMES))
-    return files.filter(~T.name_of(F.col("path")).startswith(".") & ~closed)
+    kept = files.filter(~T.name_of(F.col("path")).startswith(".") & ~closed)
+    if dirs is None:
+        return kept
+    # directories that a user closed are named relative to the root
+    base = F.lit(re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/")
+    rel = F.replace(F.regexp_replace("path", r"^\w+:/*", "/"), base, F.lit(""))
+    above = kept.select("path", F.explode(ancestors(rel)).alias("__dir")).join(dirs.filter("mode = 'opaque'").select(F.col("path").alias("__dir")), "__dir", "left_semi")
+    return kept.join(above.select("path").distinct(), "path", "left_anti")

@@ -40,15 +40,5 @@ def edited_by_hand(srt_time: Column, twin_time: Column) -> Column:
     return F.coalesce(F.unix_micros(srt_time) > F.unix_micros(twin_time) + 1_000_000, F.lit(False))
 
 
-#: Right-to-left letters, and runs of Latin text within such a line.
-_RTL, _LATIN = "[֐-ࣿיִ-﷿ﹰ-ﻼ]", "([A-Za-z0-9][A-Za-z0-9 ._/-]*[A-Za-z0-9]|[A-Za-z0-9])"
-
-
-def bidi(line: Column) -> Column:
-    """A right-to-left line embedded as such, its Latin runs as left-to-right."""
-    inner = F.regexp_replace(line, _LATIN, "‪$1‬")
-    return F.when(line.rlike(_RTL), F.concat(F.lit("‫"), inner, F.lit("‬"))).otherwise(line)
-
-
 def markup_free(c: Column) -> Column:
     return T.srt_words(c)

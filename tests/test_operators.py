@@ -140,7 +140,7 @@ def test_transcript_files(spark):
     assert transcript_files.from_twins(transcript_files.twins(segments)).count() == 3
     assert transcript_files.from_twins(spark.createDataFrame([(1, "{bad")], "doc_id long, json string")).count() == 0
     srt = transcript_files.subtitles(segments).first()["srt"]
-    assert srt == "1\n00:00:00,000 --> 00:00:01,500\none\n\n2\n00:00:02,000 --> 00:00:03,000\ntwo\n"
+    assert srt == "1\n00:00:00,000 --> 00:00:01,500\n[A] one\n\n2\n00:00:02,000 --> 00:00:03,000\n[B] two\n"
     assert one(spark, transcript_files.sidecar(F.lit("a.b/c.mp3"))) == "a.b/c.srt"
     assert transcripts.runs(segments).count() == 2
 
