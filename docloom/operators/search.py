@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = ("title", "summary", "tags", "parties", "category")
+COLUMNS = ("title", "summary", "notes", "tags", "parties")
 K1, B = 1.2, 0.75
 #: Letters with marks and those without, for the Latin languages in use.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -28,77 +28,124 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def parse(query: str) -> tuple:
-    """A query as a tree: ("term", field, words), ("and" | "or" | "not", left, right). Words side by side are and-ed; `"..."`
-    is a phrase; `name:` and `{name} :` bind what follows to a field."""
-    parts = re.findall(r'"[^"]*"|\(|\)|\{\w+\}\s*:|\w+:|[^\s()":{}]+', query)
+    """A query as a tree: ("term", fields, words, prefix), ("and" | "or" | "not", left, right). Words side by side are and-ed;
+    `"..."` is a phrase; a star after a word or phrase makes its last word a beginning; `name:`, `{a b} :` bind what follows
+    to fields, `-name :` and `-{a b} :` to all others."""
+    parts = re.findall(r'"[^"]*"\s*\*?|\(|\)|-?\s*\{[\w\s]+\}\s*:|-?\w+\s*:|[^\s()":{}]+', query)
     at = 0
 
     def peek() -> str | None:
         return parts[at] if at < len(parts) else None
 
-    def unit(field: str | None) -> tuple:
+    def unit(fields: tuple[str, ...] | None) -> tuple:
         nonlocal at
         p = parts[at]
         at += 1
         if p.endswith(":"):
-            name = p.strip("{}: ").rstrip("} :")
-            if name not in COLUMNS:
-                raise ValueError(f"no such field: {name}")
-            return unit(name)
+            names = re.findall(r"\w+", p)
+            for name in names:
+                if name not in COLUMNS:
+                    raise ValueError(f"no such field: {name}")
+            chosen = tuple(c for c in COLUMNS if (c in names) != p.startswith("-"))
+            return unit(tuple(c for c in chosen if fields is None or c in fields))
         if p == "(":
-            inner = either(field)
+            inner = either(fields)
             at += 1
             return inner
-        return "term", field, tuple(re.findall(r"\w+", p.strip('"').lower()))
+        scope = fields[0] if fields is not None and len(fields) == 1 else fields
+        words = tuple(re.findall(r"[^\W_]+", p.lower()))
+        return ("term", scope, words, True) if p.endswith("*") else ("term", scope, words)
 
-    def both(field: str | None) -> tuple:
+    def both(fields: tuple[str, ...] | None) -> tuple:
         nonlocal at
-        left = unit(field)
+        left = unit(fields)
         while peek() not in (None, ")", "OR"):
             kind = "and"
             if peek() in ("AND", "NOT"):
                 kind = peek().lower()
                 at += 1
-            left = kind, left, unit(field)
+            left = kind, left, unit(fields)
         return left
 
-    def either(field: str | None) -> tuple:
+    def either(fields: tuple[str, ...] | None) -> tuple:
         nonlocal at
-        left = both(field)
+        left = both(fields)
         while peek() == "OR":
             at += 1
-            left = "or", left, both(field)
+            left = "or", left, both(fields)
         return left
 
     return either(None)
 
 
+def _fits(word: str, prefix: bool) -> Column:
+    return F.col("term").startswith(word) if prefix else F.col("term") == word
+
+
 def matches(index: DataFrame, tree: tuple) -> DataFrame:
     """doc_id of the documents that fit."""
-    kind, left, right = tree
+    kind, left, right = tree[:3]
     if kind == "term":
-        scoped = index.filter(F.col("field") == left) if left else index
-        hit = scoped.filter(F.col("term") == right[0])
+        prefix = len(tree) > 3
+        scoped = index.filter(F.col("field").isin(*((left,) if isinstance(left, str) else left))) if left is not None else index
+        hit = scoped.filter(_fits(right[0], prefix and len(right) == 1))
         for k, word in enumerate(right[1:], 1):
-            other = scoped.filter(F.col("term") == word).select("doc_id", "field", (F.col("pos") - k).alias("pos"))
+            other = scoped.filter(_fits(word, prefix and k == len(right) - 1)).select("doc_id", "field", (F.col("pos") - k).alias("pos"))
             hit = hit.join(other, ["doc_id", "field", "pos"], "left_semi")
         return hit.select("doc_id").distinct()
     a, b = matches(index, left), matches(index, right)
     return a.union(b).distinct() if kind == "or" else a.join(b, "doc_id", "left_semi" if kind == "and" else "left_anti")
 
 
-def words_of(tree: tuple) -> list[str]:
-    return list(dict.fromkeys(tree[2])) if tree[0] == "term" else [*words_of(tree[1]), *(words_of(tree[2]) if tree[0] != "not" else [])]
+def words_of(tree: tuple) -> list[tuple[str, bool]]:
+    """The words that a result is scored by, and whether each is a beginning only; those under a NOT are left out."""
+    if tree[0] == "term":
+        return list(dict.fromkeys((w, len(tree) > 3 and k == len(tree[2]) - 1) for k, w in enumerate(tree[2])))
+    return list(dict.fromkeys([*words_of(tree[1]), *(words_of(tree[2]) if tree[0] != "not" else [])]))
 
 
-def search(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """doc_id and score (lower is better) of the best matches: BM25 over all fields alike."""
-    index, tree = postings(docs), parse(query)
+def search(docs: DataFrame, query: str, limit: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """doc_id and score (lower is better) of the best matches: BM25 over all fields alike. A stored index (see `Index`) is
+    read with its terms pushed down; without one the documents are split into words here."""
+    tree = parse(query)
+    index = postings(docs) if index is None else index
     sizes = index.groupBy("doc_id").agg(F.count("*").alias("len"))
     facts = docs.select(F.col("id").alias("doc_id")).join(sizes, "doc_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("mean"))
-    terms = index.filter(F.col("term").isin(*words_of(tree))).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    said = words_of(tree)
+    asked = F.array(*(F.lit(w + "*" * p) for w, p in said))
+    hits = F.lit(False)
+    for w, p in said:
+        hits = hits | _fits(w, p)
+    # a beginning counts as one term, whatever words it stands for
+    named = F.explode(F.filter(asked, lambda q: F.when(q.endswith("*"), F.startswith("term", F.rtrim(q, F.lit("*")))).otherwise(q == F.col("term"))))
+    terms = index.filter(hits).select("doc_id", named.alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     spread = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = terms.join(matches(index, tree), "doc_id").join(spread, "term").join(sizes, "doc_id").crossJoin(F.broadcast(facts))  # one row
     return scored.groupBy("doc_id").agg(F.round(-F.sum(weight), 6).alias("score")).orderBy("score", "doc_id").limit(limit)
+
+
+class Index:
+    """Postings kept in a store's table, sorted by term within its files so that a term's filter skips the others; new,
+    changed and removed documents are merged in."""
+
+    def __init__(self, store, table: str = "docs_fts"):
+        self.store, self.table = store, table
+
+    @staticmethod
+    def _ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+
+    def rebuild(self, docs: DataFrame) -> None:
+        self.store.write(self.table, self._ordered(postings(docs)))
+
+    def update(self, docs: DataFrame, removed: DataFrame | None = None) -> None:
+        """docs: new and changed documents, whose old postings go; removed: doc_id of those that are gone."""
+        gone = docs.select(F.col("id").alias("doc_id"))
+        gone = gone if removed is None else gone.unionByName(removed.select("doc_id"))
+        kept = self.store.read(self.table).join(gone.distinct(), "doc_id", "left_anti")
+        self.store.write(self.table, self._ordered(kept.unionByName(postings(docs).select(*kept.columns))))
+
+    def read(self) -> DataFrame:
+        return self.store.read(self.table)

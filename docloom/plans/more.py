@@ -344,9 +344,9 @@ def fts_term(i):
     return search.search(i.fx_docs, "fr")
 
 
-@query(_search_sql(_HAS.format(t="financial") + " INTERSECT " + _HAS.format(t="src3"), "'financial', 'src3'"), "fx_docs")
+@query(_search_sql(_HAS.format(t="de") + " INTERSECT " + _HAS.format(t="src3"), "'de', 'src3'"), "fx_docs")
 def fts_and(i):
-    return search.search(i.fx_docs, "financial src3")
+    return search.search(i.fx_docs, "de src3")
 
 
 @query(_search_sql(f"{_HAS.format(t='src1')} UNION ({_HAS.format(t='src2')} EXCEPT {_HAS.format(t='fr')})", "'src1', 'src2'"), "fx_docs")
@@ -367,3 +367,21 @@ def fts_column(i):
 @query(_search_sql(_HAS.format(t="la") + " UNION " + _HAS.format(t="the"), "'la', 'the'"), "fx_docs")
 def fts_bm25_topk(i):
     return search.search(i.fx_docs, "la OR the")
+
+
+_PREFIX = _BM.replace("te AS (SELECT term, doc_id, count(*) AS tf FROM ix WHERE term IN ({words}) GROUP BY ALL)", "te AS (SELECT 'src1' AS term, doc_id, count(*) AS tf FROM ix WHERE starts_with(term, 'src1') GROUP BY ALL)")
+
+
+@query(f"WITH {_INDEX}, hit AS (SELECT DISTINCT doc_id FROM ix WHERE starts_with(term, 'src1')), {_PREFIX}", "fx_docs")
+def fts_prefix(i):
+    return search.search(i.fx_docs, "src1*")
+
+
+@query(_search_sql("SELECT DISTINCT doc_id FROM ix WHERE term = 'de' AND field IN ('tags', 'title')", "'de'"), "fx_docs")
+def fts_columns(i):
+    return search.search(i.fx_docs, "{tags title} : de")
+
+
+@query(_search_sql("SELECT DISTINCT doc_id FROM ix WHERE term = 'de' AND field <> 'tags'", "'de'"), "fx_docs")
+def fts_other_columns(i):
+    return search.search(i.fx_docs, "- {tags} : de")

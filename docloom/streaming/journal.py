@@ -77,3 +77,30 @@ class Settled(StatefulProcessor):
 def settled(looks: DataFrame) -> DataFrame:
     """Paths that have stopped growing, of a stream of looks (path, length, seen)."""
     return looks.groupBy("path").transformWithStateInPandas(Settled(), "path string, length long", "Append", "None")
+
+
+def watch(files: DataFrame, docs: Callable[[], DataFrame], dirs: Callable[[], DataFrame], digest: Callable[[DataFrame], None], failed: Callable[[str], None], checkpoint: str) -> StreamingQuery:
+    """Settled files (rel, size, mtime, hash) reconciled batch by batch: what is new or changed goes to `digest` as (rel,
+    action), files in opaque directories to nobody; an error is told and the stream goes on."""
+    from docloom.operators.directories import opaque_ancestors
+    from docloom.operators.lifecycle import routed
+    from docloom.operators.reconcile import outcomes
+
+    def each(batch: DataFrame, number: int) -> None:
+        try:
+            named = batch.select(F.col("rel").alias("id"), F.col("rel").alias("path"))
+            seen = batch.join(opaque_ancestors(named, dirs()).select(F.col("id").alias("rel")), "rel", "left_anti")
+            digest(routed(outcomes(seen, docs())).filter("action <> 'ignore'"))
+        except Exception as e:  # one bad batch is an event, not the stream's end
+            failed(f"{type(e).__name__}: {e}")
+
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dropped(docs: DataFrame, deleted: DataFrame, dirs: DataFrame) -> DataFrame:
+    """docs without the rows of deleted paths (path), but those in opaque directories stay."""
+    from docloom.operators.directories import opaque_ancestors
+
+    gone = docs.join(deleted.select("path").distinct(), "path", "left_semi").select("id", "path")
+    hidden = opaque_ancestors(gone, dirs).select("id")
+    return docs.join(gone.join(hidden, "id", "left_anti").select("id"), "id", "left_anti")
