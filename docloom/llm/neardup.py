@@ -10,7 +10,8 @@ Copies are one node (equal sets, by size and 128 bits of hash). Groups under a k
 round confirms each node against the nearest of its groups' hubs. Then every pair within DISTANCE that the links so far
 leave in different components is confirmed, each in the group in which it meets first and inside the task that holds
 the group's sets; only links that join something leave it. So no link between different texts that could change a
-component is left out. Larger groups are compared in blocks of bounded size.
+component is left out. A key of more than a block of nodes is compared with its least node block by block, and then only
+blocks of different components with each other, so a large component of near copies is work in proportion to its size.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are copies; rows that share a doc_id but not a text
@@ -117,37 +118,57 @@ def _chunk_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(node, len(keys)))], ["key", "node"])
 
 
-def _groups(block: int):
-    """Sorted (key, node) rows to lists of the nodes under one key, two or more; a list's number is that of its nodes."""
+#: What a list is for: all of its pairs; its first node against the others; members of a key with more than a block.
+_PAIRS, _HUB, _HOT = range(3)
 
-    def lists(nodes: np.ndarray) -> Iterator[np.ndarray]:
-        if len(nodes) <= block:
-            yield nodes
-            return
-        half = max(1, block // 2)
-        parts = [nodes[k : k + half] for k in range(0, len(nodes), half)]
-        for i in range(len(parts)):
-            for j in range(i + 1, len(parts)):
-                yield np.concatenate([parts[i], parts[j]])
+
+def _list_mark(part: np.ndarray, use: int) -> int:
+    """A list's number, that of its nodes and its use."""
+    mark = (int(np.add.reduce(mix(part.view(np.uint64) + _ODD))) + use * 0x2545F4914F6CDD1D ^ len(part)) & 0xFFFFFFFFFFFFFFFF
+    return mark - (1 << 64) if mark >= 1 << 63 else mark
+
+
+def _groups(block: int):
+    """Sorted (key, node) rows to lists of the nodes under one key, two or more. A key with more than a block gives lists of
+    its least node and a block of others each, and its members in blocks under the key, to be paired once components are
+    known. Its nodes pass through in order, a block at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
-        key = None
-
-        def emit(found: list[np.ndarray]) -> pa.RecordBatch:
-            marks, members = [], []
-            for nodes in found:
-                for part in lists(nodes):
-                    mark = int(np.add.reduce(mix(part.view(np.uint64) + _ODD))) ^ len(part) & 0x7FFFFFFFFFFFFFFF
-                    if mark in seen:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(mark)
-                    marks.append(mark - (1 << 64) if mark >= 1 << 63 else mark)
-                    members.append(part)
-            return pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["mark", "members"])
+        key, hub = None, None
+        out: list[tuple[int, int, np.ndarray]] = []
+
+        def put(part: np.ndarray, use: int) -> None:
+            mark = _list_mark(part, use)
+            if mark not in seen:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(mark)
+                out.append((mark, use, part))
+
+        def spill(last: bool) -> None:
+            """Held nodes of the current key: whole, or in blocks beside the hub."""
+            nonlocal held, hub
+            nodes = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            if hub is None and last:
+                if len(nodes) > 1:
+                    put(nodes, _PAIRS)
+                held = []
+                return
+            while len(nodes) >= block or (last and len(nodes)):
+                part, nodes = nodes[:block], nodes[block:]
+                hub = part[0] if hub is None else hub
+                others = part[part != hub]
+                if len(others):
+                    put(np.concatenate([[hub], others]), _HUB)
+                out.append((int(key), _HOT, part))
+            held = [nodes] if len(nodes) else []
+
+        def told() -> pa.RecordBatch:
+            marks, uses, members = zip(*out) if out else ((), (), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(uses, pa.int32()), pa.array(members, pa.list_(pa.int64()))], ["mark", "use", "members"])
 
         for batch in batches:
             keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -155,24 +176,59 @@ def _groups(block: int):
                 continue
             cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
-            found: list[np.ndarray] = []
             for k in np.flatnonzero((end - begin > 1) | (np.arange(len(begin)) == 0) | (np.arange(len(begin)) == len(begin) - 1)).tolist():
-                own = nodes[begin[k] : end[k]]
-                if keys[begin[k]] == key:
-                    held.append(own.copy())
-                    continue
-                if held and sum(map(len, held)) > 1:
-                    found.append(np.unique(np.concatenate(held)))
-                    held = []
-                if k == len(begin) - 1:
-                    key, held = keys[begin[k]], [own.copy()]
-                else:
-                    held, key = [], None
-                    if len(own) > 1:
-                        found.append(np.unique(own))
-            yield emit(found)
-        if held and sum(map(len, held)) > 1:
-            yield emit([np.unique(np.concatenate(held))])
+                if keys[begin[k]] != key:
+                    if key is not None:
+                        spill(True)
+                    key, hub, held = keys[begin[k]], None, []
+                held.append(nodes[begin[k] : end[k]].copy())
+                if sum(map(len, held)) > block:
+                    spill(False)
+            yield told()
+        if key is not None:
+            spill(True)
+            yield told()
+
+    return run
+
+
+def _crossed(block: int):
+    """Members of hot keys, sorted by key and component, to lists of two half blocks that hold different components. Blocks
+    of one component and the same are not paired, so a large component costs a list for each block of the others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = max(1, block // 2)
+        key = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nodes, comps = (np.concatenate(x) for x in zip(*held))
+            parts = [(nodes[k : k + half], comps[k], comps[min(len(nodes), k + half) - 1]) for k in range(0, len(nodes), half)]
+            for i, (left, a, b) in enumerate(parts):
+                rows = []
+                for j in range(i, len(parts)):
+                    right, c, d = parts[j]
+                    if a == d and len({a, b, c, d}) == 1:
+                        continue
+                    both = np.unique(np.concatenate([left, right]))
+                    if len(both) > 1:
+                        rows.append((_list_mark(both, _PAIRS), both))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["mark", "members"])
+
+        for batch in batches:
+            keys, nodes, comps = (batch.column(k).to_numpy() for k in range(3))
+            if not len(keys):
+                continue
+            cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
+                if keys[a] != key:
+                    if held:
+                        yield from close()
+                    key, held = keys[a], []
+                held.append((nodes[a:b].copy(), comps[a:b].copy()))
+        if held:
+            yield from close()
 
     return run
 
@@ -365,8 +421,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 80, block:
     nodes = written(usable.join(copies, ["n_shingles", "one", "two"]).filter("doc_id = node").select("node", "sig").dropDuplicates(["node"]), "nodes")
 
     keyed = nodes.mapInArrow(_chunk_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    lists = written(keyed.mapInArrow(_groups(block), "mark long, members array<long>").dropDuplicates(["mark"]), "lists")
-    members = written(lists.select("mark", F.explode("members").alias("node")), "members")
+    lists = written(keyed.mapInArrow(_groups(block), "mark long, use int, members array<long>"), "lists")
+    once = lists.filter(F.col("use") < _HOT).dropDuplicates(["mark"])
+    members = written(once.select("mark", "use", F.explode("members").alias("node")), "members")
+    hot = lists.filter(F.col("use") == _HOT).select("mark", F.explode("members").alias("node"))
+    any_hot = bool(lists.filter(F.col("use") == _HOT).head(1))
     with_sig = members.join(nodes, "node")
 
     bits = FILTER_BITS
@@ -386,7 +445,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, percent: int = 80, block:
     hubs = listed(alone).mapInArrow(_by_list(_hubs), "a long, b long, gap long").groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = written(confirmed(hubs), "links")
     comp = written(components(links), "components").select(F.col("node").alias("n"), F.col("component").alias("comp"))
-    placed = with_sig.join(comp, with_sig["node"] == comp["n"], "left").select("mark", "node", F.coalesce("comp", "node").alias("comp"), "sig")
+    of_comp = lambda frame: frame.join(comp, frame["node"] == comp["n"], "left").withColumn("comp", F.coalesce("comp", "node")).drop("n")
+    pairs = with_sig.filter(F.col("use") == _PAIRS)
+    if any_hot:
+        sorted_hot = of_comp(hot).select("mark", "node", "comp").repartition("mark").sortWithinPartitions("mark", "comp", "node")
+        crossed = written(sorted_hot.mapInArrow(_crossed(block), "mark long, members array<long>").dropDuplicates(["mark"]), "crossed")
+        pairs = pairs.select("mark", "node", "sig").unionByName(crossed.select("mark", F.explode("members").alias("node")).join(nodes, "node").select("mark", "node", "sig"))
+    placed = of_comp(pairs.select("mark", "node", "sig")).select("mark", "node", "comp", "sig")
     left_open = written(listed(placed).mapInArrow(_by_list(_open_nodes), "mark long, node long, slot long"), "open")
     again = left_open.join(comp, left_open["node"] == comp["n"], "left").join(nodes, "node").join(texts, "node")
     again = again.select("mark", "node", F.coalesce("comp", "node").alias("comp"), "sig", "slot", "text")

@@ -2,8 +2,9 @@
 
 The field scores whole candidate segments (digit counts, group lengths, shape, checksum, the word before) of up to
 `LONGEST` tokens, and one dynamic program over a region's tokens picks boundaries and types together. It is trained on
-the driver, once a process, by the likelihood of sentences that a fixed seed generates; no corpus row is used. Regions
-are the neighbourhoods of tokens with a digit or an at sign, wherever in a text they are, so the work is linear in it.
+the driver, once a process, by the likelihood of sentences that a fixed seed generates; no corpus row is used. Every type
+has a digit or an at sign in all of its spans, so a segment without either can only be outside; the field is therefore
+run over the neighbourhoods of tokens that have one, wherever in a text they are and however long, in linear work.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each; an empty table gives no rows; long
 texts are scanned whole; ties of equal path scores go to the lower type and the shorter segment; other input columns
@@ -86,11 +87,11 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     span = text[lo:hi]
     digits = re.sub(r"[^0-9]", "", span)
     groups = [len(g) for g in re.findall(r"[0-9]+", span)]
-    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", span))[:16]
+    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", span))
     before = re.sub(r"\W", "", text[tokens[i - 1][0] : tokens[i - 1][1]]).lower() if i else ""
     n = len(digits)
     band = next((b for b in (0, 3, 6, 9, 11, 13, 16, 19) if n <= b), 20)
-    out = ["one", f"tokens={j - i}", f"digits={band}", f"shape={shape}", f"groups={'-'.join(map(str, groups[:6]))}", f"cue={_CUES.get(before, '')}"]
+    out = ["one", f"tokens={j - i}", f"digits={band}", f"shape={shape}", f"groups={'-'.join(map(str, groups))}", f"cue={_CUES.get(before, '')}"]
     inner = span[1:-1]
     out.append(f"marks={'@' if '@' in inner else ''}{'+' if span[:1] == '+' else ''}{'(' if '(' in span else ''}{':' if ':' in inner else ''}{'/' if '/' in inner else ''}{',' if ',' in inner else ''}")
     out.append(f"letters={bool(re.search('[A-Za-z]', span))},{band >= 9}")
@@ -128,25 +129,34 @@ class Field:
         return out
 
     def best(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Segments (first token, end token, type) of the best path, outside ones left out."""
+        """Segments (first token, end token, type) of the best path, outside ones left out.
+
+        Only the last LONGEST rows of the table and the features of the segments that end at one token are held; of the
+        path, a length and a type for each token and type stay, so a region of any length takes a few bytes a token."""
         n = len(tokens)
-        scores = self.scores(self.cells(text, tokens))
-        top = np.full((n + 1, self.types), -np.inf)
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        top[0, 0] = 0.0
+        none = np.zeros(self.types)
+        recent = [np.full(self.types, -np.inf)]
+        recent[0][0] = 0.0
+        lengths, came_from = np.zeros((n + 1, self.types), np.int8), np.zeros((n + 1, self.types), np.int8)
         for j in range(1, n + 1):
+            top = np.full(self.types, -np.inf)
             for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
-                into = top[i][:, None] + self.moves
+                score = np.sum([self.weights.get(f, none) for f in features(text, tokens, i, j)], axis=0)
+                if j - i > 1:
+                    score[0] = -np.inf
+                into = recent[i - j][:, None] + self.moves
                 came = into.argmax(0)
-                value = into[came, range(self.types)] + scores[i, j]
-                for y in np.flatnonzero(value > top[j]):
-                    top[j, y], back[j, int(y)] = value[y], (i, int(came[y]))
-        out, j, y = [], n, int(top[n].argmax())
+                value = into[came, range(self.types)] + score
+                better = value > top
+                top = np.where(better, value, top)
+                lengths[j][better], came_from[j][better] = j - i, came[better]
+            recent = [*recent[-LONGEST + 1 :], top]
+        out, j, y = [], n, int(recent[-1].argmax())
         while j:
-            i, before = back[j, y]
+            length, before = int(lengths[j, y]), int(came_from[j, y])
             if y:
-                out.append((i, j, y))
-            j, y = i, before
+                out.append((j - length, j, y))
+            j, y = j - length, before
         return out[::-1]
 
     def learn(self, text: str, tokens, gold: list[tuple[int, int, int]], squares: dict, rate: float) -> None:
@@ -292,7 +302,7 @@ def _with_context(text: str, group: list[tuple[int, int]]) -> list[tuple[int, in
     while hi and text[hi - 1] in _BLANKS:
         hi -= 1
     lo = hi
-    while lo and text[lo - 1] not in _BLANKS and hi - lo < 40:
+    while lo and text[lo - 1] not in _BLANKS:
         lo -= 1
     return ([(lo, hi)] if hi > lo else []) + group
 
