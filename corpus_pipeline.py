@@ -23,6 +23,10 @@ from docloom.llm._spark import scratch_dir, written
 from docloom.session import ship_package
 
 
+#: Words of a shingle in the near-duplicate stage, at a similarity of 0.8.
+SHINGLE = 5
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     columns = docs.columns
@@ -31,13 +35,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate component; repeated rows of it once.
+    """The document of smallest doc_id of each component of texts that share 80 % of their five-word shingles; repeated
+    rows of it once.
 
     Rows are compared under numbers of their own, so that different texts of one doc_id are different documents and rows
     without doc_id take part, after those that have one. Texts without words link with nothing: rows of them stay, those
     of one doc_id and text once."""
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    alike = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    alike = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), size=SHINGLE)
     alike = alike.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
     bare = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
     named = alike.join(rows.select("__row", "doc_id", bare.alias("__bare")), "__row")

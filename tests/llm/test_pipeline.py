@@ -19,7 +19,7 @@ def test_stages(spark, sf):
         docs = out
     good, single, clean, mixed, encoded = kept
     assert 0 < single.count() <= good.count()
-    assert neardup.near_duplicates(single).filter("not kept").count() == 0
+    assert neardup.near_duplicates(single, size=5).filter("not kept").count() == 0
     assert secrets.findings(clean, secrets.scan(clean)).filter("n_hex > 0 or n_access > 0").count() == 0
     assert encoded.count() == mixed.count()
     texts = sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in mixed.select("text").collect())
@@ -38,3 +38,37 @@ def test_rows_without_or_sharing_doc_id(spark, sf):
     assert sorted(((r["doc_id"], r["text"]) for r in single.collect()), key=repr) == sorted(want, key=repr)
     clean = corpus_pipeline.hide_secrets(spark, single, sf)
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted(((d, t and t.replace(secret, "[secret]")) for d, t in want), key=repr)
+
+
+def test_dedup_stage_takes_five_words(spark, sf):
+    """Against brute force: a pair at 0.80 on four words and 0.76 on five stays, one over 0.8 on five goes."""
+    import re
+
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(400)]
+    apart = [f"x{k}" if k % 36 == 18 else w for k, w in enumerate(base)]
+    near = [f"y{k}" if k % 60 == 30 else w for k, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(apart)), (3, " ".join(near)), (4, " ".join(reversed(base))), (5, " ".join(base).upper())]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, re.findall(r"\S+", t.lower())) for d, t in rows)}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert like[1, 2] < 0.8 <= like[1, 3] and like[1, 5] == 1
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, sf).collect()}
+    assert kept == {1, 2, 4}
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty texts, repeated rows and clashing columns go through every stage; an empty table gives no rows."""
+    import corpus_pipeline
+
+    text = " ".join(f"good{k} words of a text" for k in range(30))
+    shape = "doc_id long, text string, lang string, source string, n_chars long, spans string, blob string, kept string, word long"
+    rows = [(1, text, "en", None, 5, "s", "b", "k", 1), (1, text, "en", None, 5, "s", "b", "k", 1), (None, None, None, None, None, None, None, None, None), (2, "", "en", "a", 0, "s", "b", "k", 1), (3, "token = abcdefgh " + text[::-1], "en", "a", 9, "s", "b", "k", 1)]
+    docs = spark.createDataFrame(rows, shape)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "BPE encoding":
+            assert out.columns == docs.columns
+        assert out.count() >= 1 or name == "quality rules"
+        assert stage(spark, docs.limit(0), sf).count() == 0
