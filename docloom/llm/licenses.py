@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm._spark import written
+
 SHARE = 0.9
 #: Fixed phrases of the base scan and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -52,8 +54,8 @@ def _plain(text: Column) -> Column:
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """template, label and words of a list of (label, sentence)."""
-    rows = [(k, label, sentence.split()) for k, (label, sentence) in enumerate(templates)]
-    return spark.createDataFrame(rows, "template long, label string, words array<string>").filter(F.size("words") > 0)
+    rows = [F.struct(F.lit(k).cast("long").alias("template"), F.lit(label).alias("label"), F.split(F.lit(sentence.strip()), r"\s+").alias("words")) for k, (label, sentence) in enumerate(templates) if sentence.split()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def prefix_index(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFrame:
@@ -98,7 +100,8 @@ def licenses(docs: DataFrame, keep: list[str] | None = None, *, templates: DataF
     held = [f"__k{i}" for i in range(len(keep))]
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)), F.xxhash64(F.lit(1), text).alias("one"), F.xxhash64(F.lit(2), text).alias("two"), _plain(text).alias("plain"))
-    found = blocks_found(read.select("one", "two", "plain"), prefix_index(docs, templates, share))
+    index = written(prefix_index(docs, templates, share), "license-index")  # a few words for each template, read twice
+    found = blocks_found(read.select("one", "two", "plain"), index)
     verdicts = found.groupBy("one", "two").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("share").alias("score"))
 
     padded = read.withColumn("__line", F.concat(F.lit(" "), "plain", F.lit(" ")))
