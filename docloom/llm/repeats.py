@@ -44,6 +44,8 @@ BATCH = 1 << 18
 #: Bytes of a suffix array's symbol.
 PACK = 16
 FILTER_BITS = 1 << 26
+#: Low bits of a gram's hash that give way to its place. Fixed, so that grams tie alike whatever bytes stand around them.
+PLACE_BITS = 31
 #: A second naming of the bytes, for the other half of a class's 128 bits.
 _TWIN = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
@@ -198,7 +200,7 @@ def runs(t: Texts, hasher: Hasher, length: int = LENGTH, gram: int = GRAMS[0]) -
     width = length - gram + 1
     n = len(t.data) - gram + 1
     at = np.arange(n)
-    bits = max(1, int(n).bit_length())
+    bits = PLACE_BITS
     h = hasher(at, at + gram)
     key = (h >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)  # equal hashes: the leftmost
     # least key of each `width` neighbours: within blocks from both ends

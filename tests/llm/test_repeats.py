@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from docloom.llm import repeats
+from docloom.llm._bytes import Hasher, Texts
 
 
 def test_common_symbols():
@@ -63,3 +64,17 @@ def test_gram_of_many_runs(spark):
     for hot in (3, 1024):
         got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.remove_repeats(frame, hot=hot).collect()}
         assert got == want
+
+
+def test_picks_do_not_depend_on_what_stands_around():
+    """Grams whose hashes differ in their last bits alone tie in the same way in a short and in a long buffer."""
+    text = np.random.default_rng(3).integers(97, 123, 900).astype(np.uint8)
+    rest = np.random.default_rng(4).integers(97, 123, 90_000).astype(np.uint8)
+
+    def picks(data, ends):
+        full = Hasher(data)
+        starts = np.array([0, *ends[:-1]])
+        _, _, doc, first, last, lead = repeats.runs(Texts(data, starts, np.array(ends)), lambda a, b: full(a, b) & np.uint64(0xFFFFF))
+        return [x[doc == 0].tolist() for x in (first, last, lead)]
+
+    assert picks(text, [900]) == picks(np.concatenate([text, rest]), [900, 90_900])
