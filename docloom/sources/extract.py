@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources import media
 
 Extracted = tuple[list[str], dict[str, str]]
 SHAPE = "sections array<string>, metadata map<string,string>, error string"
@@ -191,6 +192,8 @@ REGISTRY: dict[str, Callable[[bytes], Extracted]] = {
     T.MEDIA[".xlsx"]: read_xlsx,
     T.MEDIA[".pptx"]: read_pptx,
     "application/epub+zip": read_epub,
+    **{t: media.image_reader() for t in ("image/jpeg", "image/png", "image/gif", "image/bmp", "image/tiff", "image/webp")},
+    **{T.MEDIA[k]: media.audio_reader() for k in T.AUDIO},
     **{t: read_text for t in ("text/plain", "text/markdown", "text/csv", "application/json", "application/xml", "application/x-yaml")},
 }
 
