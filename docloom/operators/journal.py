@@ -99,8 +99,8 @@ def debounced(events: DataFrame, seconds: float = 5.0) -> DataFrame:
     """Notifications: the first event opens a window of fixed length, its end sends one with the count and the last event.
 
     There is one window at a time for events of all kinds. A window cannot outlast a pause of its own length, so events
-    are parted at such pauses, and each stretch is worked through alone. Pauses are found within hours, and at the hours'
-    ends from one row an hour."""
+    are parted at such pauses, and each stretch is worked through whole, with those of its hour. Pauses are found within
+    hours, and at the hours' ends from one row an hour."""
     import pandas as pd
 
     hour = F.date_trunc("hour", "ts")
@@ -129,7 +129,7 @@ def debounced(events: DataFrame, seconds: float = 5.0) -> DataFrame:
             told.append((opened, count, last))
         return pd.DataFrame(told, columns=["opened", "n", "last_id"])
 
-    return parted.groupBy("stretch").applyInPandas(fold, "opened timestamp_ntz, n long, last_id long")
+    return parted.groupBy(F.date_trunc("hour", "stretch")).applyInPandas(fold, "opened timestamp_ntz, n long, last_id long")
 
 
 def notice(n: Column, title: Column, body: Column, app: str = "Documents") -> Column:

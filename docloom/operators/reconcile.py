@@ -27,49 +27,56 @@ def rows_match(row_size: Column, row_time: Column, size: Column, mtime: Column)
 
 
 def known_hashes(files: DataFrame, docs: DataFrame, rehash: bool = False) -> DataFrame:
-    """rel, size, mtime, hash as a scan knows it, fresh and known (has a row). A file whose row still describes it is not
+    """rel, size, mtime, hash as a scan knows it, fresh, known (has a row) and own (its id). A file whose row still describes it is not
     read again: its hash is the row's, and not fresh; `rehash` reads all."""
-    rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("row_hash"), F.lit(True).alias("known"))
+    rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("row_hash"), F.lit(True).alias("known"), F.col("id").alias("own"))
     same = F.coalesce(F.col("known"), F.lit(False)) & rows_match(F.col("row_size"), F.col("modified"), F.col("size"), F.col("mtime")) & F.lit(not rehash)
     joined = files.join(rows, "rel", "left")
-    return joined.select("rel", "size", "mtime", F.when(same, F.col("row_hash")).otherwise(F.col("hash")).alias("hash"), (~same).alias("fresh"), F.coalesce("known", F.lit(False)).alias("known"))
+    return joined.select("rel", "size", "mtime", F.when(same, F.col("row_hash")).otherwise(F.col("hash")).alias("hash"), (~same).alias("fresh"), F.coalesce("known", F.lit(False)).alias("known"), "own")
 
 
-def _places(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """frame with __rn, each row's place by `name` among the rows of its side and keys: sums over ranges of names first, so
-    that a hash of very many files (empty ones) is no task of its own."""
-    cell = frame.withColumn("__part", F.substring(name, 1, 24))  # ranges of names, in their order
-    sums = cell.groupBy("side", *keys, "__part").agg(F.count("*").alias("__c"))
-    above = sums.withColumn("__before", F.sum("__c").over(Window.partitionBy("side", *keys).orderBy("__part")) - F.col("__c")).drop("__c")
-    own = cell.withColumn("__own", F.row_number().over(Window.partitionBy("side", *keys, "__part").orderBy(name)))
-    return own.join(above, ["side", *keys, "__part"]).withColumn("__rn", F.col("__before") + F.col("__own")).drop("__part", "__before", "__own")
+def _placed(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """frame with __rn, each row's place by name among the rows of its side and keys, and `met`: whether the other side has a
+    row of that place. Sums over ranges of names come first, so that a hash of very many files (empty ones) is no task of
+    its own. A row with a null key meets none."""
+    cell = frame.withColumn("__part", F.substring("name", 1, 24))  # ranges of names, in their order
+    sums = cell.dropna(subset=keys).groupBy("side", *keys, "__part").agg(F.count("*").alias("__c"))
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("__c"))).over(Window.partitionBy(*keys))
+    pairs = sums.withColumn("__pairs", F.when(of("missing").isNotNull() & of("free").isNotNull(), F.least(of("missing"), of("free"))))
+    above = pairs.withColumn("__before", F.sum("__c").over(Window.partitionBy("side", *keys).orderBy("__part")) - F.col("__c")).drop("__c")
+    own = cell.withColumn("__own", F.row_number().over(Window.partitionBy("side", *keys, "__part").orderBy("name")))
+    joined = own.join(above, ["side", *keys, "__part"], "left").withColumn("__rn", F.col("__before") + F.col("__own"))
+    return joined.withColumn("met", F.coalesce(F.col("__rn") <= F.col("__pairs"), F.lit(False))).select(*frame.columns, "__rn", "met")
 
 
-def _paired(both: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both sides ('missing', 'free') with the match: the k-th missing row of a key goes to its k-th free file;
-    groups are disjoint, so this is the greedy match."""
-    ranked = _places(both.filter(" and ".join(f"{k} is not null" for k in keys)), keys, "name")
-    won = ranked.groupBy(*keys, "__rn").agg(F.max(F.when(F.col("side") == "missing", F.col("id"))).alias("id"), F.max(F.when(F.col("side") == "missing", F.col("name"))).alias("old_path"), F.max(F.when(F.col("side") == "free", F.col("name"))).alias("new_path"), F.max(F.when(F.col("side") == "free", F.col("known"))).alias("known"))
-    return won.filter("id is not null and new_path is not null").select("id", "old_path", "new_path", F.when(F.col("known"), "merge").otherwise("rename").alias("kind"), *keys)
+def _paired(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The k-th missing row of a key with its k-th free file; groups are disjoint, so this is the greedy match."""
+    missing, free = (F.col("side") == side for side in ("missing", "free"))
+    won = placed.filter("met").groupBy(*keys, "__rn").agg(F.max(F.when(missing, F.col("id"))).alias("id"), F.max(F.when(missing, F.col("name"))).alias("old_path"), F.max(F.when(free, F.col("name"))).alias("new_path"), F.bool_or(free & F.col("known")).alias("known"), F.max(F.when(free, F.col("own"))).alias("own"))
+    return won.select("id", "old_path", "new_path", F.when(F.col("known"), "merge").otherwise("rename").alias("kind"), "own")
+
+
+def _matched(files: DataFrame, docs: DataFrame, rehash: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both passes' pairs, with the id of the file's own row, and the orphans.
+
+    What a pass takes is known from places and counts, so that neither pass 2 nor the orphans join with the pairs before."""
+    row_id = F.lit(None).cast(docs.schema["id"].dataType)
+    gone = docs.join(files, docs["path"] == files["rel"], "left_anti").select(F.lit("missing").alias("side"), "id", F.col("path").alias("name"), "size", "hash", F.lit(True).alias("fresh"), F.lit(False).alias("known"), row_id.alias("own"))
+    there = known_hashes(files, docs, rehash).select(F.lit("free").alias("side"), row_id.alias("id"), F.col("rel").alias("name"), "size", "hash", "fresh", "known", "own")
+    # only hashes that stand on both sides can match
+    shared = gone.select("hash").distinct()
+    one = _placed(gone.unionByName(there.join(shared, "hash", "left_semi")), ["size", "hash"])
+    two = _placed(one.filter("fresh and not met").drop("__rn", "met"), ["hash"])
+    orphans = two.filter("side = 'missing' and not met").select("id", F.col("name").alias("path"))
+    return _paired(one, ["size", "hash"]), _paired(two, ["hash"]), orphans
 
 
 def renames(files: DataFrame, docs: DataFrame, rehash: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pass 1 by size and hash, pass 2 by hash among what is left, orphans). A file that has a row of its own may take a
     missing one too, as a merge. Pass 2 takes only files whose hash a scan works out anew: those without a row and those
     that their row no longer describes."""
-    gone = docs.join(files, docs["path"] == files["rel"], "left_anti").select(F.lit("missing").alias("side"), "id", F.col("path").alias("name"), "size", "hash", F.lit(True).alias("fresh"), F.lit(False).alias("known"))
-    there = known_hashes(files, docs, rehash).select(F.lit("free").alias("side"), F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.col("rel").alias("name"), "size", "hash", "fresh", "known")
-    # only hashes that stand on both sides can match
-    shared = gone.select("hash").distinct()
-    both = gone.unionByName(there.join(shared, "hash", "left_semi"))
-    one = _paired(both, ["size", "hash"])
-    taken = one.select(F.lit("missing").alias("side"), F.col("old_path").alias("name")).unionByName(one.select(F.lit("free").alias("side"), F.col("new_path").alias("name")))
-    left = both.filter("fresh").join(taken, ["side", "name"], "left_anti")
-    two = _paired(left, ["hash"])
-    found = one.select("id").unionByName(two.select("id"))
-    orphans = gone.join(found, "id", "left_anti").select("id", F.col("name").alias("path"))
-    label = lambda df: df.select("id", "old_path", "new_path", "kind")
-    return label(one), label(two), orphans
+    one, two, orphans = _matched(files, docs, rehash)
+    return one.drop("own"), two.drop("own"), orphans
 
 
 def richness(row: str = "") -> Column:
@@ -83,9 +90,9 @@ def richness(row: str = "") -> Column:
 
 def meeting(files: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows that meet on a target, their place in it (1 wins) and all of their columns."""
-    one, two, _ = renames(files, docs)
-    plan = one.unionByName(two).filter("kind = 'merge'").select("id", F.col("new_path").alias("target"))
-    rows = plan.unionByName(docs.join(plan.select("target").distinct(), docs["path"] == F.col("target")).select("id", "target"))
+    one, two, _ = _matched(files, docs, False)
+    plan = one.unionByName(two).filter("kind = 'merge'")
+    rows = plan.select(F.explode(F.array("id", "own")).alias("id"), F.col("new_path").alias("target"))
     return rows.join(docs, "id").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(richness().desc(), "path")))
 
 
