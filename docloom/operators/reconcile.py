@@ -27,12 +27,12 @@ def rows_match(row_size: Column, row_time: Column, size: Column, mtime: Column)
 
 
 def known_hashes(files: DataFrame, docs: DataFrame, rehash: bool = False) -> DataFrame:
-    """rel, size, mtime, hash as a scan knows it, fresh, known (has a row) and own (its id). A file whose row still describes it is not
+    """rel, size, mtime, hash as a scan knows it, fresh and known (has a row). A file whose row still describes it is not
     read again: its hash is the row's, and not fresh; `rehash` reads all."""
-    rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("row_hash"), F.lit(True).alias("known"), F.col("id").alias("own"))
+    rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("row_hash"), F.lit(True).alias("known"))
     same = F.coalesce(F.col("known"), F.lit(False)) & rows_match(F.col("row_size"), F.col("modified"), F.col("size"), F.col("mtime")) & F.lit(not rehash)
     joined = files.join(rows, "rel", "left")
-    return joined.select("rel", "size", "mtime", F.when(same, F.col("row_hash")).otherwise(F.col("hash")).alias("hash"), (~same).alias("fresh"), F.coalesce("known", F.lit(False)).alias("known"), "own")
+    return joined.select("rel", "size", "mtime", F.when(same, F.col("row_hash")).otherwise(F.col("hash")).alias("hash"), (~same).alias("fresh"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def _placed(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,12 +60,16 @@ def _matched(files: DataFrame, docs: DataFrame, rehash: bool) -> tuple[DataFrame
     """Both passes' pairs, with the id of the file's own row, and the orphans.
 
     What a pass takes is known from places and counts, so that neither pass 2 nor the orphans join with the pairs before."""
-    row_id = F.lit(None).cast(docs.schema["id"].dataType)
-    gone = docs.join(files, docs["path"] == files["rel"], "left_anti").select(F.lit("missing").alias("side"), "id", F.col("path").alias("name"), "size", "hash", F.lit(True).alias("fresh"), F.lit(False).alias("known"), row_id.alias("own"))
-    there = known_hashes(files, docs, rehash).select(F.lit("free").alias("side"), row_id.alias("id"), F.col("rel").alias("name"), "size", "hash", "fresh", "known", "own")
-    # only hashes that stand on both sides can match
-    shared = gone.select("hash").distinct()
-    one = _placed(gone.unionByName(there.join(shared, "hash", "left_semi")), ["size", "hash"])
+    rows = docs.select("path", F.col("id").alias("__id"), F.col("size").alias("__size"), "modified", F.col("hash").alias("__hash"), F.lit(True).alias("__row"))
+    seen = files.withColumn("__file", F.lit(True)).join(rows, files["rel"] == rows["path"], "full_outer")
+    free, row = (F.coalesce(F.col(c), F.lit(False)) for c in ("__file", "__row"))
+    same = free & row & F.coalesce(rows_match(F.col("__size"), F.col("modified"), F.col("size"), F.col("mtime")), F.lit(False)) & F.lit(not rehash)
+    both = seen.select(
+        F.when(free, "free").otherwise("missing").alias("side"), F.when(~free, F.col("__id")).alias("id"), F.coalesce("rel", "path").alias("name"),
+        F.when(free, F.col("size")).otherwise(F.col("__size")).alias("size"), F.when(~free | same, F.col("__hash")).otherwise(F.col("hash")).alias("hash"),
+        (~same).alias("fresh"), (free & row).alias("known"), F.when(free, F.col("__id")).alias("own"),
+    )
+    one = _placed(both, ["size", "hash"])
     two = _placed(one.filter("fresh and not met").drop("__rn", "met"), ["hash"])
     orphans = two.filter("side = 'missing' and not met").select("id", F.col("name").alias("path"))
     return _paired(one, ["size", "hash"]), _paired(two, ["hash"]), orphans
