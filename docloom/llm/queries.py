@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, hnsw, licenses, lm, mixture, neardup, pii, quality, repeats, secrets, tokenfile
+from docloom.llm import bpe, codes, hnsw, licenses, lm, mixture, neardup, pii, quality, repeats, secrets, tokenfile
 from docloom.llm._spark import scratch_dir
 from docloom.llm.oracles import ORACLE_SQL
 from docloom.session import ship_package
@@ -69,4 +69,8 @@ def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op6_lm_score, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan, op12_token_file)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op6_lm_score, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan, op12_token_file, op13_vector_codes)}
