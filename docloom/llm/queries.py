@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bpe, codes, hnsw, licenses, lm, mixture, neardup, pii, quality, repeats, secrets, tokenfile
+from docloom.llm import bpe, codes, hnsw, licenses, lm, mixture, neardup, negatives, pii, quality, repeats, secrets, tokenfile
 from docloom.llm._spark import scratch_dir
 from docloom.llm.oracles import ORACLE_SQL
 from docloom.session import ship_package
@@ -63,6 +64,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
 def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,4 +80,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op6_lm_score, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan, op12_token_file, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_bpe, op3_quality_rules, op4_minhash_dedup, op5_embedding_dedup, op6_lm_score, op7_secret_scan, op8_suffix_dedup, op9_personal_data, op10_license_scan, op11_hard_negatives, op12_token_file, op13_vector_codes)}
