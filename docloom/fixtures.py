@@ -1,6 +1,7 @@
 """Input views of the queries, as SQL that Spark and DuckDB both read.
 
-`$sha(` stands for the SHA-256 hex function and `$bytes(` for the byte length, which the two spell differently.
+`$sha(` stands for the SHA-256 hex function, `$bytes(` for the byte length, and `$seq(n)` for rows 0 to n, which the two
+spell differently.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ RAW = ("benchmark", "conversations", "documents", "events", "labels", "pages", "
 VIEWS: dict[str, str] = {
     "fx_docs": r"""
 SELECT id, top || name AS path, hash, size, modified, digested, name AS original, category, parties, langs, tags,
-       date, title, confidence, dup, summary, '' AS notes, extra
+       date, title, confidence, dup, summary, notes, extra
 FROM (
   SELECT doc_id AS id,
     CASE doc_id % 4 WHEN 0 THEN 'Inbox/' WHEN 1 THEN 'Inbox/' || source || '/nested/'
@@ -32,7 +33,7 @@ FROM (
     CASE WHEN doc_id % 6 = 0 THEN NULL ELSE substr(replace(text, chr(10), ' '), 1, 40) END AS title,
     CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'confirmed' END AS confidence,
     CASE WHEN doc_id % 17 = 0 THEN 'keep' ELSE 'unique' END AS dup,
-    CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 200) END AS summary,
+    CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 200) END AS summary, coalesce(text, '') AS notes,
     CASE WHEN doc_id % 12 = 0 THEN 'not json' WHEN doc_id % 12 = 1 THEN '[1]'
          ELSE '{"amount": ' || CAST(doc_id % 100 AS STRING) || '}' END AS extra
   FROM documents) t
@@ -51,12 +52,12 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN 'asr_subtitle' ELSE 'asr_full' END
   CASE WHEN doc_id % 2 = 0 THEN 'engine 1.0 model=a' ELSE 'engine 1.1 model=b' END AS engine_ver,
   ';en;he;' AS langs, CAST(n_chars AS DOUBLE) / 15 AS audio_seconds, CAST(1 + doc_id % 2 AS BIGINT) AS channels,
   'unknown' AS recording_type
-FROM documents WHERE doc_id % 7 IN (4, 5) AND doc_id % 3 <> 0
+FROM documents d WHERE doc_id % 7 IN (4, 5) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)
 """,
     "fx_triage": r"""
 SELECT doc_id, '2024-03-' || lpad(CAST(1 + (doc_id * 7) % 28 AS STRING), 2, '0') || 'T00:00:00Z' AS enqueued_at,
-  CASE WHEN doc_id % 2 = 0 THEN 'digested' ELSE 'rebuild' END AS reason
-FROM documents WHERE doc_id % 3 = 0
+  CASE WHEN quality = 0 THEN 'digested' ELSE 'rebuild' END AS reason
+FROM labels
 """,
     "fx_dirs": r"""
 SELECT DISTINCT 'Inbox/' || source AS path, 'collection' AS mode, 'heuristic' AS source FROM documents
@@ -93,8 +94,14 @@ SELECT conv_id AS doc_id, turn, CAST(turn AS DOUBLE) * 5 + CAST(conv_id % 3 AS D
   CASE WHEN turn % 6 = 5 THEN '' ELSE text END AS text FROM conversations
 """,
     "fx_pages": r"""
-SELECT doc_id, CAST(p AS BIGINT) AS page, substr(text, p * 400 + 1, CASE WHEN (doc_id + p) % 5 = 0 THEN 20 ELSE 400 END) AS page_text
-FROM documents CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS v(p) WHERE p * 400 < n_chars
+SELECT doc_id, CAST(p AS BIGINT) AS page, substr(text, CAST(begun AS INT) + 1, CASE WHEN inside < short THEN 20 ELSE 400 END) AS page_text
+FROM (SELECT doc_id, text, p, inside, short,
+    (p - inside) / 5 * (short * 20 + (5 - short) * 400) + least(inside, short) * 20 + greatest(inside - short, 0) * 400 AS begun
+  FROM (SELECT doc_id, text, short, p, p % 5 AS inside
+    FROM (SELECT doc_id, text, short, $seq(last) AS p
+      FROM (SELECT doc_id, text, short, CAST(floor(length(text) / (short * 20 + (5 - short) * 400)) AS INT) * 5 + 4 AS last
+        FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS short FROM documents) a) b) c) d) e
+WHERE begun < length(text)
 """,
     "fx_llm_raw": r"""
 SELECT doc_id, CASE doc_id % 4
@@ -136,13 +143,13 @@ def _ordered(names: list[str]) -> list[str]:
 
 
 def spark_sql(name: str) -> str:
-    return re.sub(r"\$sha\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", VIEWS[name]).replace("$bytes(", "octet_length(")
+    return re.sub(r"\$sha\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", VIEWS[name]).replace("$bytes(", "octet_length(").replace("$seq(last)", "explode(sequence(0, last))")
 
 
 def duckdb_ctes(*names: str) -> str:
     """`WITH a AS (...), b AS (...)` for an oracle query."""
     text = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in _ordered(list(names)))
-    return "WITH " + text.replace("$sha(", "sha256(").replace("$bytes(", "strlen(") + " "
+    return "WITH " + text.replace("$sha(", "sha256(").replace("$bytes(", "strlen(").replace("$seq(last)", "unnest(range(0, last + 1))") + " "
 
 
 class Inputs:
