@@ -35,7 +35,7 @@ SEGMENT = 1 << 18
 #: Distinct pieces that a worker remembers (about 50 bytes each), and the longest of them in bytes.
 REMEMBERED = 3_000_000
 PIECE = 24
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 
 # Classes of bytes: letter, digit, other printable, apostrophe, space, line feed, anything else.
 _L, _D, _P, _Q, _S, _N, _X = range(7)
