@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from docloom.llm._spark import written
 from docloom.llm._vectors import floors, usable, width
 
+#: Pivots: one for each CELL anchors, so that a candidate's copies do not grow with the anchors while few groups hold all.
 PIVOTS = 256
+CELL = 512
 BLOCK = 2048
 SLICE = 65536
 BUCKETS = 16
@@ -332,7 +334,7 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     shape = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not anchors:
         return rows.sparkSession.createDataFrame([], shape)
-    pivots = classes.orderBy("key").limit(min(math.isqrt(anchors - 1) + 1, PIVOTS)).select("vec", "norm").collect()
+    pivots = classes.orderBy("key").limit(min(-(-anchors // CELL), PIVOTS)).select("vec", "norm").collect()
     space = Space(np.stack([np.frombuffer(r["vec"], "<i4") for r in pivots]).astype(np.int64), np.array([r["norm"] for r in pivots], float), float(largest), length)
     candidates = classes.drop("anchor")
 

@@ -48,6 +48,7 @@ ODD = [
 
 @pytest.mark.parametrize("small", [False, True])
 def test_mine(spark, monkeypatch, small):
+    monkeypatch.setattr(negatives, "CELL", 9)
     if small:
         monkeypatch.setattr(negatives, "SLICE", 100)
         monkeypatch.setattr(negatives, "BLOCK", 10)
