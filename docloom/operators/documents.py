@@ -57,13 +57,32 @@ def violations(docs: DataFrame, ocr: DataFrame, triage: DataFrame, dirs: DataFra
     return out
 
 
+def numbered(rows: DataFrame, top: DataFrame, key: str = "path") -> DataFrame:
+    """rows with ids after `top` (one row, `top`). They follow the first three digits of the key's SHA-256, then the key: each
+    of these 4,096 ranges is numbered by itself and begins where the counts of those before it end, so no task sees all rows."""
+    cells = rows.withColumn("__cell", F.substring(F.sha2(F.col(key), 256), 1, 3))
+    sizes = cells.groupBy("__cell").agg(F.count("*").alias("__n"))
+    begins = sizes.select("__cell", (F.sum("__n").over(Window.orderBy("__cell")) - F.col("__n")).alias("__begin"))  # at most 4,096 rows
+    own = F.row_number().over(Window.partitionBy("__cell").orderBy(key))
+    placed = cells.withColumn("__own", own).join(F.broadcast(begins), "__cell").crossJoin(F.broadcast(top))
+    return placed.withColumn("id", F.col("top") + F.col("__begin") + F.col("__own")).select(*dict.fromkeys([*rows.columns, "id"]))
+
+
 def upserted(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new replace those of the same path, whose id they keep; the others get ids after the largest."""
-    old = docs.select(F.col("path").alias("p"), F.col("id").alias("old_id"))
+    """Rows of new replace those of the same path, whose id they keep; the others get ids after the largest (see numbered)."""
+    old = docs.select(F.col("path").alias("__path"), F.col("id").alias("__old"))
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    matched = new.join(old, new["path"] == old["p"], "left").crossJoin(F.broadcast(top))  # one row
-    fresh = matched.withColumn("id", F.coalesce("old_id", F.col("top") + F.row_number().over(Window.partitionBy(F.col("old_id").isNull()).orderBy("path"))))
-    return docs.join(new, "path", "left_anti").select(*docs.columns).unionByName(fresh.select(*docs.columns))
+    matched = new.join(old, new["path"] == old["__path"], "left")
+    again = matched.filter("__old is not null").withColumn("id", F.col("__old")).select(*docs.columns)
+    fresh = numbered(matched.filter("__old is null").drop("__old", "__path"), top).select(*docs.columns)
+    return docs.join(new, "path", "left_anti").select(*docs.columns).unionByName(again).unionByName(fresh)
+
+
+def upserted_children(child: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
+    """child (by doc_id) with the rows of new (by path) in place of those of the same documents; docs has their ids. Columns
+    that new lacks are null; rows whose path no document has are left out."""
+    rows = new.join(docs.select(F.col("id").alias("doc_id"), "path"), "path").drop("path")
+    return child.join(rows, "doc_id", "left_anti").unionByName(rows.select(*(c for c in child.columns if c in rows.columns)), allowMissingColumns=True)
 
 
 def without_prefix(docs: DataFrame, top: str) -> DataFrame:

@@ -8,21 +8,36 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.operators import documents, dups
+from docloom.store import Snapshot, Store
 
 LISTS = ("parties", "tags", "langs")
 
 
 def persisted(docs: DataFrame, triage: DataFrame, digests: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """docs and queue after digests (columns of docs, by path): rows are replaced under their ids, a state other than unique
-    that a row had is kept, and what lies in the inbox is enqueued with this time."""
+    """docs and queue after digests (columns of docs, by path): rows are replaced under their ids and keep their duplicate
+    state; every one of them is enqueued, or enqueued anew, with this time."""
     had = docs.select("path", F.col("dup").alias("had"))
-    kept = digests.join(had, "path", "left").withColumn("dup", F.when(F.col("had").isin("dup", "keep"), F.col("had")).otherwise(F.coalesce("dup", F.lit("unique")))).drop("had")
+    kept = digests.join(had, "path", "left").withColumn("dup", F.coalesce("had", "dup", F.lit("unique"))).drop("had")
     after = documents.upserted(docs, documents.checked(kept))
-    queued = after.join(digests.select("path").distinct(), "path", "left_semi").filter(F.lower("path").startswith("inbox/"))
-    new = queued.select(F.col("id").alias("doc_id"), F.lit(now).alias("enqueued_at"), F.lit("digested").alias("reason"))
+    new = after.join(digests.select("path").distinct(), "path", "left_semi").select(F.col("id").alias("doc_id"), F.lit(now).alias("enqueued_at"), F.lit("digested").alias("reason"))
     return after, triage.join(new, "doc_id", "left_anti").unionByName(new.select(*triage.columns))
 
 
+def digest(store: Store, digests: DataFrame, now: str, ocr: DataFrame | None = None, asr: DataFrame | None = None) -> int:
+    """Digests with what recognition and speech found (ocr and asr: columns of theirs, by path) into docs, queue, ocr and asr
+    of a store: one commit, so that readers see all of a digest or nothing of it."""
+
+    def change(seen: Snapshot) -> dict[str, DataFrame]:
+        after, queue = persisted(seen.read("docs"), seen.read("triage"), digests, now)
+        made = {"docs": after, "triage": queue}
+        for name, rows in (("ocr", ocr), ("asr", asr)):
+            if rows is not None:
+                made[name] = documents.upserted_children(seen.read(name), rows, after)
+        return made
+
+    return store.transact(change)
+
+
 def edited(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """docs after assignments (id, field, value; the last by `turn` wins): list fields are parsed as comma or semicolon lists,
     others taken as they stand, empty ones as null but for the category. Unknown fields are left out; `dup` is set

@@ -392,7 +392,7 @@ def file_into_category(i):
     return documents.filing_plan(i.fx_docs)
 
 
-@query("WITH n AS (SELECT path, 'Changed' AS category FROM fx_docs WHERE id % 10 = 3 UNION ALL SELECT rel, 'Changed' FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)) SELECT coalesce(d.id, (SELECT max(id) FROM fx_docs) + row_number() OVER (PARTITION BY d.id IS NULL ORDER BY n.path)) AS id, n.path, n.category FROM n LEFT JOIN fx_docs d ON d.path = n.path UNION ALL SELECT id, path, category FROM fx_docs WHERE path NOT IN (SELECT path FROM n)", "fx_docs", "fx_fs")
+@query("WITH n AS (SELECT path, 'Changed' AS category FROM fx_docs WHERE id % 10 = 3 UNION ALL SELECT rel, 'Changed' FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)) SELECT coalesce(d.id, (SELECT max(id) FROM fx_docs) + row_number() OVER (PARTITION BY d.id IS NULL ORDER BY substr(sha256(n.path), 1, 3), n.path)) AS id, n.path, n.category FROM n LEFT JOIN fx_docs d ON d.path = n.path UNION ALL SELECT id, path, category FROM fx_docs WHERE path NOT IN (SELECT path FROM n)", "fx_docs", "fx_fs")
 def upsert_docs(i):
     docs = i.fx_docs.select("id", "path", "category")
     new = docs.filter("id % 10 = 3").select("path").union(i.fx_fs.join(docs, F.col("rel") == docs["path"], "left_anti").select("rel")).withColumn("category", F.lit("Changed"))

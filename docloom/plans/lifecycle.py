@@ -8,7 +8,7 @@ from docloom.functions import text as T
 from docloom.operators import documents, dups, journal, lifecycle, recognition, reconcile, transcripts
 from docloom.plans.registry import query
 
-_PUT = "new AS (SELECT path, 'Changed' AS category, hash, 'unique' AS dup FROM fx_docs WHERE id % 10 = 3 UNION ALL SELECT rel, 'Changed', hash, 'unique' FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)), aft AS (SELECT coalesce(d.id, (SELECT max(id) FROM fx_docs) + row_number() OVER (PARTITION BY d.id IS NULL ORDER BY n.path)) AS id, n.path, n.category, CASE WHEN d.dup IN ('dup', 'keep') THEN d.dup ELSE n.dup END AS dup, TRUE AS put FROM new n LEFT JOIN fx_docs d ON d.path = n.path UNION ALL SELECT id, path, category, dup, FALSE FROM fx_docs WHERE path NOT IN (SELECT path FROM new))"
+_PUT = "new AS (SELECT path, 'Changed' AS category, hash, 'unique' AS dup FROM fx_docs WHERE id % 10 = 3 UNION ALL SELECT rel, 'Changed', hash, 'unique' FROM fx_fs WHERE rel NOT IN (SELECT path FROM fx_docs)), aft AS (SELECT coalesce(d.id, (SELECT max(id) FROM fx_docs) + row_number() OVER (PARTITION BY d.id IS NULL ORDER BY substr(sha256(n.path), 1, 3), n.path)) AS id, n.path, n.category, CASE WHEN d.dup IN ('dup', 'keep') THEN d.dup ELSE n.dup END AS dup, TRUE AS put FROM new n LEFT JOIN fx_docs d ON d.path = n.path UNION ALL SELECT id, path, category, dup, FALSE FROM fx_docs WHERE path NOT IN (SELECT path FROM new))"
 
 
 def _put(i):
@@ -23,11 +23,18 @@ def digest_persist(i):
     return _put(i)[0].select("id", "path", "category", "dup")
 
 
-@query(f"WITH {_PUT} SELECT * FROM fx_triage WHERE doc_id NOT IN (SELECT id FROM aft WHERE put AND path ILIKE 'inbox/%') UNION ALL SELECT id, '2024-07-01T00:00:00Z', 'digested' FROM aft WHERE put AND path ILIKE 'inbox/%'", "fx_docs", "fx_fs", "fx_triage")
+@query(f"WITH {_PUT} SELECT * FROM fx_triage WHERE doc_id NOT IN (SELECT id FROM aft WHERE put) UNION ALL SELECT id, '2024-07-01T00:00:00Z', 'digested' FROM aft WHERE put", "fx_docs", "fx_fs", "fx_triage")
 def digest_enqueue(i):
     return _put(i)[1]
 
 
+@query(f"WITH {_PUT} SELECT doc_id, decision, engine, langs FROM fx_ocr WHERE doc_id NOT IN (SELECT id FROM aft WHERE put) UNION ALL SELECT id, 'ocr_pages', 'tesseract', NULL FROM aft WHERE put", "fx_docs", "fx_fs", "fx_triage", "fx_ocr")
+def digest_children(i):
+    after = _put(i)[0]
+    seen = after.filter("category = 'Changed'").select("path", F.lit("ocr_pages").alias("decision"), F.lit("tesseract").alias("engine"))
+    return documents.upserted_children(i.fx_ocr, seen, after).select("doc_id", "decision", "engine", "langs")
+
+
 @query("SELECT id, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 6 = 1 THEN 'T ' || id ELSE title END AS title, CASE WHEN id % 6 = 2 THEN ';a;b ' || id || ';' WHEN id % 6 = 3 THEN '' ELSE tags END AS tags, CASE WHEN id % 6 = 4 THEN 'Unknown' ELSE category END AS category, CASE WHEN id % 6 = 5 THEN CASE WHEN id % 2 = 0 THEN 'high' ELSE 'low' END ELSE confidence END AS confidence, dup FROM fx_docs", "fx_docs")
 def docs_edit(i):
     k, n = F.col("id") % 6, F.col("id").cast("string")

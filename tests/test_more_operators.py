@@ -55,7 +55,7 @@ def test_a_writer_that_dies_leaves_the_old_snapshot(spark, tmp_path):
     store.append("dirs", rows)
     (tmp_path / "db/dirs/half-written").mkdir()
     assert store.read("dirs").count() == 1 and store.version("dirs") is not None
-    numbers = [n for n, _ in store._pointers("dirs")]
+    numbers = [n for n, _ in store.history("dirs")]
     assert numbers == sorted(set(numbers)) and len(numbers) == 2
 
 
