@@ -1,17 +1,42 @@
-"""Full-text search: postings, boolean and phrase queries, BM25."""
+"""Full-text search: postings, boolean and phrase queries, BM25, and a stored index of immutable segments."""
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.store import Conflict, Log
+
 COLUMNS = ("title", "summary", "notes", "tags", "parties")
 K1, B = 1.2, 0.75
-#: Letters with marks and those without, for the Latin languages in use.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Characters that are one character with marks and that character, then all marks, which go. From Unicode's canonical
+    decompositions; the final sigma is the other one."""
+    marked, plain, marks = ["\u03c2"], ["\u03c3"], []
+    for c in map(chr, range(0x80, 0x20000)):
+        if unicodedata.category(c) in ("Mn", "Mc", "Me"):
+            marks.append(c)
+        elif unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<"):
+            bare = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) not in ("Mn", "Mc", "Me")))
+            if len(bare) == 1 and bare != c:
+                marked.append(c)
+                plain.append(bare)
+    return "".join(marked + marks), "".join(plain)
+
+
+MARKED, PLAIN = _folding()
+
+
+def fold(text: str) -> str:
+    """A query's word as `tokens` gives it."""
+    return text.lower().translate({ord(c): PLAIN[k] if k < len(PLAIN) else None for k, c in enumerate(MARKED)})
 
 
 def tokens(c: Column) -> Column:
@@ -53,7 +78,7 @@ def parse(query: str) -> tuple:
             at += 1
             return inner
         scope = fields[0] if fields is not None and len(fields) == 1 else fields
-        words = tuple(re.findall(r"[^\W_]+", p.lower()))
+        words = tuple(re.findall(r"[^\W_]+", fold(p)))
         return ("term", scope, words, True) if p.endswith("*") else ("term", scope, words)
 
     def both(fields: tuple[str, ...] | None) -> tuple:
@@ -86,6 +111,8 @@ def matches(index: DataFrame, tree: tuple) -> DataFrame:
     """doc_id of the documents that fit."""
     kind, left, right = tree[:3]
     if kind == "term":
+        if not right:  # no words, no match
+            return index.filter(F.lit(False)).select("doc_id")
         prefix = len(tree) > 3
         scoped = index.filter(F.col("field").isin(*((left,) if isinstance(left, str) else left))) if left is not None else index
         hit = scoped.filter(_fits(right[0], prefix and len(right) == 1))
@@ -126,26 +153,241 @@ def search(docs: DataFrame, query: str, limit: int = 50, index: DataFrame | None
     return scored.groupBy("doc_id").agg(F.round(-F.sum(weight), 6).alias("score")).orderBy("score", "doc_id").limit(limit)
 
 
+def _needed(tree: tuple) -> set[str]:
+    """Words (a beginning with its star) that every match has."""
+    if tree[0] == "term":
+        return {w + "*" * p for w, p in words_of(tree)}
+    left, right = _needed(tree[1]), _needed(tree[2])
+    return left | right if tree[0] == "and" else left & right if tree[0] == "or" else left
+
+
+def _all_words(tree: tuple) -> list[tuple[str, bool]]:
+    return words_of(tree) if tree[0] == "term" else list(dict.fromkeys([*_all_words(tree[1]), *_all_words(tree[2])]))
+
+
 class Index:
-    """Postings kept in a store's table, sorted by term within its files so that a term's filter skips the others; new,
-    changed and removed documents are merged in."""
+    """Postings in immutable segments under one log.
+
+    A segment has blocks: for a term and `RANGE` neighbouring doc_ids, the documents with their positions, and the highest
+    score (without the term's weight) that one of them can get; and a row for each document with its length. An update writes
+    a segment of the changed documents and a list of the rows that died in older segments, nothing else; segments of like
+    size are merged when there are `FAN` of them, so a row is rewritten about log times. The log's entry holds the counts of
+    documents and their lengths, so a search reads no document but those of the blocks that it needs.
+
+    A search for the first `limit` adds up the bounds of each range's blocks, reads ranges in falling order of these sums,
+    `FIRST` of them, then eight times as many, and ends when no range left can beat the last place."""
+
+    RANGE, FAN, FIRST, ROUNDS = 128, 4, 64, 3
 
-    def __init__(self, store, table: str = "docs_fts"):
-        self.store, self.table = store, table
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.log = spark, folder.rstrip("/"), Log(spark, f"{folder.rstrip('/')}/_log")
+        self.looked: list[int] = []  # ranges read in each round of the last search
+
+    # --- segments ---
+
+    def _built(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Blocks without their bounds, and doc_id, range and length of every document."""
+        placed = lambda k: lambda w, p: F.struct(w.alias("term"), (F.lit(k << 40).cast("long") + p).alias("at"))
+        lists = F.array(*(F.transform(tokens(F.col(c)), placed(k)) for k, c in enumerate(COLUMNS)))
+        words = docs.select(F.col("id").alias("doc_id"), F.floor(F.col("id") / self.RANGE).alias("range"), F.flatten(lists).alias("w")).withColumn("len", F.size("w"))
+        each = words.select("doc_id", "range", "len", F.explode("w").alias("w")).select("w.term", "range", "doc_id", "len", "w.at").repartition("term", "range")
+        by_doc = each.groupBy("term", "range", "doc_id").agg(F.first("len").alias("len"), F.array_sort(F.collect_list("at")).alias("at"))
+        blocks = by_doc.groupBy("term", "range").agg(F.collect_list(F.struct("doc_id", "len", "at")).alias("docs"))  # at most RANGE
+        return blocks, words.select("doc_id", "range", "len")
+
+    def _saved(self, blocks: DataFrame, docs: DataFrame, seq: int) -> dict:
+        """Write a segment and describe it. Its bounds hold for its own mean length, and by a factor for any other."""
+        name = uuid.uuid4().hex
+        docs.sortWithinPartitions("doc_id").write.parquet(f"{self.folder}/{name}/docs")
+        n, length = self.spark.read.parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        mean = length / n if length else 1.0
+        score = lambda d: F.size(d["at"]) * (K1 + 1) / (F.size(d["at"]) + K1 * (1 - B + B * d["len"] / mean))
+        bounded = blocks.withColumn("bound", F.array_max(F.transform("docs", score))).withColumn("n", F.size("docs"))
+        bounded.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{self.folder}/{name}/blocks")
+        return {"name": name, "seq": seq, "docs": n, "length": length, "mean": mean}
+
+    def _each(self, state: dict, kind: str, only: set[int] | None = None) -> DataFrame | None:
+        """blocks or docs of the segments, with seq and factor (how much a bound grows with today's mean)."""
+        mean, out = self._facts(state)[1], None
+        for s in state.get("segments", []):
+            if only is None or s["seq"] in only:
+                part = self.spark.read.parquet(f"{self.folder}/{s['name']}/{kind}").withColumns({"seq": F.lit(s["seq"]), "factor": F.lit(max(1.0, mean / s["mean"]) * (1 + 1e-12))})
+                out = part if out is None else out.unionByName(part)
+        return out
+
+    def _dead(self, state: dict) -> DataFrame | None:
+        """seq, range and doc_id of rows that count no more."""
+        paths = [f"{self.folder}/{d['name']}" for d in state.get("dead", [])]
+        return self.spark.read.parquet(*paths).select("seq", "range", "doc_id") if paths else None
 
     @staticmethod
-    def _ordered(rows: DataFrame) -> DataFrame:
-        return rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    def _lost(state: dict) -> dict[int, tuple[int, int]]:
+        """Of each segment, how many documents died and their length."""
+        out = {s["seq"]: (0, 0) for s in state.get("segments", [])}
+        for d in state.get("dead", []):
+            for seq, (n, length) in d["of"].items():
+                if int(seq) in out:
+                    out[int(seq)] = out[int(seq)][0] + n, out[int(seq)][1] + length
+        return out
+
+    def _facts(self, state: dict) -> tuple[int, float]:
+        """Documents and their mean length."""
+        lost = self._lost(state)
+        n = sum(s["docs"] - lost[s["seq"]][0] for s in state.get("segments", []))
+        return n, sum(s["length"] - lost[s["seq"]][1] for s in state.get("segments", [])) / max(n, 1)
+
+    # --- changes ---
 
     def rebuild(self, docs: DataFrame) -> None:
-        self.store.write(self.table, self._ordered(postings(docs)))
+        """One segment of all documents in place of what is there."""
+        while True:
+            number, state = self.log.latest()
+            seq = state.get("seq", 0) + 1
+            made = self._saved(*self._built(docs), seq)
+            try:
+                return self.log.add(number + 1, {"segments": [made], "dead": [], "seq": seq})
+            except Conflict:
+                continue
 
     def update(self, docs: DataFrame, removed: DataFrame | None = None) -> None:
-        """docs: new and changed documents, whose old postings go; removed: doc_id of those that are gone."""
+        """docs: new and changed documents, whose old postings die; removed: doc_id of those that are gone."""
         gone = docs.select(F.col("id").alias("doc_id"))
-        gone = gone if removed is None else gone.unionByName(removed.select("doc_id"))
-        kept = self.store.read(self.table).join(gone.distinct(), "doc_id", "left_anti")
-        self.store.write(self.table, self._ordered(kept.unionByName(postings(docs).select(*kept.columns))))
+        gone = (gone if removed is None else gone.unionByName(removed.select("doc_id"))).distinct()
+        made = None
+        while True:
+            number, state = self.log.latest()
+            seq, dead = state.get("seq", 0) + 1, []
+            made = made or self._saved(*self._built(docs), seq)
+            there = self._each(state, "docs")
+            if there is not None:
+                old, before = there.select("seq", "range", "doc_id", "len").join(gone, "doc_id", "left_semi"), self._dead(state)
+                old = old if before is None else old.join(before, ["seq", "range", "doc_id"], "left_anti")
+                name = uuid.uuid4().hex
+                old.coalesce(1).write.parquet(f"{self.folder}/{name}")  # a row a changed document
+                of = {str(r["seq"]): [r["n"], r["length"]] for r in self.spark.read.parquet(f"{self.folder}/{name}").groupBy("seq").agg(F.count("*").alias("n"), F.sum("len").alias("length")).collect()}
+                dead = [{"name": name, "of": of}] if of else []
+            segments = [*state.get("segments", []), *([made | {"seq": seq}] if made["docs"] else [])]
+            try:
+                self.log.add(number + 1, {"segments": segments, "dead": [*state.get("dead", []), *dead], "seq": seq})
+                break
+            except Conflict:
+                continue
+        self.merge()
+
+    def merge(self) -> None:
+        """Join segments of one size class, and rewrite one of which half has died, until there are none such."""
+        while True:
+            number, state = self.log.latest()
+            lost, tiers = self._lost(state), {}
+            for s in state.get("segments", []):
+                live = s["docs"] - lost[s["seq"]][0]
+                tiers.setdefault(int(math.log(max(live, 1), self.FAN)), []).append(s)
+            some = next((t for t in tiers.values() if len(t) >= self.FAN), None) or [s for s in state.get("segments", []) if 2 * lost[s["seq"]][0] >= s["docs"]][:1]
+            if not some:
+                return
+            old, seq = {s["seq"] for s in some}, state["seq"] + 1
+            blocks, docs, dead = self._each(state, "blocks", old), self._each(state, "docs", old), self._dead(state)
+            if dead is not None:
+                docs = docs.join(dead, ["seq", "range", "doc_id"], "left_anti")
+                gone = dead.groupBy("seq", "range").agg(F.collect_set("doc_id").alias("gone"))  # at most RANGE
+                blocks = blocks.join(gone, ["seq", "range"], "left").withColumn("docs", F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("gone", d["doc_id"]))))
+            joint = blocks.groupBy("term", "range").agg(F.flatten(F.collect_list("docs")).alias("docs")).filter(F.size("docs") > 0)
+            made = self._saved(joint, docs.select("doc_id", "range", "len"), seq)
+            rest = [s for s in state["segments"] if s["seq"] not in old] + ([made] if made["docs"] else [])
+            names = {str(s["seq"]) for s in rest}
+            try:
+                self.log.add(number + 1, {"segments": rest, "dead": [d for d in state["dead"] if names & set(d["of"])], "seq": seq})
+            except Conflict:
+                continue
+
+    # --- search ---
+
+    def search(self, query: str, limit: int = 50) -> DataFrame:
+        """doc_id and score (lower is better) of the best matches, as `search` gives them for the same documents."""
+        tree, (_, state) = parse(query), self.log.latest()
+        shape = "doc_id long, score double"
+        said, every = words_of(tree), _all_words(tree)
+        blocks = self._each(state, "blocks")
+        self.looked = []
+        if blocks is None or not said:
+            return self.spark.createDataFrame([], shape)
+        hits = F.lit(False)
+        for w, p in every:
+            hits = hits | _fits(w, p)
+        asked = F.array(*(F.lit(w + "*" * p) for w, p in every))
+        named = F.filter(asked, lambda q: F.when(q.endswith("*"), F.startswith("term", F.rtrim(q, F.lit("*")))).otherwise(q == F.col("term")))
+        mine = blocks.filter(hits).withColumn("name", F.explode(named))
+        n, mean = self._facts(state)
+        dead = self._dead(state)
+        gone = None if dead is None else dead.groupBy("seq", "range").agg(F.collect_set("doc_id").alias("gone"))
+
+        def live(rows: DataFrame) -> DataFrame:
+            if gone is None:
+                return rows
+            kept = F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("gone", d["doc_id"])))
+            return rows.join(gone, ["seq", "range"], "left").withColumn("docs", kept).drop("gone")
+
+        # documents of each word: from the blocks' counts, less those that died; those of a beginning are counted
+        weights = {}
+        single, starred = [w for w, p in said if not p], [w for w, p in said if p]
+        if single:
+            plain = mine.filter(F.col("name").isin(*single))
+            counted = plain.groupBy("name").agg(F.sum("n").alias("df"))
+            if gone is not None:
+                lost = plain.join(gone, ["seq", "range"]).groupBy("name").agg(F.sum(F.size(F.filter("docs", lambda d: F.array_contains("gone", d["doc_id"])))).alias("lost"))
+                counted = counted.join(lost, "name", "left").select("name", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
+            weights |= {r["name"]: r["df"] for r in counted.collect()}  # one row a word of the query
+        if starred:
+            begun = live(mine.filter(F.col("name").isin(*(w + "*" for w in starred))))
+            weights |= {r["name"]: r["df"] for r in begun.select("name", F.explode("docs.doc_id").alias("d")).groupBy("name").agg(F.count_distinct("d").alias("df")).collect()}
+        idf = {name: max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) for name, df in weights.items()}
+        if not idf:
+            return self.spark.createDataFrame([], shape)
+        weight = F.create_map(*(F.lit(x) for pair in idf.items() for x in pair))[F.col("name")]
+        needed = sorted(_needed(tree))
+        sums = mine.groupBy("seq", "range").agg(F.coalesce(F.sum(weight * F.col("bound") * F.col("factor")), F.lit(0.0)).alias("most"), F.collect_set("name").alias("names"))
+        for w in needed:
+            sums = sums.filter(F.array_contains("names", w))
+        sums = sums.select("seq", "range", "most")
+        best, last, done = [], None, []
+        pairs = lambda rows: F.broadcast(self.spark.createDataFrame(rows, "seq int, range long"))  # noqa: E731  (FIRST and eight times as many)
+        for k in range(self.ROUNDS):
+            left = sums if last is None else sums.filter(F.col("most") >= last)
+            left = left.join(pairs(done), ["seq", "range"], "left_anti") if done else left
+            some = None
+            if k < self.ROUNDS - 1:
+                some = [(r["seq"], r["range"]) for r in left.orderBy(F.desc("most"), "seq", "range").limit(self.FIRST * 8**k).collect()]
+                if not some:
+                    break
+                done += some
+                chosen = mine.filter(F.col("range").isin([r for _, r in some])).join(pairs(some), ["seq", "range"], "left_semi")
+            else:
+                chosen = mine.join(left.select("seq", "range"), ["seq", "range"], "left_semi")
+            self.looked.append(len(some) if some else left.count())
+            found = self._scored(live(chosen), tree, said, weight, mean).orderBy("score", "doc_id").limit(limit).collect()
+            best = sorted([*best, *((r["score"], r["doc_id"]) for r in found)])[:limit]
+            if len(best) == limit:
+                last = -best[-1][0] - 6e-7  # scores are rounded
+            if some is not None and len(some) < self.FIRST * 8**k:
+                break
+        return self.spark.createDataFrame([(d, s) for s, d in best], shape).orderBy("score", "doc_id")
+
+    @staticmethod
+    def _scored(blocks: DataFrame, tree: tuple, said: list[tuple[str, bool]], weight: Column, mean: float) -> DataFrame:
+        """doc_id and score of the matches in some blocks, which hold all of the query's words of their ranges."""
+        each = blocks.select("name", "term", F.explode("docs").alias("d")).select("name", "term", "d.*")
+        at = each.dropDuplicates(["doc_id", "term"]).select("doc_id", "term", F.explode("at").alias("at"))
+        fields = F.array(*(F.lit(c) for c in COLUMNS))
+        index = at.select("doc_id", F.element_at(fields, (F.shiftright("at", 40) + 1).cast("int")).alias("field"), (F.col("at").bitwiseAND((1 << 40) - 1)).alias("pos"), "term")
+        tf = each.filter(F.col("name").isin(*(w + "*" * p for w, p in said))).groupBy("doc_id", "name").agg(F.sum(F.size("at")).alias("tf"), F.first("len").alias("len"))
+        score = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+        return tf.join(matches(index, tree), "doc_id", "left_semi").groupBy("doc_id").agg(F.round(-F.sum(score), 6).alias("score"))
 
-    def read(self) -> DataFrame:
-        return self.store.read(self.table)
+    def postings(self) -> DataFrame:
+        """doc_id, field, pos and term of every token that counts."""
+        state = self.log.latest()[1]
+        blocks, dead = self._each(state, "blocks"), self._dead(state)
+        each = blocks.select("seq", "range", "term", F.explode("docs").alias("d")).select("seq", "range", "term", "d.doc_id", F.explode("d.at").alias("at"))
+        each = each if dead is None else each.join(dead, ["seq", "range", "doc_id"], "left_anti")
+        fields = F.array(*(F.lit(c) for c in COLUMNS))
+        return each.select("doc_id", F.element_at(fields, (F.shiftright("at", 40) + 1).cast("int")).alias("field"), F.col("at").bitwiseAND((1 << 40) - 1).alias("pos"), "term")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import journal, recognition, search, transcripts
 from docloom.plans.registry import query
+from docloom.session import scratch
 from docloom.sources import extract
 
 _LAST = "CASE WHEN status = 'pending' AND id <> max(CASE WHEN status = 'pending' THEN id END) OVER (PARTITION BY subject, kind) THEN 'superseded' ELSE status END"
@@ -327,7 +328,7 @@ def llm_to_doc(i):
 
 # --- search -----------------------------------------------------------------------------------------------------------
 
-_FOLD = "translate(lower(coalesce({c}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_FOLD = "replace(strip_accents(lower(coalesce({c}, ''))), 'ς', 'σ')"
 _INDEX = "ix AS (SELECT doc_id, field, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT id AS doc_id, field, list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM (" + " UNION ALL ".join(f"SELECT id, '{c}' AS field, {_FOLD.format(c=c)} AS t FROM fx_docs" for c in search.COLUMNS) + ")))"
 _BM = "sz AS (SELECT doc_id, count(*) AS len FROM ix GROUP BY doc_id), fa AS (SELECT count(*) AS n, avg(coalesce(len, 0)) AS mean FROM fx_docs d LEFT JOIN sz ON sz.doc_id = d.id), te AS (SELECT term, doc_id, count(*) AS tf FROM ix WHERE term IN ({words}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM te GROUP BY term) SELECT te.doc_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM te JOIN hit USING (doc_id) JOIN df ON df.term = te.term JOIN sz ON sz.doc_id = te.doc_id CROSS JOIN fa GROUP BY te.doc_id ORDER BY score, doc_id LIMIT 50"
 
@@ -385,3 +386,33 @@ def fts_columns(i):
 @query(_search_sql("SELECT DISTINCT doc_id FROM ix WHERE term = 'de' AND field <> 'tags'", "'de'"), "fx_docs")
 def fts_other_columns(i):
     return search.search(i.fx_docs, "- {tags} : de")
+
+
+_MARKED = "translate(notes, 'aeiouncszgdlrtyhwxkmpbf', 'ằệΐὃǘñćšžğďļŕťŷḧẘẍḱṃṕḃḟ')"
+
+
+@query(f"WITH w AS (SELECT unnest(list_filter(regexp_split_to_array({_FOLD.format(c=_MARKED)}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM fx_docs) SELECT term, count(*) AS n FROM w GROUP BY term", "fx_docs")
+def fts_terms_folded(i):
+    marked = F.translate("notes", "aeiouncszgdlrtyhwxkmpbf", "ằệΐὃǘñćšžğďļŕťŷḧẘẍḱṃṕḃḟ")
+    return i.fx_docs.select(F.explode(search.tokens(marked)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(_search_sql(_HAS.format(t="mit") + " UNION " + _HAS.format(t="la"), "'mit', 'la'"), "fx_docs")
+def fts_index_topk(i):
+    index = search.Index(i.spark, scratch(i.spark, "index"))
+    index.rebuild(i.fx_docs)
+    return index.search("mit OR la")
+
+
+_NOW = "cur AS (SELECT id, CASE WHEN id % 9 = 4 THEN 'again the party ' || id ELSE title END AS title, summary, CASE WHEN id % 9 = 4 THEN '' ELSE notes END AS notes, tags, parties FROM fx_docs WHERE id % 9 <> 5)"
+
+
+@query(_search_sql(_HAS.format(t="party") + " INTERSECT " + _HAS.format(t="the"), "'party', 'the'").replace("WITH ", f"WITH {_NOW}, ").replace("FROM fx_docs)", "FROM cur)").replace("FROM fx_docs UNION", "FROM cur UNION").replace("FROM fx_docs d", "FROM cur d"), "fx_docs")
+def fts_index_updates(i):
+    """A search after documents were changed and removed in two updates."""
+    docs, index = i.fx_docs, search.Index(i.spark, scratch(i.spark, "index"))
+    index.rebuild(docs)
+    changed = docs.filter("id % 9 = 4").withColumns({"title": F.concat(F.lit("again the party "), F.col("id").cast("string")), "notes": F.lit("")})
+    index.update(changed.withColumn("title", F.lit("passing")))
+    index.update(changed, docs.filter("id % 9 = 5").select(F.col("id").alias("doc_id")))
+    return index.search("party the")

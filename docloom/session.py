@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,3 +44,15 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root))
     context.addPyFile(str(archive))
     context._docloom_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared one that the cluster names in spark.checkpoint.dir. Where that is unset, a
+    session that runs on this machine alone gets a folder of its own; any other is told to set it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"

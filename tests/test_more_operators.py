@@ -38,10 +38,9 @@ def test_search_trees_with_prefixes_and_fields():
 def test_stored_index_follows_changes(spark, tmp_path):
     shape = "id long, title string, summary string, notes string, tags string, parties string"
     docs = spark.createDataFrame([(1, "red car", "", "", "", ""), (2, "blue car", "", "", "", ""), (3, "boat", "", "", "", "")], shape)
-    store = bootstrap(spark, f"file://{tmp_path}/db")
-    index = search.Index(store)
+    index = search.Index(spark, f"file://{tmp_path}/index")
     index.rebuild(docs)
-    found = lambda d, q: sorted(r["doc_id"] for r in search.search(d, q, index=index.read()).collect())
+    found = lambda d, q: sorted(r["doc_id"] for r in search.search(d, q, index=index.postings()).collect())
     assert found(docs, "car") == [1, 2]
     after = spark.createDataFrame([(2, "blue boat", "", "", "", ""), (4, "carpet", "", "", "", "")], shape)
     index.update(after, spark.createDataFrame([(3,)], "doc_id long"))
