@@ -11,6 +11,8 @@ from docloom.functions import text as T
 SUPPORTED = tuple(T.MEDIA)
 ENGINE, LANGS = "tesseract 5.5.0", "heb+eng"
 ASR_ENGINE, ASR_LANGS = "engine 1.1 model=b", "he,en"
+#: Columns that a merge takes from the row that goes where the other has nothing, and lists that it unites.
+MERGED, UNITED = ("category", "date", "title", "summary", "notes", "extra"), ("tags", "parties", "langs")
 BUCKETS = ("new_files", "changed_files", "partial_metadata", "stale_metadata", "ocr_review", "asr_review")
 
 
@@ -92,23 +94,99 @@ def richness(row: str = "") -> Column:
     return F.struct(state.alias("state"), sure.alias("sure"), filled.alias("filled"), F.coalesce(c("digested"), F.lit("")).alias("digested"))
 
 
+def _ranked(plan: DataFrame, docs: DataFrame) -> DataFrame:
+    rows = plan.select(F.explode(F.array("id", "own")).alias("id"), F.col("new_path").alias("target"))
+    return rows.join(docs, "id").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(richness().desc(), "path")))
+
+
 def meeting(files: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows that meet on a target, their place in it (1 wins) and all of their columns."""
     one, two, _ = _matched(files, docs, False)
-    plan = one.unionByName(two).filter("kind = 'merge'")
-    rows = plan.select(F.explode(F.array("id", "own")).alias("id"), F.col("new_path").alias("target"))
-    return rows.join(docs, "id").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(richness().desc(), "path")))
+    return _ranked(one.unionByName(two).filter("kind = 'merge'"), docs)
+
+
+def _values(best: DataFrame) -> DataFrame:
+    order = lambda c: F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("place"))).alias(c)
+    united = lambda c: T.semilist(F.flatten(F.collect_list(T.from_semilist(F.col(c))))).alias(c)
+    return best.groupBy("target").agg(F.min_by("id", "place").alias("winner"), F.count("*").cast("long").alias("n_rows"), *map(order, MERGED), *map(united, UNITED))
 
 
 def merged(files: DataFrame, docs: DataFrame) -> DataFrame:
     """For each merge: the winner, and its values with the loser's where it has none; lists are united."""
-    best = meeting(files, docs)
-    order = lambda c: F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("place")))
-    united = lambda c: T.semilist(F.flatten(F.collect_list(T.from_semilist(F.col(c)))))
-    return best.groupBy("target").agg(
-        F.min_by("id", "place").alias("winner"), F.count("*").cast("long").alias("n_rows"), *(order(c).alias(c) for c in ("category", "date", "title", "summary", "notes", "extra")),
-        *(united(c).alias(c) for c in ("tags", "parties", "langs")),
-    )
+    return _values(meeting(files, docs))
+
+
+def applied(files: DataFrame, docs: DataFrame, children: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """What a scan makes of docs and of their child tables (by doc_id), and the orphans it leaves (id, path, reason).
+
+    A row whose file has moved takes the path, size and time of the file. If the file has a row with the same hash, the
+    richer of the two stays with both rows' values and the other goes; a child row of the one that goes passes to the one that
+    stays, unless that has its own. If the file's row has another hash, nothing is done: the missing row is an orphan for a
+    person to look at. Rows whose file was read again with the same hash get its size and time, and the duplicate state of
+    merged hashes is worked out anew. The plan is written once, as both tables and the orphans come from it."""
+    from docloom.operators.dups import recomputed
+    from docloom.session import stored
+
+    one, two, missing = _matched(files, docs, False)
+    told = lambda side: docs.select(F.col("id").alias(side), F.col("hash").alias(f"{side}_hash"))
+    plan = stored(one.unionByName(two).join(told("id"), "id").join(told("own"), "own", "left").withColumn("same", F.col("id_hash").eqNullSafe(F.col("own_hash"))), "renames")
+    merges = plan.filter("kind = 'merge' and same")
+    best = stored(_ranked(merges, docs), "merges")
+    values = _values(best).drop("n_rows")
+    gone = best.filter("place = 2").select("id", "target").join(best.filter("place = 1").select(F.col("id").alias("stays"), "target"), "target").select("id", "stays")
+    to = plan.filter("kind = 'rename'").select("id", F.col("new_path").alias("to")).unionByName(best.filter("place = 1").select("id", F.col("target").alias("to")))
+    facts = known_hashes(files, docs).select("rel", F.col("size").alias("f_size"), F.col("mtime").alias("f_time"), F.col("hash").alias("f_hash"))
+    kept = docs.join(gone.select("id"), "id", "left_anti").join(to, "id", "left").withColumn("rel", F.coalesce("to", "path")).join(facts, "rel", "left")
+    seen = F.col("to").isNotNull() | F.coalesce(F.col("f_hash") == F.col("hash"), F.lit(False))
+    new = values.select(F.col("winner").alias("id"), F.lit(True).alias("won"), *(F.col(c).alias(f"new_{c}") for c in (*MERGED, *UNITED)))
+    own = {"path": F.col("rel"), "size": F.when(seen, F.col("f_size")).otherwise(F.col("size")), "modified": F.when(seen, F.col("f_time")).otherwise(F.col("modified"))}
+    own |= {c: F.when(F.col("won"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in (*MERGED, *UNITED)}
+    after = kept.join(new, "id", "left").select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
+    hashes = merges.select(F.col("id_hash").alias("hash")).distinct()
+    after = after.join(hashes, "hash", "left_anti").select(*docs.columns).unionByName(recomputed(after.join(hashes, "hash", "left_semi").select(*docs.columns)))
+
+    def passed(child: DataFrame) -> DataFrame:
+        from_gone = child.join(gone.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("doc_id", F.col("stays")).select(*child.columns)
+        rest = child.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*child.columns)
+        return rest.unionByName(from_gone.join(rest.select("doc_id"), "doc_id", "left_anti").select(*child.columns))
+
+    conflicts = plan.filter("kind = 'merge' and not same").select("id", F.col("old_path").alias("path"), F.lit("path_conflict_different_hash").alias("reason"))
+    orphans = missing.select("id", "path", F.lit("unresolved").alias("reason")).unionByName(conflicts)
+    return after, {name: passed(child) for name, child in (children or {}).items()}, orphans
+
+
+def composed(moves: DataFrame) -> DataFrame:
+    """source and target of moves (seq, source, target) done one after another: a path's last place, for every path that
+    something stood on at first; paths that end where they began are left out, and those that another move arrives on
+    before they are left again have no target. Each move points to the next one that takes
+    its target on, and pointers are doubled until none goes further, so a chain of n moves takes log n joins."""
+    from docloom.session import stored
+
+    order = Window.partitionBy("at").orderBy("seq", "arrives")
+    ends = moves.select("seq", F.col("source").alias("at"), F.lit(0).alias("arrives"), F.lit(None).cast("string").alias("to")).unionByName(moves.select("seq", F.col("target").alias("at"), F.lit(1).alias("arrives"), F.col("target").alias("to")))
+    came, then = F.coalesce(F.lag("arrives").over(order), F.lit(0)), F.lead("arrives").over(order)
+    marked = ends.withColumns({"came": came, "next": F.when(then == 0, F.lead("seq").over(order)), "to": F.when(F.coalesce(then, F.lit(0)) == 0, F.col("to"))})
+    arrivals = marked.filter("arrives = 1").select("seq", "next", "to")
+    heads = marked.filter("arrives = 0 and came = 0").select("seq", F.col("at").alias("source"))
+    chain = stored(arrivals, "moves")
+    while chain.filter("next is not null").limit(1).count():
+        after = chain.select(F.col("seq").alias("next"), F.col("next").alias("then"), F.col("to").alias("end"))
+        chain = stored(chain.join(after, "next", "left").select("seq", F.col("then").alias("next"), F.when(F.col("next").isNull(), F.col("to")).otherwise(F.col("end")).alias("to")), "moves")
+    return heads.join(chain, "seq").select("source", F.col("to").alias("target")).filter("target is null or source <> target")
+
+
+def moved_along(docs: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs after moves in their order, all paths at once (swaps too), and conflicts (id, path, target): rows whose place at
+    the end another row of a different hash keeps, which stay where they were. A row of the same hash there is replaced."""
+    to = composed(moves).withColumn("moves", F.lit(True))
+    told = docs.join(to, docs["path"] == to["source"], "left").drop("source").withColumn("moves", F.coalesce("moves", F.lit(False)))
+    still = told.filter("not moves").select(F.col("path").alias("target"), F.col("hash").alias("there"), F.lit(True).alias("held"))
+    met = told.join(still, "target", "left")
+    clash = F.col("moves") & (F.col("target").isNull() | (F.coalesce(F.col("held"), F.lit(False)) & ~F.col("there").eqNullSafe(F.col("hash"))))
+    conflicts = met.filter(clash).select("id", "path", "target")
+    going = met.filter(F.col("moves") & ~clash)
+    stays = met.filter(~F.col("moves") | clash).select(*docs.columns).join(going.select(F.col("target").alias("path")), "path", "left_anti").select(*docs.columns)
+    return stays.unionByName(going.withColumn("path", F.col("target")).select(*docs.columns)), conflicts
 
 
 def in_scope(frame: DataFrame, prefix: str, path: str = "path") -> DataFrame:

@@ -198,6 +198,40 @@ def scan_merged_values(i):
     return reconcile.merged(i.fx_fs, i.fx_docs)
 
 
+_CLASH = "fs2 AS (SELECT f.rel, coalesce(o.size, f.size) AS size, f.mtime, coalesce(o.hash, f.hash) AS hash FROM fx_fs f LEFT JOIN fx_docs d ON d.path = f.rel AND d.id % 22 = 1 LEFT JOIN fx_docs o ON o.id = d.id - 1)"
+_AFTER = _MATCH.replace("WITH mi", f"WITH {_CLASH}, mi").replace("fx_fs", "fs2").replace("FROM fs2 f LEFT JOIN fx_docs d ON d.path = f.rel AND", "FROM fx_fs f LEFT JOIN fx_docs d ON d.path = f.rel AND") + f""", pa AS (SELECT p.id, p.old_path, p.new_path, o.id AS own, o.hash IS NOT DISTINCT FROM d.hash AS same FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) p JOIN fx_docs d ON d.id = p.id LEFT JOIN fx_docs o ON o.path = p.new_path),
+ro AS (SELECT unnest([id, own]) AS id, new_path AS target FROM pa WHERE own IS NOT NULL AND same),
+be AS (SELECT ro.target, d.*, row_number() OVER (PARTITION BY ro.target ORDER BY {_RICH}) AS place FROM ro JOIN fx_docs d ON d.id = ro.id),
+mv AS (SELECT target, winner, category, date, title, summary, notes, extra, {_united('t').replace('x,', 'tags,')} AS tags, {_united('p').replace('x,', 'parties,')} AS parties, {_united('l').replace('x,', 'langs,')} AS langs FROM (SELECT target, min(id) FILTER (place = 1) AS winner, {', '.join(map(_first_full, ('category', 'date', 'title', 'summary', 'notes', 'extra')))}, string_agg(tags, ';') AS tags, string_agg(parties, ';') AS parties, string_agg(langs, ';') AS langs FROM be GROUP BY target)),
+ls AS (SELECT b.id, w.winner FROM be b JOIN mv w ON w.target = b.target WHERE b.place = 2),
+rn AS (SELECT id, new_path FROM pa WHERE own IS NULL),
+af AS (SELECT d.id, coalesce(rn.new_path, mv.target, d.path) AS path, d.hash, {', '.join(f"CASE WHEN rn.id IS NOT NULL OR mv.winner IS NOT NULL OR k.hash = d.hash THEN f.{b} ELSE d.{a} END AS {a}" for a, b in (('size', 'size'), ('modified', 'mtime')))}, {', '.join(f"CASE WHEN mv.winner IS NOT NULL THEN mv.{c} ELSE d.{c} END AS {c}" for c in ('category', 'title', 'tags', 'notes'))}, d.dup
+  FROM fx_docs d LEFT JOIN rn ON rn.id = d.id LEFT JOIN mv ON mv.winner = d.id LEFT JOIN fs2 f ON f.rel = coalesce(rn.new_path, mv.target, d.path) LEFT JOIN kn k ON k.rel = coalesce(rn.new_path, mv.target, d.path) WHERE d.id NOT IN (SELECT id FROM ls))
+"""
+
+
+def _clashing(i):
+    docs, files = i.fx_docs, i.fx_fs
+    at = docs.filter("id % 22 = 1").select(F.col("path").alias("rel"), (F.col("id") - 1).alias("of"))
+    other = at.join(docs.select(F.col("id").alias("of"), F.col("size").alias("o_size"), F.col("hash").alias("o_hash")), "of").drop("of")
+    return files.join(other, "rel", "left").select("rel", F.coalesce("o_size", "size").alias("size"), "mtime", F.coalesce("o_hash", "hash").alias("hash"))
+
+
+@query(_AFTER + "SELECT id, path, hash, size, modified, category, title, tags, notes, CASE WHEN hash NOT IN (SELECT d.hash FROM ls JOIN fx_docs d ON d.id = ls.id) THEN dup WHEN count(*) OVER (PARTITION BY hash) = 1 THEN 'unique' WHEN dup = 'unique' THEN 'dup' ELSE dup END AS dup FROM af", "fx_docs", "fx_fs")
+def scan_applied(i):
+    return reconcile.applied(_clashing(i), i.fx_docs)[0].select("id", "path", "hash", "size", "modified", "category", "title", "tags", "notes", "dup")
+
+
+@query(_AFTER + "SELECT * FROM fx_ocr WHERE doc_id NOT IN (SELECT id FROM ls) UNION ALL SELECT ls.winner, o.decision, o.done, o.engine, o.engine_ver, o.langs FROM fx_ocr o JOIN ls ON ls.id = o.doc_id WHERE ls.winner NOT IN (SELECT doc_id FROM fx_ocr)", "fx_docs", "fx_fs", "fx_ocr")
+def scan_applied_children(i):
+    return reconcile.applied(_clashing(i), i.fx_docs, {"ocr": i.fx_ocr})[1]["ocr"]
+
+
+@query(_AFTER + "SELECT id, old_path AS path, 'path_conflict_different_hash' AS reason FROM pa WHERE own IS NOT NULL AND NOT same UNION ALL SELECT id, old_path, 'unresolved' FROM mi WHERE id NOT IN (SELECT id FROM pa)", "fx_docs", "fx_fs")
+def scan_applied_orphans(i):
+    return reconcile.applied(_clashing(i), i.fx_docs)[2]
+
+
 _DRIFT_O = "coalesce(done, '') <> '' AND (coalesce(engine_ver, '') <> '' OR coalesce(langs, '') <> '') AND (coalesce(engine_ver, '') <> 'tesseract 5.5.0' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['eng','heb'])"
 _DRIFT_A = "coalesce(done, '') <> '' AND coalesce(engine, '') <> 'subtitle' AND (coalesce(engine_ver, '') <> '' OR coalesce(langs, '') <> '') AND (coalesce(engine_ver, '') <> 'engine 1.1 model=b' OR list_sort(list_distinct(list_filter(string_split(langs, ';'), lambda x: x <> ''))) <> ['en','he'])"
 _WORK = f"""WITH bo AS (SELECT f.rel, f.mtime, f.hash AS fh, NOT (f.size IS NOT DISTINCT FROM d.size AND f.mtime IS NOT DISTINCT FROM d.modified) AS fresh, d.* FROM fx_fs f JOIN fx_docs d ON d.path = f.rel),
