@@ -3,7 +3,8 @@
 Vectors with one label are cut into shards of at most `SHARD`; each shard gets a graph, kept as one row. Every vector
 queries every shard of its label, in blocks. A query's beam is widened while its whole result lies over the threshold,
 and for all queries of a block until audits against brute force reach `RECALL`: of the nearest points of `AUDIT` evenly
-spaced queries, and of the links of `AUDIT` queries that have some. A block whose audits fail at the widest beam is
+spaced queries, and of the links of eight times as many that are drawn before the search. Points that a search may not
+come by (no neighbour links back to them, or no way leads there) are compared with every query. A block whose audits fail at the widest beam is
 compared with the whole shard. What
 the beams find is verified by cosine in double precision. Equal vectors with one label are one point with a weight, so
 many copies cost one query; links are counted and united where they are found, never listed.
@@ -113,8 +114,31 @@ class Graph:
             entry = np.where(found >= 0, members[found], -1)
             if height:
                 entry = np.where(entry >= 0, entry, entry[:, :1])
+                if height == 1:  # the root too, from which `apart` looks at what can be reached
+                    entry = np.concatenate([np.full((len(q), 1), self.root), entry], 1)
         return entry, close
 
+    @property
+    def root(self) -> int:
+        return int(self.layers[-1][0][0])
+
+    def apart(self) -> np.ndarray:
+        """Points that a search may not come by: those that cannot be reached from the root, and those to which none of
+        their own neighbours has a link."""
+        table, n = self.layers[0][1], len(self.points)
+        mutual = np.zeros(n, bool)
+        for c in range(table.shape[1]):
+            there = np.flatnonzero((table[:, c] >= 0) & ~mutual)
+            mutual[there] = (table[table[there, c]] == there[:, None]).any(1)
+        reached, front = np.zeros(n, bool), np.array([self.root])
+        reached[front] = True
+        while len(front):
+            front = np.unique(table[front])
+            front = front[front >= 0]
+            front = front[~reached[front]]
+            reached[front] = True
+        return np.flatnonzero(~(mutual & reached))
+
     def save(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, points=self.points, count=len(self.layers), **{f"m{k}": m for k, (m, _) in enumerate(self.layers)}, **{f"t{k}": t for k, (_, t) in enumerate(self.layers)})
@@ -185,8 +209,10 @@ def recall_of(found: np.ndarray, truth: np.ndarray) -> float:
 def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, tuple[int, float]]:
     """(query, point) pairs with a cosine of at least `cosine` in double precision; the beam accepted and its recall.
 
-    A beam is audited twice against brute force: by the `NEAREST` nearest points of `audit` evenly spaced queries, which
-    have such whether or not they have links, and by the links of `audit` queries that have any. The lower recall counts."""
+    Points that the graph may hide (`apart`) are compared with every query. A beam is audited twice against brute force: by
+    the `NEAREST` nearest points of `audit` evenly spaced queries, which have such whether or not they have links, and by
+    the links of `8 * audit` queries drawn before the search, found or not, and of `audit` that have found some. The lower
+    recall counts."""
     n, rows = len(graph.points), len(q)
     margin = 1e-4  # single precision searches, double precision decides
     spaced = lambda x: x[np.unique(np.linspace(0, len(x) - 1, min(audit, len(x))).astype(int))] if len(x) else x
@@ -197,8 +223,14 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BE
     truth = np.zeros(scores.shape, bool)
     np.put_along_axis(truth, np.argpartition(-scores, nearest - 1, axis=1)[:, :nearest], True, 1)
 
+    hidden = graph.apart()
+    drawn = np.sort(np.random.default_rng(11).choice(rows, min(8 * audit, rows), replace=False))
+    by_hand = [np.nonzero(q[k : k + 256] @ graph.points[hidden].T >= cosine - margin) for k in range(0, rows, 256)] if len(hidden) else []
+    hidden_left = np.concatenate([r + 256 * k for k, (r, _) in enumerate(by_hand)]) if by_hand else np.zeros(0, np.int64)
+    hidden_right = hidden[np.concatenate([c for _, c in by_hand])] if by_hand else np.zeros(0, np.int64)
+
     def gather(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
+        left, right = [hidden_left], [hidden_right]
         while len(which):
             again = []
             for k in range(0, len(which), 1024):
@@ -211,20 +243,20 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BE
                 left.append(part[r])
                 right.append(ids[r, c])
             which, width = np.concatenate(again), min(n, width * 4)
-        return np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.concatenate(left).astype(np.int64) * n + np.concatenate(right))  # a hidden point may be found too
+        return pairs // n, pairs % n
 
     def near_recall(width: int) -> float:
         ids, _ = graph.query(q[looked], width)
         got = np.zeros(scores.shape, bool)
         r, c = np.nonzero(ids >= 0)
         got[r, ids[r, c]] = True
+        got[:, hidden] = True
         reached = (got & (scores >= close_enough)).sum(1)
         return float(np.minimum(reached, nearest).sum() / (nearest * len(looked)))
 
     def link_recall(left: np.ndarray, right: np.ndarray) -> float:
-        some = spaced(np.unique(left))
-        if not len(some):
-            return 1.0
+        some = np.union1d(drawn, spaced(np.unique(left)))
         linked = (q[some] @ graph.points.T) >= cosine
         place = np.minimum(np.searchsorted(some, left), len(some) - 1)
         mine = some[place] == left
@@ -232,9 +264,11 @@ def links_of(graph: Graph, q: np.ndarray, cosine: float = COSINE, beam: int = BE
         got[place[mine], right[mine]] = True
         return recall_of(got, linked)
 
+    if 2 * len(hidden) > n:  # the graph is of no use
+        beam = n
     while True:
         width = min(max(beam, nearest), n)
-        measured = near_recall(width)
+        measured = near_recall(width) if 2 * len(hidden) <= n else 0.0
         if measured >= recall:
             left, right = gather(np.arange(rows), width)
             measured = min(measured, link_recall(left, right))

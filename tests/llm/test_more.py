@@ -157,3 +157,34 @@ def test_pair_probabilities_sum_to_about_one():
     before = sum(counts.values())
     total = sum(min(read(n), read(before)) / read(before) for n in counts.values())
     assert 1 / (math.sqrt(2) * 1.42) <= total <= math.sqrt(2) * 1.42
+
+
+def test_points_without_links_in_are_found():
+    """2,000 queries, of which 15 are near copies of late points that no other point links to."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(0, 1, (4000, 16))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    graph = hnsw.Graph(points)
+    lost = np.arange(3900, 3915)
+    for members, table in graph.layers:
+        table[np.isin(table, np.searchsorted(members, lost[np.isin(lost, members)]))] = -1
+    queries = rng.normal(0, 1, (2000, 16))
+    queries[100:115] = points[lost] + rng.normal(0, 0.005, (15, 16))
+    queries /= np.linalg.norm(queries, axis=1)[:, None]
+    assert set(lost) <= set(graph.apart().tolist())
+    left, right, _ = hnsw.links_of(graph, queries)
+    truth = set(zip(*(x.tolist() for x in np.nonzero(queries @ points.T >= hnsw.COSINE)), strict=True))
+    found = list(zip(left.tolist(), right.tolist(), strict=True))
+    assert len(truth) >= 15 and set(found) == truth and len(found) == len(truth)
+
+
+def test_a_full_neighbourhood_hides_no_point():
+    rng = np.random.default_rng(9)
+    center = rng.normal(0, 1, 16)
+    tight = center + rng.normal(0, 0.01, (3000, 16))
+    late = center + rng.normal(0, 0.12, (60, 16))
+    points = np.concatenate([rng.normal(0, 1, (900, 16)), tight, late])
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    left, right, _ = hnsw.links_of(hnsw.Graph(points), points[-60:])
+    truth = points[-60:] @ points.T >= hnsw.COSINE
+    assert len(left) >= 0.99 * truth.sum() and truth[left, right].all() and len(set(zip(left.tolist(), right.tolist(), strict=True))) == len(left)
