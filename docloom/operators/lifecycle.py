@@ -189,15 +189,36 @@ def tolerant(rows: DataFrame, shape: str) -> DataFrame:
     return empty.unionByName(rows.select(*(c for c in rows.columns if c in empty.columns)), allowMissingColumns=True)
 
 
+_VIEWS = {"new_files": "files_needing_metadata", "partial_metadata": "files_with_partial_metadata", "stale_metadata": "files_with_stale_metadata", "ocr_review": "ocr_review_candidates", "asr_review": "asr_review_candidates", "changed_files": "changed_files"}
+
+
+def views(work: DataFrame) -> DataFrame:
+    """A scan's candidates (made with what it noted of its files) under each of its derived views: new files, those among
+    them that need recognition or speech, and one view for each further bucket."""
+    table, fresh = F.create_map(*(F.lit(x) for p in _VIEWS.items() for x in p)), F.col("bucket") == "new_files"
+    needs = lambda what: F.coalesce(F.col("details")[what] == "true", F.lit(False))
+    own = F.array_compact(F.array(F.element_at(table, F.col("bucket")), F.when(fresh & needs("needs_ocr"), "files_needing_ocr"), F.when(fresh & needs("needs_asr"), "files_needing_asr")))
+    return work.withColumn("view", F.explode(own))
+
+
 def report(work: DataFrame) -> DataFrame:
-    """view and n of a scan's derived views: new files, those among them that need recognition or speech, and one view for
-    each further bucket."""
-    names = {"new_files": "files_needing_metadata", "partial_metadata": "files_with_partial_metadata", "stale_metadata": "files_with_stale_metadata", "ocr_review": "ocr_review_candidates", "asr_review": "asr_review_candidates", "changed_files": "changed_files"}
-    table = F.create_map(*(F.lit(x) for p in names.items() for x in p))
-    fresh = F.col("bucket") == "new_files"
-    images, sound = T.suffix_of(F.col("rel")).isin(*T.IMAGES), T.suffix_of(F.col("rel")).isin(*T.AUDIO, *T.VIDEO)
-    views = F.array_compact(F.array(F.element_at(table, F.col("bucket")), F.when(fresh & images, "files_needing_ocr"), F.when(fresh & sound, "files_needing_asr")))
-    return work.select(F.explode(views).alias("view")).groupBy("view").agg(F.count("*").alias("n"))
+    """view and n of a scan's derived views."""
+    return views(work).groupBy("view").agg(F.count("*").alias("n"))
+
+
+def report_json(work: DataFrame) -> DataFrame:
+    """view, rel and the entry of every candidate under a view as JSON: rel, file_hash, reason and details."""
+    entry = F.to_json(F.struct("rel", "file_hash", "reason", F.map_from_entries(F.array_sort(F.map_entries("details"))).alias("details")), {"ignoreNullFields": "false"})
+    return views(work).select("view", "rel", entry.alias("json"))
+
+
+def entries_json(entries: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and the JSON of queue entries (see queue.listed): place, scope and time of each with its document, whole and by
+    the fields that are shown."""
+    doc = docs.select(F.col("id").alias("doc_id"), F.struct(*docs.columns).alias("doc"))
+    shown = [F.col(f"doc.{c}").alias(c) for c in ("category", "title", "summary", "confidence")]
+    row = F.struct("doc_id", "path", "scope_path", "scope_kind", "member_count", *shown, "enqueued_at", "reason", "doc")
+    return entries.join(doc, "doc_id").select("doc_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def hints(docs: DataFrame, asr: DataFrame) -> DataFrame:

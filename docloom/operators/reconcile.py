@@ -240,8 +240,9 @@ def missing_fields() -> Column:
     return F.array_compact(F.array(F.when(F.coalesce("category", F.lit("")).isin("", "Unknown"), "category"), F.when(none("summary") & none("title"), "summary"), F.when(none("tags"), "tags")))
 
 
-def worklist(files: DataFrame, docs: DataFrame, ocr: DataFrame, asr: DataFrame, *, force: bool = False, rehash: bool = False) -> DataFrame:
-    """rel, doc_id, file_hash, bucket, reason and details of every candidate, a file perhaps in several buckets.
+def worklist(files: DataFrame, docs: DataFrame, ocr: DataFrame, asr: DataFrame, *, force: bool = False, rehash: bool = False, noted: DataFrame | None = None) -> DataFrame:
+    """rel, doc_id, file_hash, bucket, reason and details of every candidate, a file perhaps in several buckets. With noted
+    (see facts) only its candidates are looked at, and new files have its details.
 
     A file that its row still describes (size and time) is not read: its hash is the row's. A file read anew whose hash is
     another one is changed, and only that; `force` makes every file with a row changed. One join brings a file all it
@@ -263,7 +264,11 @@ def worklist(files: DataFrame, docs: DataFrame, ocr: DataFrame, asr: DataFrame,
         F.when(F.col("ocr_engine").isNotNull(), of("ocr_review", "ocr_drift", *drift("ocr", ENGINE, LANGS))),
         F.when(F.col("asr_engine").isNotNull(), of("asr_review", "asr_drift", *drift("asr", ASR_ENGINE, ASR_LANGS))),
     ))
-    found = F.when(~known, F.array(of("new_files", "no_record"))).when(F.lit(force), F.array(of("changed_files", "force"))).when(changed, F.array(of("changed_files", "content_changed"))).otherwise(same)
+    new = of("new_files", "no_record")
+    if noted is not None:
+        each = each.join(noted.filter("state = 'candidate'").select("rel", F.col("details").alias("noted")), "rel")
+        new = F.struct(new["bucket"].alias("bucket"), new["reason"].alias("reason"), F.col("noted").alias("details"))
+    found = F.when(~known, F.array(new)).when(F.lit(force), F.array(of("changed_files", "force"))).when(changed, F.array(of("changed_files", "content_changed"))).otherwise(same)
     file_hash = F.when(fresh, F.col("hash")).otherwise(F.col("row_hash"))
     return each.select("rel", "doc_id", file_hash.alias("file_hash"), F.explode(found).alias("x")).select("rel", "doc_id", "file_hash", "x.bucket", "x.reason", "x.details")
 
@@ -293,6 +298,25 @@ def inventory(files: DataFrame, docs: DataFrame) -> DataFrame:
     return seen.join(known, "rel", "left").select("rel", state.alias("kind"), F.coalesce("known", F.lit(False)).alias("has_row"), F.col("size").cast("long").alias("size"))
 
 
+def facts(files: DataFrame, docs: DataFrame, pdf: DataFrame | None = None) -> DataFrame:
+    """rel, state (candidate, skipped or unprocessable), reason of the last, and what a scan notes of a candidate: its
+    format, and for files without a row whether they need recognition (images, and PDFs by pdf: rel, action, reason) or
+    speech, and why. Hidden names are left out, sidecars and unknown suffixes skipped."""
+    suffix, known = T.suffix_of(F.col("rel")), F.coalesce("known", F.lit(False))
+    none = files.sparkSession.createDataFrame([], "rel string, action string, reason string")
+    told = (none if pdf is None else pdf).select("rel", "action", F.col("reason").alias("why"))
+    seen = files.filter(~T.name_of(F.col("rel")).startswith(".")).join(docs.select(F.col("path").alias("rel"), F.lit(True).alias("known")), "rel", "left").join(told, "rel", "left")
+    is_pdf = suffix == ".pdf"
+    locked = is_pdf & F.coalesce(F.col("action") == "skip_encrypted", F.lit(False))
+    state = F.when(~suffix.isin(*SUPPORTED) | (suffix == ".srt"), "skipped").when(locked, "unprocessable").otherwise("candidate")
+    ocr = F.when(~known & is_pdf & F.col("action").isin("ocr_full", "ocr_pages"), F.coalesce(F.nullif("why", F.lit("")), "action")).when(~known & suffix.isin(*T.IMAGES), "image_format")
+    asr = F.when(~known & suffix.isin(*T.AUDIO), "audio_format").when(~known & suffix.isin(*T.VIDEO), "video_format")
+    flag = lambda reason: F.when(reason.isNotNull(), "true")
+    noted = F.create_map(F.lit("format"), F.substring(suffix, 2, 1 << 20), F.lit("needs_ocr"), flag(ocr), F.lit("ocr_reason"), ocr, F.lit("needs_asr"), flag(asr), F.lit("asr_reason"), asr)
+    details = F.when(state == "candidate", F.map_filter(noted, lambda k, v: v.isNotNull()))
+    return seen.select("rel", state.alias("state"), F.when(state == "unprocessable", "pdf_encrypted").alias("reason"), details.alias("details"))
+
+
 def trusted_hash(files: DataFrame, docs: DataFrame) -> DataFrame:
     """The stored hash where size and time agree, else the file's own."""
     rows = docs.select(F.col("path").alias("rel"), F.col("size").alias("row_size"), "modified", F.col("hash").alias("stored"))

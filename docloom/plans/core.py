@@ -96,6 +96,11 @@ def triage_count(i):
     return queue.listed(i.fx_docs, i.fx_triage, i.fx_dirs).agg(F.count("*").alias("n"))
 
 
+@query(_queue_sql("TRUE") + "SELECT r.doc_id, r.scope_path AS scope, CAST(mc AS VARCHAR) AS members, d.title, r.reason, d.hash, d.notes FROM r JOIN fx_docs d ON d.id = r.doc_id WHERE rn = 1", *_VIEWS)
+def triage_entries_json(i):
+    return lifecycle.entries_json(queue.listed(i.fx_docs, i.fx_triage, i.fx_dirs, None), i.fx_docs).select("doc_id", *(F.get_json_object("json", f"$.{k}").alias(n) for n, k in (("scope", "scope_path"), ("members", "member_count"), ("title", "title"), ("reason", "reason"), ("hash", "doc.hash"), ("notes", "doc.notes"))))
+
+
 @query("SELECT * FROM fx_triage UNION ALL SELECT id, '2024-04-01T00:00:00Z', 'rebuild' FROM fx_docs d WHERE path ILIKE 'Inbox/%' AND NOT EXISTS (SELECT 1 FROM fx_triage t WHERE t.doc_id = d.id)", "fx_docs", "fx_triage")
 def triage_rebuild(i):
     return queue.rebuilt(i.fx_docs, i.fx_triage, "2024-04-01T00:00:00Z")
@@ -282,9 +287,36 @@ def scan_merge_winner(i):
 _VIEW_OF = "CASE bucket WHEN 'new_files' THEN 'files_needing_metadata' WHEN 'partial_metadata' THEN 'files_with_partial_metadata' WHEN 'stale_metadata' THEN 'files_with_stale_metadata' WHEN 'ocr_review' THEN 'ocr_review_candidates' WHEN 'asr_review' THEN 'asr_review_candidates' ELSE bucket END"
 
 
-@query(_WORK + f"SELECT view, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_VIEW_OF} AS view FROM w UNION ALL SELECT 'files_needing_ocr' FROM w WHERE k = 1 AND regexp_matches(lower(rel), '\\.(jpe?g|png|gif|bmp|tiff?|webp|hei[cf])$') UNION ALL SELECT 'files_needing_asr' FROM w WHERE k = 1 AND regexp_matches(lower(rel), '\\.(amr|mp3|m4a|wav|ogg|opus|flac|aac|mp4|mkv|mov|avi|webm|wmv|flv|m4v)$')) GROUP BY view", *_WV)
+@query(_WORK + f"SELECT view, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_VIEW_OF} AS view FROM w WHERE NOT ends_with(rel, '.xyz') UNION ALL SELECT 'files_needing_ocr' FROM w WHERE k = 1 AND regexp_matches(lower(rel), '\\.(jpe?g|png|gif|bmp|tiff?|webp|hei[cf])$') UNION ALL SELECT 'files_needing_asr' FROM w WHERE k = 1 AND regexp_matches(lower(rel), '\\.(amr|mp3|m4a|wav|ogg|opus|flac|aac|mp4|mkv|mov|avi|webm|wmv|flv|m4v)$')) GROUP BY view", *_WV)
 def scan_report(i):
-    return lifecycle.report(_work(i))
+    return lifecycle.report(reconcile.worklist(i.fx_fs, i.fx_docs, i.fx_ocr, i.fx_asr, noted=reconcile.facts(i.fx_fs, i.fx_docs)))
+
+
+def _pdf(i):
+    """What is known of the text layers of moved PDFs: that of their documents; pages that are toxic stand for locked files."""
+    moved = i.fx_docs.select(F.col("id").alias("doc_id"), F.concat(F.lit("Archive/"), "original").alias("rel"))
+    return moved.join(i.fx_ocr, "doc_id").select("rel", F.when(F.col("decision") == "ocr_pages", "skip_encrypted").otherwise(F.col("decision")).alias("action"), F.when(F.col("decision") == "ocr_full", F.col("engine")).alias("reason"))
+
+
+_NOTED = f"""no AS (SELECT f.rel, {_SUFFIX} AS sx, d.path IS NOT NULL AS known, p.action, p.why FROM fx_fs f LEFT JOIN fx_docs d ON d.path = f.rel
+LEFT JOIN (SELECT 'Archive/' || d.original AS rel, CASE o.decision WHEN 'ocr_pages' THEN 'skip_encrypted' ELSE o.decision END AS action, CASE o.decision WHEN 'ocr_full' THEN o.engine END AS why FROM fx_docs d JOIN fx_ocr o ON o.doc_id = d.id) p USING (rel)),
+nt AS (SELECT rel, CASE WHEN sx NOT IN ('.pdf','.txt','.html','.png','.mp3','.mkv') THEN 'skipped' WHEN sx = '.pdf' AND action = 'skip_encrypted' THEN 'unprocessable' ELSE 'candidate' END AS state, sx,
+  CASE WHEN NOT known AND sx = '.pdf' AND action IN ('ocr_full', 'ocr_pages') THEN coalesce(why, action) WHEN NOT known AND sx = '.png' THEN 'image_format' END AS ocr_reason,
+  CASE WHEN NOT known AND sx = '.mp3' THEN 'audio_format' WHEN NOT known AND sx = '.mkv' THEN 'video_format' END AS asr_reason FROM no)"""
+
+
+@query(f"WITH {_NOTED} SELECT rel, state, CASE WHEN state = 'unprocessable' THEN 'pdf_encrypted' END AS reason, CASE WHEN state = 'candidate' THEN substr(sx, 2) END AS format, CASE WHEN state = 'candidate' THEN ocr_reason END AS ocr_reason, CASE WHEN state = 'candidate' THEN asr_reason END AS asr_reason FROM nt", "fx_docs", "fx_fs", "fx_ocr")
+def scan_facts(i):
+    noted = reconcile.facts(i.fx_fs, i.fx_docs, _pdf(i))
+    return noted.select("rel", "state", "reason", F.col("details")["format"].alias("format"), F.col("details")["ocr_reason"].alias("ocr_reason"), F.col("details")["asr_reason"].alias("asr_reason"))
+
+
+@query(f"WITH {_NOTED} SELECT 'files_needing_ocr' AS view, rel, ocr_reason AS why FROM nt WHERE state = 'candidate' AND ocr_reason IS NOT NULL UNION ALL SELECT 'files_needing_asr', rel, asr_reason FROM nt WHERE state = 'candidate' AND asr_reason IS NOT NULL", "fx_docs", "fx_fs", "fx_ocr")
+def scan_needs(i):
+    work = reconcile.worklist(i.fx_fs, i.fx_docs, i.fx_ocr, i.fx_asr, noted=reconcile.facts(i.fx_fs, i.fx_docs, _pdf(i)))
+    kept = lifecycle.report_json(work).filter("view in ('files_needing_ocr', 'files_needing_asr')")
+    why = F.coalesce(F.get_json_object("json", "$.details.ocr_reason"), F.get_json_object("json", "$.details.asr_reason"))
+    return kept.select("view", "rel", why.alias("why"))
 
 
 @query(_WORK + "SELECT rel, bucket, reason FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY k) AS rn FROM w) WHERE rn = 1", *_WV)
