@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import directories, documents, dups, lifecycle, queue, reconcile
 from docloom.plans.registry import query
+from docloom.ranged import Ranged
+from docloom.session import scratch
 
 L = "BIGINT"
 _STATE = "st AS (SELECT id, path, hash, digested, CASE WHEN count(*) OVER (PARTITION BY hash) = 1 THEN 'unique' WHEN dup = 'unique' THEN 'dup' ELSE dup END AS dup FROM fx_docs)"
@@ -496,3 +498,13 @@ def migrate_tables(i):
     assert "triage_queue" not in db
     tally = lambda name: db[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     return tally("triage").unionByName(tally("proposals"))
+
+
+@query("SELECT id, CASE WHEN path = 'Legal/de' OR path ILIKE 'Legal/de/%' THEN 'Archive/old' || substr(path, 9) ELSE path END AS path, category FROM fx_docs WHERE NOT (path = 'Inbox/src1' OR path ILIKE 'Inbox/src1/%')", "fx_docs")
+def docs_ranged(i):
+    """A directory moved and another removed in a table that rewrites the files it must."""
+    table = Ranged(i.spark, scratch(i.spark, "ranged"))
+    table.create(i.fx_docs.select("id", "path", "category"), 16)
+    table.move("Legal/de", "Archive/old")
+    table.drop("Inbox/src1")
+    return table.read()
