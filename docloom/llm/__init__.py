@@ -1 +1 @@
-"""Training-data operators: ten corpus operators and the queries that apply them. Nothing outside imports this."""
+"""Training-data operators: thirteen corpus operators and the queries that apply them. Nothing outside imports this."""
