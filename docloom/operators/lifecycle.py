@@ -170,6 +170,22 @@ def applied_modes(dirs: DataFrame, proposals: DataFrame) -> DataFrame:
     return both.select(*(F.coalesce("m", "mode").alias("mode") if c == "mode" else F.when(F.col("m").isNotNull(), "proposal").otherwise(F.col(c)).alias(c) if c == "source" else F.col(c) for c in dirs.columns))
 
 
+def applied_speakers(asr: DataFrame, segments: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asr (with a list `speakers`) and segments (doc_id, speaker, …) after the accepted names of speakers (subject `doc:id`,
+    value {"label": …, "name": …}): a name joins the document's speakers and takes the place of its label in the segments.
+    Names are given in the order of the proposals, so a label may be an earlier one's name; those without label or name, or of
+    documents without a row in asr, do nothing to it."""
+    doc, said = F.substring("subject", 5, 1 << 20).try_cast("long"), lambda k: F.nullif(F.get_json_object("value", f"$.{k}"), F.lit(""))
+    won = proposals.filter("status = 'accepted' and kind = 'speaker_name' and subject like 'doc:%'").select(doc.alias("doc_id"), "id", said("label").alias("label"), said("name").alias("name"))
+    names = won.dropna().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "name"))).alias("given"))  # a document's proposals
+    both = asr.join(names, "doc_id", "left")
+    joint = T.semilist(F.concat(T.from_semilist(F.coalesce("speakers", F.lit(""))), F.transform("given", lambda g: g["name"])))
+    after = both.select(*(F.when(F.col("given").isNotNull(), joint).otherwise(F.col(c)).alias(c) if c == "speakers" else F.col(c) for c in asr.columns))
+    spoken = F.aggregate("given", F.col("speaker"), lambda s, g: F.when(s == g["label"], g["name"]).otherwise(s))
+    told = segments.join(names, "doc_id", "left").withColumn("speaker", F.when(F.col("given").isNotNull(), spoken).otherwise(F.col("speaker")))
+    return after, told.select(*segments.columns)
+
+
 def as_json(full: DataFrame, siblings: DataFrame) -> DataFrame:
     """id and json of documents.full rows: recognition and speech nested, siblings as lists; empty parts left out."""
     own = [c for c in full.columns if not c.startswith(("ocr_", "asr_"))]

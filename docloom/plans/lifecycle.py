@@ -212,3 +212,27 @@ def docs_filed(i):
 @query("SELECT e.id, kind FROM fx_events e WHERE id > 100 AND id <= 110", "fx_events")
 def events_window(i):
     return journal.since(i.fx_events, 100, 10).select("id", "kind")
+
+
+_GIVEN = "ds AS (SELECT DISTINCT doc_id FROM fx_segments)"
+
+
+def _named(i):
+    """Names given to speakers: Ann to the first channel, then another to Ann in every second document, none that counts to
+    the second channel; with speech rows of all documents that have segments."""
+    d, n = i.fx_segments.select("doc_id").distinct(), F.col("doc_id").cast("string")
+    value = lambda label, name: F.to_json(F.struct(label.alias("label"), name.alias("name")))
+    ann, row = F.concat(F.lit("Ann "), (F.col("doc_id") % 5).cast("string")), lambda k, v, status: d.select((F.col("doc_id") * 10 + k).alias("id"), F.concat(F.lit("doc:"), n).alias("subject"), F.lit("speaker_name").alias("kind"), v.alias("value"), F.lit(status).alias("status"))
+    given = row(1, value(F.lit("CHANNEL_0"), ann), "accepted").union(row(2, value(ann, F.when(F.col("doc_id") % 2 == 0, F.lit("Bea")).otherwise(F.lit(""))), "accepted")).union(row(3, value(F.lit("CHANNEL_1"), F.lit("Zed")), "rejected"))
+    asr = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, ";Old;Ann 1;").alias("speakers"))
+    return lifecycle.applied_speakers(asr, i.fx_segments, given)
+
+
+@query(f"WITH {_GIVEN} SELECT doc_id, ';' || array_to_string(list_sort(list_distinct(list_concat(CASE WHEN doc_id % 3 = 0 THEN ['Old', 'Ann 1'] ELSE [] END, ['Ann ' || doc_id % 5], CASE WHEN doc_id % 2 = 0 THEN ['Bea'] ELSE [] END))), ';') || ';' AS speakers FROM ds", "fx_segments")
+def speakers_applied(i):
+    return _named(i)[0]
+
+
+@query("SELECT doc_id, turn, CASE WHEN speaker <> 'CHANNEL_0' THEN speaker WHEN doc_id % 2 = 0 THEN 'Bea' ELSE 'Ann ' || doc_id % 5 END AS speaker, text FROM fx_segments", "fx_segments")
+def speakers_in_segments(i):
+    return _named(i)[1].select("doc_id", "turn", "speaker", "text")
