@@ -6,10 +6,12 @@ import math
 import re
 import unicodedata
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import stored
 from docloom.store import Conflict, Log
 
 COLUMNS = ("title", "summary", "notes", "tags", "parties")
@@ -131,12 +133,26 @@ def words_of(tree: tuple) -> list[tuple[str, bool]]:
     return list(dict.fromkeys([*words_of(tree[1]), *(words_of(tree[2]) if tree[0] != "not" else [])]))
 
 
+def _asked(docs: DataFrame, words: list[tuple[str, bool]]) -> tuple[DataFrame, DataFrame]:
+    """Postings of some words (or beginnings) alone, and doc_id and len of every document. Texts are split into words once:
+    what is found is written, a row a document, and both are read from that."""
+    fits = lambda term: F.lit(False) if not words else reduce(Column.__or__, [F.startswith(term, F.lit(w)) if p else term == w for w, p in words])
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), tokens(F.col(c)).alias("words")) for c in COLUMNS))
+    mine = lambda f: F.filter(F.transform(f["words"], lambda w, k: F.struct(f["field"].alias("field"), k.alias("pos"), w.alias("term"))), lambda x: fits(x["term"]))
+    split = docs.select(F.col("id").alias("doc_id"), fields.alias("fields"))
+    length = F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["words"]))
+    once = stored(split.select("doc_id", length.alias("len"), F.flatten(F.transform("fields", mine)).alias("hits")), "words")
+    return once.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.field", "h.pos", "h.term"), once.select("doc_id", "len")
+
+
 def search(docs: DataFrame, query: str, limit: int = 50, index: DataFrame | None = None) -> DataFrame:
-    """doc_id and score (lower is better) of the best matches: BM25 over all fields alike. A stored index (see `Index`) is
-    read with its terms pushed down; without one the documents are split into words here."""
+    """doc_id and score (lower is better) of the best matches: BM25 over all fields alike. Postings that are there already
+    may be given; without them the documents are split into words here, once."""
     tree = parse(query)
-    index = postings(docs) if index is None else index
-    sizes = index.groupBy("doc_id").agg(F.count("*").alias("len"))
+    if index is None:
+        index, sizes = _asked(docs, _all_words(tree))
+    else:
+        sizes = index.groupBy("doc_id").agg(F.count("*").alias("len"))
     facts = docs.select(F.col("id").alias("doc_id")).join(sizes, "doc_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("mean"))
     said = words_of(tree)
     asked = F.array(*(F.lit(w + "*" * p) for w, p in said))
@@ -198,7 +214,7 @@ class Index:
     def _saved(self, blocks: DataFrame, docs: DataFrame, seq: int) -> dict:
         """Write a segment and describe it. Its bounds hold for its own mean length, and by a factor for any other."""
         name = uuid.uuid4().hex
-        docs.sortWithinPartitions("doc_id").write.parquet(f"{self.folder}/{name}/docs")
+        docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{self.folder}/{name}/docs")
         n, length = self.spark.read.parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         mean = length / n if length else 1.0
         score = lambda d: F.size(d["at"]) * (K1 + 1) / (F.size(d["at"]) + K1 * (1 - B + B * d["len"] / mean))
@@ -263,7 +279,7 @@ class Index:
                 old, before = there.select("seq", "range", "doc_id", "len").join(gone, "doc_id", "left_semi"), self._dead(state)
                 old = old if before is None else old.join(before, ["seq", "range", "doc_id"], "left_anti")
                 name = uuid.uuid4().hex
-                old.coalesce(1).write.parquet(f"{self.folder}/{name}")  # a row a changed document
+                old.repartition("doc_id").write.parquet(f"{self.folder}/{name}")  # a row a changed document
                 of = {str(r["seq"]): [r["n"], r["length"]] for r in self.spark.read.parquet(f"{self.folder}/{name}").groupBy("seq").agg(F.count("*").alias("n"), F.sum("len").alias("length")).collect()}
                 dead = [{"name": name, "of": of}] if of else []
             segments = [*state.get("segments", []), *([made | {"seq": seq}] if made["docs"] else [])]
