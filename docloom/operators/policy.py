@@ -75,8 +75,9 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def expanded(files: DataFrame, arguments: list[str], recursive: bool = False, insensitive: bool = False, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """Files that path arguments name: a file, a directory (its own files, or all below), or a glob; each once, by lower-case path."""
+def expanded(files: DataFrame, arguments: list[str], recursive: bool = False, insensitive: bool = False, kinds: tuple[str, ...] = (), must_exist: bool = True) -> DataFrame:
+    """Files that path arguments name: a file, a directory (its own files, or all below), or a glob; each once, by lower-case
+    path. An argument that is no glob and names nothing is left out, or kept as it stands if nothing must exist."""
     rel = F.col("rel")
     hit = F.lit(False)
     for a in arguments:
@@ -85,7 +86,12 @@ def expanded(files: DataFrame, arguments: list[str], recursive: bool = False, in
         else:
             below = rel.startswith(a + "/") if recursive else rel.rlike("^" + re.escape(a) + "/[^/]+$")
             hit = hit | (rel == a) | below
-    out = files.filter(hit)
+    out = files.filter(hit).select("rel")
+    plain = [a for a in arguments if not any(c in a for c in "*?[")]
+    if not must_exist and plain:
+        named = F.array(*map(F.lit, plain))
+        there = files.select(F.explode(F.filter(named, lambda a: (rel == a) | rel.startswith(F.concat(a, F.lit("/"))))).alias("rel")).distinct()
+        out = out.unionByName(files.sparkSession.createDataFrame([(a,) for a in plain], "rel string").join(there, "rel", "left_anti"))
     if kinds:
         out = out.filter(T.suffix_of(rel).isin(*kinds))
     return out.select("rel").distinct().orderBy(F.lower("rel"), "rel")

@@ -45,6 +45,12 @@ def expand_paths(i):
     return policy.expanded(i.fx_fs, ["Inbox/*.pdf", "Inbox/*.mp3", "Legal/**/doc_00000?.*", "Financial/src2"])
 
 
+@query(r"SELECT rel FROM fx_fs WHERE (rel LIKE 'Legal/de/%' OR rel LIKE 'Inbox/%.pdf' AND rel NOT LIKE 'Inbox/%/%') AND rel LIKE '%.pdf' UNION SELECT 'Nowhere/a.pdf'", "fx_fs")
+def expand_unresolved(i):
+    """Arguments that name nothing are kept, globs that match nothing are not; suffixes hold for both."""
+    return policy.expanded(i.fx_fs, ["Inbox/*.pdf", "Legal/de", "Nowhere/a.pdf", "Nowhere/b.txt", "No*.pdf"], recursive=True, kinds=(".pdf",), must_exist=False)
+
+
 @query("SELECT doc_id, CASE WHEN (doc_id % 10) / 10 >= 0.6 THEN lang END AS language, CASE WHEN doc_id % 2 = 0 THEN lang END AS hint FROM documents")
 def language_gate(i):
     langs = F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array("lang", F.lit("x")))
