@@ -159,6 +159,14 @@ def meta_clean(i):
     return i.documents.select("doc_id", F.array_join(entries, ";").alias("meta"))
 
 
+@query("SELECT doc_id, concat_ws(';', CASE WHEN doc_id % 3 <> 0 THEN 'img:' || source || '=' || lang END, CASE WHEN t <> '' THEN 'img:text=' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END END) AS meta FROM (SELECT doc_id, source, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
+def meta_collect(i):
+    """Under a prefix, without the keys that are never kept, whatever their values."""
+    key = F.when(F.col("doc_id") % 3 == 0, F.element_at(F.array(*(F.lit(k) for k in T.SKIPPED)), (F.col("doc_id") % len(T.SKIPPED) + 1).cast("int"))).otherwise(F.col("source"))
+    m = T.metadata_collect(F.create_map(F.lit("text"), "text", key, "lang"), "img:")
+    return i.documents.select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("meta"))
+
+
 @query(r"SELECT page_id, CASE WHEN p = '.' THEN '' ELSE p END AS path FROM (SELECT page_id, regexp_replace(CASE WHEN regexp_matches(s, '^[A-Za-z]:') THEN lower(s[1]) || s[2:] ELSE s END, '/+$', '') AS p FROM (SELECT page_id, replace(trim(raw), chr(92), '/') AS s FROM fx_raw_paths))", "fx_raw_paths")
 def path_normalize(i):
     return i.fx_raw_paths.select("page_id", T.normal_path(F.col("raw")).alias("path"))
