@@ -131,8 +131,8 @@ def test_a_timer_of_the_clock_ends_a_window(spark, rocks, tmp_path):
 def test_listings_see_what_goes_and_moves(spark, tmp_path):
     folder, got = tmp_path / "inbox", []
     (folder / "sub").mkdir(parents=True)
-    for name in ("a", "b", "sub/c"):
-        (folder / name).write_text(name * 3)
+    for k, name in enumerate(("a", "b", "sub/c")):  # of different sizes, as files of one size and time are dealt by name
+        (folder / name).write_text(name * (k + 3))
     store, ticks = Store(spark, f"file://{tmp_path}/db"), tmp_path / "ticks"
     listing = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder)).select("path", "length", "modificationTime")
     down = []
