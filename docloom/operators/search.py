@@ -8,6 +8,8 @@ import unicodedata
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +183,27 @@ def _all_words(tree: tuple) -> list[tuple[str, bool]]:
     return words_of(tree) if tree[0] == "term" else list(dict.fromkeys([*_all_words(tree[1]), *_all_words(tree[2])]))
 
 
+def _blocks(docs: pa.Table) -> pa.Table:
+    """The blocks of one range: for each term its documents, each with its length and the places of the term."""
+    fields = docs.column("w").combine_chunks().flatten()  # as many a document as COLUMNS
+    sizes = fields.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, doc = np.unique(docs.column("doc_id").to_numpy().astype(np.int64), return_inverse=True)
+    row_len = sizes.reshape(-1, len(COLUMNS)).sum(axis=1)
+    length = np.zeros(len(ids), np.int64)
+    length[doc] = row_len
+    at = np.arange(sizes.sum()) + np.repeat((np.arange(len(sizes)) % len(COLUMNS) << 40) - np.cumsum(sizes) + sizes, sizes)
+    terms = fields.flatten().dictionary_encode()
+    key = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(doc, row_len)
+    order = np.argsort(key, kind="stable") if len(ids) == len(doc) else np.lexsort((at, key))
+    key = key[order]
+    each = np.flatnonzero(np.diff(key, prepend=-1))  # where a term's document begins
+    term, one = key[each] // len(ids), key[each] % len(ids)
+    head = np.flatnonzero(np.diff(term, prepend=-1))  # where a term begins
+    lists = lambda starts, inner: pa.ListArray.from_arrays(pa.array(np.append(starts, len(inner)).astype(np.int32)), inner)
+    rows = pa.StructArray.from_arrays([pa.array(ids[one]), pa.array(length[one].astype(np.int32)), lists(each, pa.array(at[order]))], ["doc_id", "len", "at"])
+    return pa.table({"term": terms.dictionary.take(pa.array(term[head])), "range": pa.repeat(docs.column("range")[0], len(head)), "docs": lists(head, rows)})
+
+
 class Index:
     """Postings in immutable segments under one log.
 
@@ -202,24 +225,25 @@ class Index:
     # --- segments ---
 
     def _built(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Blocks without their bounds, and doc_id, range and length of every document."""
-        placed = lambda k: lambda w, p: F.struct(w.alias("term"), (F.lit(k << 40).cast("long") + p).alias("at"))
-        lists = F.array(*(F.transform(tokens(F.col(c)), placed(k)) for k, c in enumerate(COLUMNS)))
-        words = docs.select(F.col("id").alias("doc_id"), F.floor(F.col("id") / self.RANGE).alias("range"), F.flatten(lists).alias("w")).withColumn("len", F.size("w"))
-        each = words.select("doc_id", "range", "len", F.explode("w").alias("w")).select("w.term", "range", "doc_id", "len", "w.at").repartition("term", "range")
-        by_doc = each.groupBy("term", "range", "doc_id").agg(F.first("len").alias("len"), F.array_sort(F.collect_list("at")).alias("at"))
-        blocks = by_doc.groupBy("term", "range").agg(F.collect_list(F.struct("doc_id", "len", "at")).alias("docs"))  # at most RANGE
-        return blocks, words.select("doc_id", "range", "len")
+        """Blocks without their bounds, and doc_id, range and length of every document. Only the texts are dealt, by range; a
+        row a word would be several times as large."""
+        named = F.col("id").alias("doc_id"), F.floor(F.col("id") / self.RANGE).alias("range")
+        words = lambda rows: rows.select("doc_id", "range", F.array(*(tokens(F.col(c)) for c in COLUMNS)).alias("w"))
+        dealt = docs.select(*named, *COLUMNS).filter("doc_id is not null").repartition("range").sortWithinPartitions("range")  # texts are sorted, not their words
+        blocks = words(dealt).groupBy("range").applyInArrow(_blocks, "term string, range long, docs array<struct<doc_id long, len int, at array<long>>>")
+        length = F.aggregate("w", F.lit(0), lambda n, f: n + F.size(f))
+        return blocks, words(docs.select(*named, *COLUMNS)).select("doc_id", "range", length.alias("len"))
 
     def _saved(self, blocks: DataFrame, docs: DataFrame, seq: int) -> dict:
-        """Write a segment and describe it. Its bounds hold for its own mean length, and by a factor for any other."""
+        """Write a segment and describe it. Its bounds hold for its own mean length, and by a factor for any other. Blocks stay
+        dealt by range; a file has its terms in order, so a word's blocks are few neighbouring pages of each."""
         name = uuid.uuid4().hex
-        docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{self.folder}/{name}/docs")
+        save = lambda rows, kind, *order: rows.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/{kind}")
+        save(docs.repartition("range"), "docs", "doc_id")
         n, length = self.spark.read.parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         mean = length / n if length else 1.0
         score = lambda d: F.size(d["at"]) * (K1 + 1) / (F.size(d["at"]) + K1 * (1 - B + B * d["len"] / mean))
-        bounded = blocks.withColumn("bound", F.array_max(F.transform("docs", score))).withColumn("n", F.size("docs"))
-        bounded.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{self.folder}/{name}/blocks")
+        save(blocks.withColumn("bound", F.array_max(F.transform("docs", score))).withColumn("n", F.size("docs")), "blocks", "term", "range")
         return {"name": name, "seq": seq, "docs": n, "length": length, "mean": mean}
 
     def _each(self, state: dict, kind: str, only: set[int] | None = None) -> DataFrame | None:
@@ -302,11 +326,11 @@ class Index:
             if not some:
                 return
             old, seq = {s["seq"] for s in some}, state["seq"] + 1
-            blocks, docs, dead = self._each(state, "blocks", old), self._each(state, "docs", old), self._dead(state)
+            blocks, docs, dead = self._each(state, "blocks", old).repartition("range"), self._each(state, "docs", old), self._dead(state)
             if dead is not None:
                 docs = docs.join(dead, ["seq", "range", "doc_id"], "left_anti")
-                gone = dead.groupBy("seq", "range").agg(F.collect_set("doc_id").alias("gone"))  # at most RANGE
-                blocks = blocks.join(gone, ["seq", "range"], "left").withColumn("docs", F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("gone", d["doc_id"]))))
+                gone = dead.groupBy("range").agg(F.collect_set(F.struct("seq", "doc_id")).alias("gone"))  # at most RANGE a segment
+                blocks = blocks.join(gone, "range", "left").withColumn("docs", F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("gone", F.struct(F.col("seq"), d["doc_id"].alias("doc_id"))))))
             joint = blocks.groupBy("term", "range").agg(F.flatten(F.collect_list("docs")).alias("docs")).filter(F.size("docs") > 0)
             made = self._saved(joint, docs.select("doc_id", "range", "len"), seq)
             rest = [s for s in state["segments"] if s["seq"] not in old] + ([made] if made["docs"] else [])

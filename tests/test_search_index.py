@@ -99,3 +99,33 @@ def test_marks_are_taken_off(spark, text, term):
 
     got = spark.range(1).select(search.tokens(F.lit(text))).first()[0]
     assert got[0] == term == search.fold(text).split()[0]
+
+
+def shuffled(spark):
+    """Rows that all stages have written to shuffles so far."""
+    gateway, context = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_words_are_not_shuffled(spark, tmp_path):
+    rows = [(k, "", None, " ".join(f"w{(k * 7 + j) % 900}" for j in range(400)), "", "") for k in range(200)]
+    index = search.Index(spark, f"file://{tmp_path}/ix")
+    docs, before = spark.createDataFrame(rows, SHAPE), shuffled(spark)
+    index.rebuild(docs)
+    index.update(docs.filter("id < 20"), docs.filter("id = 30").selectExpr("id doc_id"))
+    assert 0 < shuffled(spark) - before < 2000  # some rows a document, not one a word (80,000) or one a document and word
+    agree(spark, index, [r for r in rows if r[0] != 30], ["w3 OR w7"])
+
+
+def test_texts_without_words_and_repeated_ids(spark, tmp_path):
+    rows = [(-1, None, None, None, None, None), (3, "", "", " - ", "", ""), (300, "a b", "a", "", ";c;", "a")]
+    index = search.Index(spark, f"file://{tmp_path}/ix")
+    index.rebuild(spark.createDataFrame(rows, SHAPE))
+    agree(spark, index, rows, ["a", '"a b"', "tags:c", "notes:a"])
+    assert {tuple(r) for r in index.postings().collect()} == {(300, "title", 0, "a"), (300, "title", 1, "b"), (300, "summary", 0, "a"), (300, "tags", 0, "c"), (300, "parties", 0, "a")}
+    twice = search.Index(spark, f"file://{tmp_path}/two")
+    twice.rebuild(spark.createDataFrame([(7, "b", "", "a", "", ""), (7, "a", "", "b a", "", "")], SHAPE))
+    found = {r["term"]: r["docs"] for r in twice._each(twice.log.latest()[1], "blocks").collect()}
+    assert {t: [(d["doc_id"], d["at"]) for d in docs] for t, docs in found.items()} == {"a": [(7, [0, 2 << 40, (2 << 40) + 1])], "b": [(7, [0, 2 << 40])]}
