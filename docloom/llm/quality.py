@@ -1,10 +1,11 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Both sides are multinomials over hashed one- and two-token grams. The raw side counts every document; the target side
-counts trusted labelled ones. At most `max_labelled` labels are taken (a bounded, documented sample: the rows of
-smallest xxhash64(doc_id)); half of them fit the target and the other half, held out, set the threshold: half way from
-the lowest held-out trusted scores (quantile `tail`) to the median of the held-out rejected ones, which leaves a margin
-for clean documents. A document's score is its mean log ratio; documents at or over the threshold pass.
+counts trusted labelled ones. Every label is taken: half of them (by xxhash64 of doc_id) fit the target and the other half,
+held out, set the threshold: half way from the lowest held-out trusted scores (quantile `tail`) to the median of the held-out
+rejected ones, which leaves a margin for clean documents. A bitmap of fixed size tells on the map side which documents may
+have a label; joins then decide, so only texts that may be trusted and the scores of held-out documents are shuffled. A
+document's score is its mean log ratio; documents at or over the threshold pass.
 
 Defined results: null or empty text has no words, zero counts and base_failed; repeated rows are scored each; a
 document without grams scores 0; without trusted labels every ratio is 0 and the base rule alone decides; an empty
@@ -17,14 +18,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._bytes import WHITE, Hasher, Texts, grams, per_doc_sum, pieces
+from docloom.llm._spark import written
+from docloom.llm.neardup import _bitmap
 
 BUCKETS = 1 << 16
-MAX_LABELLED = 20_000
+#: Bits of the filter of labelled documents: 8 MB. More labels let more others through it, never fewer of their own.
+FILTER_BITS = 1 << 26
+#: Scores of one bin that may be sorted on the driver, and bins of a round.
+FEW, BINS = 10_000, 4096
 #: Share of trusted documents that may score under the threshold.
 TAIL = 0.005
 
@@ -87,35 +94,49 @@ def rules(t: Texts, hasher: Hasher) -> dict[str, np.ndarray]:
 
 def _count_buckets(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for part, t in pieces(batches, "text"):
-            at, docs = token_buckets(t, Hasher(t.data), buckets)
-            raw += np.bincount(at, minlength=buckets)
-            good = part.column(part.schema.get_field_index("trusted")).to_numpy(zero_copy_only=False).astype(bool)
-            if good.any():
-                trusted += np.bincount(at[good[docs]], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], ["bucket", "raw", "trusted"])
+        count = np.zeros(buckets, np.int64)
+        for _, t in pieces(batches, "text"):
+            count += np.bincount(token_buckets(t, Hasher(t.data), buckets)[0], minlength=buckets)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["bucket", "n"])
 
     return run
 
 
-def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, good and held_out of at most `most` labelled documents. Toxic ones of quality 1 are neither good nor bad."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, good and held_out of every labelled document. Toxic ones of quality 1 are neither good nor bad."""
     good, bad = F.max((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)), F.max(F.col("quality") == 0)
     each = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(good.alias("good"), bad.alias("bad")).filter("good <> bad")
-    return each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "good", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1).alias("held_out"))
+    return each.select("doc_id", "good", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1).alias("held_out"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> np.ndarray:
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of all documents that ids name, and few others."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.col("doc_id").cast("long").alias("node")), FILTER_BITS))
+
+    @F.pandas_udf("boolean")
+    def maybe(at):
+        at = at.to_numpy()
+        return pd.Series(((shipped.value[at // 64] >> (at % 64)) & 1).astype(bool))
+
+    some = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return some.filter(maybe(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of each bucket. The counts of all documents reach the driver as `buckets` sums, whatever the input."""
-    ids = labelled(labels, max_labelled).filter("good and not held_out").select("doc_id", F.lit(True).alias("trusted"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    sums = marked.mapInArrow(_count_buckets(buckets), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
-    raw, good = np.zeros(buckets), np.zeros(buckets)
-    raw[sums["bucket"]], good[sums["bucket"]] = sums["raw"], sums["trusted"]
+    ids = labelled(labels).filter("good and not held_out").select("doc_id")
+
+    def counted(rows: DataFrame) -> np.ndarray:
+        sums = rows.select("text").mapInArrow(_count_buckets(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros(buckets)
+        out[sums["bucket"]] = sums["n"]
+        return out
+
+    good = counted(_among(docs, ids).join(ids, "doc_id", "left_semi"))
     if not good.sum():
         return np.zeros(buckets)
+    raw = counted(docs)
     share = (raw + 1) / (raw.sum() + buckets)
     return np.log((good + buckets * share) / (good.sum() + buckets) / share)
 
@@ -147,21 +168,46 @@ def score(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None) ->
     return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *(c.split()[0] for c in counts.split(", ")))
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, *, tail: float = TAIL, max_labelled: int = MAX_LABELLED) -> float:
-    """The lowest score that passes; what is collected has the bound of the labelled sample (times repeated rows)."""
-    ids = labelled(labels, max_labelled).filter("held_out").select("doc_id", "good")
-    held = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    found = score(held, ratio, ["good"]).filter("n_words >= 50").select("good", "score").toPandas()
-    good, bad = (found.loc[found["good"] == x, "score"].to_numpy() for x in (True, False))
-    if not len(good):
+def _ranked(scores: DataFrame, rank: int) -> float:
+    """The score of this rank (from 0) in ascending order. Bins of equal width are counted and the one that has the rank is
+    parted again, until its scores are few or all the same."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while True:
+        inside = scores.filter(F.col("score").between(low, high))
+        n, at = inside.count(), rank - scores.filter(F.col("score") < low).count()
+        if n <= FEW or low == high:
+            return low if low == high else inside.select("score").toPandas()["score"].sort_values().iloc[at].item()
+        place = F.least(F.floor((F.col("score") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for r in inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("bin").collect():  # at most BINS
+            if at < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            at -= r["n"]
+
+
+def _quantile(scores: DataFrame, n: int, q: float) -> float:
+    """The quantile of n scores, linear between neighbours as numpy's."""
+    at = q * (n - 1)
+    below = _ranked(scores, int(at))
+    return below if at == int(at) else below + (_ranked(scores, int(at) + 1) - below) * (at - int(at))
+
+
+def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, *, tail: float = TAIL) -> float:
+    """The lowest score that passes. Held-out documents are scored before they are joined with their labels, so that no text
+    is shuffled; a document that stands several times counts once, with the least of its scores."""
+    ids = labelled(labels).filter("held_out").select("doc_id", "good")
+    scored = score(_among(docs, ids), ratio).filter("n_words >= 50").groupBy("doc_id").agg(F.min("score").alias("score"))
+    held = written(scored.join(ids, "doc_id").select("good", "score"), "held")
+    sizes = {r["good"]: r["n"] for r in held.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    if True not in sizes:
         return float("-inf")
-    low = float(np.quantile(good, tail))
-    return min(low, (low + float(np.median(bad))) / 2) if len(bad) else low
+    low = _quantile(held.filter("good"), sizes[True], tail)
+    return min(low, (low + _quantile(held.filter("not good"), sizes[False], 0.5)) / 2) if False in sizes else low
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **sizes) -> DataFrame:
     """score() of every document with base_failed, and kept: base passed and score at or over the threshold."""
     ratio = fit(docs, labels, **sizes)
-    limit = threshold(docs, labels, ratio, **{k: v for k, v in sizes.items() if k == "max_labelled"})
+    limit = threshold(docs, labels, ratio)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return score(docs, ratio, keep).withColumns({"base_failed": failed, "kept": ~failed & (F.col("score") >= F.lit(limit))})

@@ -149,6 +149,25 @@ def test_quality_verdicts_against_brute_force(spark, sf):
     assert sum(x >= limit for x in held) >= (1 - quality.TAIL) * len(held) - 1
 
 
+def test_quality_takes_every_label(spark):
+    labels = spark.range(25000).selectExpr("id doc_id", "cast(id % 2 as int) quality", "0 toxic")
+    assert quality.labelled(labels).count() == 25000
+    # one trusted text of many labels, chosen so that a sample by hash would leave it out
+    last = labels.filter("quality = 1").selectExpr("doc_id", "xxhash64(doc_id) h", "pmod(xxhash64('half', doc_id), 2) half").filter("half = 0").orderBy("h", ascending=False).first()["doc_id"]
+    docs = spark.createDataFrame([(last, "rare words here"), (-1, "other words there")], "doc_id long, text string")
+    assert quality.fit(docs, labels).any()
+
+
+def test_quality_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 5)
+    monkeypatch.setattr(quality, "BINS", 3)
+    rng = np.random.default_rng(9)
+    scores = np.concatenate([rng.normal(-1, 1, 60), np.full(30, -0.5), [9e9]])
+    held = spark.createDataFrame([(float(x),) for x in scores], "score double").cache()
+    for q in (0.005, 0.5):
+        assert quality._quantile(held, len(scores), q) == pytest.approx(np.quantile(scores, q), abs=1e-12)
+
+
 def test_pair_probabilities_sum_to_about_one():
     """Over all words after a word, from counts read back at their levels: within the quantisation's factor."""
     r = np.random.default_rng(1)
