@@ -18,9 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._bytes import WHITE, Hasher, Texts, grams, per_doc_sum, pieces
@@ -110,17 +110,22 @@ def labelled(labels: DataFrame) -> DataFrame:
     return each.select("doc_id", "good", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1).alias("held_out"))
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of all documents that ids name, and few others."""
-    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.col("doc_id").cast("long").alias("node")), FILTER_BITS))
+def _filter(ids: DataFrame):
+    """The broadcast filter of these ids, for `_picked`."""
+    return ids.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.col("doc_id").cast("long").alias("node")), FILTER_BITS))
 
-    @F.pandas_udf("boolean")
-    def maybe(at):
-        at = at.to_numpy()
-        return pd.Series(((shipped.value[at // 64] >> (at % 64)) & 1).astype(bool))
 
-    some = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return some.filter(maybe(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))))
+def _place(doc_id: str) -> Column:
+    """Where the filter has a document's bit; null without doc_id."""
+    return F.when(F.col(doc_id).isNotNull(), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(FILTER_BITS))).alias("__place")
+
+
+def _picked(batches: Iterable[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
+    """Rows whose bit the filter has, without their last column, the place of that bit."""
+    for batch in batches:
+        at = pc.fill_null(batch.column(batch.num_columns - 1), -1).to_numpy(zero_copy_only=False)
+        there = (at >= 0) & ((shipped.value[at // 64] >> (at % 64)) & 1).astype(bool)
+        yield batch.select(range(batch.num_columns - 1)).filter(pa.array(there))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS) -> np.ndarray:
@@ -133,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS) -> np.nda
         out[sums["bucket"]] = sums["n"]
         return out
 
-    good = counted(_among(docs, ids).join(ids, "doc_id", "left_semi"))
+    shipped, some = _filter(ids), docs.select("doc_id", "text", _place("doc_id"))
+    some = some.mapInArrow(lambda batches: _picked(batches, shipped), some.select("doc_id", "text").schema)
+    good = counted(some.join(ids.hint("merge"), "doc_id", "left_semi"))  # broadcast, it would leave two Python workers to a task
     if not good.sum():
         return np.zeros(buckets)
     raw = counted(docs)
@@ -141,10 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS) -> np.nda
     return np.log((good + buckets * share) / (good.sum() + buckets) / share)
 
 
-def _scores(ratio, buckets: int, keep: list[str]):
+def _scores(ratio, buckets: int, keep: list[str], only=None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratio.value
-        for part, t in pieces(batches, "__text"):
+        for part, t in pieces(batches if only is None else _picked(batches, only), "__text"):
             hasher = Hasher(t.data)
             out = rules(t, hasher)
             at, docs = token_buckets(t, hasher, buckets)
@@ -156,15 +163,17 @@ def _scores(ratio, buckets: int, keep: list[str]):
     return run
 
 
-def score(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns of docs (default doc_id) with the base counts and the score, one row per row of docs."""
+def score(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+    """The `keep` columns of docs (default doc_id) with the base counts and the score, one row per row of docs; with `among`,
+    of all rows whose doc_id it has and few others, picked by the same Python worker."""
     keep = keep or ["doc_id"]
     held = [f"__k{i}" for i in range(len(keep))]
     shipped = docs.sparkSession.sparkContext.broadcast(ratio)  # len(ratio) doubles, a parameter
-    read = docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)), F.col("text").alias("__text"))
+    read = docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)), F.col("text").alias("__text"), *([_place("doc_id")] if among is not None else []))
     kinds = ", ".join(f"{h} {read.schema[h].dataType.simpleString()}" for h in held)
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
-    out = read.mapInArrow(_scores(shipped, len(ratio), held), f"{kinds}, {counts}")
+    only = None if among is None else _filter(among)
+    out = read.mapInArrow(_scores(shipped, len(ratio), held, only), f"{kinds}, {counts}")
     return out.select(*(F.col(h).alias(c) for c, h in zip(keep, held)), *(c.split()[0] for c in counts.split(", ")))
 
 
@@ -196,7 +205,7 @@ def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, *, tail: fl
     """The lowest score that passes. Held-out documents are scored before they are joined with their labels, so that no text
     is shuffled; a document that stands several times counts once, with the least of its scores."""
     ids = labelled(labels).filter("held_out").select("doc_id", "good")
-    scored = score(_among(docs, ids), ratio).filter("n_words >= 50").groupBy("doc_id").agg(F.min("score").alias("score"))
+    scored = score(docs, ratio, among=ids).filter("n_words >= 50").groupBy("doc_id").agg(F.min("score").alias("score"))
     held = written(scored.join(ids, "doc_id").select("good", "score"), "held")
     sizes = {r["good"]: r["n"] for r in held.groupBy("good").agg(F.count("*").alias("n")).collect()}
     if True not in sizes:

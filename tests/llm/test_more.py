@@ -137,6 +137,35 @@ def test_letter_classes_are_the_matchers_own():
     assert bpe.digest({b"a": 0, b"b": 1}, "x") != bpe.digest({b"a": 0, b"c": 1}, "x")
 
 
+def test_remembered_pieces_take_few_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    codec = bpe.Codec({bytes([b]): b for b in range(256)}, bpe.PATTERN)
+    codec.encode("warm up")
+    text = " ".join(f"x{k:05d}" for k in range(20000))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    got = codec.encode(text)
+    assert bytes(got) == text.encode()
+    del got
+    took = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert took < 100 * 20002, took  # as Python's objects each took some 200
+
+
+def test_pieces_are_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "JUDGED", 20)
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"cab": 257, b"abc": 258, b" a": 259}
+    codec, whole = bpe.Codec(ranks, bpe.PATTERN), bpe.Codec(ranks, bpe.PATTERN)
+    for k in range(40):
+        text = " ".join(f"cab{'abc' * (j % 7)}{k % 5}{j}" for j in range(k, k + 9)) + " a"
+        assert codec.encode(text) == [i for s in re.findall(r" ?[a-z]+| ?[0-9]+", text) for i in whole.encode_piece(s.encode())]
+        assert len(codec.keys) < 90
+
+
 def test_quality_verdicts_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -158,6 +187,17 @@ def test_quality_takes_every_label(spark):
     assert quality.fit(docs, labels).any()
 
 
+def test_quality_takes_one_python_worker_a_task(spark, sf):
+    """A batch filter before a mapper in one stage holds two workers at once for every core."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList()
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(before, ran.size())]
+    assert any("MapInArrow" in p for p in plans) and not any("ArrowEvalPython" in p for p in plans)
+
+
 def test_quality_quantiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(quality, "FEW", 5)
     monkeypatch.setattr(quality, "BINS", 3)
