@@ -6,10 +6,12 @@ import math
 import re
 import unicodedata
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,25 +185,40 @@ def _all_words(tree: tuple) -> list[tuple[str, bool]]:
     return words_of(tree) if tree[0] == "term" else list(dict.fromkeys([*_all_words(tree[1]), *_all_words(tree[2])]))
 
 
-def _blocks(docs: pa.Table) -> pa.Table:
-    """The blocks of one range: for each term its documents, each with its length and the places of the term."""
+#: A stored block: an id has the bits in which doc_id differs from its range's begin; the bound is rounded up to STEPS a unit.
+BLOCK, STEPS = "term string, range long, n int, bound float, docs array<struct<id: long, len: int, at: array<long>>>", 1024
+
+
+def _blocks(docs: pa.Table, mean: float, bits: int) -> pa.Table:
+    """The blocks of some ranges, ordered by term and range: for each term the documents of a range, each with its length and
+    the places of the term."""
     fields = docs.column("w").combine_chunks().flatten()  # as many a document as COLUMNS
     sizes = fields.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     ids, doc = np.unique(docs.column("doc_id").to_numpy().astype(np.int64), return_inverse=True)
+    range_of = np.zeros(len(ids), np.int64)
+    range_of[doc] = docs.column("range").to_numpy()
     row_len = sizes.reshape(-1, len(COLUMNS)).sum(axis=1)
     length = np.zeros(len(ids), np.int64)
     length[doc] = row_len
     at = np.arange(sizes.sum()) + np.repeat((np.arange(len(sizes)) % len(COLUMNS) << 40) - np.cumsum(sizes) + sizes, sizes)
     terms = fields.flatten().dictionary_encode()
-    key = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(doc, row_len)
-    order = np.argsort(key, kind="stable") if len(ids) == len(doc) else np.lexsort((at, key))
-    key = key[order]
+    by_name = pc.array_sort_indices(terms.dictionary).to_numpy()
+    rank = np.empty(len(by_name), np.int64)
+    rank[by_name] = np.arange(len(by_name))
+    key = rank[terms.indices.to_numpy(zero_copy_only=False)] * len(ids) + np.repeat(doc, row_len)
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
     each = np.flatnonzero(np.diff(key, prepend=-1))  # where a term's document begins
     term, one = key[each] // len(ids), key[each] % len(ids)
-    head = np.flatnonzero(np.diff(term, prepend=-1))  # where a term begins
+    head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(range_of[one], prepend=0) != 0))  # where a block begins
+    n = np.diff(np.append(head, len(each)))
+    tf = np.diff(np.append(each, len(at)))
+    score = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[one] / mean))
+    bound = np.ceil(np.maximum.reduceat(score, head) * STEPS) / STEPS if len(head) else score
     lists = lambda starts, inner: pa.ListArray.from_arrays(pa.array(np.append(starts, len(inner)).astype(np.int32)), inner)
-    rows = pa.StructArray.from_arrays([pa.array(ids[one]), pa.array(length[one].astype(np.int32)), lists(each, pa.array(at[order]))], ["doc_id", "len", "at"])
-    return pa.table({"term": terms.dictionary.take(pa.array(term[head])), "range": pa.repeat(docs.column("range")[0], len(head)), "docs": lists(head, rows)})
+    rows = pa.StructArray.from_arrays([pa.array(ids[one] ^ (range_of[one] << bits)), pa.array(length[one].astype(np.int32)), lists(each, pa.array(at))], ["id", "len", "at"])
+    columns = [terms.dictionary.take(pa.array(by_name[term[head]])), pa.array(range_of[one[head]]), pa.array(n.astype(np.int32)), pa.array(bound.astype(np.float32)), lists(head, rows)]
+    return pa.table(columns, ["term", "range", "n", "bound", "docs"])
 
 
 class Index:
@@ -217,6 +234,8 @@ class Index:
     `FIRST` of them, then eight times as many, and ends when no range left can beat the last place."""
 
     RANGE, FAN, FIRST, ROUNDS = 128, 4, 64, 3
+    #: Words of a task that builds blocks, so that its memory has a bound and nothing is spilled, whatever the session's settings.
+    WORDS = 2_000_000
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.log = spark, folder.rstrip("/"), Log(spark, f"{folder.rstrip('/')}/_log")
@@ -224,26 +243,37 @@ class Index:
 
     # --- segments ---
 
-    def _built(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Blocks without their bounds, and doc_id, range and length of every document. Only the texts are dealt, by range; a
-        row a word would be several times as large."""
-        named = F.col("id").alias("doc_id"), F.floor(F.col("id") / self.RANGE).alias("range")
-        words = lambda rows: rows.select("doc_id", "range", F.array(*(tokens(F.col(c)) for c in COLUMNS)).alias("w"))
-        dealt = docs.select(*named, *COLUMNS).filter("doc_id is not null").repartition("range").sortWithinPartitions("range")  # texts are sorted, not their words
-        blocks = words(dealt).groupBy("range").applyInArrow(_blocks, "term string, range long, docs array<struct<doc_id long, len int, at array<long>>>")
+    def _differs(self, doc_id: Column) -> Column:
+        """A stored id of a doc_id, and the other way round; bits, since sums overflow at the last of the ids."""
+        return doc_id.bitwiseXOR(F.shiftleft("range", self.RANGE.bit_length() - 1))
+
+    def _parts(self, length: int) -> int:
+        return max(1, math.ceil(length / self.WORDS))
+
+    def _built(self, docs: DataFrame) -> tuple[Callable[[float, int], DataFrame], DataFrame]:
+        """What makes blocks, given the mean and the sum of all lengths, and doc_id, range and length of every document. Only the
+        texts are dealt and sorted, by some ranges a task; a row a word or a row a block would be many times as large."""
+        named, bits = (F.col("id").alias("doc_id"), F.floor(F.col("id") / self.RANGE).alias("range")), self.RANGE.bit_length() - 1
+        words = lambda rows, *more: rows.select("doc_id", "range", *more, F.array(*(tokens(F.col(c)) for c in COLUMNS)).alias("w"))
+
+        def blocks(mean: float, length: int) -> DataFrame:
+            parts = self._parts(length)
+            rows = docs.select(*named, *COLUMNS).filter("doc_id is not null").withColumn("task", F.pmod(F.xxhash64("range"), F.lit(parts)).cast("int"))
+            dealt = rows.repartitionById(parts, F.col("task")).sortWithinPartitions("task")  # texts are sorted, not their words
+            return words(dealt, "task").groupBy("task").applyInArrow(lambda t: _blocks(t, mean, bits), BLOCK)
+
         length = F.aggregate("w", F.lit(0), lambda n, f: n + F.size(f))
         return blocks, words(docs.select(*named, *COLUMNS)).select("doc_id", "range", length.alias("len"))
 
-    def _saved(self, blocks: DataFrame, docs: DataFrame, seq: int) -> dict:
+    def _saved(self, blocks: Callable[[float, int], DataFrame], docs: DataFrame, seq: int) -> dict:
         """Write a segment and describe it. Its bounds hold for its own mean length, and by a factor for any other. Blocks stay
         dealt by range; a file has its terms in order, so a word's blocks are few neighbouring pages of each."""
         name = uuid.uuid4().hex
-        save = lambda rows, kind, *order: rows.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/{kind}")
-        save(docs.repartition("range"), "docs", "doc_id")
+        save = lambda rows, kind: rows.write.option("compression", "zstd").parquet(f"{self.folder}/{name}/{kind}")
+        save(docs.repartition("range").sortWithinPartitions("doc_id"), "docs")
         n, length = self.spark.read.parquet(f"{self.folder}/{name}/docs").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         mean = length / n if length else 1.0
-        score = lambda d: F.size(d["at"]) * (K1 + 1) / (F.size(d["at"]) + K1 * (1 - B + B * d["len"] / mean))
-        save(blocks.withColumn("bound", F.array_max(F.transform("docs", score))).withColumn("n", F.size("docs")), "blocks", "term", "range")
+        save(blocks(mean, length), "blocks")
         return {"name": name, "seq": seq, "docs": n, "length": length, "mean": mean}
 
     def _each(self, state: dict, kind: str, only: set[int] | None = None) -> DataFrame | None:
@@ -251,7 +281,10 @@ class Index:
         mean, out = self._facts(state)[1], None
         for s in state.get("segments", []):
             if only is None or s["seq"] in only:
-                part = self.spark.read.parquet(f"{self.folder}/{s['name']}/{kind}").withColumns({"seq": F.lit(s["seq"]), "factor": F.lit(max(1.0, mean / s["mean"]) * (1 + 1e-12))})
+                part = self.spark.read.parquet(f"{self.folder}/{s['name']}/{kind}")
+                if kind == "blocks":
+                    part = part.withColumn("docs", F.transform("docs", lambda d: F.struct(self._differs(d["id"]).alias("doc_id"), d["len"].alias("len"), d["at"].alias("at"))))
+                part = part.withColumns({"seq": F.lit(s["seq"]), "factor": F.lit(max(1.0, mean / s["mean"]) * (1 + 1e-12))})
                 out = part if out is None else out.unionByName(part)
         return out
 
@@ -326,13 +359,21 @@ class Index:
             if not some:
                 return
             old, seq = {s["seq"] for s in some}, state["seq"] + 1
-            blocks, docs, dead = self._each(state, "blocks", old).repartition("range"), self._each(state, "docs", old), self._dead(state)
+            parts = self._parts(sum(s["length"] for s in some))
+            blocks, docs, dead = self._each(state, "blocks", old).repartition(parts, "range"), self._each(state, "docs", old), self._dead(state)
             if dead is not None:
                 docs = docs.join(dead, ["seq", "range", "doc_id"], "left_anti")
                 gone = dead.groupBy("range").agg(F.collect_set(F.struct("seq", "doc_id")).alias("gone"))  # at most RANGE a segment
                 blocks = blocks.join(gone, "range", "left").withColumn("docs", F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("gone", F.struct(F.col("seq"), d["doc_id"].alias("doc_id"))))))
             joint = blocks.groupBy("term", "range").agg(F.flatten(F.collect_list("docs")).alias("docs")).filter(F.size("docs") > 0)
-            made = self._saved(joint, docs.select("doc_id", "range", "len"), seq)
+
+            def stored(mean: float, _: int) -> DataFrame:
+                score = lambda d: F.size(d["at"]) * (K1 + 1) / (F.size(d["at"]) + K1 * (1 - B + B * d["len"] / mean))
+                bound = F.ceil(F.array_max(F.transform("docs", score)) * STEPS) / STEPS
+                rows = F.transform("docs", lambda d: F.struct(self._differs(d["doc_id"]).alias("id"), d["len"].alias("len"), d["at"].alias("at")))
+                return joint.select("term", "range", F.size("docs").alias("n"), bound.cast("float").alias("bound"), rows.alias("docs")).sortWithinPartitions("term", "range")
+
+            made = self._saved(stored, docs.select("doc_id", "range", "len"), seq)
             rest = [s for s in state["segments"] if s["seq"] not in old] + ([made] if made["docs"] else [])
             names = {str(s["seq"]) for s in rest}
             try:

@@ -119,6 +119,49 @@ def test_words_are_not_shuffled(spark, tmp_path):
     agree(spark, index, [r for r in rows if r[0] != 30], ["w3 OR w7"])
 
 
+def sorted_mb(spark, since):
+    """The most memory that the tasks of a later stage took to sort and sum, in MB a task, and the number of all stages."""
+    gateway, context = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    new = [s for s in map(stages.apply, range(stages.size())) if s.stageId() >= since]
+    return max((s.peakExecutionMemory() / s.numTasks() / 1e6 for s in new), default=0), 1 + max((s.stageId() for s in new), default=since - 1)
+
+
+def test_blocks_are_not_sorted_as_rows(spark, tmp_path, monkeypatch):
+    """What a task sorts is texts, and a bounded number of words, however few partitions the session has."""
+    monkeypatch.setattr(search.Index, "WORDS", 100_000, raising=False)
+    rows = spark.range(2000).selectExpr("id", "'' title", "'' summary", "array_join(transform(sequence(0, 199), j -> concat('w', pmod(id * 7 + j * 13, 5000))), ' ') notes", "'' tags", "'' parties")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        _, since = sorted_mb(spark, 0)
+        index = search.Index(spark, f"file://{tmp_path}/ix")
+        index.rebuild(rows)
+        took, _ = sorted_mb(spark, since)
+        index.update(rows.filter("id < 9"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [p for p in tmp_path.rglob("blocks/*.parquet")]
+    assert took < 50 and len(files) >= 4  # 34 for 400,000 words; 69 as rows of blocks
+    docs = index.postings().groupBy("doc_id").count()
+    assert docs.count() == 2000 and {r["count"] for r in docs.collect()} == {200}
+
+
+def test_bounds_hold_and_ids_come_back(spark, tmp_path):
+    last = (1 << 63) - 1
+    ids = [-last - 1, -129, -128, -1, 0, 127, 128, 1 << 54, (1 << 54) + 77, last - 1, last]
+    rows = [(k, "b", None, " ".join(["a"] * (j + 1) + ["c"] * 9 * j), ";ß;", "") for j, k in enumerate(ids)]
+    index = search.Index(spark, f"file://{tmp_path}/ix")
+    index.rebuild(spark.createDataFrame(rows, SHAPE))
+    agree(spark, index, rows, ["a", "a OR c", "b"])
+    mean = index._facts(index.log.latest()[1])[1]
+    for r in index._each(index.log.latest()[1], "blocks").collect():
+        scores = [len(d["at"]) * (search.K1 + 1) / (len(d["at"]) + search.K1 * (1 - search.B + search.B * d["len"] / mean)) for d in r["docs"]]
+        assert r["n"] == len(scores) and max(scores) <= r["bound"] * r["factor"] <= max(scores) + 1e-3
+    assert {(r["doc_id"], r["term"]) for r in index.postings().select("doc_id", "term").distinct().collect()} >= {(k, "a") for k in ids}
+
+
 def test_texts_without_words_and_repeated_ids(spark, tmp_path):
     rows = [(-1, None, None, None, None, None), (3, "", "", " - ", "", ""), (300, "a b", "a", "", ";c;", "a")]
     index = search.Index(spark, f"file://{tmp_path}/ix")
